@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import packing, token_output
+from quillspark.llm import packing, substring_dedup, suffix_dedup, token_output
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_substring_dedup": substring_dedup.op1_substring_dedup,
+    "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
     "op8_best_fit_packing": packing.op8_best_fit_packing,
     "op10_token_output": token_output.op10_token_output,
 }

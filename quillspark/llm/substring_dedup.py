@@ -15,7 +15,7 @@ Beyond the input that it is sized for it lets more windows through to step 2, wh
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import compress
 
 import numpy as np
@@ -47,14 +47,14 @@ def counter(hashes: np.ndarray, row: int, bits: int) -> np.ndarray:
     return (mix(hashes ^ U64(SALT[row])) >> U64(64 - bits)).astype(np.uint32)
 
 
-def sketch(docs: DataFrame, size: int, bits: int) -> dict[tuple[int, int], bytes]:
-    """The counters that reach 2, as packed bits by (row, chunk)."""
+def sketch(docs: DataFrame, hasher: Callable[[np.ndarray, np.ndarray], np.ndarray], bits: int) -> dict[tuple[int, int], bytes]:
+    """The counters that reach 2, as packed bits by (row, chunk). hasher: hashes of what is counted in a batch."""
     chunk_bits = min(bits, CHUNK_BITS)
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: list[list[np.ndarray]] = [[] for _ in range(ROWS)]
         for batch in (piece for whole in batches for piece in slices(whole, "text")):
-            h = fingerprints(*text_bytes(batch.column("text")), size, False)[-1]
+            h = hasher(*text_bytes(batch.column("text")))
             for row in range(ROWS):
                 seen[row].append(counter(h, row, bits))
         for row in range(ROWS):
@@ -172,7 +172,7 @@ def repeats(docs: DataFrame, size: int = 35) -> DataFrame:
     n_windows = max(1, n_bytes // 6)
     bits = min(max(10, (2 * n_windows - 1).bit_length()), MAX_COUNTERS.bit_length() - 1)
     n_batches, n_blocks = common.batches_for(n_bytes), max(1, n_windows // 1_000_000)
-    shared = spark.sparkContext.broadcast(Estimate(sketch(docs, size, bits), bits))
+    shared = spark.sparkContext.broadcast(Estimate(sketch(docs, lambda raw, offsets: fingerprints(raw, offsets, size, False)[-1], bits), bits))
     batched = docs.withColumn("batch", common.batch_key(n_batches, "doc_id", "text"))
 
     def send(key: tuple, table: pa.Table) -> pa.Table:

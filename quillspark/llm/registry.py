@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import packing, substring_dedup, suffix_dedup, token_output
+from quillspark.llm import jaccard_join, language_id, packing, secret_scan, substring_dedup, suffix_dedup, token_output
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
     "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
+    "op6_secret_scan": secret_scan.op6_secret_scan,
+    "op7_jaccard_join": jaccard_join.op7_jaccard_join,
+    "op9_language_id": language_id.op9_language_id,
     "op8_best_fit_packing": packing.op8_best_fit_packing,
     "op10_token_output": token_output.op10_token_output,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op6_secret_scan": secret_scan.ORACLE_SQL}

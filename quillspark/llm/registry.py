@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import decontamination, jaccard_join, language_id, nearest_neighbours, packing, secret_scan, substring_dedup, suffix_dedup, token_output
+from quillspark.llm import decontamination, jaccard_join, language_id, license_scan, nearest_neighbours, packing, secret_scan, substring_dedup, suffix_dedup, token_output
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
+    "op3_license_scan": license_scan.op3_license_scan,
     "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
     "op2_decontamination": decontamination.op2_decontamination,
     "op5_nearest_neighbours": nearest_neighbours.op5_nearest_neighbours,

@@ -68,12 +68,12 @@ def scan(docs: DataFrame, repository: str = "doc_id", owner: str = "source", cop
     """Secrets of every document.
 
     docs: doc_id, text and the columns named; other columns are ignored. A null or empty text has no spans; rows
-    that share a doc_id are texts of their own. Returns for each row doc_id, the base spans (array, sorted by
-    start, then kind), all spans (base ones and generic tokens that a single owner holds), and how many of all
-    spans are live-looking (held by fewer than `copied_from` owners) or copied.
+    that share a doc_id are texts of their own. Returns for each row doc_id, text_hash (xxhash64 of the text), the
+    base spans (array, sorted by start, then kind), all spans (base ones and generic tokens that a single owner
+    holds), and how many of all spans are live-looking (held by fewer than `copied_from` owners) or copied.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(repository).cast("string").alias("repository"), F.col(owner).cast("string").alias("owner"), base_spans(text).alias("base"), generic_spans(text).alias("generic"))
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col(repository).cast("string").alias("repository"), F.col(owner).cast("string").alias("owner"), base_spans(text).alias("base"), generic_spans(text).alias("generic"))
     apart = F.filter("generic", lambda g: ~F.exists("base", lambda b: (b["start"] < g["end"]) & (g["start"] < b["end"])))
     found = common.materialise(found.withColumn("generic", apart).withColumn("row", F.monotonically_increasing_id()))
     spans = found.select("row", "repository", "owner", F.explode(F.concat("base", "generic")).alias("span")).withColumn("value_hash", F.sha2("span.value", 256))
@@ -82,7 +82,24 @@ def scan(docs: DataFrame, repository: str = "doc_id", owner: str = "source", cop
     extra = judged.groupBy("row").agg(F.count_if(live).alias("n_live"), F.count_if(~live).alias("n_copied"), F.collect_list(F.when(F.col("span.kind") == 3, F.col("span"))).alias("owned"))
     every = F.array_sort(F.concat("base", F.coalesce("owned", F.array().cast(f"array<{SPAN}>"))))
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
-    return found.join(extra, "row", "left").select("doc_id", "base", every.alias("all"), zero("n_live"), zero("n_copied"))
+    return found.join(extra, "row", "left").select("doc_id", "text_hash", "base", every.alias("all"), zero("n_live"), zero("n_copied"))
+
+
+def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
+    """Put a mark in place of every span that the scan reports (overlapping spans: one mark); n_chars follows. The
+    columns stay as they are; a text without spans, a null one too, is unchanged."""
+    spans = scan(docs).where(F.size("all") > 0).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("all").alias("_spans")).dropDuplicates(["_id", "_hash"])
+    met = docs.withColumn("_own", F.xxhash64("text")).join(spans, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_hash")), "left")
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        before = F.when(x["start"] >= acc["at"], F.concat(F.substring(F.col("text"), acc["at"] + 1, x["start"] - acc["at"]), F.lit(mark))).otherwise(F.lit(""))
+        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.concat(acc["out"], before).alias("out"))
+
+    cleaned = F.aggregate("_spans", start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
+    text = F.when(F.col("_spans").isNotNull(), cleaned).otherwise(F.col("text"))
+    size = F.when(F.col("_spans").isNotNull(), F.length(cleaned).cast("long")).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None
+    return met.select(*(text.alias(c) if c == "text" else size.alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns))
 
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -61,7 +61,7 @@ def anchors(raw: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray
     valid = np.flatnonzero(left >= size)
     anchor = (least[valid] & place).astype(np.int64)
     lead = np.flatnonzero(np.diff(anchor, prepend=-1) != 0)
-    return valid[lead], np.diff(np.append(lead, len(valid))), h[anchor[lead]]
+    return valid[lead], np.diff(np.append(lead, len(valid))), mix(h[anchor[lead]])  # mixed again: least hashes are small, and blocks are ranges
 
 
 def two_stage_suffixes(text: np.ndarray, depth: int) -> np.ndarray:

@@ -102,7 +102,8 @@ def train(docs: DataFrame, limit: int = TRAIN_DOCS) -> Network | None:
     """Fit on documents with text and lang that are not held out. None: there are none."""
     labelled = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & (F.octet_length("text") > 0))
     at = lambda k: F.substring(F.encode("text", "UTF-8"), (F.pmod(F.xxhash64("doc_id", F.lit(k)), F.greatest(F.octet_length("text") - WINDOW, F.lit(1))) + 1).cast("int"), F.lit(WINDOW)).alias(f"w{k}")
-    rows = labelled.orderBy(F.xxhash64("doc_id", F.lit(99)), "doc_id").limit(limit).select("lang", at(0), at(1)).toPandas()  # 2 * limit windows
+    cut = labelled.select("lang", "doc_id", F.xxhash64("doc_id", F.lit(99)).alias("turn"), at(0), at(1))  # windows, so that no text reaches the driver
+    rows = cut.orderBy("turn", "doc_id").limit(limit).toPandas()  # 2 * limit windows
     if rows.empty:
         return None
     labels = sorted(rows["lang"].unique())

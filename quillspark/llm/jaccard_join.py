@@ -6,8 +6,9 @@
    without. Two linked nodes share one of their prefixes.
 3. Where nodes meet, a shingle's nodes are points of an R-tree: tokens hashed into groups, the counts per group
    the coordinates. The sum of coordinate minima bounds the overlap of two nodes, and of a node and a box.
-4. Of the pairs whose bound suffices a spanning forest is verified exactly. Where all its edges hold, the nodes
-   are linked whatever the other pairs say; where some fail, that shingle's nodes take another turn without them.
+4. Of the pairs whose bound suffices a spanning forest is verified exactly, and a few more for each node. Where all
+   edges hold, the nodes are linked whatever the other pairs say; where some fail, all pairs of that shingle's nodes
+   which the bound admits and no link joins yet are verified.
    So a group of copies never becomes all its pairs, and no link is lost.
 """
 
@@ -27,11 +28,13 @@ from quillspark.llm.components import components
 from quillspark.llm.kernels import U64, lower_ascii, mix, range_hash, slices, text_bytes, windows, words
 from quillspark.llm.substring_dedup import MAX_COUNTERS, Estimate, sketch
 
-GROUPS = 32
+GROUPS = 64
 CLASS_BITS = 18
 #: Nodes of one shingle that meet in one task; more are dealt over pairs of blocks.
 BLOCK = 8192
 LEAF, FAN = 32, 16
+#: Pairs of a node, besides those of the forest, that the first turn verifies.
+EXTRA = 8
 
 
 def shingle_sets(raw: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -72,7 +75,7 @@ def class_of(hashes: np.ndarray) -> np.ndarray:
 
 
 def count_vector(shingles: np.ndarray) -> np.ndarray:
-    return np.minimum(np.bincount((shingles >> U64(59)).astype(np.int64), minlength=GROUPS), 65535).astype("<u2")
+    return np.minimum(np.bincount((shingles >> U64(58)).astype(np.int64), minlength=GROUPS), 65535).astype("<u2")
 
 
 class CountTree:
@@ -106,46 +109,45 @@ class CountTree:
         return self.order[at]
 
 
-def forest(node: np.ndarray, label: np.ndarray, size: np.ndarray, vectors: np.ndarray, failed: set[tuple[int, int]], percent: int) -> list[tuple[int, int]]:
-    """Edges that join the components of the bound, over nodes that `label` has joined already."""
+def candidate_edges(node: np.ndarray, label: np.ndarray, size: np.ndarray, vectors: np.ndarray, percent: int, extra: int | None) -> list[tuple[int, int]]:
+    """Pairs of nodes of different labels to verify: a spanning forest of those that the bound admits and up to `extra`
+    more for each node, or all of them (None)."""
     n = len(node)
-    if n == 2 and not failed:
-        if label[0] == label[1]:
-            return []
+    if n == 2:
         bound = int(np.minimum(vectors[0], vectors[1]).sum())
-        return [(int(node[0]), int(node[1]))] if (100 + percent) * bound >= percent * (size[0] + size[1]) else []
-    tree = CountTree(vectors, size)
-    fresh, edges = np.ones(n, bool), []
-    mates: dict[int, list[int]] = {}
-    for i, x in enumerate(label.tolist()):
-        mates.setdefault(x, []).append(i)
-    for root in range(n):
-        if not fresh[root]:
+        return [(int(node[0]), int(node[1]))] if label[0] != label[1] and (100 + percent) * bound >= percent * (size[0] + size[1]) else []
+    if (label == label[0]).all():
+        return []
+    hoped = label.copy()
+    tree, edges = CountTree(vectors, size), []
+    for i in range(n):
+        found = tree.reachable(vectors[i].astype(np.int32), int(size[i]), percent)
+        found = found[label[found] != label[i]]
+        if extra is None:
+            edges += [(int(min(node[i], node[j])), int(max(node[i], node[j]))) for j in found[found > i].tolist()]
             continue
-        queue = list(mates[label[root]])
-        fresh[queue] = False
-        while queue and fresh.any():
-            i = queue.pop()
-            found = tree.reachable(vectors[i].astype(np.int32), int(size[i]), percent)
-            for j in found[fresh[found]].tolist():
-                pair = (int(min(node[i], node[j])), int(max(node[i], node[j])))
-                if fresh[j] and pair not in failed:
-                    edges.append(pair)
-                    own = mates[label[j]]
-                    fresh[own] = False
-                    queue += own
+        more = 0
+        for j in found[np.argsort(hoped[found] == hoped[i], kind="stable")].tolist():
+            if hoped[i] != hoped[j]:
+                hoped[hoped == hoped[j]] = hoped[i]
+            elif more < extra and j > i:
+                more += 1
+            elif more >= extra:
+                break
+            else:
+                continue
+            edges.append((int(min(node[i], node[j])), int(max(node[i], node[j]))))
     return edges
 
 
-def meetings(rows: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs (token, i, j, a, b) of rows (token, i, j, kind, node, label, n, vector, other); kind 0 is a node of the
-    shingle, kind 1 a pair (node, other) that failed before."""
+def meetings(rows: DataFrame, percent: int, extra: int | None) -> DataFrame:
+    """Candidate pairs (token, i, j, a, b) of the nodes of each shingle: rows (token, i, j, node, label, n, vector)."""
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
         def groups(table: pa.Table, last: bool) -> Iterator[pa.RecordBatch]:
-            token, i, j, kind, node, label, n, other = (table.column(c).to_numpy() for c in ("token", "i", "j", "kind", "node", "label", "n", "other"))
+            token, i, j, node, label, n = (table.column(c).to_numpy() for c in ("token", "i", "j", "node", "label", "n"))
             vectors = np.frombuffer(b"".join(table.column("vector").to_pylist()), "<u2").reshape(-1, GROUPS)
             edges = np.flatnonzero((np.diff(token) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)) + 1
             edges = np.concatenate([[0], edges, [len(token)]])
@@ -153,9 +155,7 @@ def meetings(rows: DataFrame, percent: int) -> DataFrame:
             for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
                 if b - a < 2 or (b == len(token) and not last):
                     continue
-                m = a + int(np.searchsorted(kind[a:b], 1))
-                bad = set(zip(node[m:b].tolist(), other[m:b].tolist(), strict=True))
-                out += [(int(token[a]), int(i[a]), int(j[a]), *e) for e in forest(node[a:m], label[a:m], n[a:m], vectors[a:m], bad, percent)]
+                out += [(int(token[a]), int(i[a]), int(j[a]), *e) for e in candidate_edges(node[a:b], label[a:b], n[a:b], vectors[a:b], percent, extra)]
             if out:
                 columns = list(zip(*out, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["token", "i", "j", "a", "b"])
@@ -176,7 +176,7 @@ def meetings(rows: DataFrame, percent: int) -> DataFrame:
             if table.num_rows:
                 yield from groups(table, True)
 
-    dealt = rows.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "kind", "node")
+    dealt = rows.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "node")
     return dealt.mapInArrow(pairs, "token long, i long, j long, a long, b long")
 
 
@@ -241,29 +241,23 @@ def join(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *tokens])), batch.column("node").take(at), batch.column("n").take(at), pa.array(vectors, pa.binary()).take(at)], names=["token", "node", "n", "vector"])
 
     rows = nodes.select("node", "n", "shingles").mapInArrow(prefix, "token long, node long, n long, vector binary")
-    met = rows.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("token", F.ceil(F.col("m") / BLOCK).alias("blocks"))
+    rows = common.materialise(rows)
+    # Shingles with the same nodes, of which a group of copies has many, are one: the smallest stands for all.
+    marks = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"mark{k}") for k in range(2)]
+    met = rows.groupBy("token").agg(F.count(F.lit(1)).alias("m"), *marks).where("m > 1").groupBy("m", "mark0", "mark1").agg(F.min("token").alias("token")).select("token", F.ceil(F.col("m") / BLOCK).alias("blocks"))
     mine = F.pmod(F.xxhash64("node"), F.col("blocks"))
     partner = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("partner")
     rows = rows.join(met, "token").select("token", "node", "n", "vector", mine.alias("mine"), partner).select("token", F.least("mine", "partner").alias("i"), F.greatest("mine", "partner").alias("j"), "node", "n", "vector")
     rows = common.materialise(rows)
-    turn, links, failed = rows.withColumn("label", F.col("node")), None, None
-    while True:
-        blank = F.lit(b"\0" * (2 * GROUPS))
-        entries = turn.select("token", "i", "j", F.lit(0).alias("kind"), "node", "label", "n", "vector", F.lit(0).cast("long").alias("other"))
-        if failed is not None:
-            entries = entries.union(failed.select("token", "i", "j", F.lit(1), F.col("a"), F.lit(0).cast("long"), F.lit(0).cast("long"), blank, F.col("b")))
-        pairs = common.materialise(meetings(entries, percent))
-        tested = common.materialise(verified(pairs.select("a", "b").distinct(), nodes, percent))
-        good = tested.where("good").select("a", "b")
-        links = good if links is None else links.union(good)
-        bad = common.materialise(pairs.join(tested.where("NOT good").select("a", "b"), ["a", "b"]).select("token", "i", "j", "a", "b"))
-        if bad.isEmpty():
-            break
-        failed = bad if failed is None else failed.union(bad)
-        again = bad.select("token", "i", "j").distinct()
-        failed = failed.join(again, ["token", "i", "j"], "left_semi")
+    pairs = common.materialise(meetings(rows.withColumn("label", F.col("node")), percent, EXTRA))
+    tested = common.materialise(verified(pairs.select("a", "b").distinct(), nodes, percent))
+    links = tested.where("good").select("a", "b")
+    again = common.materialise(pairs.join(tested.where("NOT good"), ["a", "b"]).select("token", "i", "j").distinct())
+    if not again.isEmpty():
         labels = components(links)
         turn = rows.join(again, ["token", "i", "j"], "left_semi").join(labels, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
+        rest = meetings(turn, percent, None).select("a", "b").distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
+        links = links.union(common.materialise(verified(rest, nodes, percent)).where("good").select("a", "b"))
     roots = nodes.select("set", "least", "node").join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = roots.groupBy("root").agg(F.min("least").alias("component"))
     found = roots.join(least, "root").select("set", "component")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,11 +51,15 @@ def metas(html: Column) -> Column:
     return F.filter(named, lambda m: m["name"].isNotNull() & (F.coalesce(m["content"], F.lit("")) != ""))
 
 
+def _named(name: str) -> Callable[[Column], Column]:
+    return lambda m: m["name"] == name
+
+
 def meta_values(metas_: Column, field: str) -> Column:
     """Values of the first tag name of a field that the page has."""
     out = F.array().cast("array<string>")
     for name in reversed(META[field].split()):
-        own = F.transform(F.filter(metas_, lambda m, name=name: m["name"] == name), lambda m: m["content"])
+        own = F.transform(F.filter(metas_, _named(name)), lambda m: m["content"])
         out = F.when(F.size(own) > 0, own).otherwise(out)
     return out
 
@@ -126,6 +132,6 @@ def pdf_info(content: Column) -> Column:
 def text_header(text: Column) -> Column:
     """EXT18: the DOI and the first plausible title line of the first 3000 characters."""
     head = F.substring(text, 1, 3000)
-    lines = F.transform(F.split(head, "\n"), F.trim)
+    lines = F.transform(F.split(head, "\n"), lambda x: F.trim(x))
     good = F.filter(lines, lambda x: F.length(x).between(15, 220) & ~x.rlike(r"(?i)^(abstract|introduction|references|contents|https?:|doi|vol\b|\d)"))
     return F.struct(identifiers.identifiers_in(head)["DOI"].alias("doi"), F.get(good, F.lit(0)).alias("title"))

@@ -406,7 +406,7 @@ def _(s, d):
 
 
 # Pages.
-@query("ext1_pages", "SELECT page_id, trim(regexp_replace(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1', 1), '\\s+', ' ', 'g')) AS title, lower(regexp_extract(html, '(?is)<html[^>]*lang=[\"'']?([A-Za-z-]+)', 1)) AS language FROM pages")
+@query("ext1_pages", "SELECT page_id, replace(trim(regexp_replace(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1', 1), '\\s+', ' ', 'g')), '&amp;', '&') AS title, lower(regexp_extract(html, '(?is)<html[^>]*lang=[\"'']?([A-Za-z-]+)', 1)) AS language FROM pages")
 def _(s, d):
     return extract.pages(s.read.parquet(f"{d}/pages.parquet")).select("page_id", "title", F.lower("language").alias("language"))
 

@@ -67,7 +67,7 @@ def ris() -> Column:
     dated = F.concat(_year().cast("string"), F.coalesce(F.concat(F.lit("/"), two(1), F.coalesce(F.concat(F.lit("/"), two(2)), F.lit(""))), F.lit("")))
     pages = F.regexp_replace("page", "[–—]", "-")
     ranged, at = pages.contains("-"), F.instr(pages, "-")
-    words = F.filter(F.transform(F.split(c("keyword"), ","), F.trim), lambda w: w != "")
+    words = F.filter(F.transform(F.split(c("keyword"), ","), lambda x: F.trim(x)), lambda w: w != "")
     lines = [
         line("TY", lookup(schema.TO_RIS, c("type"), "GEN")), many("AU", F.transform("author", _ris_name)), many("A2", F.transform("editor", _ris_name)), line("TI", c("title")), line("BT", F.when(in_book, c("container_title"))),
         line("JO", F.when(~in_book, c("container_title"))), line("T3", c("collection_title")), line("PY", dated), line("VL", c("volume")), line("IS", c("issue")),

@@ -80,10 +80,10 @@ def json_ld(html: Column) -> Column:
     """JSN1: fields of the first JSON-LD block, the head of an array or of `@graph`."""
     raw = F.trim(F.regexp_extract(html, r"(?is)<script[^>]*application/ld\+json[^>]*>(.*?)</script\s*>", 1))
     v = F.try_parse_json(raw)
-    get = lambda *paths: F.coalesce(*(F.try_variant_get(v, p, "string") for q in paths for p in (f"$.{q}", f"$[0].{q}", f"$['@graph'][0].{q}")))
+    get = lambda *paths: F.coalesce(*(F.try_variant_get(v, p, "string") for q in paths for p in (f"${q}", f"$[0]{q}", f"$['@graph'][0]{q}")))
     return F.struct(
-        get("['@type']").alias("type"), get("headline", "name").alias("title"), get("author.name", "author[0].name", "author").alias("author"), get("datePublished").alias("date"), get("isPartOf.name", "publisher.name").alias("container"),
-        get("publisher.name").alias("publisher"), get("isbn").alias("isbn"), get("description").alias("abstract"),
+        get("['@type']").alias("type"), get(".headline", ".name").alias("title"), get(".author.name", ".author[0].name", ".author").alias("author"), get(".datePublished").alias("date"), get(".isPartOf.name", ".publisher.name").alias("container"),
+        get(".publisher.name").alias("publisher"), get(".isbn").alias("isbn"), get(".description").alias("abstract"),
     )
 
 

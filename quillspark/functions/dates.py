@@ -66,14 +66,15 @@ def medline_date(c: Column) -> Column:
 
 
 #: Formats that general date texts are tried in.
-FORMATS = ("MMMM d, yyyy", "MMM d, yyyy", "d MMMM yyyy", "d MMM yyyy", "MMMM yyyy", "MMM yyyy", "M/d/yyyy", "EEE, d MMM yyyy HH:mm:ss z")
+FORMATS = ("MMMM d, yyyy", "MMM d, yyyy", "d MMMM yyyy", "d MMM yyyy", "MMMM yyyy", "MMM yyyy", "M/d/yyyy")
 
 
 def page_date(c: Column) -> Column:
     """DT4, DT10: an ISO prefix of one to three parts, else one of FORMATS, else literal."""
     s = F.trim(c)
     part = lambda i: first_match(s, r"^(\d{4})(?:-(\d{1,2})(?:-(\d{1,2}))?)?", i).cast("int")
-    t = F.coalesce(*(F.try_to_timestamp(s, F.lit(f)) for f in FORMATS))
+    day = F.regexp_replace(s, r"^[A-Za-z]{3,9},\s+|\s+\d{1,2}:\d{2}.*$", "")  # without weekday and time: no pattern reads a weekday
+    t = F.coalesce(*(F.try_to_timestamp(day, F.lit(f)) for f in FORMATS))
     return F.when(s.rlike(r"^\d{4}"), date(leading(part(1), part(2), part(3)))).when(t.isNotNull(), date(F.array(F.year(t), F.month(t), F.day(t)))).otherwise(date(literal=s))
 
 

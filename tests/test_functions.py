@@ -29,7 +29,7 @@ CASES = [
     (identifiers.route, {"doi:10.1000/a": "doi", "9780306406157": "isbn", "12345678": "pmid", "2301.12345": "arxiv", "https://x.org": "url", "A title": "title"}),
     (lambda c: identifiers.all_dois(c).cast("string"), {"10.1000/a, 10.1000/a. 10.2000/b-\nc": "[10.1000/a, 10.2000/b-c]"}),
     (lambda c: dates.form_text(dates.fuzzy_date(c)), {"Jan 15, 2023": "2023", "January 15, 2023": "2023-01-15", "soon": "soon"}),
-    (lambda c: dates.form_text(dates.page_date(c)), {"2020-05-06T01:00": "2020-05-06", "2020": "2020", "May 4, 2021": "2021-05-04", "later": "later"}),
+    (lambda c: dates.form_text(dates.page_date(c)), {"2020-05-06T01:00": "2020-05-06", "2020": "2020", "May 4, 2021": "2021-05-04", "Tue, 04 May 2021 10:00:00 GMT": "2021-05-04", "later": "later"}),
     (lambda c: dates.form_text(dates.medline_date(c)), {"2024 Mar 15": "2024-03-15", "2024 Mar": "2024-03", "2024": "2024"}),
     (lambda c: dates.form_text(dates.pdf_date(c)), {"D:20200304120000": "2020-03-04"}),
     (lambda c: dates.check_date(c, 2026), {"2020-13": "invalid_month", "2020-01-40": "invalid_day", "nd": "no_date", "x": "invalid_year", "2050": "future_year", "2020-02-03": None}),

@@ -31,6 +31,9 @@ from quillspark.llm.kernels import U64, covered, mix, spread, text_bytes
 from quillspark.llm.substring_dedup import in_order
 
 ANCHOR = 24
+#: Low bits of an anchor's hash that hold its place within a segment of windows.
+PLACE_BITS = 24
+SEGMENT = 1 << 22
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 STRETCHES = "batch long, block long, keys binary, lengths binary, data binary, least binary, stretch binary, starts binary, counts binary, docs binary"
 
@@ -40,24 +43,37 @@ def load8(raw: np.ndarray, n: int, at: int = 0, kind: str = "<u8") -> np.ndarray
     return np.ndarray((n,), kind, raw.data, at, (1,))
 
 
-def anchors(raw: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of windows with one anchor: first window, number of windows, hash of the anchor."""
+def anchors(raw: np.ndarray, offsets: np.ndarray, size: int, segment: int = SEGMENT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of windows with one anchor: first window, number of windows, hash of the anchor.
+
+    The place of an anchor takes the low bits of its hash, so that places are counted within segments of windows;
+    segments overlap by the bytes of a window. A run over the edge of two segments is two runs with the same hash."""
+    n = len(raw)
+    none = np.zeros(0, np.int64)
+    parts = [(none, none, np.zeros(0, np.uint64))]
+    for at in range(0, n - size + 1, segment):
+        lead, count, h = segment_anchors(raw[at : at + segment + size - 1], offsets - at, size)
+        parts.append((lead + at, count, h))
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
+def segment_anchors(raw: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The runs of a segment; offsets count from its start and may lie outside of it."""
     n, span = len(raw), size - ANCHOR + 1
-    if n < size:
-        return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64),)
     m = n - ANCHOR + 1
     h = load8(raw, m) * U64(0x9E3779B97F4A7C15)
     h ^= (h >> U64(29)) ^ (load8(raw, m, 8) * U64(0xD6E8FEB86659FD93))
     h ^= (h >> U64(32)) ^ (load8(raw, m, 16) * U64(0xC2B2AE3D27D4EB4F))
     h = mix(h)
-    place = U64((1 << 24) - 1)
+    place = U64((1 << PLACE_BITS) - 1)
     least = (h & ~place) | np.arange(m, dtype=np.uint64)
     done = 1
     while 2 * done <= span:
         least = np.minimum(least[: len(least) - done], least[done:])
         done *= 2
     least = np.minimum(least[: n - size + 1], least[span - done : span - done + n - size + 1])
-    left = np.repeat(offsets[1:], np.diff(offsets))[: n - size + 1] - np.arange(n - size + 1)
+    inside = np.clip(offsets, 0, n)  # a text that goes on after the segment has all its windows that start here within it
+    left = np.repeat(inside[1:], np.diff(inside))[: n - size + 1] - np.arange(n - size + 1)
     valid = np.flatnonzero(left >= size)
     anchor = (least[valid] & place).astype(np.int64)
     lead = np.flatnonzero(np.diff(anchor, prepend=-1) != 0)

@@ -1,6 +1,7 @@
 """Operators for training-data pipelines against brute force, on small tables that hold the odd cases: null and empty
 texts, a very long text, repeated rows and ids, a null id, an empty table, and extra columns with clashing names."""
 
+import hashlib
 import zlib
 
 import numpy as np
@@ -92,6 +93,32 @@ def test_two_stage_suffixes_are_sorted():
         assert ((suffix_dedup.common_prefixes(padded, order, 50) >= 50) == suffix_dedup.shares(padded, order, 50)).all()
 
 
+def test_anchors_do_not_depend_on_segments():
+    from quillspark.llm.kernels import spread
+
+    raw = rng.integers(97, 100, 5000).astype(np.uint8)
+    raw[3000:3400], raw[4500:4900] = raw[700:1100], raw[:400]
+    offsets = np.array([0, 0, 30, 900, 2500, 2501, 5000])
+
+    def by_window(found):
+        start, count, h = found
+        return dict(zip(spread(start, count).tolist(), np.repeat(h, count).tolist(), strict=True))
+
+    whole = by_window(suffix_dedup.anchors(raw, offsets, 50))
+    assert len(whole) == sum(max(0, n - 49) for n in np.diff(offsets))
+    for segment in (1, 49, 64, 1000, 4951):
+        assert by_window(suffix_dedup.anchors(raw, offsets, 50, segment)) == whole
+    assert len(suffix_dedup.anchors(raw[:49], np.array([0, 49]), 50)[0]) == 0
+
+
+def test_suffix_dedup_finds_strings_beyond_16_mib_of_a_text(spark):
+    short = rng.integers(65, 91, 2000).astype(np.uint8).tobytes().decode()
+    filler = rng.integers(97, 123, (1 << 24) + 5000).astype(np.uint8).tobytes().decode()
+    got = {r.doc_id: r for r in suffix_dedup.earlier_strings(spark.createDataFrame([(1, short), (2, filler + short)], "doc_id long, text string")).collect()}
+    assert (got[1].n_removed, got[2].n_removed, got[2].n_spans) == (0, 2000, 1)
+    assert got[2].kept_sha256 == hashlib.sha256(filler.encode()).hexdigest()
+
+
 def test_sketch_never_underestimates(docs, table):
     hasher = lambda raw, offsets: substring_dedup.fingerprints(raw, offsets, 35, False)[-1]
     for bits in (10, 20):  # the small sketch is overfull

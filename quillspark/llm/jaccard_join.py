@@ -29,6 +29,8 @@ from quillspark.llm.kernels import U64, lower_ascii, mix, range_hash, slices, te
 from quillspark.llm.substring_dedup import MAX_COUNTERS, Estimate, sketch
 
 GROUPS = 64
+#: The largest count of a vector: this many or more.
+FULL = 65535
 CLASS_BITS = 18
 #: Nodes of one shingle that meet in one task; more are dealt over pairs of blocks.
 BLOCK = 8192
@@ -75,7 +77,12 @@ def class_of(hashes: np.ndarray) -> np.ndarray:
 
 
 def count_vector(shingles: np.ndarray) -> np.ndarray:
-    return np.minimum(np.bincount((shingles >> U64(58)).astype(np.int64), minlength=GROUPS), 65535).astype("<u2")
+    return np.minimum(np.bincount((shingles >> U64(58)).astype(np.int64), minlength=GROUPS), FULL).astype("<u2")
+
+
+def upper_counts(vectors: np.ndarray) -> np.ndarray:
+    """Counts that bound from above: a full one stands for any number."""
+    return np.where(vectors == FULL, np.iinfo(np.int32).max, vectors.astype(np.int32))
 
 
 class CountTree:
@@ -84,7 +91,7 @@ class CountTree:
 
     def __init__(self, vectors: np.ndarray, sizes: np.ndarray) -> None:
         self.order = np.lexsort((*vectors.T[:2], sizes))
-        v, low, high = vectors[self.order].astype(np.int32), sizes[self.order], sizes[self.order]
+        v, low, high = vectors[self.order], sizes[self.order], sizes[self.order]
         self.levels = [(v, low, high)]
         fan = LEAF
         while len(v) > FAN:
@@ -100,7 +107,7 @@ class CountTree:
             v, low, high = self.levels[depth]
             near = (100 * low[at] <= (10000 * size) // percent + 100) & (100 * high[at] >= percent * size)
             at = at[near]
-            bound = np.minimum(v[at], vector).sum(axis=1)
+            bound = np.minimum(v[at], vector).sum(axis=1, dtype=np.int64)
             at = at[(100 + percent) * bound >= percent * (size + low[at])]
             if depth:
                 fan = LEAF if depth == 1 else FAN
@@ -113,30 +120,28 @@ def candidate_edges(node: np.ndarray, label: np.ndarray, size: np.ndarray, vecto
     """Pairs of nodes of different labels to verify: a spanning forest of those that the bound admits and up to `extra`
     more for each node, or all of them (None)."""
     n = len(node)
+    vectors = upper_counts(vectors)
     if n == 2:
-        bound = int(np.minimum(vectors[0], vectors[1]).sum())
+        bound = int(np.minimum(vectors[0], vectors[1]).sum(dtype=np.int64))
         return [(int(node[0]), int(node[1]))] if label[0] != label[1] and (100 + percent) * bound >= percent * (size[0] + size[1]) else []
     if (label == label[0]).all():
         return []
     hoped = label.copy()
     tree, edges = CountTree(vectors, size), []
     for i in range(n):
-        found = tree.reachable(vectors[i].astype(np.int32), int(size[i]), percent)
+        found = tree.reachable(vectors[i], int(size[i]), percent)
         found = found[label[found] != label[i]]
         if extra is None:
             edges += [(int(min(node[i], node[j])), int(max(node[i], node[j]))) for j in found[found > i].tolist()]
             continue
-        more = 0
-        for j in found[np.argsort(hoped[found] == hoped[i], kind="stable")].tolist():
-            if hoped[i] != hoped[j]:
-                hoped[hoped == hoped[j]] = hoped[i]
-            elif more < extra and j > i:
-                more += 1
-            elif more >= extra:
-                break
-            else:
-                continue
-            edges.append((int(min(node[i], node[j])), int(max(node[i], node[j]))))
+        found = found[np.argsort(hoped[found] == hoped[i], kind="stable")]
+        parts, lead = np.unique(hoped[found], return_index=True)
+        other = parts != hoped[i]
+        lead = lead[other]  # one partner in each other component, however many there are
+        hoped[np.isin(hoped, parts[other])] = hoped[i]
+        rest = np.delete(found, lead)
+        rest = rest[rest > i][:extra]
+        edges += [(int(min(node[i], node[j])), int(max(node[i], node[j]))) for j in [*found[lead].tolist(), *rest.tolist()]]
     return edges
 
 

@@ -82,6 +82,50 @@ def test_large_group_of_near_copies_needs_no_pairs_of_all(spark):
     check(jaccard_join.join(spark.createDataFrame(df)), jaccard_join.brute_force(df))
 
 
+def test_candidate_edges_span_what_the_bound_admits():
+    def parts(n, edges):
+        root = list(range(n))
+        for a, b in edges:
+            a, b = root[a], root[b]
+            root = [min(a, b) if r in (a, b) else r for r in root]
+        return root
+
+    def vector(*steps):
+        v = np.zeros(64, np.int64)
+        for at, k in steps:
+            v[at] += k
+        return v
+
+    # a0 and u admit a1 to a10 but not each other; so do b0 and v; and u admits v.
+    a0, a, b0, b = vector((0, 100)), vector((0, 34), (1, 66)), vector((4, 100)), vector((4, 34), (5, 66))
+    u, v = vector((1, 50), (2, 51)), vector((5, 50), (2, 51))
+    cases = [(np.array([a0, b0, u, v, *[a] * 10, *[b] * 10]).astype("<u2"), 20)]
+    for _ in range(40):  # chains: each node admits its neighbours, which do not admit each other
+        x = np.cumsum(rng.integers(0, 2, (60, 64)), axis=0) if rng.random() < 0.5 else rng.integers(0, 12, (8, 64))[rng.integers(0, 8, 60)] + rng.integers(0, 5, (60, 64))
+        cases.append((x[rng.permutation(60)].astype("<u2"), int(rng.integers(70, 96))))
+    for vectors, percent in cases:
+        n = len(vectors)
+        args = (np.arange(n), np.arange(n), vectors.astype(np.int64).sum(axis=1), vectors, percent)
+        every = jaccard_join.candidate_edges(*args, None)
+        some = jaccard_join.candidate_edges(*args, 8)
+        assert set(some) <= set(every) and len(set(some)) == len(some)
+        assert parts(n, some) == parts(n, every)
+
+
+def test_full_counts_bound_from_above():
+    full = np.full((3, 64), 65535, "<u2")
+    for n in (2, 3):
+        edges = jaccard_join.candidate_edges(np.arange(n), np.arange(n), np.full(n, 5_000_000), full[:n], 85, 8)
+        assert len(edges) == n * (n - 1) // 2
+
+
+def test_chains_of_near_copies_equal_brute_force(spark):
+    long = list(dict.fromkeys(f"{rng.choice(WORDS)}{i}" for i in range(700)))
+    starts = rng.permutation(300)
+    df = pd.DataFrame([(i, " ".join(long[s : s + 200])) for i, s in enumerate(starts.tolist())], columns=["doc_id", "text"])
+    check(jaccard_join.join(spark.createDataFrame(df)), jaccard_join.brute_force(df))
+
+
 def test_two_stage_suffixes_are_sorted():
     for alphabet in (2, 5, 200):
         data = rng.integers(1, alphabet + 1, 3000).astype(np.uint8)

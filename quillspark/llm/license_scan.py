@@ -10,9 +10,11 @@ the rarest such words, by their use in the templates, make a test that only pass
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from pathlib import Path
 
 import pandas as pd
 import pyarrow as pa
@@ -35,6 +37,75 @@ TEMPLATES = {
     "BSD grant": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
 }
 
+#: Notices of further licenses. The license of a notice is its name without the last word.
+NOTICES = {
+    "GPL-2.0 notice": "This work is licensed under the GNU General Public License, version 2.",
+    "GPL-3.0 header": "it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "GPL-2.0 header": "it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "LGPL-3.0 notice": "This work is licensed under the GNU Lesser General Public License, version 3.",
+    "LGPL-2.1 notice": "This work is licensed under the GNU Lesser General Public License, version 2.1.",
+    "LGPL-3.0 header": "it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "LGPL-2.1 header": "it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "AGPL-3.0 notice": "This work is licensed under the GNU Affero General Public License, version 3.",
+    "AGPL-3.0 header": "it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "MPL-2.0 notice": "Licensed under the Mozilla Public License, Version 2.0.",
+    "MPL-2.0 header": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    **{f"{k} license": f"Licensed under the GNU {v}." for k, v in (("GPL-2.0", "General Public License, version 2"), ("GPL-3.0", "General Public License, version 3"), ("LGPL-2.1", "Lesser General Public License, version 2.1"), ("LGPL-3.0", "Lesser General Public License, version 3"), ("AGPL-3.0", "Affero General Public License, version 3"))},
+    "MIT license": "Licensed under the MIT License.",
+    "BSD-2-Clause notice": "Licensed under the BSD 2-Clause License.",
+    "BSD-3-Clause notice": "Licensed under the BSD 3-Clause License.",
+    "ISC notice": "Licensed under the ISC License.",
+    "Unlicense notice": "Released under the Unlicense.",
+    "CC0-1.0 notice": "Licensed under CC0 1.0.",
+    **{f"CC-{v}-{n} notice": f"Licensed under CC {v} {n}." for n in ("4.0", "3.0") for v in ("BY", "BY-SA", "BY-ND", "BY-NC", "BY-NC-SA", "BY-NC-ND") if (v, n) != ("BY-NC", "4.0")},
+    **{
+        f"CC-{v}-{n} name": f"Creative Commons {long} {n}"
+        for n in ("4.0", "3.0")
+        for v, long in (("BY", "Attribution"), ("BY-SA", "Attribution-ShareAlike"), ("BY-ND", "Attribution-NoDerivatives"), ("BY-NC", "Attribution-NonCommercial"), ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"), ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives"))
+    },
+    **{
+        f"{x.removesuffix('-only').removesuffix('-or-later')} {'or-later' if x.endswith('later') else 'identifier'}": f"SPDX-License-Identifier: {x}"
+        for x in ("Apache-2.0", "MIT", "GPL-2.0-only", "GPL-3.0-only", "LGPL-2.1-only", "LGPL-3.0-only", "AGPL-3.0-only", "GPL-2.0-or-later", "GPL-3.0-or-later", "LGPL-2.1-or-later", "LGPL-3.0-or-later", "AGPL-3.0-or-later", "MPL-2.0", "BSD-2-Clause", "BSD-3-Clause", "ISC", "Unlicense", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0")
+    },
+}
+#: Words that tell a license, its version or its variant: a template that holds one must have it aligned, and none that
+#: it does not hold may stand within its place. The words of full texts do not tell.
+TELLING = re.compile(
+    r"apache|mit|gnu|lesser|affero|library|mozilla|isc|unlicense|bsd|[234]-clause|cc0?|by(-(nc|nd|sa))+|nc|nd|sa|v?[0-9](\.[0-9]+)?"
+    r"|(attribution|non-?commercial|share-?alike|no-?derivatives|noderivs)(-(non-?commercial|share-?alike|no-?derivatives|noderivs))*"
+    r"|(apache|mit|l?gpl|agpl|mpl|bsd|cc|cc0)-[a-z0-9.-]+"
+)
+#: Templates of more words are texts, not notices.
+LONG = 60
+FULL_TEXTS = Path(__file__).parent / "licenses"
+
+
+def catalogue() -> dict[str, str]:
+    """All templates: short notices, and the full texts in the folder of licenses."""
+    return {**TEMPLATES, **NOTICES, **{f"{p.stem} text": p.read_text() for p in sorted(FULL_TEXTS.glob("*.txt"))}}
+
+
+def tells(template: list[str]) -> set[str]:
+    """Words that a place must have: of a long text the name of its author, if any, else all words that tell; `by` tells
+    only behind `cc`."""
+    if len(template) > LONG:
+        return set(template) & {"apache", "gnu", "mozilla", "cc0"}
+    return {w for w in template if TELLING.fullmatch(w)} | ({"by"} if {"cc", "by"} <= set(template) else set())
+
+
+def license_of(name: str) -> str:
+    return name.rsplit(" ", 1)[0]
+
+
+def best_of_place(found: list[tuple[str, float, int, int, int]]) -> list[tuple[str, float, int, int, int]]:
+    """Without the notices whose place overlaps one that more words, or the same number at a larger coverage, agree with.
+    The first list of notices stays next to other notices of its license."""
+    out: list[tuple[str, float, int, int, int]] = []
+    for x in sorted(found, key=lambda x: (-x[2], -x[1])):
+        if all((x[0] in TEMPLATES and license_of(x[0]) == license_of(y[0])) or x[4] < y[3] or y[4] < x[3] for y in out):
+            out.append(x)
+    return [x for x in found if x in out]
+
 
 def tokens(text: str) -> list[str]:
     """Words in lower case without punctuation at their ends."""
@@ -108,9 +179,13 @@ def telling(templates: dict[str, list[str]], coverage: float) -> dict[str, set[s
     out = {}
     for name, t in templates.items():
         spare, chosen = int((1 - coverage) * len(t) + 1e-9), set()
+        must = tells(t)
+        if rare := [w for w in must if len(w) > 2 and w != "mit"]:  # all are aligned, so one that is no common word makes the test
+            out[name] = {min(rare, key=lambda w: (use[w], -len(w), w))}
+            continue
         count = Counter(t)
         left = spare + 1
-        for w in sorted(count, key=lambda w: (use[w], len(w) < 4, -len(w), w)):
+        for w in sorted(count, key=lambda w: (0 if must or len(t) > LONG else use[w], len(w) < 4, -len(w), w)):
             if left <= 0:
                 break
             chosen.add(w)
@@ -122,20 +197,32 @@ def telling(templates: dict[str, list[str]], coverage: float) -> dict[str, set[s
 def find(text: str, templates: dict[str, list[str]], rare: dict[str, set[str]], coverage: float) -> list[tuple[str, float, int, int, int]]:
     """Name, coverage, matched words and first and last word of every notice of a text, in order of the templates."""
     words, out = tokens(text), []
-    have = set(words)
+    count = Counter(words)
+    have = count.keys()
     for name, t in templates.items():
         if have.isdisjoint(rare[name]):
             continue
+        must, own = tells(t), set(t)
+        if not must <= have or sum(min(k, count[w]) for w, k in Counter(t).items()) < coverage * len(t) - 1e-9:
+            continue
         best = None
         for a, b in regions(words, t, rare[name]):
             for c, d in tightened(words, a, b, t):
                 pairs = align(words[c:d], t)
                 found = (len(pairs) / len(t), len(pairs), c + pairs[0][0], c + pairs[-1][0]) if pairs else None
-                if found and found[0] >= coverage and (best is None or (found[0], best[3] - best[2]) > (best[0], found[3] - found[2])):
+                if not found or found[0] < coverage or not must <= {t[j] for _, j in pairs}:
+                    continue
+                if len(t) <= LONG and any(w not in own and TELLING.fullmatch(w) for w in words[found[2] : found[3] + 1]):
+                    continue
+                if best is None or (found[0], best[3] - best[2]) > (best[0], found[3] - found[2]):
                     best = found
+                    if found[0] == 1 and found[3] - found[2] + 1 == len(t):
+                        break
+            if best and best[0] == 1 and best[3] - best[2] + 1 == len(t):
+                break
         if best:
             out.append((name, *best))
-    return out
+    return best_of_place(out)
 
 
 def tightened(words: list[str], a: int, b: int, template: list[str]) -> list[tuple[int, int]]:
@@ -154,12 +241,16 @@ def licenses(docs: DataFrame, templates: dict[str, str] | None = None, coverage:
     docs: doc_id and text; other columns are ignored. A null or empty text holds none. Returns a row for each
     document row and template that it covers by `coverage` or more: doc_id, license, coverage, n_matched, and
     the first and last aligned word (counted without words of punctuation alone). Of several places the one of
-    largest coverage counts, then the shortest, then the first.
+    largest coverage counts, then the shortest, then the first. Words that tell a license have to agree, and where
+    places of several licenses overlap, the one that most words agree with counts.
     """
-    known = {k: tokens(v) for k, v in (templates or TEMPLATES).items()}
+    known = {k: tokens(v) for k, v in (templates or catalogue()).items()}
     known = {k: t for k, t in known.items() if t}
     rare = telling(known, coverage)
-    test = "|".join(sorted({r"\Q" + w + r"\E" for words in rare.values() for w in words}))
+    by_first: dict[str, list[str]] = {}
+    for w in sorted({w for words in rare.values() for w in words}):
+        by_first.setdefault(w[0], []).append(r"\Q" + w[1:] + r"\E")
+    test = "|".join(rf"\Q{c}\E(?:{'|'.join(rest)})" for c, rest in by_first.items())
     if not test:
         return docs.sparkSession.createDataFrame([], RESULT)
 
@@ -170,7 +261,7 @@ def licenses(docs: DataFrame, templates: dict[str, str] | None = None, coverage:
                 kinds = [pa.int64(), pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "license", "coverage", "n_matched", "first_word", "last_word"])
 
-    passed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("text").rlike(f"(?iu)(?:{test})"))
+    passed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("text").rlike(rf"(?iu)(?<![\p{{L}}\p{{N}}])(?:{test})"))
     return passed.mapInArrow(scan, RESULT)
 
 

@@ -193,6 +193,23 @@ def test_licenses(spark):
     assert sorted_rows(got, ["doc_id", "license"]) == sorted_rows(want, ["doc_id", "license"])
 
 
+def test_licenses_are_told_apart(spark):
+    notes = {
+        "CC-BY-4.0 notice": "Licensed under CC BY 4.0.", "CC-BY-SA-4.0 notice": "(Licensed under CC BY-SA 4.0)", "CC-BY-NC-4.0 notice": "licensed under cc by-nc 4.0", "CC-BY-SA-3.0 name": "Creative Commons Attribution-ShareAlike 3.0",
+        "LGPL-3.0 notice": "This work is licensed under the GNU Lesser General Public License, version 3.", "AGPL-3.0 notice": "This work is licensed under the GNU Affero General Public License, version 3.", "GPL-2.0 notice": "This work is licensed under the GNU General Public License, version 2.",
+        "LGPL-2.1 license": "licensed under the GNU Lesser General Public License, version 2.1", "MPL-2.0 notice": "Licensed under the Mozilla Public License, Version 2.0.", "ISC notice": "Licensed under the ISC License.", "CC0-1.0 notice": "Licensed under CC0 1.0.", "MIT identifier": "SPDX-License-Identifier: MIT", "GPL-3.0 or-later": "SPDX-License-Identifier: GPL-3.0-or-later",
+        **{f"{p.stem} text": p.read_text() for p in license_scan.FULL_TEXTS.glob("*.txt")},
+    }
+    others = ["Licensed under CC BY-XX 4.0.", "Licensed under CC BY-NC 5.0.", "Licensed under the Apache License, Version 1.1.", "Released under the Zlib License.", "This work is licensed under the GNU General Public License, version 4."]
+    rows = [(i, f"{prose(20)}\n{t}\n{prose(20)}") for i, t in enumerate([*notes.values(), *others])]
+    got = {}
+    for r in license_scan.licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got.setdefault(r.doc_id, set()).add(r.license)
+    assert len(notes) == 25 and set(got) == set(range(len(notes)))
+    for i, name in enumerate(notes):
+        assert name in got[i] and {license_scan.license_of(x) for x in got[i]} == {license_scan.license_of(name)}, (name, got[i])
+
+
 def test_patience_alignment_anchors_on_unique_words():
     assert license_scan.increasing([(0, 3), (1, 1), (2, 2), (3, 0), (4, 5)]) == [(1, 1), (2, 2), (4, 5)]
     a, b = "x the cat sat on the mat y".split(), "the cat lay on the mat".split()

@@ -210,6 +210,11 @@ def _(s, d):
     return dedupe.groups(records(s, d)).agg(F.count_distinct("id").alias("n_keyed"))
 
 
+@query("agg4_record_groups")
+def _(s, d):
+    return dedupe.groups(records(s, d))
+
+
 @query("agg5_fields_filled", "SELECT id, CAST((title <> '') AS INT) + CAST((n_authors > 0) AS INT) + CAST((year IS NOT NULL) AS INT) + CAST((container_title IS NOT NULL) AS INT) + CAST((DOI IS NOT NULL) AS INT) + CAST((URL IS NOT NULL) AS INT) AS filled FROM rec")
 def _(s, d):
     return records(s, d).select("id", dedupe.fields_filled().alias("filled"))

@@ -4,7 +4,9 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_point
+from quillspark.operators import dedupe
 from quillspark.plans import registry
+from quillspark.plans.library import RECORDS_SQL
 from quillspark.streaming import ingest
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -28,6 +30,42 @@ def test_same_as_sql(spark, sf, con, name):
     assert same(registry.QUERIES[name](spark, sf).toPandas(), con.sql(registry.ORACLE_SQL[name]).df())
 
 
+def union_find(rows):
+    """Smallest _seq of the records that share keys, directly or through others; rows of id, _seq and keys."""
+    parent, holder = {r[1]: r[1] for r in rows}, {}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for r in rows:
+        for k in enumerate(r[2:]):
+            if k[1] is not None and k[1] == k[1]:
+                a, b = find(r[1]), find(holder.setdefault(k, r[1]))
+                parent[max(a, b)] = min(a, b)
+    return {r[0]: find(r[1]) for r in rows}
+
+
+def test_groups_equal_union_find(spark, sf, con):
+    rows = con.sql(f"WITH {RECORDS_SQL}, {registry._K.format(m=15)} SELECT id, _seq, k1, k2, k3 FROM rk").fetchall()
+    got = {r.id: r.group for r in registry.QUERIES["agg4_record_groups"](spark, sf).collect()}
+    assert got == union_find(rows) and len(set(got.values())) < len(got)
+
+
+def test_groups_spread_along_chains(spark):
+    order = [7, 3, 9, 1, 12, 5, 10, 2, 8, 4, 11, 6]
+    rows = []
+    for at, seq in enumerate(order):  # each shares one key with the next, by DOI, ISBN and title in turn
+        keys = [None, None, None]
+        for link in (at - 1, at):
+            keys[link % 3] = (f"10.1000/x{link}", f"97800000{10000 + link}", f"a title of its own number {link}")[link % 3]
+        rows.append((f"r{seq}", seq, *keys))
+    rows += [(f"r{n}", n, "10.1000/copied", None, None) for n in range(100, 400)] + [("alone", 500, None, None, None)]
+    got = {r.id: r.group for r in dedupe.groups(spark.createDataFrame(rows, "id string, _seq long, DOI string, ISBN string, title string")).collect()}
+    assert got == union_find(rows) and {got[f"r{n}"] for n in order} == {1} and got["r399"] == 100 and got["alone"] == 500
+
+
 def test_entry(spark):
     rows = entry_point.entry(spark).collect()
     assert rows and all(r.entry for r in rows)

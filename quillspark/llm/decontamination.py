@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm import common
-from quillspark.llm.kernels import U64, lower_ascii, mix, range_hash, slices, spread, text_bytes, words
+from quillspark.llm.kernels import U64, lower_ascii, mix, slices, spread, text_bytes, window_hash, word_hash, words
 
 SHINGLE, SIMILARITY = 5, 0.8
 RADIUS, BLOCKS = 39, 8
@@ -42,14 +42,17 @@ def shingles_of(word: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndar
     n = np.diff(first)
     count = np.where(n == 0, 0, np.maximum(n - size + 1, 1))
     at = spread(first[:-1], count)
-    until = np.minimum(at + size, np.repeat(first[1:], count))
-    return (range_hash(word, at, until, 1) if len(at) else np.zeros(0, np.uint64)), np.concatenate([[0], np.cumsum(count)])
+    h = np.zeros(len(at), np.uint64)
+    width = np.repeat(np.minimum(n, size), count)
+    for k in np.unique(width).tolist():
+        h[width == k] = window_hash(word, at[width == k], k, 1)
+    return h, np.concatenate([[0], np.cumsum(count)])
 
 
 def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     low = lower_ascii(raw)
     starts, ends, first = words(low, offsets)
-    return (range_hash(low, starts, ends) if len(starts) else np.zeros(0, np.uint64)), first
+    return (word_hash(low, starts, ends) if len(starts) else np.zeros(0, np.uint64)), first
 
 
 class Benchmark:

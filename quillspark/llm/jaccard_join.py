@@ -5,17 +5,18 @@
 2. Equal sets become one node. A node meets others at its prefix: the rarest shingles, one more than it can do
    without. Two linked nodes share one of their prefixes.
 3. Where nodes meet, a shingle's nodes are points of an R-tree: tokens hashed into groups, the counts per group
-   the coordinates. The sum of coordinate minima bounds the overlap of two nodes, and of a node and a box.
-4. Of the pairs whose bound suffices a spanning forest is verified exactly, and a few more for each node. Where all
-   edges hold, the nodes are linked whatever the other pairs say; where some fail, all pairs of that shingle's nodes
-   which the bound admits and no link joins yet are verified.
+   the coordinates. The sum of coordinate minima bounds the overlap of two nodes, and of a node and a box. A spanning
+   forest of the pairs that the bound admits leaves the shingle, fewer rows than nodes; its components over all
+   shingles are families. Linked nodes are always of one family.
+4. Each set goes to its family once. There an R-tree over the family finds the pairs that the bound admits, those of
+   nodes that are not joined yet are verified exactly, and a spanning forest of the links leaves the family. A large
+   family is dealt over pairs of blocks.
    So a group of copies never becomes all its pairs, and no link is lost.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -25,47 +26,48 @@ from pyspark.sql import functions as F
 
 from quillspark.llm import common
 from quillspark.llm.components import components
-from quillspark.llm.kernels import U64, lower_ascii, mix, range_hash, slices, text_bytes, windows, words
+from quillspark.llm.kernels import U64, lower_ascii, mix, slices, spread, text_bytes, window_hash, windows, word_hash, words
 from quillspark.llm.substring_dedup import MAX_COUNTERS, Estimate, sketch
 
 GROUPS = 64
 #: The largest count of a vector: this many or more.
 FULL = 65535
 CLASS_BITS = 18
-#: Nodes of one shingle that meet in one task; more are dealt over pairs of blocks.
-BLOCK = 8192
+#: Nodes of one shingle, and nodes and shingles of one family, that meet in one task; more are dealt over pairs of blocks.
+BLOCK, FAMILY, FAMILY_SHINGLES = 8192, 4096, 1 << 21
 LEAF, FAN = 32, 16
-#: Pairs of a node, besides those of the forest, that the first turn verifies.
-EXTRA = 8
+#: Vector rows that a task holds before it works on the groups they make up.
+HOLD = 8192
 
 
 def shingle_sets(raw: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes of every text end to end, and the number of them before each text."""
     low = lower_ascii(raw)
     starts, ends, first = words(low, offsets)
-    word = range_hash(low, starts, ends)
-    at = windows(first, size)
-    few = np.flatnonzero((np.diff(first) > 0) & (np.diff(first) < size))
-    at, until = np.concatenate([at, first[few]]), np.concatenate([at + size, first[few + 1]])
-    h = range_hash(word, at, until, 1) if len(at) else np.zeros(0, np.uint64)
-    order = np.argsort(at, kind="stable") if len(few) else slice(None)
+    word = word_hash(low, starts, ends)
+    at, n_words = windows(first, size), np.diff(first)
+    h = [window_hash(word, at, size, 1)]
+    few = [first[:-1][n_words == k] for k in range(1, size)]
+    h += [window_hash(word, x, k, 1) for k, x in enumerate(few, 1)]
+    at, h = np.concatenate([at, *few]), np.concatenate(h)
+    order = np.argsort(at, kind="stable")
     h, cuts = h[order], np.searchsorted(at[order], first)
     parts = [np.unique(h[a:b]) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
     return np.concatenate([np.zeros(0, np.uint64), *parts]), np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int64)
 
 
-def frequency_classes(docs: DataFrame, size: int) -> np.ndarray:
-    """Shingles per hash class over all documents: 2**18 counts, to tell frequent shingles from rare ones."""
+def frequency_classes(nodes: DataFrame) -> np.ndarray:
+    """Nodes per hash class of their shingles: 2**18 counts, to tell frequent shingles from rare ones."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << CLASS_BITS, np.int64)
-        for batch in (piece for whole in batches for piece in slices(whole, "text")):
-            total += np.bincount(class_of(shingle_sets(*text_bytes(batch.column("text")), size)[0]), minlength=len(total))
-        width = 1 << 12
-        for i in range(0, len(total), width):
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(i, i + width, dtype=np.int32)), pa.array(total[i : i + width])], names=["class", "n"])
+        for batch in batches:
+            for data in batch.column("shingles").to_pylist():
+                np.add.at(total, class_of(np.frombuffer(data, "<u8")), 1)
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], names=["class", "n"])
 
-    sums = docs.select("text").mapInArrow(count, "class int, n long").groupBy("class").agg(F.sum("n").alias("n"))
+    sums = nodes.select("shingles").mapInArrow(count, "class int, n long").groupBy("class").agg(F.sum("n").alias("n"))
     table = np.zeros(1 << CLASS_BITS, np.int64)
     got = sums.toPandas()  # 2**18 rows at most
     table[got["class"].to_numpy()] = got["n"].to_numpy()
@@ -116,91 +118,115 @@ class CountTree:
         return self.order[at]
 
 
-def candidate_edges(node: np.ndarray, label: np.ndarray, size: np.ndarray, vectors: np.ndarray, percent: int, extra: int | None) -> list[tuple[int, int]]:
-    """Pairs of nodes of different labels to verify: a spanning forest of those that the bound admits and up to `extra`
-    more for each node, or all of them (None)."""
-    n = len(node)
+def forest(size: np.ndarray, vectors: np.ndarray, percent: int, part: np.ndarray, link: Callable[[int, np.ndarray], np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the pairs of points that the bound admits and that `link` confirms: two arrays of places.
+
+    Where `part` has two values, only pairs of different parts count. link(i, found): which of the points found are
+    linked to i; it is asked only for points that are not joined to i yet.
+    """
+    n = len(size)
+    cross = bool((part != part[0]).any())
     vectors = upper_counts(vectors)
-    if n == 2:
-        bound = int(np.minimum(vectors[0], vectors[1]).sum(dtype=np.int64))
-        return [(int(node[0]), int(node[1]))] if label[0] != label[1] and (100 + percent) * bound >= percent * (size[0] + size[1]) else []
-    if (label == label[0]).all():
-        return []
-    hoped = label.copy()
-    tree, edges = CountTree(vectors, size), []
+    tree, label, ends = CountTree(vectors, size), np.arange(n), []
     for i in range(n):
         found = tree.reachable(vectors[i], int(size[i]), percent)
         found = found[label[found] != label[i]]
-        if extra is None:
-            edges += [(int(min(node[i], node[j])), int(max(node[i], node[j]))) for j in found[found > i].tolist()]
+        if cross:
+            found = found[part[found] != part[i]]
+        if link is not None:
+            found = found[found > i]
+            found = found[link(i, found)] if len(found) else found
+        if len(found) == 0:
             continue
-        found = found[np.argsort(hoped[found] == hoped[i], kind="stable")]
-        parts, lead = np.unique(hoped[found], return_index=True)
-        other = parts != hoped[i]
-        lead = lead[other]  # one partner in each other component, however many there are
-        hoped[np.isin(hoped, parts[other])] = hoped[i]
-        rest = np.delete(found, lead)
-        rest = rest[rest > i][:extra]
-        edges += [(int(min(node[i], node[j])), int(max(node[i], node[j]))) for j in [*found[lead].tolist(), *rest.tolist()]]
-    return edges
+        others, lead = np.unique(label[found], return_index=True)
+        ends += [(i, j) for j in found[lead].tolist()]
+        label[np.isin(label, others)] = label[i]
+        if (label == label[0]).all():
+            break
+    ends = np.array(ends, np.int64).reshape(-1, 2)
+    return ends[:, 0], ends[:, 1]
 
 
-def meetings(rows: DataFrame, percent: int, extra: int | None) -> DataFrame:
-    """Candidate pairs (token, i, j, a, b) of the nodes of each shingle: rows (token, i, j, node, label, n, vector)."""
+def linked_sets(sets: list[np.ndarray], part: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the pairs of sets with a Jaccard similarity of `percent` or more."""
+    n, size = len(sets), np.array([len(x) for x in sets], np.int64)
+    _, key, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(n), size)
+    shared = count[key] > 1
+    key, row = key[shared], row[shared]
+    own = np.searchsorted(row, np.arange(n + 1))
+    holders, first = row[np.argsort(key, kind="stable")], np.concatenate([[0], np.cumsum(np.where(count > 1, count, 0))])
 
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
+    def link(i: int, found: np.ndarray) -> np.ndarray:
+        mine = key[own[i] : own[i + 1]]
+        overlap = np.bincount(holders[spread(first[mine], count[mine])], minlength=n)[found]
+        return 100 * overlap >= percent * (size[i] + size[found] - overlap)
 
-        def groups(table: pa.Table, last: bool) -> Iterator[pa.RecordBatch]:
-            token, i, j, node, label, n = (table.column(c).to_numpy() for c in ("token", "i", "j", "node", "label", "n"))
-            vectors = np.frombuffer(b"".join(table.column("vector").to_pylist()), "<u2").reshape(-1, GROUPS)
-            edges = np.flatnonzero((np.diff(token) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)) + 1
-            edges = np.concatenate([[0], edges, [len(token)]])
-            out = []
-            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                if b - a < 2 or (b == len(token) and not last):
-                    continue
-                out += [(int(token[a]), int(i[a]), int(j[a]), *e) for e in candidate_edges(node[a:b], label[a:b], n[a:b], vectors[a:b], percent, extra)]
-            if out:
-                columns = list(zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["token", "i", "j", "a", "b"])
-            if not last:
-                held[:] = [table.slice(int(edges[-2])).combine_chunks()]
+    return forest(size, np.stack([count_vector(x) for x in sets]), percent, part, link)
+
+
+def by_group(rows: DataFrame, keys: list[str], work: Callable[[pa.Table], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """Pairs (a, b) of nodes that `work` finds among the rows of each group: rows with keys (longs) and node."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        n = 0
+
+        def groups(last: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal held, n
+            table = pa.Table.from_batches(held).combine_chunks()
+            new = np.zeros(table.num_rows, bool)
+            for key in keys:
+                new[1:] |= np.diff(table.column(key).to_numpy()) != 0
+            edges = [0, *np.flatnonzero(new).tolist(), table.num_rows]
+            done = len(edges) - 1 if last else len(edges) - 2
+            for a, b in zip(edges[:done], edges[1 : done + 1], strict=True):
+                if b - a > 1:
+                    group = table.slice(a, b - a)
+                    x, y = work(group)
+                    if len(x):
+                        node = group.column("node").to_numpy()
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[x], node[y])), pa.array(np.maximum(node[x], node[y]))], names=["a", "b"])
+            held = [] if last else table.slice(edges[done]).to_batches()
+            n = sum(x.num_rows for x in held)
 
         for batch in batches:
-            if batch.num_rows:
-                held.append(batch)
-                table = pa.concat_tables([x if isinstance(x, pa.Table) else pa.Table.from_batches([x]) for x in held])
-                ends = table.column("token")[-1].as_py()
-                if table.column("token")[0].as_py() != ends or table.num_rows < BLOCK:
-                    yield from groups(table, False)
-                else:
-                    held[:] = [table]
-        if held:
-            table = pa.concat_tables([x if isinstance(x, pa.Table) else pa.Table.from_batches([x]) for x in held])
-            if table.num_rows:
-                yield from groups(table, True)
-
-    dealt = rows.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "node")
-    return dealt.mapInArrow(pairs, "token long, i long, j long, a long, b long")
-
-
-def verified(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Whether the sets of each pair (a, b) are similar enough, exactly."""
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = []
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
-                both = np.sort(np.concatenate([x, y]))
-                common_ = int((both[1:] == both[:-1]).sum())
-                good.append(100 * common_ >= percent * (len(both) - common_))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(good, pa.bool_())], names=["a", "b", "good"])
+            held.append(batch)
+            n += batch.num_rows
+            if n >= HOLD:
+                yield from groups(False)
+        if n:
+            yield from groups(True)
+
+    dealt = rows.repartition(*keys).sortWithinPartitions(*keys, "node")
+    return dealt.mapInArrow(run, "a long, b long")
 
-    sets = nodes.select("node", "shingles")
-    met = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
-    return met.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long, good boolean")
+
+def over_blocks(rows: DataFrame) -> DataFrame:
+    """Deal the rows of a key with `blocks` blocks over pairs of blocks (i, j); part tells the block of a row."""
+    part = F.pmod(F.xxhash64("node"), F.col("blocks")).alias("part")
+    partner = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("partner")
+    return rows.select("*", part).select("*", partner).withColumns({"i": F.least("part", "partner"), "j": F.greatest("part", "partner")}).drop("partner", "blocks")
+
+
+def admitted(rows: DataFrame, percent: int) -> DataFrame:
+    """A spanning forest of the pairs that the bound admits among the nodes of each shingle."""
+
+    def work(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        vectors = np.frombuffer(b"".join(group.column("vector").to_pylist()), "<u2").reshape(-1, GROUPS)
+        return forest(group.column("n").to_numpy(), vectors, percent, group.column("part").to_numpy())
+
+    return by_group(over_blocks(rows), ["token", "i", "j"], work).distinct()
+
+
+def links(members: DataFrame, percent: int) -> DataFrame:
+    """A spanning forest of the linked pairs of each family: rows (family, blocks, node, shingles)."""
+
+    def work(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        sets = [np.frombuffer(x, "<u8") for x in group.column("shingles").to_pylist()]
+        return linked_sets(sets, group.column("part").to_numpy(), percent)
+
+    return by_group(over_blocks(members), ["family", "i", "j"], work)
 
 
 def join(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
@@ -215,7 +241,6 @@ def join(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
     _, n_bytes = common.text_volume(docs)
     bits = min(max(10, (n_bytes // 3).bit_length()), MAX_COUNTERS.bit_length() - 1)
     shared = spark.sparkContext.broadcast(Estimate(sketch(docs, lambda raw, offsets: shingle_sets(raw, offsets, size)[0], bits), bits))
-    classes = spark.sparkContext.broadcast(frequency_classes(docs, size))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (piece for whole in batches for piece in slices(whole, "text")):
@@ -230,14 +255,16 @@ def join(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
     all_sets = common.materialise(all_sets)
     collapsed = all_sets.where("set IS NOT NULL").groupBy("set").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("shingles").alias("shingles"))
     nodes = common.materialise(collapsed.withColumn("node", F.monotonically_increasing_id()))
+    classes = spark.sparkContext.broadcast(frequency_classes(nodes))
 
     def prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             tokens, row, vectors = [], [], []
             for i, data in enumerate(batch.column("shingles").to_pylist()):
                 h = np.frombuffer(data, "<u8")
-                alone = ~shared.value.repeated(h)
-                order = np.lexsort((h, classes.value[class_of(h)], ~alone))[: len(h) - -(-percent * len(h) // 100) + 1]
+                count = classes.value[class_of(h)]
+                alone = ~shared.value.repeated(h) | (count == 1)
+                order = np.lexsort((h, count, ~alone))[: len(h) - -(-percent * len(h) // 100) + 1]
                 order = order[~alone[order]]
                 tokens.append(h[order].view(np.int64))
                 row.append(np.full(len(order), i))
@@ -245,28 +272,21 @@ def join(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
             at = pa.array(np.concatenate([np.zeros(0, np.int64), *row]))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *tokens])), batch.column("node").take(at), batch.column("n").take(at), pa.array(vectors, pa.binary()).take(at)], names=["token", "node", "n", "vector"])
 
-    rows = nodes.select("node", "n", "shingles").mapInArrow(prefix, "token long, node long, n long, vector binary")
-    rows = common.materialise(rows)
+    rows = common.materialise(nodes.select("node", "n", "shingles").mapInArrow(prefix, "token long, node long, n long, vector binary"))
     # Shingles with the same nodes, of which a group of copies has many, are one: the smallest stands for all.
     marks = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"mark{k}") for k in range(2)]
     met = rows.groupBy("token").agg(F.count(F.lit(1)).alias("m"), *marks).where("m > 1").groupBy("m", "mark0", "mark1").agg(F.min("token").alias("token")).select("token", F.ceil(F.col("m") / BLOCK).alias("blocks"))
-    mine = F.pmod(F.xxhash64("node"), F.col("blocks"))
-    partner = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("partner")
-    rows = rows.join(met, "token").select("token", "node", "n", "vector", mine.alias("mine"), partner).select("token", F.least("mine", "partner").alias("i"), F.greatest("mine", "partner").alias("j"), "node", "n", "vector")
-    rows = common.materialise(rows)
-    pairs = common.materialise(meetings(rows.withColumn("label", F.col("node")), percent, EXTRA))
-    tested = common.materialise(verified(pairs.select("a", "b").distinct(), nodes, percent))
-    links = tested.where("good").select("a", "b")
-    again = common.materialise(pairs.join(tested.where("NOT good"), ["a", "b"]).select("token", "i", "j").distinct())
-    if not again.isEmpty():
-        labels = components(links)
-        turn = rows.join(again, ["token", "i", "j"], "left_semi").join(labels, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
-        rest = meetings(turn, percent, None).select("a", "b").distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        links = links.union(common.materialise(verified(rest, nodes, percent)).where("good").select("a", "b"))
-    roots = nodes.select("set", "least", "node").join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    families = components(admitted(rows.join(met, "token"), percent)).withColumnRenamed("root", "family")
+    common.drop_table(rows)
+    members = common.materialise(nodes.select("node", "n", "shingles").join(families, "node"))
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / FAMILY, F.sum("n") / FAMILY_SHINGLES)).alias("blocks")
+    together = components(links(members.join(members.groupBy("family").agg(blocks), "family"), percent))
+    roots = nodes.select("set", "least", "node").join(together, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = roots.groupBy("root").agg(F.min("least").alias("component"))
     found = roots.join(least, "root").select("set", "component")
-    return all_sets.select("doc_id", "n", "set").join(found, "set", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    columns = "doc_id", F.col("n").alias("n_shingles")
+    live = all_sets.where("set IS NOT NULL").join(found, "set").select(*columns, F.coalesce("component", "doc_id").alias("component_id"))
+    return live.union(all_sets.where("set IS NULL").select(*columns, F.col("doc_id").alias("component_id")))
 
 
 def brute_force(docs: pd.DataFrame, size: int = 4, percent: int = 85) -> pd.DataFrame:

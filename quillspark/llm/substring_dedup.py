@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm import common
-from quillspark.llm.kernels import U64, covered, mix, range_hash, slices, text_bytes, windows, words
+from quillspark.llm.kernels import U64, covered, mix, slices, text_bytes, window_hash, windows, word_hash, words
 
 #: Counters a row of the sketch has at most: 2**28 bits are 32 MB.
 MAX_COUNTERS = 1 << 28
@@ -39,7 +39,7 @@ def fingerprints(raw: np.ndarray, offsets: np.ndarray, size: int, both: bool) ->
     """Bounds of words, words before each text, first word of every window, and its hashes."""
     starts, ends, first = words(raw, offsets)
     at = windows(first, size)
-    hashes = [range_hash(range_hash(raw, starts, ends, k), at, at + size, k) if len(at) else np.zeros(0, np.uint64) for k in range(1 + both)]
+    hashes = [window_hash(word_hash(raw, starts, ends, k), at, size, k) if len(at) else np.zeros(0, np.uint64) for k in range(1 + both)]
     return starts, ends, first, at, *hashes
 
 

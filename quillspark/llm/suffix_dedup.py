@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm import common
-from quillspark.llm.kernels import U64, covered, mix, spread, text_bytes
+from quillspark.llm.kernels import U64, covered, load8, mix, spread, text_bytes
 from quillspark.llm.substring_dedup import in_order
 
 ANCHOR = 24
@@ -38,11 +38,6 @@ RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 s
 STRETCHES = "batch long, block long, keys binary, lengths binary, data binary, least binary, stretch binary, starts binary, counts binary, docs binary"
 
 
-def load8(raw: np.ndarray, n: int, at: int = 0, kind: str = "<u8") -> np.ndarray:
-    """The 8 bytes from each of n places on as an integer."""
-    return np.ndarray((n,), kind, raw.data, at, (1,))
-
-
 def anchors(raw: np.ndarray, offsets: np.ndarray, size: int, segment: int = SEGMENT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Runs of windows with one anchor: first window, number of windows, hash of the anchor.
 

@@ -3,7 +3,8 @@
 The tokenizer's rule cuts a text at white space and between runs of letters, digits and other signs; no id
 depends on what lies beyond such a cut. So a batch is cut at places where both neighbours are ASCII and of
 different kinds, each distinct piece is encoded once, and the ids of a text are those of its pieces in order.
-Pieces seen before are kept in a table of bounded size in the worker.
+Pieces seen before are kept in a table of bounded size in the worker. A hash finds a piece, and its bytes are
+compared; where two pieces have one hash, the tokenizer encodes the texts of the batch whole.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ import re
 
 import numpy as np
 
-from quillspark.llm.kernels import SPACE, lower_ascii, range_hash, spread
+from quillspark.llm.kernels import SPACE, lower_ascii, same_bytes, spread, word_hash
 
 #: Kinds of bytes: 0 white space, 1 letters, 2 digits, 3 other ASCII, 4 beyond ASCII.
 KIND = np.full(256, 3, np.uint8)
@@ -20,8 +21,8 @@ KIND[SPACE] = 0
 KIND[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = 1
 KIND[0x30:0x3A] = 2
 KIND[0x80:] = 4
-#: Distinct pieces that a worker keeps; beyond it the table starts again.
-MAX_PIECES = 1_500_000
+#: Distinct pieces that a worker keeps, and bytes of them; beyond these the table starts again.
+MAX_PIECES, MAX_BYTES = 1_500_000, 64 << 20
 _encoders: dict[str, PieceEncoder] = {}
 
 
@@ -51,11 +52,13 @@ class PieceEncoder:
         self.first = np.zeros(0, np.int64)  # of a piece's ids in self.ids
         self.count = np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.uint32)
+        self.at, self.end = np.zeros(0, np.int64), np.zeros(0, np.int64)  # of a piece's bytes in self.blob
+        self.blob = np.zeros(0, np.uint8)
 
     def learn(self, keys: np.ndarray, pieces: list[str]) -> None:
         if self.direct and all(x.isascii() and x.isalpha() for x in pieces):
             found = [[y.id for y in self.tokenizer.model.tokenize(x)] for x in pieces]
-            self.keep(keys, np.fromiter(map(len, found), np.int64, len(found)), None, np.fromiter((i for x in found for i in x), np.uint32))
+            self.keep(keys, pieces, np.fromiter(map(len, found), np.int64, len(found)), None, np.fromiter((i for x in found for i in x), np.uint32))
             return
         if self.direct and any(simple := [x.isascii() and x.isalpha() for x in pieces]):
             simple = np.array(simple)
@@ -73,18 +76,24 @@ class PieceEncoder:
             found = [x.ids for x in self.tokenizer.encode_batch_fast([pieces[i] for i in np.flatnonzero(~plain)], add_special_tokens=False)]
             count[~plain] = [len(x) for x in found]
             ids.append(np.fromiter((i for x in found for i in x), np.uint32))
-        self.keep(keys, count, order, np.concatenate(ids))
+        self.keep(keys, pieces, count, order, np.concatenate(ids))
 
-    def keep(self, keys: np.ndarray, count: np.ndarray, order: np.ndarray | None, ids: np.ndarray) -> None:
+    def keep(self, keys: np.ndarray, pieces: list[str], count: np.ndarray, order: np.ndarray | None, ids: np.ndarray) -> None:
         """Add pieces to the table; order: in which the ids of the pieces stand."""
         first = np.zeros(len(count), np.int64)
         order = np.arange(len(count)) if order is None else order
         first[order] = len(self.ids) + np.cumsum(count[order]) - count[order]
         self.ids = np.concatenate([self.ids, ids])
+        data = [x.encode() for x in pieces]
+        ends = len(self.blob) + np.cumsum([len(x) for x in data])
+        starts = ends - np.array([len(x) for x in data])
+        self.blob = np.concatenate([self.blob, np.frombuffer(b"".join(data), np.uint8)])
         at = np.searchsorted(self.keys, keys)
         self.keys = np.insert(self.keys, at, keys)
         self.first = np.insert(self.first, at, first)
         self.count = np.insert(self.count, at, count)
+        self.at = np.insert(self.at, at, starts)
+        self.end = np.insert(self.end, at, ends)
 
     def together(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of pieces that are one word each: encoded as lines of many words and cut where a word ends."""
@@ -113,24 +122,38 @@ class PieceEncoder:
         if len(starts) == 0:
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
         low = lower_ascii(raw)
-        keys = range_hash(low, starts, ends)
+        keys = word_hash(low, starts, ends)
         distinct, where, back = np.unique(keys, return_index=True, return_inverse=True)
-        at = np.searchsorted(self.keys, distinct)
-        known = at < len(self.keys)
-        known[known] = self.keys[at[known]] == distinct[known]
+        known = self.known(distinct)
         if len(distinct) > MAX_PIECES or not known.all():
-            if len(self.keys) + int((~known).sum()) > MAX_PIECES:
+            if len(self.keys) + int((~known).sum()) > MAX_PIECES or len(self.blob) > MAX_BYTES:
                 self.clear()
                 known[:] = False
             new = where[~known]
             data = low.tobytes()
             self.learn(distinct[~known], [data[s:e].decode("utf-8", "replace") for s, e in zip(starts[new].tolist(), ends[new].tolist(), strict=True)])
-            at = np.searchsorted(self.keys, distinct)
-        count = self.count[at][back]
-        ids = self.ids[spread(self.first[at][back], count)]
+        at = np.searchsorted(self.keys, distinct)[back]
+        n = ends - starts
+        if not ((self.end[at] - self.at[at] == n).all() and same_bytes(low, starts, self.blob, self.at[at], n).all()):
+            return self.encode_texts(raw, offsets)  # two pieces of one hash
+        count = self.count[at]
+        ids = self.ids[spread(self.first[at], count)]
         total = np.concatenate([[0], np.cumsum(count)])
         return ids, total[np.searchsorted(starts, offsets)]
 
+    def known(self, keys: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.keys, keys)
+        found = at < len(self.keys)
+        found[found] = self.keys[at[found]] == keys[found]
+        return found
+
+    def encode_texts(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same, each text by the tokenizer itself."""
+        data = raw.tobytes()
+        texts = [data[a:b].decode("utf-8", "replace") for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+        parts = [np.asarray(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.concatenate([np.zeros(0, np.uint32), *parts]), np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int64)
+
 
 def pieces_of(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Start and end of every piece; an apostrophe stays with what follows it."""

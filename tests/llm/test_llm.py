@@ -71,25 +71,60 @@ def test_repeated_and_null_ids(spark):
     assert len(jaccard_join.join(df).collect()) == 4 and len(secret_scan.scan(df).collect()) == 4
 
 
-def test_large_group_of_near_copies_needs_no_pairs_of_all(spark):
-    base = prose(100).split()
+def near_copies(n, words=100):
+    base = prose(words).split()
     rows = []
-    for i in range(300):
+    for i in range(n):
         w = list(base)
-        w[i % 100] = f"w{i}"
+        for at in rng.choice(words, rng.integers(1, 5), replace=False):
+            w[at] = f"w{rng.integers(0, 400)}"
         rows.append((i, " ".join(w)))
-    df = pd.DataFrame(rows, columns=["doc_id", "text"])
+    return pd.DataFrame(rows, columns=["doc_id", "text"])
+
+
+@pytest.mark.parametrize("n", [300, 900])
+def test_large_group_of_near_copies_needs_no_pairs_of_all(spark, monkeypatch, n):
+    counts = {}
+
+    def counted(name):
+        inner = getattr(jaccard_join, name)
+
+        def run(*args):
+            out = inner(*args)
+            counts[name] = out.count()
+            return out
+
+        return run
+
+    for name in ("admitted", "links"):
+        monkeypatch.setattr(jaccard_join, name, counted(name))
+    df = near_copies(n)
+    check(jaccard_join.join(spark.createDataFrame(df)), jaccard_join.brute_force(df))
+    assert counts["links"] < n and counts["admitted"] < 4 * n
+
+
+@pytest.mark.parametrize(("block", "family"), [(50, 8192), (8192, 40), (64, 64)])
+def test_pairs_of_blocks_lose_no_link(spark, monkeypatch, block, family):
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    monkeypatch.setattr(jaccard_join, "FAMILY", family)
+    df = near_copies(250)
     check(jaccard_join.join(spark.createDataFrame(df)), jaccard_join.brute_force(df))
 
 
-def test_candidate_edges_span_what_the_bound_admits():
-    def parts(n, edges):
-        root = list(range(n))
-        for a, b in edges:
-            a, b = root[a], root[b]
-            root = [min(a, b) if r in (a, b) else r for r in root]
-        return root
+def parts(n, a, b):
+    root = list(range(n))
+    for x, y in zip(a, b, strict=True):
+        x, y = root[x], root[y]
+        root = [min(x, y) if r in (x, y) else r for r in root]
+    return root
+
+
+def admitted_pairs(size, vectors, percent):
+    bound = np.minimum(vectors[:, None], vectors[None]).astype(np.int64).sum(axis=2)
+    return np.nonzero((100 + percent) * bound >= percent * (size[:, None] + size[None]))
 
+
+def test_forest_spans_what_the_bound_admits():
     def vector(*steps):
         v = np.zeros(64, np.int64)
         for at, k in steps:
@@ -104,19 +139,43 @@ def test_candidate_edges_span_what_the_bound_admits():
         x = np.cumsum(rng.integers(0, 2, (60, 64)), axis=0) if rng.random() < 0.5 else rng.integers(0, 12, (8, 64))[rng.integers(0, 8, 60)] + rng.integers(0, 5, (60, 64))
         cases.append((x[rng.permutation(60)].astype("<u2"), int(rng.integers(70, 96))))
     for vectors, percent in cases:
-        n = len(vectors)
-        args = (np.arange(n), np.arange(n), vectors.astype(np.int64).sum(axis=1), vectors, percent)
-        every = jaccard_join.candidate_edges(*args, None)
-        some = jaccard_join.candidate_edges(*args, 8)
-        assert set(some) <= set(every) and len(set(some)) == len(some)
-        assert parts(n, some) == parts(n, every)
+        n, size = len(vectors), vectors.astype(np.int64).sum(axis=1)
+        a, b = jaccard_join.forest(size, vectors, percent, np.zeros(n))
+        assert len(a) < n and parts(n, a, b) == parts(n, *admitted_pairs(size, vectors, percent))
+        part = np.arange(n) % 3 == 0
+        a, b = jaccard_join.forest(size, vectors, percent, part)
+        x, y = admitted_pairs(size, vectors, percent)
+        cross = part[x] != part[y]
+        assert len(a) < n and parts(n, a, b) == parts(n, x[cross], y[cross])
 
 
 def test_full_counts_bound_from_above():
     full = np.full((3, 64), 65535, "<u2")
     for n in (2, 3):
-        edges = jaccard_join.candidate_edges(np.arange(n), np.arange(n), np.full(n, 5_000_000), full[:n], 85, 8)
-        assert len(edges) == n * (n - 1) // 2
+        a, _ = jaccard_join.forest(np.full(n, 5_000_000), full[:n], 85, np.zeros(n))
+        assert len(a) == n - 1
+
+
+def thue_morse(steps, a, b):
+    """A sequence and its opposite, which sums over powers of an odd base do not tell apart."""
+    x, y = [a], [b]
+    for _ in range(steps):
+        x, y = x + y, y + x
+    return x, y
+
+
+@pytest.mark.parametrize("steps", [10, 11])
+def test_words_of_cancelling_patterns_are_told_apart(spark, steps):
+    x, y = ("".join(v) for v in thue_morse(steps, "a", "b"))
+    tail = prose(34)
+    rows = [(1, f"{x} {tail}"), (2, f"{y} {tail}"), (3, x), (4, y), (5, " ".join(thue_morse(steps, "no", "yes")[0])), (6, " ".join(thue_morse(steps, "no", "yes")[1]))]
+    df = pd.DataFrame(rows, columns=["doc_id", "text"])
+    docs = spark.createDataFrame(df)
+    check(substring_dedup.repeats(docs), substring_dedup.brute_force(df))
+    check(jaccard_join.join(docs), jaccard_join.brute_force(df))
+    pieces = packing.token_pieces(docs, vocabulary()).toPandas()
+    want = [(r.doc_id, p, zlib.crc32(np.array([*tokens_of(r.text), 0][p * 2048 : (p + 1) * 2048], "<u4").tobytes())) for r in df.itertuples() for p in range(-(-(len(tokens_of(r.text)) + 1) // 2048))]
+    assert sorted(zip(pieces.doc_id, pieces.piece, pieces.ids_crc32, strict=True)) == want
 
 
 def test_chains_of_near_copies_equal_brute_force(spark):

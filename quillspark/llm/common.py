@@ -14,12 +14,15 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a session on one machine
+    gets a temporary one; a cluster has no folder that would do."""
     set_to = spark.conf.get("spark.checkpoint.dir", None)
     if set_to:
         return set_to.rstrip("/")
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         import tempfile
 
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="quillspark-"))
@@ -49,9 +52,34 @@ def text_volume(df: DataFrame, column: str = "text") -> tuple[int, int]:
 
 
 def batch_key(n_batches: int, *columns: str) -> Column:
-    """Deals rows evenly into n_batches groups, whatever keys they hold."""
+    """Deals rows evenly into n_batches groups; rows that are equal in all columns share one."""
     return F.pmod(F.xxhash64(*columns), F.lit(n_batches)).cast("long")
 
 
 def batches_for(n_bytes: int, target: int = 1 << 21) -> int:
     return max(1, math.ceil(n_bytes / target))
+
+
+def batch_bytes(n_bytes: int) -> int:
+    """Text of a batch: 2 MB, and for large inputs up to 32 MB, so that a passage in many documents, which each batch
+    sends once, does not meet itself more often than need be."""
+    return min(max(1 << 21, n_bytes // 20_000), 1 << 25)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that the table does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def least_by_hash(df: DataFrame, limit: int, *keys: str) -> DataFrame:
+    """The `limit` rows of least hash of the keys. A bound on the hash, set by the number of rows, leaves little more
+    than `limit` rows before they are sorted, however many partitions there are."""
+    turn = F.xxhash64(*keys)
+    share = 1.2 * limit + 1000
+    n = df.count()
+    if n > share:
+        df = df.where(turn < int((share / n) * 2.0**64 - 2.0**63))
+    return df.orderBy(turn, *keys).limit(limit)

@@ -1,9 +1,10 @@
 """Operator 2: benchmark decontamination by SimHash over item-sized windows.
 
-Windows of the size of an item slide over a document word by word. Each window that holds at least one shingle of
-the benchmark has a 128-bit SimHash; its eight blocks of 16 bits look up the items whose block lies within
-RADIUS // 8 bits, which finds every item within RADIUS bits (pigeonhole). The weighted Jaccard similarity of
-shingle counts then decides. Windows without a shared shingle have similarity 0 and are not hashed.
+Windows of the size of an item slide over a document word by word. Each window that holds enough shingles of the
+benchmark has a 128-bit SimHash; its sixteen blocks of 8 bits look up the items of its size whose block lies within
+RADIUS // 16 bits, which finds every item within RADIUS bits (pigeonhole). The weighted Jaccard similarity of
+shingle counts then decides. Windows with too few shared shingles for the similarity are not hashed. An item of fewer
+words than a shingle is one shingle of its own size.
 
 The benchmark is read in blocks of at most ITEMS items; every block is broadcast and held against all documents.
 """
@@ -20,10 +21,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm import common
-from quillspark.llm.kernels import U64, lower_ascii, mix, slices, spread, text_bytes, window_hash, word_hash, words
+from quillspark.llm.kernels import U64, lower_ascii, mix, slices, spread, text_bytes, window_hash, windows, word_hash, words
 
 SHINGLE, SIMILARITY = 5, 0.8
-RADIUS, BLOCKS = 39, 8
+RADIUS, BLOCKS = 39, 16
 #: Items of the benchmark that one broadcast holds, and bytes of their text.
 ITEMS, ITEM_BYTES = 20_000, 16 << 20
 RESULT = "doc_id long, item_id long, similarity double, first_word long, n_words long"
@@ -56,7 +57,7 @@ def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 class Benchmark:
-    """Items by shingle and by blocks of their SimHash."""
+    """Items by shingle, and those of each size by blocks of their SimHash."""
 
     def __init__(self, ids: list, texts: list[str | None], size: int = SHINGLE) -> None:
         raw, offsets = text_bytes(pa.array(texts, pa.string()))
@@ -65,19 +66,23 @@ class Benchmark:
         self.ids, self.size = ids, size
         self.sets = [h[cut[i] : cut[i + 1]] for i in range(len(ids))]
         self.n_words = np.diff(first)
-        self.known = np.unique(h)
-        self.lengths = np.unique(np.array([len(s) for s in self.sets if len(s)], np.int64))
-        prints = np.stack([np.packbits(planes(s).sum(axis=0) > 0).view(">u2") for s in self.sets]) if len(ids) else np.zeros((0, BLOCKS), ">u2")
-        self.prints = prints.astype(np.uint16)
-        near = [sum(1 << b for b in c) for k in range(RADIUS // BLOCKS + 1) for c in combinations(range(16), k)]
-        self.near = np.array(near, np.uint16)
-
-    def lookup(self, block: int) -> tuple[np.ndarray, np.ndarray]:
+        #: Items of fewer words than a shingle, by their number of words: hash and item.
+        self.short = {k: (own := np.flatnonzero(self.n_words == k), h[cut[own]]) for k in range(1, size) if (self.n_words == k).any()}
+        long = np.flatnonzero(self.n_words >= size)
+        self.known = np.unique(np.concatenate([np.zeros(0, np.uint64), *(self.sets[i] for i in long)]))
+        self.prints = np.zeros((len(ids), BLOCKS), np.uint8)
+        for i in long:
+            self.prints[i] = np.packbits(planes(self.sets[i]).sum(axis=0) > 0)
+        near = np.array([sum(1 << b for b in c) for k in range(RADIUS // BLOCKS + 1) for c in combinations(range(8), k)], np.uint8)
+        sizes = self.n_words[long] - size + 1
+        self.tables = {k: [self.lookup(long[sizes == k], b, near) for b in range(BLOCKS)] for k in np.unique(sizes).tolist()}
+
+    def lookup(self, items: np.ndarray, block: int, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For each value of a block, where the items that lie near begin, and these items."""
-        value = (self.prints[:, block][:, None] ^ self.near[None]).ravel()
-        item = np.repeat(np.arange(len(self.prints)), len(self.near))
+        value = (self.prints[items, block][:, None] ^ near[None]).ravel()
+        item = np.repeat(items, len(near))
         order = np.argsort(value, kind="stable")
-        return np.searchsorted(value[order], np.arange((1 << 16) + 1)), item[order].astype(np.int32)
+        return np.searchsorted(value[order], np.arange(257)), item[order].astype(np.int32)
 
     def matches(self, h: np.ndarray, similarity: float) -> list[tuple[int, float, int]]:
         """Item, similarity and first shingle of the best window for each item that a text holds."""
@@ -88,44 +93,47 @@ class Benchmark:
             return []
         total = np.concatenate([[0], np.cumsum(hit)])
         out: dict[int, tuple[float, int]] = {}
-        for length in self.lengths.tolist():
+        for length in self.tables:
             size = min(length, len(h))
             least = max(1, int(np.ceil(similarity * (length + size) / (1 + similarity) - 1e-9)))  # shared shingles that a window needs
             start = np.arange(len(h) - size + 1)
             start = start[total[start + size] - total[start] >= least]
             if len(start) == 0:
                 continue
-            mine = np.flatnonzero([len(s) == length for s in self.sets])
             for part in np.split(start, np.flatnonzero(np.diff(start >> 12)) + 1):  # so that long texts take bounded memory
                 low = int(part[0])
                 sums = np.zeros((int(part[-1]) + size - low + 1, 128), np.int32)
                 np.cumsum(planes(h[low : low + len(sums) - 1]), axis=0, out=sums[1:])
-                prints = np.packbits(sums[part - low + size] - sums[part - low] > 0, axis=1).view(">u2").astype(np.uint16)
-                for w, item in self.within(prints, mine):
+                prints = np.packbits(sums[part - low + size] - sums[part - low] > 0, axis=1)
+                for w, item in self.within(prints, length):
                     own = weighted(h[part[w] : part[w] + size], self.sets[item])
                     if own >= similarity - 1e-12 and own > out.get(item, (0.0, 0))[0]:
                         out[item] = (own, int(part[w]))
         return [(i, s, p) for i, (s, p) in sorted(out.items())]
 
-    def within(self, prints: np.ndarray, items: np.ndarray) -> Iterator[tuple[int, int]]:
+    def within(self, prints: np.ndarray, length: int) -> Iterator[tuple[int, int]]:
         """Windows and items of one size whose fingerprints lie within RADIUS bits, by way of the blocks."""
-        if not hasattr(self, "tables"):
-            self.tables = [self.lookup(b) for b in range(BLOCKS)]
-            self.chosen = np.zeros(len(self.ids), bool)
-        self.chosen[:] = False
-        self.chosen[items] = True
         found = []
-        for b, (begin, near) in enumerate(self.tables):
-            a, n = begin[prints[:, b]], begin[prints[:, b].astype(np.int64) + 1] - begin[prints[:, b]]
-            item = near[spread(a, n)]
-            w = np.repeat(np.arange(len(prints)), n)
-            keep = self.chosen[item]
-            found.append(w[keep] * np.int64(len(self.ids)) + item[keep])
+        for b, (begin, near) in enumerate(self.tables[length]):
+            value = prints[:, b].astype(np.int64)
+            n = begin[value + 1] - begin[value]
+            found.append(np.repeat(np.arange(len(prints)), n) * np.int64(len(self.ids)) + near[spread(begin[value], n)])
         pairs = np.unique(np.concatenate(found))
         w, item = pairs // len(self.ids), pairs % len(self.ids)
         close = np.bitwise_count(prints[w] ^ self.prints[item]).sum(axis=1) <= RADIUS
         return zip(w[close].tolist(), item[close].tolist(), strict=True)
 
+    def short_matches(self, word: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """Text, item and first word of the first place of each short item in each text."""
+        for k, (items, own) in self.short.items():
+            at = windows(first, k)
+            h = window_hash(word, at, k, 1)
+            at, h = at[np.isin(h, own)], h[np.isin(h, own)]
+            text = np.searchsorted(first, at, side="right") - 1
+            for item, x in zip(items.tolist(), own, strict=True):
+                texts, lead = np.unique(text[h == x], return_index=True)
+                yield from ((t, item, int(at[h == x][i] - first[t])) for t, i in zip(texts.tolist(), lead.tolist(), strict=True))
+
 
 def weighted(a: np.ndarray, b: np.ndarray) -> float:
     """Weighted Jaccard similarity of two bags of shingles."""
@@ -151,8 +159,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     """Items of the benchmark that documents hold.
 
     docs: doc_id and text; benchmark: item_id and text; other columns are ignored. Words are white-space delimited,
-    A-Z in lower case. A text of fewer than `size` words is one shingle; null and empty texts hold nothing and
-    are held by nothing. Returns doc_id, item_id, the similarity of the best window (0.8 or more), its first word
+    A-Z in lower case. A text of fewer than `size` words is one shingle, and an item of so few words is held where
+    its words stand in a row; null and empty texts hold nothing and are held by nothing. Returns doc_id, item_id, the similarity of the best window (0.8 or more), its first word
     and its number of words, a row for each document row and item; equal windows: the first.
     """
     spark = docs.sparkSession
@@ -166,11 +174,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
             for batch in (piece for whole in batches for piece in slices(whole, "text")):
                 word, first = word_hashes(*text_bytes(batch.column("text")))
                 h, cut = shingles_of(word, first, bench.size)
-                if len(h) == 0 or len(bench.known) == 0:
-                    continue
-                hit = bench.known[np.minimum(np.searchsorted(bench.known, h), len(bench.known) - 1)] == h
-                live = np.flatnonzero(np.diff(np.concatenate([[0], np.cumsum(hit)])[cut]) > 0)
-                ids, rows = batch.column("doc_id").to_pylist(), []
+                ids = batch.column("doc_id").to_pylist()
+                rows = [(ids[i], bench.ids[item], 1.0, at, int(bench.n_words[item])) for i, item, at in bench.short_matches(word, first)]
+                live = np.zeros(0, np.int64)
+                if len(h) and len(bench.known):
+                    hit = bench.known[np.minimum(np.searchsorted(bench.known, h), len(bench.known) - 1)] == h
+                    live = np.flatnonzero(np.diff(np.concatenate([[0], np.cumsum(hit)])[cut]) > 0)
                 for i in live.tolist():
                     for item, score, at in bench.matches(h[cut[i] : cut[i + 1]], similarity):
                         rows.append((ids[i], bench.ids[item], score, at, int(min(bench.n_words[item], first[i + 1] - first[i] - at))))
@@ -187,8 +196,11 @@ def brute_force(docs: pd.DataFrame, benchmark: pd.DataFrame, similarity: float =
     """The same pairs from all windows of all documents, without fingerprints, for small tables."""
     from collections import Counter
 
+    def words_of(text: str | None) -> list[bytes]:
+        return "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").encode().split()
+
     def bag(text: str | None) -> list[tuple]:
-        w = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").encode().split()
+        w = words_of(text)
         return [tuple(w[i : i + size]) for i in range(max(len(w) - size + 1, 1))] if w else []
 
     rows = []
@@ -197,7 +209,11 @@ def brute_force(docs: pd.DataFrame, benchmark: pd.DataFrame, similarity: float =
         s = bag(t)
         have = set(s)
         for i, want in items:
-            if not want or have.isdisjoint(want):
+            if not want or len(want[0]) < size:
+                if want and want[0] in {tuple(words_of(t)[i : i + len(want[0])]) for i in range(len(words_of(t)))}:
+                    rows.append((d, i, 1.0))
+                continue
+            if have.isdisjoint(want):
                 continue
             n, need, best = min(len(want), len(s)), Counter(want), 0.0
             for p in range(len(s) - n + 1):

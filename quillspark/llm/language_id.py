@@ -102,8 +102,8 @@ def train(docs: DataFrame, limit: int = TRAIN_DOCS) -> Network | None:
     """Fit on documents with text and lang that are not held out. None: there are none."""
     labelled = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & (F.octet_length("text") > 0))
     at = lambda k: F.substring(F.encode("text", "UTF-8"), (F.pmod(F.xxhash64("doc_id", F.lit(k)), F.greatest(F.octet_length("text") - WINDOW, F.lit(1))) + 1).cast("int"), F.lit(WINDOW)).alias(f"w{k}")
-    cut = labelled.select("lang", "doc_id", F.xxhash64("doc_id", F.lit(99)).alias("turn"), at(0), at(1))  # windows, so that no text reaches the driver
-    rows = cut.orderBy("turn", "doc_id").limit(limit).toPandas()  # 2 * limit windows
+    chosen = common.least_by_hash(labelled, limit, "doc_id")
+    rows = chosen.select("lang", "doc_id", at(0), at(1)).toPandas()  # 2 * limit windows; no text reaches the driver
     if rows.empty:
         return None
     labels = sorted(rows["lang"].unique())
@@ -154,7 +154,8 @@ def identify(docs: DataFrame, net: Network | None) -> DataFrame:
     if net is None:
         return kept.withColumns({"lang_pred": F.lit("und"), "score": F.lit(0.0)})
     shared = docs.sparkSession.sparkContext.broadcast(net)
-    known = kept.withColumn("_letters", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+    letters = common.fresh(kept, "letters")
+    known = kept.withColumn(letters, F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = shared.value
@@ -162,10 +163,10 @@ def identify(docs: DataFrame, net: Network | None) -> DataFrame:
         for batch in (piece for whole in batches for piece in slices(whole, "text")):
             logs = window_scores(*text_bytes(batch.column("text")), net, tables)
             p = softmax(logs)
-            letters = batch.column("_letters").to_numpy(zero_copy_only=False)
-            best = np.where(letters, p.argmax(axis=1), len(net.labels))
-            columns = [batch.column(c) for c in batch.schema.names if c != "_letters"]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(names[best].tolist(), pa.string()), pa.array(np.where(letters, p.max(axis=1), 0.0))], names=[*(c for c in batch.schema.names if c != "_letters"), "lang_pred", "score"])
+            some = batch.column(letters).to_numpy(zero_copy_only=False)
+            best = np.where(some, p.argmax(axis=1), len(net.labels))
+            columns = [batch.column(c) for c in batch.schema.names if c != letters]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(names[best].tolist(), pa.string()), pa.array(np.where(some, p.max(axis=1), 0.0))], names=[*(c for c in batch.schema.names if c != letters), "lang_pred", "score"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema) + ", lang_pred string, score double"
     return known.mapInArrow(predict, schema)

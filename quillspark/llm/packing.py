@@ -109,40 +109,37 @@ def token_pieces(docs: DataFrame, vocab: str, capacity: int = 2048, end_id: int
 
 
 def ranks(pieces: DataFrame, salts: int) -> DataFrame:
-    """Number the pieces of each length from 0. Each length is dealt over `salts` groups, so that a length that
-    most pieces have is numbered in parallel."""
-    dealt = pieces.withColumn("salt", common.batch_key(salts, "doc_id", "piece"))
+    """Number the pieces of each length from 0: columns piece (a struct with doc_id and piece), length, rank. Each
+    length is dealt over `salts` groups, so that a length that most pieces have is numbered in parallel."""
+    dealt = pieces.withColumn("salt", common.batch_key(salts, "row.doc_id", "row.piece", "row.ids_crc32"))
     sizes = dealt.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))
     ahead = sizes.select("length", "salt", (F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")).alias("ahead"))
-    numbered = dealt.withColumn("own", F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece")) - 1)
-    return numbered.join(ahead, ["length", "salt"]).withColumn("rank", F.col("own") + F.col("ahead")).drop("salt", "own", "ahead")
+    numbered = dealt.withColumn("own", F.row_number().over(Window.partitionBy("length", "salt").orderBy("row.doc_id", "row.piece")) - 1)
+    return numbered.join(ahead, ["length", "salt"]).select("row", "length", (F.col("own") + F.col("ahead")).alias("rank"))
 
 
 def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
-    """Add sequence_id and offset to pieces with a length of 1 to `capacity`; other columns stay."""
+    """Add sequence_id and offset to pieces with a length of 1 to `capacity` (columns of `PIECES`); other columns stay."""
     pieces = common.materialise(pieces)
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per length
     plan, _ = best_fit_plan(histogram, capacity)
     salts = max(1, sum(histogram.values()) // 50_000)
-    lengths, start = np.unique(plan[:, 0], return_index=True) if len(plan) else (np.zeros(0, np.int64),) * 2
-    order = np.lexsort((plan[:, 1], plan[:, 0]))
-    plan, start = plan[order], np.searchsorted(plan[order][:, 0], lengths)
-    shared = pieces.sparkSession.sparkContext.broadcast((plan, {int(k): int(v) for k, v in zip(lengths, start, strict=True)}))
-    ranked = ranks(pieces, salts)
-    names = [c for c in ranked.columns if c != "rank"]
+    shared = pieces.sparkSession.sparkContext.broadcast(plan[np.lexsort((plan[:, 1], plan[:, 0]))])
+    names = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
+    ranked = ranks(pieces.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), "length"), salts)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        plan, _ = shared.value
+        plan = shared.value
         step = int(plan[:, 1].max(initial=0)) + 1
         keys = plan[:, 0] * step + plan[:, 1]
         for batch in batches:
             length, rank = (batch.column(c).to_numpy() for c in ("length", "rank"))
-            row = plan[np.searchsorted(keys, length * step + np.minimum(rank, step - 1), side="right") - 1]
-            j = rank - row[:, 1]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(row[:, 4] + j // row[:, 3]), pa.array(row[:, 5] + j % row[:, 3] * length)], names=[*names, "sequence_id", "offset"])
+            move = plan[np.searchsorted(keys, length * step + np.minimum(rank, step - 1), side="right") - 1]
+            j = rank - move[:, 1]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(move[:, 4] + j // move[:, 3]), pa.array(move[:, 5] + j % move[:, 3] * length)], names=["row", "sequence_id", "offset"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranked.schema if f.name != "rank") + ", sequence_id long, offset long"
-    return ranked.mapInArrow(place, schema)
+    placed = ranked.mapInArrow(place, f"row {ranked.schema['row'].dataType.simpleString()}, sequence_id long, offset long")
+    return placed.select("row.*", "sequence_id", "offset")
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

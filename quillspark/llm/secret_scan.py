@@ -1,14 +1,14 @@
 """Operator 6: secret scan with corpus-wide ownership frequency, in DataFrame functions only.
 
-Matches of a pattern and the text between them come from two built-in functions; their lengths add up to the
-places of the matches, in code points. Every candidate value is hashed and counted over the corpus by distinct
-repositories and owners: a value that many owners hold is a copied example, one that a single owner holds looks
+Matches of a pattern and the text between them come from two built-in functions; running sums of their lengths are
+the places of the matches, in code points. Every candidate value is hashed and counted over the corpus by distinct
+repositories and owners: a value that many owners or many repositories hold is a copied example, any other looks
 live. Generic tokens that no rule names are reported only if they look live.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspark.llm import common
@@ -21,33 +21,37 @@ HEX = r"[0-9a-f]{16,}"
 GENERIC = r"[A-Za-z0-9_+/-]{24,}"
 KINDS = ("assign", "access", "hex", "owned")
 LEAST_VALUE = 12
-SPAN = "struct<start:int,kind:int,end:int,value:string>"
+#: A value that so many owners, or so many repositories, hold is a copied example.
+COPIED_OWNERS, COPIED_REPOSITORIES = 3, 20
+MATCH = "struct<kind:int,nth:int,gap:int,n:int,value:string>"
+SPAN = "struct<start:int,kind:int,end:int,n_owners:bigint,n_repositories:bigint>"
 
 
 def matches(text: Column, pattern: str, group: int, kind: int) -> Column:
-    """Start, kind, end and value of every leftmost match that does not overlap one before it."""
+    """Every leftmost match that does not overlap one before it: its number, the code points between it and the one
+    before, its length and its value."""
     whole, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
-    steps = F.arrays_zip(F.transform(whole, F.length).alias("n"), F.transform(F.slice(gaps, F.lit(1), F.size(whole)), F.length).alias("gap"), values.alias("value"))
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("spans"))
-
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["gap"]
-        end = start + x["n"]
-        span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), x["value"].alias("value"))
-        return F.struct(end.alias("at"), F.concat(acc["spans"], F.array(span)).alias("spans"))
-
-    return F.when(text.rlike(pattern), F.aggregate(steps, empty, step, lambda acc: acc["spans"])).otherwise(F.array().cast(f"array<{SPAN}>"))
-
-
-def base_spans(text: Column) -> Column:
-    found = F.concat(F.filter(matches(text, ASSIGN, 2, 0), lambda x: F.length(x["value"]) >= LEAST_VALUE), matches(text, ACCESS, 0, 1), matches(text, HEX, 0, 2))
-    return F.array_sort(found)
-
-
-def generic_spans(text: Column) -> Column:
-    mixed = lambda x: x["value"].rlike("[0-9]") & x["value"].rlike("[a-z]") & x["value"].rlike("[A-Z]")
-    return F.filter(matches(text, GENERIC, 0, 3), mixed)
+    zipped = F.arrays_zip(whole.alias("whole"), F.slice(gaps, F.lit(1), F.size(whole)).alias("gap"), values.alias("value"))
+    found = F.transform(zipped, lambda x, i: F.struct(F.lit(kind).alias("kind"), i.alias("nth"), F.length(x["gap"]).alias("gap"), F.length(x["whole"]).alias("n"), x["value"].alias("value")))
+    return F.when(text.rlike(pattern), found).otherwise(F.array().cast(f"array<{MATCH}>"))
+
+
+def candidates(found: DataFrame) -> DataFrame:
+    """Spans (start, end, kind, value) of the matches of each row, places by running sums: base ones of sufficient
+    length, and mixed generic tokens that no base span overlaps."""
+    each = found.select("row", "repository", "owner", F.explode("matches").alias("m")).select("row", "repository", "owner", "m.*").repartition("row")
+    before = Window.partitionBy("row", "kind").orderBy("nth")
+    placed = each.withColumn("end", F.sum(F.col("gap") + F.col("n")).over(before).cast("int")).withColumn("start", F.col("end") - F.col("n"))
+    value = F.col("value")
+    mixed = value.rlike("[0-9]") & value.rlike("[a-z]") & value.rlike("[A-Z]")
+    kept = placed.where(F.when(F.col("kind") == 0, F.length("value") >= LEAST_VALUE).when(F.col("kind") == 3, mixed).otherwise(True))
+    base = F.col("kind") < 3  # both windows grow row by row: a frame that shrinks would cost the square of the spans
+    left = F.max(F.when(base, F.col("end"))).over(Window.partitionBy("row").orderBy("start"))
+    right = F.min(F.when(base, F.col("start"))).over(Window.partitionBy("row").orderBy(F.desc("start")))
+    ruled = kept.withColumns({"left": left, "right": right})
+    apart = ~(F.coalesce(F.col("left") > F.col("start"), F.lit(False)) | F.coalesce(F.col("right") < F.col("end"), F.lit(False)))
+    return ruled.where(base | apart).select("row", "repository", "owner", "start", "kind", "end", F.sha2("value", 256).alias("value_hash"))
 
 
 def joined(spans: Column) -> Column:
@@ -64,41 +68,44 @@ def ownership(candidates: DataFrame) -> DataFrame:
     return owners.groupBy("value_hash").agg(F.count(F.lit(1)).alias("n_owners"), F.sum("repositories").alias("n_repositories"))
 
 
-def scan(docs: DataFrame, repository: str = "doc_id", owner: str = "source", copied_from: int = 3) -> DataFrame:
+def scan(docs: DataFrame, repository: str = "doc_id", owner: str = "source") -> DataFrame:
     """Secrets of every document.
 
     docs: doc_id, text and the columns named; other columns are ignored. A null or empty text has no spans; rows
     that share a doc_id are texts of their own. Returns for each row doc_id, text_hash (xxhash64 of the text), the
-    base spans (array, sorted by start, then kind), all spans (base ones and generic tokens that a single owner
-    holds), and how many of all spans are live-looking (held by fewer than `copied_from` owners) or copied.
+    base spans, all spans (base ones and generic tokens that look live), each sorted by start, then kind, with the
+    numbers of owners and repositories that hold its value, and how many of all spans are live-looking or copied.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col(repository).cast("string").alias("repository"), F.col(owner).cast("string").alias("owner"), base_spans(text).alias("base"), generic_spans(text).alias("generic"))
-    apart = F.filter("generic", lambda g: ~F.exists("base", lambda b: (b["start"] < g["end"]) & (g["start"] < b["end"])))
-    found = common.materialise(found.withColumn("generic", apart).withColumn("row", F.monotonically_increasing_id()))
-    spans = found.select("row", "repository", "owner", F.explode(F.concat("base", "generic")).alias("span")).withColumn("value_hash", F.sha2("span.value", 256))
-    judged = spans.join(ownership(spans), "value_hash").where((F.col("span.kind") < 3) | (F.col("n_owners") == 1))
-    live = F.col("n_owners") < copied_from
-    extra = judged.groupBy("row").agg(F.count_if(live).alias("n_live"), F.count_if(~live).alias("n_copied"), F.collect_list(F.when(F.col("span.kind") == 3, F.col("span"))).alias("owned"))
-    every = F.array_sort(F.concat("base", F.coalesce("owned", F.array().cast(f"array<{SPAN}>"))))
+    found = F.concat(matches(text, ASSIGN, 2, 0), matches(text, ACCESS, 0, 1), matches(text, HEX, 0, 2), matches(text, GENERIC, 0, 3))
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col(repository).cast("string").alias("repository"), F.col(owner).cast("string").alias("owner"), found.alias("matches"))
+    found = common.materialise(found.withColumn("row", F.monotonically_increasing_id()))
+    spans = common.materialise(candidates(found))
+    live = (F.col("n_owners") < COPIED_OWNERS) & (F.col("n_repositories") < COPIED_REPOSITORIES)
+    judged = spans.join(ownership(spans), "value_hash").where((F.col("kind") < 3) | live)
+    span = F.struct("start", "kind", "end", "n_owners", "n_repositories")
+    gathered = judged.groupBy("row").agg(F.count_if(live).alias("n_live"), F.count_if(~live).alias("n_copied"), F.array_sort(F.collect_list(span)).alias("all"))
+    every = F.coalesce("all", F.array().cast(f"array<{SPAN}>"))
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
-    return found.join(extra, "row", "left").select("doc_id", "text_hash", "base", every.alias("all"), zero("n_live"), zero("n_copied"))
+    return found.select("row", "doc_id", "text_hash").join(gathered, "row", "left").select("doc_id", "text_hash", F.filter(every, lambda x: x["kind"] < 3).alias("base"), every.alias("all"), zero("n_live"), zero("n_copied"))
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """Put a mark in place of every span that the scan reports (overlapping spans: one mark); n_chars follows. The
     columns stay as they are; a text without spans, a null one too, is unchanged."""
-    spans = scan(docs).where(F.size("all") > 0).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("all").alias("_spans")).dropDuplicates(["_id", "_hash"])
-    met = docs.withColumn("_own", F.xxhash64("text")).join(spans, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_hash")), "left")
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        before = F.when(x["start"] >= acc["at"], F.concat(F.substring(F.col("text"), acc["at"] + 1, x["start"] - acc["at"]), F.lit(mark))).otherwise(F.lit(""))
-        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.concat(acc["out"], before).alias("out"))
-
-    cleaned = F.aggregate("_spans", start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
-    text = F.when(F.col("_spans").isNotNull(), cleaned).otherwise(F.col("text"))
-    size = F.when(F.col("_spans").isNotNull(), F.length(cleaned).cast("long")).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None
+    key, own, cuts = (common.fresh(docs, c) for c in ("span_id", "span_hash", "span_cuts"))
+    each = scan(docs).where(F.size("all") > 0).select("doc_id", "text_hash", "all").dropDuplicates(["doc_id", "text_hash"])
+    # Spans sorted by start: one that begins before an earlier one ends is covered by the mark of that one.
+    spans = each.select("doc_id", "text_hash", F.posexplode("all").alias("nth", "x")).select("doc_id", "text_hash", "nth", "x.start", "x.end")
+    ahead = Window.partitionBy("doc_id", "text_hash").orderBy("nth").rowsBetween(Window.unboundedPreceding, -1)
+    spans = spans.withColumn("until", F.coalesce(F.max("end").over(ahead), F.lit(0)))
+    lead = spans.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_list(F.when(F.col("start") >= F.col("until"), F.struct("start", "until")))).alias(cuts), F.max("end").alias("last"))
+    lead = lead.select(F.col("doc_id").alias(key), F.col("text_hash").alias(own), F.struct(F.col(cuts).alias("cuts"), "last").alias(cuts))
+    met = docs.join(lead, F.col("doc_id").cast("long").eqNullSafe(F.col(key)) & (F.xxhash64("text") == F.col(own)), "left")
+    kept = F.transform(F.col(cuts)["cuts"], lambda x: F.substring(F.col("text"), x["until"] + 1, x["start"] - x["until"]))
+    cleaned = F.array_join(F.concat(kept, F.array(F.substring(F.col("text"), F.col(cuts)["last"] + 1, F.length("text")))), mark)
+    text = F.when(F.col(cuts).isNotNull(), cleaned).otherwise(F.col("text"))
+    size = F.when(F.col(cuts).isNotNull(), F.length(cleaned).cast("long")).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None
     return met.select(*(text.alias(c) if c == "text" else size.alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns))
 
 
@@ -125,13 +132,13 @@ WITH found AS (
 ), apart AS (
   SELECT f.* FROM found f WHERE kind < 3 OR NOT EXISTS (SELECT 1 FROM found b WHERE b.doc_id = f.doc_id AND b.kind < 3 AND b.start < f.stop AND f.start < b.stop)
 ), owned AS (
-  SELECT value, COUNT(DISTINCT COALESCE(d.source, chr(1))) AS n_owners FROM apart a JOIN documents d USING (doc_id) GROUP BY value
+  SELECT value, COUNT(DISTINCT COALESCE(d.source, chr(1))) >= {COPIED_OWNERS} OR COUNT(DISTINCT doc_id) >= {COPIED_REPOSITORIES} AS copied FROM apart a JOIN documents d USING (doc_id) GROUP BY value
 ), spans AS (
-  SELECT a.*, n_owners, ['assign', 'access', 'hex', 'owned'][kind + 1] || ':' || start || ':' || stop AS span FROM apart a JOIN owned USING (value) WHERE kind < 3 OR n_owners = 1
+  SELECT a.*, copied, ['assign', 'access', 'hex', 'owned'][kind + 1] || ':' || start || ':' || stop AS span FROM apart a JOIN owned USING (value) WHERE kind < 3 OR NOT copied
 ), per AS (
   SELECT doc_id, COUNT(*) FILTER (kind = 0) AS n_assign, COUNT(*) FILTER (kind = 1) AS n_access, COUNT(*) FILTER (kind = 2) AS n_hex,
     string_agg(span, ',' ORDER BY start, kind) FILTER (kind < 3) AS base, string_agg(span, ',' ORDER BY start, kind) AS spans,
-    COUNT(*) FILTER (n_owners < 3) AS n_live, COUNT(*) FILTER (n_owners >= 3) AS n_copied
+    COUNT(*) FILTER (NOT copied) AS n_live, COUNT(*) FILTER (copied) AS n_copied
   FROM spans GROUP BY doc_id
 )
 SELECT d.doc_id, COALESCE(n_assign, 0) AS n_assign, COALESCE(n_access, 0) AS n_access, COALESCE(n_hex, 0) AS n_hex, sha256(COALESCE(base, '')) AS base_sha256,

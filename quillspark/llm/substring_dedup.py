@@ -171,7 +171,7 @@ def repeats(docs: DataFrame, size: int = 35) -> DataFrame:
     _, n_bytes = common.text_volume(docs)
     n_windows = max(1, n_bytes // 6)
     bits = min(max(10, (2 * n_windows - 1).bit_length()), MAX_COUNTERS.bit_length() - 1)
-    n_batches, n_blocks = common.batches_for(n_bytes), max(1, n_windows // 1_000_000)
+    n_batches, n_blocks = common.batches_for(n_bytes, common.batch_bytes(n_bytes)), max(1, n_windows // 1_000_000)
     shared = spark.sparkContext.broadcast(Estimate(sketch(docs, lambda raw, offsets: fingerprints(raw, offsets, size, False)[-1], bits), bits))
     batched = docs.withColumn("batch", common.batch_key(n_batches, "doc_id", "text"))
 

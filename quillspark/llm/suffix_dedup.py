@@ -206,7 +206,7 @@ def earlier_strings(docs: DataFrame, size: int = 50) -> DataFrame:
     lowest = -(1 << 63)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     _, n_bytes = common.text_volume(docs)
-    n_batches, n_blocks = common.batches_for(n_bytes), common.batches_for(n_bytes, 1 << 22)
+    n_batches, n_blocks = common.batches_for(n_bytes, common.batch_bytes(n_bytes)), common.batches_for(n_bytes, 1 << 22)
     batched = docs.withColumn("batch", common.batch_key(n_batches, "doc_id", "text"))
 
     def read(table: pa.Table) -> tuple:

@@ -16,6 +16,10 @@ from quillspark.llm import common
 from quillspark.llm.kernels import slices, text_bytes
 from quillspark.llm.tokens import encoder, vocabulary
 
+#: Text of a file: 16 MB, for large inputs up to 1 GB.
+FILE_BYTES, MAX_FILE_BYTES, FILES = 1 << 24, 1 << 30, 4096
+#: Files whose sizes are broadcast: a few bytes each.
+BROADCAST_FILES = 500_000
 FILE_SCHEMA = "doc_id long, part int, before long, n_tokens long, tokens array<int>"
 
 
@@ -27,7 +31,7 @@ def write_tokens(docs: DataFrame, path: str, vocab: str, end_id: int = 2, row_gr
     and pages are small enough for a reader to seek by the column indexes on doc_id.
     """
     _, n_bytes = common.text_volume(docs)
-    n_files = common.batches_for(n_bytes, 1 << 24)
+    n_files = common.batches_for(n_bytes, min(max(FILE_BYTES, n_bytes // FILES), MAX_FILE_BYTES))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, before, enc = TaskContext.get().partitionId(), 0, encoder(vocab)
@@ -55,12 +59,14 @@ def write_tokens(docs: DataFrame, path: str, vocab: str, end_id: int = 2, row_gr
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens and tokens of each document of the files.
 
-    The number of ids in each file is summed first; that table has a row per file.
+    The number of ids in each file is summed first, from the delta-encoded counts alone; that table has a row per file.
+    A filter on doc_id reaches the files' indexes, and without tokens only the small columns are read.
     """
     files = spark.read.schema(FILE_SCHEMA).parquet(path)
-    sizes = files.groupBy("part").agg(F.sum("n_tokens").alias("size"))
+    sizes = common.materialise(files.groupBy("part").agg(F.sum("n_tokens").alias("size")))
     ahead = sizes.select("part", (F.sum("size").over(Window.orderBy("part")) - F.col("size")).alias("ahead"))
-    return files.join(F.broadcast(ahead), "part").select("doc_id", (F.col("ahead") + F.col("before")).alias("start"), "n_tokens", "tokens")
+    small = sizes.count() <= BROADCAST_FILES
+    return files.join(F.broadcast(ahead) if small else ahead, "part").select("doc_id", (F.col("ahead") + F.col("before")).alias("start"), "n_tokens", "tokens")
 
 
 def token_digests(tokens: DataFrame) -> DataFrame:

@@ -283,10 +283,23 @@ def test_secrets_and_ownership(spark):
     assert spans(1) == [(0, 2, 26), (1, 28, 48)] and spans(2) == [(0, 0, 25), (2, 26, 43)] and spans(3) == [] and spans(4) == []
     assert spans(5) == [] and spans(5, "all") == [(3, 0, 25)]
     assert (got[1].n_live, got[10].n_copied) == (2, 1)
+    many = [(i, f"see Qw3rtyQw3rtyQw3rtyQw3rtyQ {'0123456789abcdef' * 2}", "one owner") for i in range(secret_scan.COPIED_REPOSITORIES)]
+    copied = secret_scan.scan(spark.createDataFrame(many, "doc_id long, text string, source string")).collect()
+    assert all(r.n_copied == 1 and r.n_live == 0 and [(s.kind, s.n_owners, s.n_repositories) for s in r["all"]] == [(2, 1, len(many))] for r in copied)
     red = {r.doc_id: r.text for r in secret_scan.redact(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
     assert red[2] == "[SECRET] [SECRET]" and red[3] == "token: short" and red[4] is None
 
 
+def test_secrets_of_texts_with_very_many_matches(spark):
+    hexes = " ".join(f"{i:016x}" for i in range(5_000))
+    df = spark.createDataFrame([(1, hexes, "s", 1, 2), (1, hexes, "s", 1, 2), (None, hexes, "t", 1, 2)], "doc_id long, text string, source string, span_id long, row long")
+    got = secret_scan.scan(df).collect()
+    assert [len(r.base) for r in got] == [5_000] * 3 and all((s.start, s.end) == (17 * i, 17 * i + 16) for i, s in enumerate(got[0].base))
+    red = secret_scan.redact(df).collect()
+    assert len(red) == 3 and red[0].asDict().keys() == {"doc_id", "text", "source", "span_id", "row"}
+    assert all(r.text == " ".join(["[SECRET]"] * 5_000) for r in red)
+
+
 def test_nearest_neighbours_recall(spark):
     x = rng.normal(size=(1200, 16)).astype(np.float32)
     x[100:140] = x[100]

@@ -1,10 +1,12 @@
 """Operator 5: approximate nearest neighbours by low-dimensional stable projections in a kd-tree.
 
-Vectors get one more coordinate that makes the largest inner product the smallest distance. A Gaussian matrix
-projects them to a few dimensions, in which the squared distance of two vectors is their true squared distance
-times a chi-square variable. A kd-tree over the projections deals the vectors into leaves. A query verifies the
-vectors of its own leaf, and then, leaf by leaf and bucket by bucket, nearest projections first, until the
-chi-square test says that the rest holds a closer vector only with small probability.
+A Gaussian matrix projects the directions of vectors to DIMENSIONS numbers, in which the squared distance of two
+directions is their true squared distance times a chi-square variable; with the norms, that bounds an inner product.
+Vectors fall into bands by norm. A kd-tree over the projections
+deals the vectors of each band into leaves. A query walks the vectors of its own leaf in order of their projected
+distance and verifies each exactly, until the chi-square test says that the next one is closer than the k-th best
+only with small probability. The distance reached bounds its walk through the other leaves, and leaves whose box
+lies beyond the test are not entered.
 
 Equal vectors are one point with the smallest ids among them, as many as an answer can hold, so that a vector that
 a third of all rows share is neither a hot leaf nor a hot query.
@@ -17,15 +19,23 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspark.llm import common
 
-#: Dimensions of the projections; confidence of the stopping test, as the normal quantile of 0.98.
-DIMENSIONS, QUANTILE = 8, 2.054
-#: The tree is fitted on at most SAMPLE vectors and has at most MAX_LEAVES leaves of about LEAF vectors.
-SAMPLE, LEAF, MAX_LEAVES, BUCKET = 20_000, 4096, 4096, 128
+#: Dimensions of the projections; confidence of the stopping test, as the normal quantile of 0.885. With them 0.9 or
+#: more of the true neighbours are found (README has the share that is verified).
+DIMENSIONS, QUANTILE = 24, 1.2
+#: The tree is fitted on at most SAMPLE vectors and has at most MAX_LEAVES leaves of about LEAF vectors; a leaf that
+#: holds more bytes of vectors than POINT_BYTES is dealt over several tasks, and so are more queries than QUERY_BYTES.
+SAMPLE, LEAF, MAX_LEAVES = 20_000, 8192, 2048
+POINT_BYTES, QUERY_BYTES = 1 << 24, 1 << 26
+#: Norms of a band lie within this factor; all smaller ones are in the last band.
+BAND, BANDS = 0.8, 16
+#: Nearest projections that are verified first; each further step takes twice as many.
+STEP = 64
 
 
 def chi_square(m: int, z: float) -> float:
@@ -79,65 +89,59 @@ def vectors(column: pa.Array) -> np.ndarray:
 
 
 class Space:
-    """Projection of vectors and queries, and the tree's leaves."""
+    """Projection of directions, bands of norms, and the tree's leaves."""
 
     def __init__(self, dim: int, norm2: float, seed: int = 11) -> None:
-        self.norm2 = norm2
-        self.matrix = np.random.default_rng(seed).normal(size=(dim + 1, DIMENSIONS))
+        self.tops = norm2**0.5 * BAND ** np.arange(BANDS)  # the largest norm of each band
+        self.matrix = np.random.default_rng(seed).normal(size=(dim, DIMENSIONS))
+        self.limit = chi_square(DIMENSIONS, QUANTILE)
         self.splits: Splits | None = None
 
+    def bands(self, x: np.ndarray) -> np.ndarray:
+        return np.minimum(np.searchsorted(-self.tops, -np.linalg.norm(x, axis=1), side="right") - 1, BANDS - 1).clip(0)
+
     def points(self, x: np.ndarray) -> np.ndarray:
-        lift = np.sqrt(np.maximum(self.norm2 - (x * x).sum(axis=1), 0))
-        return x @ self.matrix[:-1] + lift[:, None] * self.matrix[-1]
-
-    def queries(self, q: np.ndarray) -> np.ndarray:
-        return q @ self.matrix[:-1]
-
-    def distance2(self, q: np.ndarray, score: np.ndarray) -> np.ndarray:
-        return np.maximum((q * q).sum(axis=-1) + self.norm2 - 2 * score, 0)
-
-
-def search_leaf(space: Space, x: np.ndarray, least: np.ndarray, q: np.ndarray, bound: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
-    """The k best points of a leaf for each query: query, point and exact score. bound: squared distance beyond
-    which a point cannot be among the best."""
-    p, pq = space.points(x), space.queries(q)
-    depth = max(0, int(np.ceil(np.log2(max(1, len(x) / BUCKET)))))
-    inner = Splits(p, depth)
-    place = inner.leaf(p)
-    order = np.argsort(place, kind="stable")
-    edges = np.searchsorted(place[order], np.arange((1 << depth) + 1))
-    full = np.flatnonzero(np.diff(edges))
-    low, high = (np.stack([f(p[order[edges[b] : edges[b + 1]]], axis=0) for b in full]) for f in (np.min, np.max))
-    far = box_distance(pq, low, high)
-    turn = np.argsort(far, axis=1, kind="stable")
-    limit, best = chi_square(DIMENSIONS, QUANTILE), [(np.zeros(0, np.int64), np.zeros(0)) for _ in range(len(q))]
-    bound, active = bound.copy(), np.arange(len(q))
-    for step in range(len(full)):
-        nxt = turn[active, step]
-        go = far[active, nxt] <= limit * bound[active]
-        active, nxt = active[go], nxt[go]
-        if len(active) == 0:
-            break
-        for b in np.unique(nxt).tolist():
-            own, rows = active[nxt == b], order[edges[full[b]] : edges[full[b] + 1]]
-            rough = q[own] @ x[rows].T
-            for i, r in zip(own.tolist(), rough, strict=True):
-                at, score = best[i]
-                if len(at) >= k:
-                    keep = r >= score[-1] - 1e-9
-                    if not keep.any():
-                        continue
-                    new = rows[keep]
-                else:
-                    new = rows
+        return x @ self.matrix / np.linalg.norm(x, axis=1)[:, None]
+
+    def reach(self, kth: np.ndarray | float, norms: np.ndarray | float) -> np.ndarray:
+        """Squared projected distance beyond which vectors score better than kth with small probability only. norms:
+        norm of the query times that of the vectors. The squared distance of two directions is 2 - 2 * cosine."""
+        return self.limit * 2 * np.maximum(1 - kth / norms, 0)
+
+
+def search_leaf(space: Space, x: np.ndarray, least: np.ndarray, q: np.ndarray, kth: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """The k best points of a leaf for each query: query, point and exact score, and for the first of each query the
+    number of points verified for it, else 0.
+    kth: a score that k points elsewhere reach (-inf: none known)."""
+    p, pq = space.points(x), space.points(q)
+    near, norms, own = (p * p).sum(axis=1), np.linalg.norm(x, axis=1), np.linalg.norm(q, axis=1)
+    rows, points, scores, verified = [], [], [], []
+    for first in range(0, len(q), 256):
+        part = slice(first, first + 256)
+        far = (pq[part] ** 2).sum(axis=1)[:, None] + near - 2 * pq[part] @ p.T
+        for i, distance in enumerate(far, first):
+            size, least_score = own[i] * norms, kth[i]
+            turn = np.flatnonzero(distance <= space.reach(least_score, size))
+            turn = turn[np.argsort(distance[turn], kind="stable")]
+            at, score, done, step, seen = np.zeros(0, np.int64), np.zeros(0), 0, STEP, 0
+            while done < len(turn):
+                new = turn[done : done + step]
+                new = new[distance[new] <= space.reach(least_score, size[new])]
+                done, step, seen = done + step, 2 * step, seen + len(new)
                 at = np.concatenate([at, new])
                 score = np.concatenate([score, (q[i] * x[new]).sum(axis=1)])  # the same sum wherever a vector stands
-                top = np.lexsort((least[at], -score))[:k]
-                best[i] = at[top], score[top]
-                if len(top) == k:
-                    bound[i] = min(bound[i], float(space.distance2(q[i], score[top[-1]])))
-    n = [len(a) for a, _ in best]
-    return np.repeat(np.arange(len(q)), n), np.concatenate([np.zeros(0, np.int64), *(a for a, _ in best)]).astype(np.int64), np.concatenate([np.zeros(0), *(s for _, s in best)])
+                best = np.lexsort((least[at], -score))[:k]
+                at, score = at[best], score[best]
+                if len(at) == k and score[-1] > least_score:
+                    least_score = score[-1]
+                    rest = turn[done:]
+                    turn = np.concatenate([turn[:done], rest[distance[rest] <= space.reach(least_score, size[rest])]])
+            rows.append(np.full(len(at), i))
+            points.append(at)
+            scores.append(score)
+            verified.append(np.where(np.arange(len(at)) == 0, seen, 0))
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *rows]), np.concatenate([none, *points]), np.concatenate([np.zeros(0), *scores]), np.concatenate([none, *verified])
 
 
 def neighbours(table: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
@@ -145,77 +149,103 @@ def neighbours(table: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
 
     table: vec_id and embedding; other columns are ignored. Vectors that are null, zero, of another length than
     most, or hold null or non-finite components take no part, nor does a null vec_id. Ties go to the smaller
-    vec_id. Rows that repeat a vec_id are rows of their own, but none is a neighbour of its own vec_id. Returns
-    query_id, rank, vec_id, score.
+    vec_id. Rows that repeat a vec_id with another vector are queries and candidates of their own, each query with k
+    answers; equal rows are one. Returns query_id, rank, vec_id, score and n_verified, the number of vectors whose
+    score the query computed.
     """
     spark = table.sparkSession
-    empty = "query_id long, rank int, vec_id long, score double"
+    empty = "query_id long, rank int, vec_id long, score double, n_verified long"
     finite = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf")))) & F.exists("embedding", lambda v: v != 0)
     good = table.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").where(F.col("vec_id").isNotNull() & F.coalesce(finite, F.lit(False)))
     sizes = good.groupBy(F.size("embedding").alias("dim")).agg(F.count(F.lit(1)).alias("n"), F.max(F.aggregate("embedding", F.lit(0.0), lambda a, v: a + v.cast("double") * v)).alias("norm2")).orderBy(F.desc("n"), "dim").first()
     if sizes is None:
         return spark.createDataFrame([], empty)
-    good = good.where(F.size("embedding") == sizes["dim"]).withColumn("key", F.concat_ws(":", F.xxhash64("embedding"), F.xxhash64(F.lit(1), "embedding")))
-    by_id = F.row_number().over(Window.partitionBy("key").orderBy("vec_id"))
+    dim = sizes["dim"]
+    good = good.where(F.size("embedding") == dim).withColumn("key", F.concat_ws(":", F.xxhash64("embedding"), F.xxhash64(F.lit(1), "embedding")))
+    by_id = F.dense_rank().over(Window.partitionBy("key").orderBy("vec_id"))
     some = good.withColumn("nth", by_id).where(F.col("nth") <= k + 1)
-    points = some.groupBy("key").agg(F.first("embedding").alias("embedding"), F.min("vec_id").alias("least"), F.array_sort(F.collect_list("vec_id")).alias("ids"))
-    asked = good.where(F.col("vec_id") % every == 0).select("key", F.col("vec_id").alias("query_id"))
+    points = some.groupBy("key").agg(F.first("embedding").alias("embedding"), F.min("vec_id").alias("least"), F.array_sort(F.collect_set("vec_id")).alias("ids"))
+    asked = good.where(F.col("vec_id") % every == 0).select("key", F.col("vec_id").alias("query_id")).distinct()
     points = common.materialise(points.join(asked.select("key", F.lit(True).alias("asks")).distinct(), "key", "left"))
-    n_points = points.count()
-    space = Space(sizes["dim"], sizes["norm2"])
-    leaves = min(MAX_LEAVES, max(1, n_points // LEAF))
-    sample = points.orderBy(F.xxhash64("key")).limit(SAMPLE).select("embedding").toArrow()  # bounded
-    space.splits = Splits(space.points(vectors(sample.column(0).combine_chunks())), max(0, int(np.ceil(np.log2(leaves)))))
+    n_points, n_asked = points.agg(F.count(F.lit(1)), F.count("asks")).first()
+    space = Space(dim, sizes["norm2"])
+    depth = int(np.log2(min(MAX_LEAVES, max(1, n_points // LEAF))))
+    sample = common.least_by_hash(points, SAMPLE, "key").select("embedding").toArrow()  # bounded
+    space.splits = Splits(space.points(vectors(sample.column(0).combine_chunks())), depth)
     shared = spark.sparkContext.broadcast(space)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = vectors(b.column("embedding")) if b.num_rows else np.zeros((0, sizes["dim"]))
-            leaf, home = (shared.value.splits.leaf(p) for p in (shared.value.points(x), shared.value.queries(x)))
+            x = vectors(b.column("embedding")) if b.num_rows else np.zeros((0, dim))
+            space = shared.value
+            home = space.splits.leaf(space.points(x))
+            leaf = home + (space.bands(x) << depth)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(leaf), pa.array(home)], names=[*b.schema.names, "leaf", "home"])
 
+    placed = common.materialise(points.mapInArrow(assign, "key string, embedding array<float>, least long, ids array<long>, asks boolean, leaf long, home long"))
+    # A leaf has so many tasks as its vectors need: `share` numbers them. A row per leaf, BANDS * MAX_LEAVES at most.
+    sizes_of = dict(placed.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) * 8 * dim / POINT_BYTES)).collect())
+    tasks = spark.sparkContext.broadcast(sizes_of)
+    turns = -(-n_asked * 8 * dim // QUERY_BYTES)
+
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if left.num_rows == 0 or right.num_rows == 0:
-            return pa.table({"key": pa.array([], pa.string()), "score": pa.array([], pa.float64()), "ids": pa.array([], pa.list_(pa.int64()))})
+            return pa.table({"key": pa.array([], pa.string()), "own": pa.array([], pa.bool_()), "score": pa.array([], pa.float64()), "ids": pa.array([], pa.list_(pa.int64())), "verified": pa.array([], pa.int64())})
         get = lambda t, c: t.column(c).combine_chunks()
-        at, point, score = search_leaf(shared.value, vectors(get(left, "embedding")), get(left, "least").to_numpy(), vectors(get(right, "embedding")), get(right, "bound").to_numpy(), k + 1)
-        return pa.table({"key": get(right, "key").take(pa.array(at)), "score": pa.array(score), "ids": get(left, "ids").take(pa.array(point))})
+        at, point, score, verified = search_leaf(shared.value, vectors(get(left, "embedding")), get(left, "least").to_numpy(), vectors(get(right, "embedding")), get(right, "kth").to_numpy(), k + 1)
+        key, point_key = get(right, "key").take(pa.array(at)), get(left, "point").take(pa.array(point))
+        return pa.table({"key": key, "own": pc.equal(key, point_key), "score": pa.array(score), "ids": get(left, "ids").take(pa.array(point)), "verified": pa.array(verified)})
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        space, limit = shared.value, chi_square(DIMENSIONS, QUANTILE)
+        space = shared.value
+        leaves = np.array([(leaf, part) for leaf, n in sorted(tasks.value.items()) for part in range(n)], np.int64).reshape(-1, 2)
+        inner, tops = leaves[:, 0] & ((1 << depth) - 1), space.tops[leaves[:, 0] >> depth]
         for b in (whole.slice(i, 512) for whole in batches for i in range(0, whole.num_rows, 512)):
-            q, home, score = vectors(b.column("embedding")), b.column("home").to_numpy(), b.column("kth").to_numpy(zero_copy_only=False).astype(np.float64)
-            bound = np.where(np.isnan(score), np.inf, space.distance2(q, np.nan_to_num(score)))
-            near = box_distance(space.queries(q), space.splits.low, space.splits.high) <= limit * bound[:, None]
-            near[np.arange(len(q)), home] = False
-            row, leaf = np.nonzero(near)
+            q, home, kth = vectors(b.column("embedding")), b.column("home").to_numpy(), b.column("kth").to_numpy()
+            norms = np.linalg.norm(q, axis=1)[:, None] * tops
+            box = box_distance(space.points(q), space.splits.low, space.splits.high)[:, inner]
+            near = (box <= space.reach(np.maximum(kth, -1e300)[:, None], norms)) & (kth[:, None] <= norms * (1 + 1e-9))  # no vector of a smaller norm scores so high
+            near &= ~((leaves[:, 0] == home[:, None]) & (leaves[:, 1] == 0))
+            row, to = np.nonzero(near)
             at = pa.array(row)
-            yield pa.RecordBatch.from_arrays([pa.array(leaf), b.column("key").take(at), b.column("embedding").take(at), pa.array(bound[row])], names=["leaf", "key", "embedding", "bound"])
+            yield pa.RecordBatch.from_arrays([pa.array(leaves[to, 0]), pa.array(leaves[to, 1]), b.column("key").take(at), b.column("embedding").take(at), pa.array(kth[row])], names=["leaf", "share", "key", "embedding", "kth"])
 
-    placed = common.materialise(points.mapInArrow(assign, "key string, embedding array<float>, least long, ids array<long>, asks boolean, leaf long, home long"))
-    stock = placed.select("leaf", "embedding", "least", "ids")
-    found_schema = "key string, score double, ids array<long>"
-    at_home = placed.where("asks").select(F.col("home").alias("leaf"), "key", "embedding", F.lit(float("inf")).alias("bound"))
-    first = common.materialise(stock.groupBy("leaf").cogroup(at_home.groupBy("leaf")).applyInArrow(run, found_schema))
+    share = F.create_map(*(F.lit(x) for item in sizes_of.items() if item[1] > 1 for x in item)) if any(n > 1 for n in sizes_of.values()) else None
+    count = F.lit(1) if share is None else F.coalesce(F.try_element_at(share, F.col("leaf")), F.lit(1))
+    turn = F.explode(F.sequence(F.lit(0), F.lit(turns - 1))).alias("turn") if turns > 1 else F.lit(0).alias("turn")
+    stock = placed.select("leaf", F.pmod(F.xxhash64("key"), count).cast("long").alias("share"), turn, F.col("key").alias("point"), "embedding", "least", "ids")
+    own_turn = F.pmod(F.xxhash64("key", F.lit(1)), F.lit(max(1, turns))).cast("int").alias("turn")
+    found_schema = "key string, own boolean, score double, ids array<long>, verified long"
+
+    def searched(queries: DataFrame) -> DataFrame:
+        by = ["leaf", "share", "turn"]
+        return common.materialise(stock.groupBy(*by).cogroup(queries.withColumn("turn", own_turn).groupBy(*by)).applyInArrow(run, found_schema))
+
+    at_home = placed.where("asks").select(F.col("home").alias("leaf"), F.lit(0).cast("long").alias("share"), "key", "embedding", F.lit(float("-inf")).alias("kth"))
+    first = searched(at_home)
     kth = first.groupBy("key").agg(F.when(F.count(F.lit(1)) > k, F.min("score")).alias("kth"))
-    travel = placed.where("asks").join(kth, "key", "left").select("key", "embedding", "home", "kth").mapInArrow(route, "leaf long, key string, embedding array<float>, bound double")
-    second = stock.groupBy("leaf").cogroup(travel.groupBy("leaf")).applyInArrow(run, found_schema)
+    travel = placed.where("asks").join(kth, "key", "left").select("key", "embedding", "home", F.coalesce("kth", F.lit(float("-inf"))).alias("kth"))
+    second = searched(travel.mapInArrow(route, "leaf long, share long, key string, embedding array<float>, kth double"))
+    found = first.union(second)
+    work = found.groupBy("key").agg(F.sum("verified").alias("n_verified"))
     ranked = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("score"), "vec_id"))
-    best = first.union(second).select("key", "score", F.explode("ids").alias("vec_id")).withColumn("nth", ranked).where(F.col("nth") <= k + 1)
-    met = asked.join(best, "key").where(F.col("query_id") != F.col("vec_id"))
-    order = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return met.withColumn("rank", order).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    best = found.select("key", "own", "score", F.explode("ids").alias("vec_id")).withColumn("nth", ranked).where(F.col("nth") <= k + 1)
+    # A query's own vector is its own row where the ids agree too: of the k + 1 best of its vector, that one goes.
+    itself = F.col("own") & (F.col("query_id") == F.col("vec_id"))
+    order = F.row_number().over(Window.partitionBy("query_id", "key").orderBy(F.desc("score"), "vec_id"))
+    met = asked.join(best, "key").where(~itself).withColumn("rank", order).where(F.col("rank") <= k)
+    return met.join(work, "key").select("query_id", "rank", "vec_id", "score", "n_verified")
 
 
 def brute_force(table: pd.DataFrame, every: int = 20, k: int = 20) -> pd.DataFrame:
-    """Exact neighbours of all queries, for small tables."""
+    """Exact neighbours of all queries, for small tables of distinct rows."""
     ok = [v is not None and len(v) and all(c is not None and np.isfinite(c) for c in v) and any(c != 0 for c in v) for v in table.embedding]
     table = table[ok]
     x, ids = np.array([np.asarray(v, np.float64) for v in table.embedding]), table.vec_id.to_numpy()
     rows = []
     for i in np.flatnonzero(ids % every == 0):
         s = (x * x[i]).sum(axis=1)
-        order = [j for j in np.lexsort((ids, -s)) if ids[j] != ids[i]][:k]
+        order = [j for j in np.lexsort((ids, -s)) if j != i][:k]
         rows += [(int(ids[i]), r + 1, int(ids[j]), float(s[j])) for r, j in enumerate(order)]
     return pd.DataFrame(rows, columns=["query_id", "rank", "vec_id", "score"])
 

@@ -10,7 +10,10 @@ from quillspark.functions.text import lookup
 from quillspark.schema import DATE
 
 # Months.
-MONTHS = "january february march april may june july august september october november december".split()
+MONTHS = (
+    "january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november",
+    "december",
+)
 MONTH_NUMBERS = {**{m[:3]: str(i) for i, m in enumerate(MONTHS, 1)}, **{str(i): str(i) for i in range(1, 13)}, **{f"0{i}": str(i) for i in range(1, 10)}}
 
 

@@ -35,7 +35,9 @@ def title_similarity(a: Column, b: Column) -> Column:
 
 
 # Words that a title keeps in lower case.
-STOP_WORDS = "a an and as at but by for from in nor of on or the to up with".split()
+STOP_WORDS = (
+    "a", "an", "and", "as", "at", "but", "by", "for", "from", "in", "nor", "of", "on", "or", "the", "to", "up", "with",
+)
 
 
 def upper_first(w: Column) -> Column:
@@ -45,7 +47,7 @@ def upper_first(w: Column) -> Column:
 def title_case(c: Column) -> Column:
     """STR13: capitals but for stop words; the first word always."""
     words = F.filter(F.split(c, r"\s+"), lambda w: w != "")
-    return F.array_join(F.transform(words, lambda w, i: F.when((i > 0) & F.lower(w).isin(STOP_WORDS), F.lower(w)).otherwise(upper_first(w))), " ")
+    return F.array_join(F.transform(words, lambda w, i: F.when((i > 0) & F.lower(w).isin(*STOP_WORDS), F.lower(w)).otherwise(upper_first(w))), " ")
 
 
 def text_case(c: Column, mode: str) -> Column:
@@ -215,7 +217,7 @@ def inverted_abstract(index: Column) -> Column:
 def pdf_string(c: Column) -> Column:
     """STR22: a literal PDF string `(..)` with escapes, or a hex string `<..>`, UTF-16 if it begins with FEFF."""
     digits = F.regexp_replace(c, r"[<>\s]", "")
-    wide = F.decode(F.unhex(F.substring(digits, 5, 1_000_000)), "UTF-16BE")
+    wide = F.decode(F.unhex(F.substring(digits, F.lit(5), F.length(digits))), "UTF-16BE")
     narrow = F.decode(F.unhex(digits), "ISO-8859-1")
     inner = F.regexp_replace(F.regexp_replace(c, r"^\(|\)$", ""), r"\\([()\\])", "$1")
     return F.when(c.startswith("<"), F.when(F.upper(digits).startswith("FEFF"), wide).otherwise(narrow)).otherwise(inner)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillspark.functions.dates import year_of
 from quillspark.functions.identifiers import doi_key, isbn_key
 from quillspark.functions.text import title_key
+from quillspark.operators.components import components
 
 # Fixed value: hosts whose URLs identify nothing.
 SEARCH_URL = r"^https?://(www\.)?(google|bing|yahoo)\."
@@ -73,17 +74,12 @@ def pair_counts(df: DataFrame, min_title: int = 15) -> DataFrame:
 def groups(df: DataFrame, min_title: int = 15) -> DataFrame:
     """AGG4: groups of records linked by keys, directly or through others: (id, group), group the smallest `_seq`.
 
-    Labels spread over the table of keys until they stand; each turn aggregates by key and by record, so that a key of
-    many records needs no pairs. The checkpoint cuts the lineage of a turn."""
-    every = keyed(df, min_title, False).select("_seq", "rule", "key").checkpoint()
-    label = df.select("_seq", F.col("_seq").alias("g"))
-    while True:
-        low = every.join(label, "_seq").groupBy("rule", "key").agg(F.min("g").alias("g"))
-        near = every.join(low, ["rule", "key"]).groupBy("_seq").agg(F.min("g").alias("h"))
-        after = label.join(near, "_seq", "left").select("_seq", F.least("g", "h").alias("g"), (F.col("h") < F.col("g")).alias("moved")).checkpoint()
-        label = after.select("_seq", "g")
-        if after.where("moved").isEmpty():
-            return df.join(label, "_seq").select("id", F.col("g").alias("group"))
+    Each record hangs on the first of its key, so that a key of many records needs no pairs."""
+    every = keyed(df, min_title, False).select("_seq", "rule", "key")
+    first = every.groupBy("rule", "key").agg(F.min("_seq").alias("b"))
+    linked = components(every.join(first, ["rule", "key"]).select(F.col("_seq").alias("a"), "b"))
+    found = df.select("id", "_seq").join(linked.withColumnRenamed("node", "_seq"), "_seq", "left")
+    return found.select("id", F.coalesce("root", "_seq").alias("group"))
 
 
 def fields_filled() -> Column:

@@ -57,10 +57,11 @@ def better_of(df: DataFrame, found: DataFrame, key: str = "id") -> DataFrame:
 
 def update_existing(new: DataFrame, library: DataFrame) -> DataFrame:
     """PRJ5: an edited record keeps its date added, notes, quotes and star; tags are united."""
-    old = library.select("id", *(F.col(c).alias(f"_old_{c}") for c in ("_dateAdded", "_notes", "_starred", "_tags")))
+    kept = [c for c in ("_dateAdded", "_notes", "_starred", "_quotes") if c in library.columns]
+    old = library.select("id", *(F.col(c).alias(f"_old_{c}") for c in (*kept, "_tags")))
     out = new.join(old, "id", "left")
     tags = F.array_union(F.coalesce("_old__tags", F.array().cast("array<string>")), F.coalesce("_tags", F.array().cast("array<string>")))
-    return out.withColumns({"_tags": tags, **{c: F.coalesce(f"_old_{c}", c) for c in ("_dateAdded", "_notes", "_starred")}}).drop(*(f"_old_{c}" for c in ("_dateAdded", "_notes", "_starred", "_tags")))
+    return out.withColumns({"_tags": tags, **{c: F.coalesce(f"_old_{c}", c) if c in new.columns else F.col(f"_old_{c}") for c in kept}}).drop(*(f"_old_{c}" for c in (*kept, "_tags")))
 
 
 def from_crossref(payload: Column) -> Column:

@@ -12,12 +12,23 @@ from quillspark.functions.text import blank_to_null, lookup, strip_site, unescap
 
 # Meta tags of a field, in order.
 META = {
-    "title": "citation_title dc.title eprints.title bepress_citation_title prism.title og:title twitter:title", "author": "citation_author dc.creator eprints.creators_name bepress_citation_author author article:author",
-    "issued": "citation_publication_date citation_date citation_online_date dc.date prism.publicationdate article:published_time date", "container_title": "citation_journal_title citation_conference_title citation_inbook_title prism.publicationname dc.source og:site_name",
-    "volume": "citation_volume prism.volume", "issue": "citation_issue prism.number", "page_first": "citation_firstpage prism.startingpage", "page_last": "citation_lastpage prism.endingpage", "DOI": "citation_doi dc.identifier prism.doi bepress_citation_doi",
-    "ISSN": "citation_issn prism.issn", "ISBN": "citation_isbn book:isbn isbn", "publisher": "citation_publisher dc.publisher", "abstract": "citation_abstract dc.description og:description description", "language": "citation_language dc.language og:locale",
-    "PMID": "citation_pmid", "type": "og:type dc.type",
-}
+    "title": ("citation_title", "dc.title", "eprints.title", "bepress_citation_title", "prism.title", "og:title", "twitter:title"),
+    "author": ("citation_author", "dc.creator", "eprints.creators_name", "bepress_citation_author", "author", "article:author"),
+    "issued": ("citation_publication_date", "citation_date", "citation_online_date", "dc.date", "prism.publicationdate", "article:published_time", "date"),
+    "container_title": ("citation_journal_title", "citation_conference_title", "citation_inbook_title", "prism.publicationname", "dc.source", "og:site_name"),
+    "volume": ("citation_volume", "prism.volume"),
+    "issue": ("citation_issue", "prism.number"),
+    "page_first": ("citation_firstpage", "prism.startingpage"),
+    "page_last": ("citation_lastpage", "prism.endingpage"),
+    "DOI": ("citation_doi", "dc.identifier", "prism.doi", "bepress_citation_doi"),
+    "ISSN": ("citation_issn", "prism.issn"),
+    "ISBN": ("citation_isbn", "book:isbn", "isbn"),
+    "publisher": ("citation_publisher", "dc.publisher"),
+    "abstract": ("citation_abstract", "dc.description", "og:description", "description"),
+    "language": ("citation_language", "dc.language", "og:locale"),
+    "PMID": ("citation_pmid",),
+    "type": ("og:type", "dc.type"),
+}
 # Types by schema.org name, Dublin Core or Open Graph type.
 PAGE_TYPES = {
     "scholarlyarticle": "article-journal", "medicalscholarlyarticle": "article-journal", "article": "article", "newsarticle": "article-newspaper", "reportagenewsarticle": "article-newspaper", "blogposting": "post-weblog", "book": "book", "books.book": "book", "chapter": "chapter",
@@ -58,7 +69,7 @@ def _named(name: str) -> Callable[[Column], Column]:
 def meta_values(metas_: Column, field: str) -> Column:
     """Values of the first tag name of a field that the page has."""
     out = F.array().cast("array<string>")
-    for name in reversed(META[field].split()):
+    for name in reversed(META[field]):
         own = F.transform(F.filter(metas_, _named(name)), lambda m: m["content"])
         out = F.when(F.size(own) > 0, own).otherwise(out)
     return out

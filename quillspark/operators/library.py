@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions.dates import year_of
@@ -188,6 +188,8 @@ def create_project(projects: DataFrame, new: DataFrame) -> DataFrame:
     """MUT4, VAL4: names are trimmed to 50 characters; one that exists in any case is refused."""
     named = new.withColumn("name", F.substring(F.trim("name"), 1, 50)).where("name <> ''")
     held = projects.select(F.lower("name").alias("_n"))
+    nth = F.row_number().over(Window.partitionBy(F.lower("name")).orderBy("id"))  # of new ones of one name the first
+    named = named.withColumn("_nth", nth).where("_nth = 1").drop("_nth")
     return projects.unionByName(named.join(held, F.lower("name") == F.col("_n"), "left_anti"), allowMissingColumns=True)
 
 
@@ -216,6 +218,51 @@ def create_tags(tags: DataFrame, df: DataFrame) -> DataFrame:
     return tags.unionByName(used.select(F.concat(F.lit("tag-"), "name").alias("id"), "name", F.lit(GREY).alias("color")))
 
 
+def delete_tag(tags: DataFrame, name: str) -> DataFrame:
+    """MUT7: a tag row goes; records keep the name."""
+    return tags.where(F.col("name") != name)
+
+
+def import_counts(parsed: DataFrame) -> DataFrame:
+    """AGG11: entries, entries with errors and duplicates of an import. parsed: `_errors` and `duplicate_of`."""
+    failed = F.coalesce(F.size("_errors") > 0, F.lit(False))
+    return parsed.agg(F.count(F.lit(1)).alias("n_entries"), F.count_if(failed).alias("n_errors"), F.count_if(~failed & F.col("duplicate_of").isNotNull()).alias("n_duplicates"))
+
+
+def edited(df: DataFrame, edits: DataFrame) -> DataFrame:
+    """PRJ7: fields of an edit form replace those of the record of their id; a blank one clears, a null one leaves."""
+    columns = [c for c in edits.columns if c != "id"]
+    new = edits.select("id", F.lit(True).alias("_edited"), *(F.col(c).alias(f"_new_{c}") for c in columns))
+    out = df.join(new, "id", "left")
+    value = lambda c: F.when(F.col(f"_new_{c}").isNull(), F.col(c)).otherwise(F.nullif(F.col(f"_new_{c}"), F.lit("")) if dict(edits.dtypes)[c] == "string" else F.col(f"_new_{c}"))
+    return out.withColumns({c: F.when(F.col("_edited"), value(c)).otherwise(F.col(c)) for c in columns}).drop("_edited", *(f"_new_{c}" for c in columns))
+
+
+def lookup_record(df: DataFrame, record: str) -> DataFrame:
+    """SRC16: the record of an id."""
+    return df.where(F.col("id") == record)
+
+
+def backup(tables: dict[str, DataFrame], path: str) -> None:
+    """SRC18: every table of the library as JSON lines in a folder of its name."""
+    for name, table in tables.items():
+        table.write.mode("overwrite").json(f"{path}/{name}", compression="gzip")
+
+
+def restore(spark: SparkSession, path: str, tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """SRC18: the tables of a backup, with the columns of the given ones."""
+    return {name: spark.read.schema(table.schema).json(f"{path}/{name}") for name, table in tables.items()}
+
+
+def migrate(old: DataFrame, target: str) -> bool:
+    """SRC17: records of an older store become the table `target` unless it has rows already."""
+    spark = old.sparkSession
+    if spark.catalog.tableExists(target) and not spark.table(target).isEmpty():
+        return False
+    old.write.mode("overwrite").saveAsTable(target)
+    return True
+
+
 def drop_quote(df: DataFrame, record: str, position: int) -> DataFrame:
     """MUT13."""
     rest = F.filter("_quotes", lambda _, i: i != position)

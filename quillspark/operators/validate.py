@@ -12,12 +12,24 @@ PLAIN_HOSTS = r"\b(google\.com|drive\.google|docs\.google|youtube\.com|facebook\
 PLAIN_CONTAINERS = r"(?i)^(Google|Google Drive|Facebook|Twitter|YouTube|LinkedIn|Reddit|Medium|Wikipedia|GitHub)$"
 # Required and recommended fields by type.
 _NEED = {
-    "article-journal": ("title author container_title issued", "volume issue page DOI"), "article-magazine": ("title author container_title issued", "volume issue page"), "article-newspaper": ("title author container_title issued", "DOI page"),
-    "book": ("title author publisher issued", "DOI"), "chapter": ("title author container_title publisher issued", "page"), "paper-conference": ("title author container_title issued", "publisher page"), "thesis": ("title author publisher issued", ""),
-    "report": ("title author publisher issued", "DOI"), "webpage": ("title DOI", "author issued"), "post-weblog": ("title author DOI", "issued container_title"), "legislation": ("title issued", "container_title volume page"),
-    "legal-case": ("title issued", "container_title volume page"), "patent": ("title author issued", "DOI"), "dataset": ("title author issued", "DOI publisher"), "software": ("title author", "issued DOI publisher"),
-    "motion-picture": ("title issued", "author publisher"), "broadcast": ("title issued", "container_title author"),
-}
+    "article-journal": (("title", "author", "container_title", "issued"), ("volume", "issue", "page", "DOI")),
+    "article-magazine": (("title", "author", "container_title", "issued"), ("volume", "issue", "page")),
+    "article-newspaper": (("title", "author", "container_title", "issued"), ("DOI", "page")),
+    "book": (("title", "author", "publisher", "issued"), ("DOI",)),
+    "chapter": (("title", "author", "container_title", "publisher", "issued"), ("page",)),
+    "paper-conference": (("title", "author", "container_title", "issued"), ("publisher", "page")),
+    "thesis": (("title", "author", "publisher", "issued"), ()),
+    "report": (("title", "author", "publisher", "issued"), ("DOI",)),
+    "webpage": (("title", "DOI"), ("author", "issued")),
+    "post-weblog": (("title", "author", "DOI"), ("issued", "container_title")),
+    "legislation": (("title", "issued"), ("container_title", "volume", "page")),
+    "legal-case": (("title", "issued"), ("container_title", "volume", "page")),
+    "patent": (("title", "author", "issued"), ("DOI",)),
+    "dataset": (("title", "author", "issued"), ("DOI", "publisher")),
+    "software": (("title", "author"), ("issued", "DOI", "publisher")),
+    "motion-picture": (("title", "issued"), ("author", "publisher")),
+    "broadcast": (("title", "issued"), ("container_title", "author")),
+}
 
 
 def _has(c: str) -> Column:
@@ -63,7 +75,7 @@ def missing(which: int = 0) -> Column:
     filled = {"author": F.coalesce(F.size("author") > 0, F.lit(False)), "issued": F.col("issued").isNotNull()}
     out = F.array().cast("array<string>")
     for kind, need in _NEED.items():
-        fields = need[which].split()
+        fields = need[which]
         if fields:
             lack = F.array_compact(F.array(*(F.when(~filled.get(f, _has(f) if f not in filled else None), F.lit(f)) for f in fields)))
             out = F.when(F.col("type") == kind, lack).otherwise(out)

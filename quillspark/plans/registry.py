@@ -27,8 +27,9 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def add(f: Query) -> Query:
         QUERIES[name] = f
         if sql is not None:
-            reads = sql.startswith(",") or "FROM rec" in sql
-            ORACLE_SQL[name] = f"WITH {RECORDS_SQL} {sql}" if reads else sql
+            recursive, sql_ = sql.startswith("RECURSIVE "), sql.removeprefix("RECURSIVE ")
+            reads = sql_.startswith(",") or "FROM rec" in sql_
+            ORACLE_SQL[name] = f"WITH {'RECURSIVE ' if recursive else ''}{RECORDS_SQL} {sql_}" if reads else sql_
         return f
 
     return add
@@ -130,15 +131,15 @@ def _(s, d):
 
 
 def _tags(s: SparkSession, d: str) -> DataFrame:
-    return s.read.parquet(f"{d}/nation.parquet").where("n_nationkey < 4").select(F.concat(F.lit("t"), "n_nationkey").alias("name"), F.concat(F.lit("#"), "n_name").alias("color"), F.col("n_name").alias("id"))
+    return s.read.parquet(f"{d}/nation.parquet").select(F.concat(F.lit("t"), "n_nationkey").alias("name"), F.concat(F.lit("#"), "n_name").alias("color"), F.col("n_name").alias("id"))
 
 
-@query("jn4_tag_colours", "SELECT id, u.tag AS tag, COALESCE('#' || n_name, '#71717a') AS color FROM (SELECT id, unnest(tags) AS tag FROM rec) u LEFT JOIN (SELECT 't' || n_nationkey AS tag, n_name FROM nation WHERE n_nationkey < 4) c ON c.tag = u.tag")
+@query("jn4_tag_colours", "SELECT id, u.tag AS tag, COALESCE('#' || n_name, '#71717a') AS color FROM (SELECT id, unnest(tags) AS tag FROM rec) u LEFT JOIN (SELECT 't' || n_nationkey AS tag, n_name  FROM nation) c ON c.tag = u.tag")
 def _(s, d):
     return L.tag_colours(records(s, d), _tags(s, d))
 
 
-@query("mut8_new_tags", "SELECT name, color FROM (SELECT 't' || n_nationkey AS name, '#' || n_name AS color FROM nation WHERE n_nationkey < 4) UNION ALL SELECT DISTINCT tag, '#71717a' FROM (SELECT unnest(tags) AS tag FROM rec) WHERE tag NOT IN (SELECT 't' || n_nationkey FROM nation WHERE n_nationkey < 4)")
+@query("mut8_new_tags", "SELECT name, color FROM (SELECT 't' || n_nationkey AS name, '#' || n_name AS color  FROM nation) UNION ALL SELECT DISTINCT tag, '#71717a' FROM (SELECT unnest(tags) AS tag FROM rec) WHERE tag NOT IN (SELECT 't' || n_nationkey  FROM nation)")
 def _(s, d):
     return L.create_tags(_tags(s, d), records(s, d)).select("name", "color")
 
@@ -205,30 +206,41 @@ def _(s, d):
     return dedupe.duplicate_links(records(s, d))
 
 
-@query("agg4_groups", f", {_K.format(m=15)}, e AS (SELECT _seq, k, MIN(_seq) OVER (PARTITION BY r, k) AS f FROM (SELECT _seq, 1 AS r, k1 AS k FROM rk UNION ALL SELECT _seq, 2, k2 FROM rk UNION ALL SELECT _seq, 3, k3 FROM rk) WHERE k IS NOT NULL) SELECT COUNT(DISTINCT _seq) AS n_keyed FROM e")
+_GROUPS = f""", {_K.format(m=15)},
+keyed AS (SELECT _seq, 1 AS r, k1 AS k FROM rk UNION ALL SELECT _seq, 2, k2 FROM rk UNION ALL SELECT _seq, 3, k3 FROM rk),
+hung AS (SELECT _seq AS a, MIN(_seq) OVER (PARTITION BY r, k) AS b FROM keyed WHERE k IS NOT NULL),
+e AS (SELECT DISTINCT a, b FROM hung WHERE a <> b UNION SELECT DISTINCT b, a FROM hung WHERE a <> b),
+reach AS (SELECT _seq AS a, _seq AS b FROM rk UNION SELECT reach.a, e.b FROM reach JOIN e ON reach.b = e.a),
+grouped AS (SELECT rec.*, g AS grp FROM rec JOIN (SELECT a AS _seq, MIN(b) AS g FROM reach GROUP BY a) USING (_seq))"""
+
+
+@query("agg4_groups", f"RECURSIVE {_GROUPS} SELECT grp AS \"group\", COUNT(*) AS n FROM grouped GROUP BY grp")
 def _(s, d):
-    return dedupe.groups(records(s, d)).agg(F.count_distinct("id").alias("n_keyed"))
+    return dedupe.groups(records(s, d)).groupBy("group").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("agg4_record_groups")
+@query("agg4_record_groups", f"RECURSIVE {_GROUPS} SELECT id, grp AS \"group\" FROM grouped")
 def _(s, d):
     return dedupe.groups(records(s, d))
 
 
+_FILLED = " + ".join(f"CAST(({x}) AS INT)" for x in ("title <> ''", "n_authors > 0", "year IS NOT NULL", "container_title IS NOT NULL", "DOI IS NOT NULL", "URL IS NOT NULL"))
+
+
 @query("agg5_fields_filled", "SELECT id, CAST((title <> '') AS INT) + CAST((n_authors > 0) AS INT) + CAST((year IS NOT NULL) AS INT) + CAST((container_title IS NOT NULL) AS INT) + CAST((DOI IS NOT NULL) AS INT) + CAST((URL IS NOT NULL) AS INT) AS filled FROM rec")
 def _(s, d):
     return records(s, d).select("id", dedupe.fields_filled().alias("filled"))
 
 
-@query("mut9_keep_one")
+@query("mut9_keep_one", f"RECURSIVE {_GROUPS} SELECT id FROM grouped QUALIFY ROW_NUMBER() OVER (PARTITION BY grp ORDER BY {_FILLED} DESC, _seq) = 1")
 def _(s, d):
     return dedupe.keep_one(records(s, d), keep="fullest").select("id")
 
 
 # Scalar functions.
-@query("str11_title_key", "SELECT doc_id, regexp_replace(lower(substr(text, 1, 60)), '[^a-z0-9]', '', 'g') AS key FROM documents")
+@query("str11_title_key", "SELECT doc_id, regexp_replace(lower(text), '[^a-z0-9]', '', 'g') AS key FROM documents")
 def _(s, d):
-    return _docs(s, d).select("doc_id", text.title_key(F.substring("text", 1, 60)).alias("key"))
+    return _docs(s, d).select("doc_id", text.title_key(F.col("text")).alias("key"))
 
 
 @query("str3_clean_doi", "SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(x, '[?#].*$', ''), '[.,;:)\\]}>]+$', ''), '/+$', '')) AS doi FROM (SELECT doc_id, '10.' || (1000 + doc_id) || '/ab' || (['', '.', ').', '?x=1', '#f', '//', '/.;'])[CAST(doc_id % 7 AS INT) + 1] AS x FROM documents)")
@@ -282,9 +294,9 @@ def _(s, d):
     return _docs(s, d).select(F.get(ids, (F.col("doc_id") % 8).cast("int")).alias("s")).distinct().select("s", text.style_family(F.col("s")).alias("family"))
 
 
-@query("str12_title_similarity", "SELECT a.doc_id, round(len(list_intersect(a.w, b.w)) / greatest(len(a.w), len(b.w)), 6) AS similarity FROM (SELECT doc_id, list_distinct(string_split_regex(regexp_replace(lower(substr(text, 1, 100)), '[^\\w\\s]', '', 'g'), '\\s+')) AS w FROM documents) a, LATERAL (SELECT list_distinct(string_split_regex(regexp_replace(lower(substr(text, 1, 60)), '[^\\w\\s]', '', 'g'), '\\s+')) AS w FROM documents d WHERE d.doc_id = a.doc_id) b")
+@query("str12_title_similarity", "SELECT a.doc_id, round(len(list_intersect(a.w, b.w)) / greatest(len(a.w), len(b.w)), 6) AS similarity FROM (SELECT doc_id, list_distinct(string_split_regex(regexp_replace(lower(text), '[^\\w\\s]', '', 'g'), '\\s+')) AS w FROM documents) a, LATERAL (SELECT list_distinct(string_split_regex(regexp_replace(lower(split_part(text, chr(10), 1)), '[^\\w\\s]', '', 'g'), '\\s+')) AS w FROM documents d WHERE d.doc_id = a.doc_id) b")
 def _(s, d):
-    return _docs(s, d).select("doc_id", F.round(text.title_similarity(F.substring("text", 1, 100), F.substring("text", 1, 60)), 6).alias("similarity"))
+    return _docs(s, d).select("doc_id", F.round(text.title_similarity(F.col("text"), F.split("text", "\n")[0]), 6).alias("similarity"))
 
 
 @query("dt3_dates", "SELECT id, CASE WHEN year IS NOT NULL THEN year || CASE WHEN month IS NOT NULL THEN '-' || month || CASE WHEN day IS NOT NULL THEN '-' || day ELSE '' END ELSE '' END END AS parts FROM rec")
@@ -389,9 +401,18 @@ def _(s, d):
     return records(s, d).select("id", _joined(validate.warnings()).alias("warnings"), validate.suggestion().alias("suggestion"))
 
 
-@query("val3_missing", "SELECT id, CASE type WHEN 'article-journal' THEN concat_ws('|', CASE WHEN title = '' THEN 'title' END, CASE WHEN n_authors = 0 THEN 'author' END, CASE WHEN container_title IS NULL THEN 'container_title' END, CASE WHEN year IS NULL THEN 'issued' END) WHEN 'book' THEN concat_ws('|', CASE WHEN title = '' THEN 'title' END, CASE WHEN n_authors = 0 THEN 'author' END, CASE WHEN publisher IS NULL THEN 'publisher' END, CASE WHEN year IS NULL THEN 'issued' END) END AS missing FROM rec WHERE type IN ('article-journal', 'book')")
+def _missing_sql() -> str:
+    lack = {"title": "title = ''", "author": "n_authors = 0", "issued": "year IS NULL"}
+    rows = []
+    for kind, (need, _) in validate._NEED.items():
+        each = ", ".join(f"CASE WHEN {lack.get(f, f + ' IS NULL')} THEN '{f}' END" for f in need)
+        rows.append(f"WHEN '{kind}' THEN concat_ws('|', {each})")
+    return f"SELECT id, CASE type {' '.join(rows)} ELSE '' END AS missing FROM rec"
+
+
+@query("val3_missing", _missing_sql())
 def _(s, d):
-    return records(s, d).where(F.col("type").isin("article-journal", "book")).select("id", _joined(validate.missing()).alias("missing"))
+    return records(s, d).select("id", _joined(validate.missing()).alias("missing"))
 
 
 def _evidence(n: Column) -> Column:
@@ -428,10 +449,11 @@ def _(s, d):
     return r.select("page_id", "title", _joined(F.transform("author", _name)).alias("people"), _day(F.col("issued")).alias("issued"), "container_title", "page", "DOI", "type")
 
 
-@query("ext7_host_type", "SELECT page_id, (['article-journal', 'book', 'article-newspaper', 'article', NULL])[CAST(page_id % 5 AS INT) + 1] AS kind FROM pages")
+@query("ext7_host_type", """SELECT page_id, CASE WHEN regexp_matches(host, '\\b(nytimes|washingtonpost|theguardian|reuters|apnews|cnn\\.com)\\b') THEN 'article-newspaper' WHEN contains(host, 'ssrn.com') THEN 'report' WHEN contains(host, 'arxiv.org') THEN 'article'
+  WHEN regexp_matches(u, '/doi/(abs/|full/|pdf/)?10\\.[0-9]{4,}') THEN 'article-journal' WHEN regexp_matches(u, '/patent/|patents\\.') THEN 'patent' WHEN regexp_matches(u, '/thesis|/dissertation|/etd/') THEN 'thesis' WHEN regexp_matches(u, '/books?/|/isbn/|/works/') THEN 'book' END AS kind
+FROM (SELECT page_id, lower(url) AS u, regexp_extract(lower(url), '^[a-z]+://([^/?#:]+)', 1) AS host FROM pages)""")
 def _(s, d):
-    urls = F.array(*map(F.lit, ("https://www.nature.com/articles/x", "https://www.amazon.com/dp/1", "https://www.nytimes.com/a", "https://arxiv.org/abs/1", "https://example.org/z")))
-    return s.read.parquet(f"{d}/pages.parquet").select("page_id", extract.host_type(F.get(urls, (F.col("page_id") % 5).cast("int"))).alias("kind"))
+    return s.read.parquet(f"{d}/pages.parquet").select("page_id", extract.host_type(F.col("url")).alias("kind"))
 
 
 # Writers, readers and their round trips.
@@ -456,33 +478,36 @@ def _(s, d):
     return parse.conform(records(s, d)).select("id", write.csv_row().alias("line"))
 
 
-_BACK = "SELECT id, title, CASE WHEN is_group THEN '////' || families[1] ELSE array_to_string(list_transform(range(1, len(givens) + 1), lambda i: families[i] || '/' || givens[i] || '///'), '|') END AS people, CASE WHEN year IS NOT NULL THEN year || COALESCE('-' || month || {day}, '') END AS issued, volume, issue, replace(page, '-', '–') AS page, publisher, DOI, URL FROM (SELECT * FROM rec WHERE n_authors > 0 AND title = trim(title) AND NOT contains(title, '{{') AND NOT contains(title, '--') AND NOT contains(title, '~') AND NOT contains(title, '\\') AND NOT contains(title, '}}') AND title <> '' AND NOT contains(title, '@') AND NOT contains(title, '%'))"
+_BACK = """SELECT id, {title} AS title,
+  CASE WHEN is_group THEN '////' || families[1] WHEN n_authors > 0 THEN
+    array_to_string(list_transform(range(1, len(givens) + 1), lambda i: families[i] || '/' || givens[i] || '///'), '|') END AS people,
+  CASE WHEN year IS NOT NULL THEN year || COALESCE('-' || month || {day}, '') END AS issued, volume, issue, {page} AS page, publisher, DOI, URL
+FROM rec"""
+_DASHED, _TEX = "replace(page, '-', '–')", "trim(replace(replace(title, '--', '–'), '~', ' '))"
 
 
-def _clean(s: SparkSession, d: str) -> DataFrame:
-    t = F.col("title")
-    bad = t.contains("{") | t.contains("}") | t.contains("--") | t.contains("~") | t.contains("\\") | t.contains("@") | t.contains("%") | (t == "") | (t != F.trim(t))
-    return parse.conform(records(s, d).where(~bad & F.col("author").isNotNull()))
+def _written(s: SparkSession, d: str) -> DataFrame:
+    return parse.conform(records(s, d))
 
 
 def _flat(df: DataFrame) -> DataFrame:
     return df.select("id", "title", _joined(F.transform("author", _name)).alias("people"), F.nullif(_day(F.col("issued")), F.lit("")).alias("issued"), "volume", "issue", "page", "publisher", "DOI", "URL")
 
 
-@query("src1_bibtex_round_trip", _BACK.format(day="''"))
+@query("src1_bibtex_round_trip", _BACK.format(title=_TEX, day="''", page=_DASHED))
 def _(s, d):
-    return _flat(parse.bibtex(_clean(s, d).select(write.bibtex(True).alias("content"))))
+    return _flat(parse.bibtex(_written(s, d).select(write.bibtex(True).alias("content"))))
 
 
-@query("src2_ris_round_trip", _BACK.format(day="COALESCE('-' || day, '')"))
+@query("src2_ris_round_trip", _BACK.format(title="NULLIF(trim(title), '')", day="COALESCE('-' || day, '')", page=_DASHED))
 def _(s, d):
-    r = _clean(s, d).select(F.col("id").alias("own"), F.concat(write.ris(), F.lit("\n")).alias("content"))
+    r = _written(s, d).select(F.col("id").alias("own"), F.concat(write.ris(), F.lit("\n")).alias("content"))
     return _flat(parse.ris(r).withColumn("id", F.col("own")))
 
 
-@query("src3_json_round_trip", _BACK.format(day="COALESCE('-' || day, '')").replace("replace(page, '-', '–')", "page"))
+@query("src3_json_round_trip", _BACK.format(title="title", day="COALESCE('-' || day, '')", page="page"))
 def _(s, d):
-    r = _clean(s, d)
+    r = _written(s, d)
     return _flat(parse.csl_json(r.select(write.csl_json(r).alias("content"))))
 
 

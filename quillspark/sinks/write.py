@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -140,9 +143,35 @@ def entry(df: DataFrame, fmt: str, **options) -> Column:
     return makers[fmt]() if fmt in makers else rendered(fmt, **options)
 
 
+# What stands before the entries of a file, between them, and behind them.
+WRAPS = {
+    "csv": (",".join(CSV_COLUMNS), "", ""),
+    "tsv": ("\t".join(CSV_COLUMNS), "", ""),
+    "word": (WORD_HEAD, "", "</b:Sources>"),
+    "yaml": ("---\nreferences:", "", "---"),
+    "csljson": ("[", ",", "]"),
+}
+
+
+def _whole(batches: Iterator[pa.RecordBatch], head: str, tail: str) -> Iterator[pa.RecordBatch]:
+    lines = lambda xs: pa.RecordBatch.from_arrays([pa.array(xs, pa.string())], names=["value"])
+    yield lines([head])
+    for batch in batches:
+        yield lines(batch.column(0))
+    yield lines([tail] if tail else [])
+
+
 def export(df: DataFrame, fmt: str, path: str, **options) -> None:
-    """Write the records into text files, each a part of the whole: the entries stand in order of `_seq` where there is
-    one. Headers and footers are files of their own that sort first and last."""
+    """Write the records into text files, in order of `_seq` where there is one. Each file is a whole of its format: it
+    has the header line of CSV and TSV, the root element of Word XML, the list's head of YAML, the brackets of JSON."""
     full = conform(df)
     full = full.repartitionByRange("_seq").sortWithinPartitions("_seq") if "_seq" in df.columns else full
-    full.select(entry(full, fmt, **options).alias("value")).write.mode("overwrite").text(path, lineSep="\n\n" if fmt == "bibtex" else "\n")
+    head, between, tail = WRAPS.get(fmt, ("", "", ""))
+    text = entry(full, fmt, **options)
+    if between:  # the low 33 bits number the rows of a partition
+        first = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) == 0
+        text = F.when(first, text).otherwise(F.concat(F.lit(between), text))
+    lines = full.select(text.alias("value"))
+    if head:
+        lines = lines.mapInArrow(lambda batches: _whole(batches, head, tail), "value string")
+    lines.write.mode("overwrite").text(path, lineSep="\n\n" if fmt == "bibtex" else "\n")

@@ -16,7 +16,7 @@ from quillspark import schema
 from quillspark.functions import dates, identifiers, names
 from quillspark.functions.text import blank_to_null, clean_latex, dash_pages, lookup, strip_braces
 
-CUT = {"bibtex": r"(?=@[A-Za-z]+\s*[{(])", "ris": r"(?m)^(?=TY  -)", "medline": r"(?m)^(?=PMID-)"}
+CUT = {"ris": r"(?m)^(?=TY  -)", "medline": r"(?m)^(?=PMID-)"}
 #: Record boundaries at which a scan may cut a large file.
 SEPARATORS = {"bibtex": "\n@", "ris": "\nER  -", "medline": "\n\n"}
 
@@ -40,6 +40,8 @@ _BRACED = "[^{}]*+"
 for _ in range(5):
     _BRACED = r"(?:[^{}]++|\{" + _BRACED + r"\})*+"
 _VALUE = r"(?:\{" + _BRACED + r"\}|\"(?:[^\"{}]++|\{" + _BRACED + r"\})*+\"|\d+|[A-Za-z][\w-]*)"
+# An entry up to its own delimiter, so that an @ within a value opens none; one that is not closed ends before the next.
+_ENTRY = r"@[A-Za-z]+\s*(?:\{" + _BRACED + r"\}|\((?:[^(){}]++|\{" + _BRACED + r"\}|\([^()]*+\))*+\)|[{(](?s:.*?)(?=\n\s*@[A-Za-z]+\s*[{(]|\z))"
 _FIELD = r"([A-Za-z][\w-]*)\s*=\s*(" + _VALUE + r"(?:\s*#\s*" + _VALUE + ")*+)"
 
 
@@ -54,7 +56,7 @@ def bibtex(df: DataFrame, content: str = "content") -> DataFrame:
     An entry without a closing delimiter is read as far as it goes and reported."""
     before = [c for c in df.columns if c != content]
     text = F.regexp_replace(content, r"(?m)^\s*%.*$", "")
-    pieces = F.filter(F.split(text, CUT["bibtex"]), lambda p: p.rlike(r"^@[A-Za-z]+\s*[{(]") & ~p.rlike(r"(?i)^@(string|preamble|comment)\b"))
+    pieces = F.filter(F.regexp_extract_all(text, F.lit(_ENTRY), F.lit(0)), lambda p: ~p.rlike(r"(?i)^@(string|preamble|comment)\b"))
     got = _entries(df, content, pieces)
     body = F.regexp_replace("_entry", r"^@[A-Za-z]+\s*[{(]\s*[^,})]*,?", "")
     pairs = F.arrays_zip(F.transform(F.regexp_extract_all(body, F.lit(_FIELD), F.lit(1)), F.lower).alias("k"), F.regexp_extract_all(body, F.lit(_FIELD), F.lit(2)).alias("v"))
@@ -84,7 +86,7 @@ def _tagged(df: DataFrame, content: str, cut: str, tag: str, value_at: int, open
     got = _entries(df, content, pieces)
     unfolded = F.regexp_replace("_entry", rf"\n(?!{tag})[ \t]*(?=\S)", " ")
     lines = F.filter(F.split(unfolded, "\n"), lambda x: x.rlike(f"^{tag}"))
-    return got.withColumn("_lines", F.transform(lines, lambda x: F.struct(F.upper(F.trim(F.substring(x, 1, value_at - 2))).alias("tag"), F.trim(F.substring(x, value_at + 1, 10_000_000)).alias("value"))))
+    return got.withColumn("_lines", F.transform(lines, lambda x: F.struct(F.upper(F.trim(F.substring(x, 1, value_at - 2))).alias("tag"), F.trim(F.substring(x, F.lit(value_at + 1), F.length(x))).alias("value"))))
 
 
 def _all(*tags: str) -> Column:
@@ -182,7 +184,7 @@ def csl_json(df: DataFrame, content: str = "content", strict: bool = False) -> D
     whole = F.when(text.startswith("["), text).otherwise(F.concat(F.lit("["), text, F.lit("]")))
     got = _entries(df.withColumn(content, F.from_json(whole, T.ArrayType(kinds))), content, F.coalesce(F.col(content), F.array().cast(T.ArrayType(kinds))))
     kind = F.replace(F.col("_entry.type"), F.lit("_"), F.lit("-"))
-    bad = F.coalesce(F.col("_entry.id").isNull() | kind.isNull() | ~kind.isin(schema.TYPES), F.lit(True))
+    bad = F.coalesce(F.col("_entry.id").isNull() | kind.isNull() | ~kind.isin(*schema.TYPES), F.lit(True))
     columns = {k: (kind if k == "type" else F.col("_entry").getField(schema.json_name(k)).cast(v)) for k, v in schema.FIELDS.items()}
     out = _finish(got, before, columns | {"_errors": F.when(bad, F.array(F.concat(F.lit("record without id or known type: "), F.coalesce(F.col("_entry.id"), F.lit("?"))))).otherwise(_none())})
     if strict and before:
@@ -201,6 +203,18 @@ HEADERS = {
 }
 
 
+def _csv_columns(value: dict[str, Column]) -> dict[str, Column]:
+    """Columns of a record from the texts of the fields of a row."""
+    made = {k: v for k, v in value.items() if k not in ("issued", "author", "type")}
+    if "author" in value:
+        made["author"] = F.when(value["author"].isNotNull(), names.csv_names(value["author"]))
+    when = value.get("issued", F.lit(None).cast("string"))
+    made["issued"] = dates.date(dates.integers(F.replace(when, F.lit("/"), F.lit("-")), "-"))
+    known = {t: t for t in schema.TYPES} | schema.CSV_TYPES
+    made["type"] = lookup(known, F.lower(value["type"]), "document") if "type" in value else F.lit("webpage")
+    return made
+
+
 def csv_records(table: DataFrame, seq: Column | None = None) -> DataFrame:
     """SRC6: rows of a table whose headers are known names; rows without a title go. Raises where no header is known."""
     field = {h: k for k, hs in HEADERS.items() for h in hs}
@@ -212,16 +226,38 @@ def csv_records(table: DataFrame, seq: Column | None = None) -> DataFrame:
         raise ValueError(f"no known column among {table.columns}")
     value = {k: F.coalesce(*(blank_to_null(F.col(f"`{c}`")) for c in reversed(cs))) for k, cs in found.items()}
     number = F.monotonically_increasing_id() + 2 if seq is None else seq
-    when = value.get("issued", F.lit(None).cast("string"))
-    made = {k: v for k, v in value.items() if k not in ("issued", "author", "type")}
-    if "author" in value:
-        made["author"] = F.when(value["author"].isNotNull(), names.csv_names(value["author"]))
-    made["issued"] = dates.date(dates.integers(F.replace(when, F.lit("/"), F.lit("-")), "-"))
-    known = {t: t for t in schema.TYPES}
-    made["type"] = lookup(known | schema.CSV_TYPES, F.lower(value["type"]), "document") if "type" in value else F.lit("webpage")
+    made = _csv_columns(value)
     return table.select(F.concat(F.lit("csv-"), number).alias("id"), number.alias("_seq"), *(c.alias(k) for k, c in made.items())).where("title IS NOT NULL")
 
 
+def delimited(sep: str):
+    """SRC6 for contents: the first line has the headers; a quoted field may hold separators, quotes and line ends."""
+    quoted = r'"(?:[^"]|"")*+"'
+    row, cell = rf'(?:{quoted}|[^"\n])+', rf'(?:^|{sep})({quoted}|[^"{sep}]*)'
+
+    def cells(line: Column) -> Column:
+        raw = F.regexp_extract_all(line, F.lit(cell), F.lit(1))
+        return F.transform(raw, lambda x: F.when(x.startswith('"'), F.replace(F.substring(x, F.lit(2), F.length(x) - 2), F.lit('""'), F.lit('"'))).otherwise(x))
+
+    def parse(df: DataFrame, content: str = "content") -> DataFrame:
+        before = [c for c in df.columns if c != content]
+        text = F.replace(F.replace(F.col(content), F.lit("\r\n"), F.lit("\n")), F.lit("\ufeff"), F.lit(""))
+        lines = df.withColumn("_rows", F.regexp_extract_all(text, F.lit(row), F.lit(0)))
+        field = {h: k for k, hs in HEADERS.items() for h in hs}
+        heads = F.transform(cells(F.get("_rows", F.lit(0))), lambda h: lookup(field, F.trim(h)))
+        lines = lines.withColumn("_heads", heads)
+        got = lines.select(*before, "_heads", F.posexplode(F.slice("_rows", F.lit(2), F.size("_rows"))).alias("_at", "_entry"))
+        got = got.withColumn("_cells", F.arrays_zip(F.col("_heads").alias("k"), cells(F.col("_entry")).alias("v"))).withColumn("_seq", F.col("_at") + 1)
+        own = lambda k: F.filter("_cells", lambda x: (x["k"] == k) & blank_to_null(x["v"]).isNotNull())
+        value = {k: blank_to_null(F.try_element_at(own(k), F.lit(-1))["v"]) for k in HEADERS}
+        made = _csv_columns(value)
+        made["type"] = F.when(F.array_contains("_heads", "type"), made["type"]).otherwise("webpage")
+        columns = {"id": F.concat(F.lit("csv-"), F.col("_seq") + 1), **made, "_errors": F.when(F.size(F.array_compact("_heads")) > 0, _none()).otherwise(F.array(F.lit("no known column")))}
+        return _finish(got, before, columns).where("title IS NOT NULL OR size(_errors) > 0")
+
+    return parse
+
+
 def read_csv(spark: SparkSession, path: str | list[str], sep: str = ",") -> DataFrame:
     return csv_records(spark.read.csv(path, header=True, sep=sep, quote='"', escape='"', multiLine=True))
 
@@ -257,7 +293,7 @@ def format_of_file(name: Column) -> Column:
     return lookup(ENDINGS, F.lower(F.regexp_extract(name, r"\.([A-Za-z]+)$", 1)))
 
 
-PARSERS = {"bibtex": bibtex, "ris": ris, "medline": medline, "endnote": endnote, "csljson": csl_json, "text": identifiers_text}
+PARSERS = {"bibtex": bibtex, "ris": ris, "medline": medline, "endnote": endnote, "csljson": csl_json, "csv": delimited(","), "tsv": delimited("\t"), "text": identifiers_text}
 
 
 def conform(df: DataFrame) -> DataFrame:
@@ -268,9 +304,12 @@ def conform(df: DataFrame) -> DataFrame:
 
 
 def parse_any(df: DataFrame, content: str = "content", fmt: Column | None = None) -> DataFrame:
-    """Contents of mixed formats: each goes to its own parser; the results are one table (SRC22)."""
-    told = df.withColumn("_format", sniff(F.col(content)) if fmt is None else F.coalesce(fmt, sniff(F.col(content))))
+    """Contents of mixed formats: each goes to its own parser; the results are one table (SRC22). A null content, and one
+    of a format that no parser takes, is a row with an error."""
+    told = df.withColumn("_format", F.when(F.col(content).isNotNull(), sniff(F.col(content)) if fmt is None else F.coalesce(fmt, sniff(F.col(content)))))
     parts = [conform(p(told.where(F.col("_format") == k), content)) for k, p in PARSERS.items()]
+    lost = told.where(F.col("_format").isNull() | ~F.col("_format").isin(*PARSERS)).drop(content)
+    parts.append(conform(lost.withColumn("_errors", F.array(F.concat(F.lit("no parser for "), F.coalesce("_format", F.lit("a missing content")))))))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p, allowMissingColumns=True)

@@ -89,3 +89,46 @@ def test_pdf_information(spark):
     raw = bytearray(b"%PDF-1.4 /Title (A \\(b\\)) /CreationDate (D:20200304) doi:10.1000/xyz ")
     r = spark.createDataFrame([(raw,)], "c binary").select(extract.pdf_info(F.col("c")).alias("p"), dates.year_of(extract.pdf_info(F.col("c"))["issued"]).alias("y")).first()
     assert (r.p.title, r.p.DOI, r.y) == ("A (b)", "10.1000/xyz", 2020)
+
+
+def test_an_at_sign_in_a_value_opens_no_entry(spark):
+    (a,) = parsed(spark, parse.bibtex, "@misc{x, note={write to me@site (Lund) or @home{now} soon}, year=2020}")
+    assert a.id == "x" and a.issued.date_parts == [[2020]] and a._errors == []
+    a, b = parsed(spark, parse.bibtex, "@misc{x, title={open}, year=2020\n@misc{y, title={Two}}")
+    assert (a.title, b.title) == ("open", "Two") and a._errors and not b._errors
+
+
+def test_mixed_contents_lose_nothing(spark):
+    contents = ["a,Title,c\n1,\"A, \"\"b\"\"\n c\",2\n", "Title\tYear\tx\nT\t2020\t\n", "TY  - JOUR\nTI  - R\nER  - \n", None, "a,b,c\n1,2,3\n"]
+    got = parse.parse_any(spark.createDataFrame(list(enumerate(contents)), "n int, content string")).orderBy("n").collect()
+    assert [(r.n, r.title) for r in got] == [(0, 'A, "b"\n c'), (1, "T"), (2, "R"), (3, None), (4, None)]
+    assert got[3]._errors and got[4]._errors == ["no known column"] and not got[0]._errors
+
+
+def test_exported_files_are_whole(spark, sf, tmp_path):
+    import json
+
+    r = records(spark, sf).limit(30).repartition(3)
+    for fmt in ("csv", "csljson", "word", "yaml"):
+        write.export(r, fmt, str(tmp_path / fmt))
+    texts = lambda fmt: [p.read_text() for p in sorted((tmp_path / fmt).glob("part-*"))]
+    back = parse.read_csv(spark, str(tmp_path / "csv"))
+    assert {x.title for x in back.collect()} == {x.title.strip() for x in r.collect() if x.title.strip()}
+    assert sum(len(json.loads(t)) for t in texts("csljson")) == 30
+    assert all(t.startswith("<?xml") and t.rstrip().endswith("</b:Sources>") for t in texts("word"))
+    assert all("references:" in t for t in texts("yaml"))
+
+
+def test_backup_and_restore(spark, sf, tmp_path):
+    from quillspark.operators import library
+
+    r = records(spark, sf)
+    library.backup({"records": r}, str(tmp_path / "b"))
+    back = library.restore(spark, str(tmp_path / "b"), {"records": r})["records"]
+    assert sorted(back.collect(), key=lambda x: x._seq) == sorted(r.collect(), key=lambda x: x._seq)
+
+
+def test_host_types(spark):
+    urls = ["https://www.nature.com/articles/x", "https://www.amazon.com/dp/1", "https://www.nytimes.com/a", "https://arxiv.org/abs/1", "https://example.org/z"]
+    got = spark.createDataFrame([(u,) for u in urls], "u string").select(extract.host_type(F.col("u"))).collect()
+    assert [x[0] for x in got] == ["article-journal", "book", "article-newspaper", "article", None]

@@ -3,46 +3,17 @@
 from __future__ import annotations
 
 import math
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspark.tables import drop_table, materialise, shared_dir
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+__all__ = ["batch_bytes", "batch_key", "batches_for", "documents", "drop_table", "fresh", "least_by_hash", "materialise", "shared_dir", "text_volume"]
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a session on one machine
-    gets a temporary one; a cluster has no folder that would do."""
-    set_to = spark.conf.get("spark.checkpoint.dir", None)
-    if set_to:
-        return set_to.rstrip("/")
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        import tempfile
-
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="quillspark-"))
-    return sc.getCheckpointDir().rstrip("/")
-
-
-def materialise(df: DataFrame) -> DataFrame:
-    """Write a table into the shared folder and read it again: cuts lineage and survives a lost executor."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_table(df: DataFrame) -> None:
-    """Remove the files behind a materialised table that no later plan reads."""
-    spark = df.sparkSession
-    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
 def text_volume(df: DataFrame, column: str = "text") -> tuple[int, int]:

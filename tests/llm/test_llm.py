@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quillspark.llm import decontamination, jaccard_join, language_id, license_scan, nearest_neighbours, packing, secret_scan, substring_dedup, suffix_dedup, token_output
-from quillspark.llm.components import components
 from quillspark.llm.tokens import encoder, vocabulary
+from quillspark.operators.components import components
 
 rng = np.random.default_rng(5)
 WORDS = ["".join(rng.choice(list("abcdeéñ"), rng.integers(1, 7))) for _ in range(3000)]
@@ -244,6 +244,20 @@ def test_decontamination_equals_brute_force(spark, docs, table):
     assert len(want) > 4 and sorted_rows(got, ["doc_id", "item_id"]) == sorted_rows(want, ["doc_id", "item_id"])
 
 
+def test_decontamination_of_odd_tables(spark):
+    bench = pd.DataFrame({"item_id": [1, 2, 3], "text": [prose(40), "q1 q2 q3", prose(5)]})
+    long = f"{prose(20_000)} {bench.text[0]} {prose(100)} q1 Q2 q3"
+    table = pd.DataFrame({"doc_id": [5, 5, 6, 7, 8], "text": [long, long, "q1 q2", bench.text[2], None]})
+    items = spark.createDataFrame(bench.assign(doc_id=1))
+    docs = spark.createDataFrame([(*r, "x") for r in table.itertuples(index=False)], "doc_id long, text string, item_id string")
+    got = decontamination.contaminated(docs, items).toPandas()
+    want = decontamination.brute_force(table, bench)
+    assert sorted_rows(got, ["doc_id", "item_id", "similarity"]) == sorted_rows(want, ["doc_id", "item_id", "similarity"])
+    assert sorted(zip(got.doc_id, got.item_id, strict=True)) == [(5, 1), (5, 1), (5, 2), (5, 2), (7, 3)]
+    assert decontamination.contaminated(docs.where("false"), items).collect() == []
+    assert decontamination.contaminated(docs, items.where("false")).collect() == []
+
+
 def test_licenses(spark):
     notes = list(license_scan.TEMPLATES.values())
     rows = [(i, f"{prose(20)}\n{t}\n{prose(20)}") for i, t in enumerate(notes)] + [(90, f"{notes[0]} {notes[0]} {notes[2]}"), (91, "Released quietly under cover"), (92, None), (93, "")]
@@ -364,6 +378,44 @@ def test_token_digests(spark, sf):
     assert all(got[r.doc_id] == zlib.crc32(np.array([*tokens_of(r.text), 2], "<u4").tobytes()) for r in some)
 
 
+def test_token_files_have_the_encodings_and_indexes(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    df = spark.createDataFrame([(i, prose(60)) for i in range(3000)], "doc_id long, text string")
+    token_output.write_tokens(df.union(df.where("doc_id < 3")).union(spark.createDataFrame([(None, "x"), (None, None)], df.schema)), str(tmp_path / "t"), vocabulary(), page_rows=200)
+    files = sorted((tmp_path / "t").glob("*.parquet"))
+    for f in files:
+        meta = pq.ParquetFile(f).metadata
+        columns = {meta.row_group(0).column(i).path_in_schema: meta.row_group(0).column(i) for i in range(meta.num_columns)}
+        assert all(c.has_offset_index and c.has_column_index and c.compression == "ZSTD" for c in columns.values())
+        assert all("DELTA_BINARY_PACKED" in columns[c].encodings for c in ("doc_id", "n_tokens", "before"))
+        assert "RLE_DICTIONARY" in columns["tokens.list.element"].encodings
+    back = token_output.read_tokens(spark, str(tmp_path / "t"))
+    rows = back.collect()
+    assert len(rows) == 3005 and rows[0].doc_id is None and sum(r.n_tokens for r in rows) == max(r.start + r.n_tokens for r in rows)
+    ends = sorted((r.start, r.start + r.n_tokens) for r in rows)
+    assert ends[0][0] == 0 and all(a[1] == b[0] for a, b in zip(ends, ends[1:], strict=False))
+    some = back.where("doc_id BETWEEN 1200 AND 1204").select("doc_id", "n_tokens")
+    plan = some._jdf.queryExecution().toString()
+    assert "GreaterThanOrEqual(doc_id,1200)" in plan and some.count() == 5
+    token_output.write_tokens(df.where("false"), str(tmp_path / "e"), vocabulary())
+    assert token_output.read_tokens(spark, str(tmp_path / "e")).collect() == []
+
+
+def test_pieces_equal_the_tokenizer(spark):
+    rows = [(1, prose(5000)), (1, prose(3)), (None, "x y"), (2, None), (3, ""), (4, prose(2046))]
+    df = spark.createDataFrame([(*r, 7, "s") for r in rows], "doc_id long, text string, salt int, rank string")
+    want = []
+    for d, t in rows:
+        ids = [*tokens_of(t), 0]
+        want += [(str(d), i // 2048, i, len(ids[i : i + 2048]), zlib.crc32(np.array(ids[i : i + 2048], "<u4").tobytes())) for i in range(0, len(ids), 2048)]
+    pieces = packing.token_pieces(df, vocabulary())
+    got = packing.pack(pieces.withColumns({"salt": F.lit(7), "rank": F.lit("s"), "own": F.lit(1)})).collect()
+    assert sorted((str(r.doc_id), r.piece, r.start, r.length, r.ids_crc32) for r in got) == sorted(want)
+    assert {(r.salt, r["rank"], r.own) for r in got} == {(7, "s", 1)}
+    assert packing.pack(packing.token_pieces(df.where("false"), vocabulary())).collect() == []
+
+
 def test_best_fit_decreasing_is_the_rule():
     for _ in range(20):
         lengths = rng.integers(1, 60, 400)
@@ -394,6 +446,14 @@ def test_language_id_on_held_out_documents(spark):
     assert {r.lang_pred for r in language_id.identify(df, None).collect()} == {"und"}
 
 
+def test_language_id_of_odd_tables(spark):
+    df = spark.createDataFrame([(i, "the cat" if i % 2 else "der hund", "en" if i % 2 else "de", i) for i in range(40)], "doc_id long, text string, lang string, letters int")
+    assert language_id.train(df.where("false")) is None
+    net = language_id.train(df, limit=10)
+    out = language_id.identify(df, net)
+    assert out.columns == [*df.columns, "lang_pred", "score"] and out.select("letters").distinct().count() == 40
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (3, 4), (10, 11), (12, 11), (5, 5), (None, 7)] + [(100 + i, 101 + i) for i in range(40)]
     got = dict(components(spark.createDataFrame(edges, "a long, b long")).select("node", "root").collect())

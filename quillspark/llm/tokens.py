@@ -22,7 +22,7 @@ KIND[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = 1
 KIND[0x30:0x3A] = 2
 KIND[0x80:] = 4
 #: Distinct pieces that a worker keeps, and bytes of them; beyond these the table starts again.
-MAX_PIECES, MAX_BYTES = 1_500_000, 64 << 20
+MAX_PIECES, MAX_BYTES = 500_000, 16 << 20
 _encoders: dict[str, PieceEncoder] = {}
 
 

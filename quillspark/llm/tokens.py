@@ -22,7 +22,7 @@ KIND[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = 1
 KIND[0x30:0x3A] = 2
 KIND[0x80:] = 4
 #: Distinct pieces that a worker keeps, and bytes of them; beyond these the table starts again.
-MAX_PIECES, MAX_BYTES = 500_000, 16 << 20
+MAX_PIECES, MAX_BYTES = 1_000_000, 32 << 20
 _encoders: dict[str, PieceEncoder] = {}
 
 
@@ -48,7 +48,7 @@ class PieceEncoder:
         self.clear()
 
     def clear(self) -> None:
-        self.keys = np.zeros(0, np.uint64)
+        self.keys, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.int32)  # sorted; the others stand in order of arrival
         self.first = np.zeros(0, np.int64)  # of a piece's ids in self.ids
         self.count = np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.uint32)
@@ -89,11 +89,9 @@ class PieceEncoder:
         starts = ends - np.array([len(x) for x in data])
         self.blob = np.concatenate([self.blob, np.frombuffer(b"".join(data), np.uint8)])
         at = np.searchsorted(self.keys, keys)
-        self.keys = np.insert(self.keys, at, keys)
-        self.first = np.insert(self.first, at, first)
-        self.count = np.insert(self.count, at, count)
-        self.at = np.insert(self.at, at, starts)
-        self.end = np.insert(self.end, at, ends)
+        self.keys, self.slot = np.insert(self.keys, at, keys), np.insert(self.slot, at, np.arange(len(self.first), len(self.first) + len(keys)))
+        self.first, self.count = np.concatenate([self.first, first]), np.concatenate([self.count, count])
+        self.at, self.end = np.concatenate([self.at, starts]), np.concatenate([self.end, ends])
 
     def together(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of pieces that are one word each: encoded as lines of many words and cut where a word ends."""
@@ -132,7 +130,7 @@ class PieceEncoder:
             new = where[~known]
             data = low.tobytes()
             self.learn(distinct[~known], [data[s:e].decode("utf-8", "replace") for s, e in zip(starts[new].tolist(), ends[new].tolist(), strict=True)])
-        at = np.searchsorted(self.keys, distinct)[back]
+        at = self.slot[np.searchsorted(self.keys, distinct)][back]
         n = ends - starts
         if not ((self.end[at] - self.at[at] == n).all() and same_bytes(low, starts, self.blob, self.at[at], n).all()):
             return self.encode_texts(raw, offsets)  # two pieces of one hash

@@ -206,11 +206,11 @@ def brute_force(docs: pd.DataFrame, benchmark: pd.DataFrame, similarity: float =
     rows = []
     items = [(i, bag(t)) for i, t in zip(benchmark.item_id, benchmark.text, strict=True)]
     for d, t in zip(docs.doc_id, docs.text, strict=True):
-        s = bag(t)
+        s, w = bag(t), words_of(t)
         have = set(s)
         for i, want in items:
             if not want or len(want[0]) < size:
-                if want and want[0] in {tuple(words_of(t)[i : i + len(want[0])]) for i in range(len(words_of(t)))}:
+                if want and want[0] in {tuple(w[p : p + len(want[0])]) for p in range(len(w))}:
                     rows.append((d, i, 1.0))
                 continue
             if have.isdisjoint(want):

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quillspark.functions.identifiers import first_match
-from quillspark.functions.text import lookup
+from quillspark.functions.text import lookup, once
 from quillspark.schema import DATE
 
 # Months.
@@ -81,6 +81,26 @@ def page_date(c: Column) -> Column:
     return F.when(s.rlike(r"^\d{4}"), date(leading(part(1), part(2), part(3)))).when(t.isNotNull(), date(F.array(F.year(t), F.month(t), F.day(t)))).otherwise(date(literal=s))
 
 
+# Dates in the front matter of a paper, in the order they are tried.
+FRONT = (
+    r"(?i)(\d{1,2}\s+(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*\.?\s+\d{4})",
+    r"(?i)((?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*\.?\s+\d{1,2},?\s+\d{4})",
+    r"(\d{4}-\d{2}-\d{2})",
+)
+
+
+def front_date(c: Column) -> Column:
+    """DT10: the first of three kinds of date in a text that is a day of the calendar; null if none is."""
+    def made(found: Column) -> Column:
+        number = F.lpad(month_number(F.regexp_extract(found, r"([A-Za-z]+)", 1)).cast("string"), 2, "0")
+        day = F.lpad(F.regexp_extract(found, r"^\D*(\d{1,2})\b", 1), 2, "0")
+        return F.try_to_timestamp(F.concat_ws("-", F.regexp_extract(found, r"(\d{4})$", 1), number, day), F.lit("yyyy-MM-dd"))
+
+    iso = F.try_to_timestamp(first_match(c, FRONT[2]), F.lit("yyyy-MM-dd"))
+    t = F.coalesce(once(first_match(c, FRONT[0]), made), once(first_match(c, FRONT[1]), made), iso)
+    return once(t, lambda t: F.when(t.isNotNull(), date(F.array(F.year(t), F.month(t), F.day(t)))))
+
+
 def fuzzy_date(c: Column) -> Column:
     """DT5: a year from 1500 to 2999, a full English month, a day up to 31; without a year literal."""
     year = first_match(c, r"\b(1[5-9]\d{2}|2\d{3})\b").cast("int")

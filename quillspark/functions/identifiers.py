@@ -144,7 +144,12 @@ def from_file_name(name: Column) -> Column:
 
 
 def link_target(url: Column) -> Column:
-    """MUT12: what a link resolves to: its DOI, else an ISBN in its path, else null."""
-    doi = first_match(url, r"(10\.\d{4,}/[^\s?#]+)")
-    isbn = isbn_key(first_match(url, r"/(97[89][\d-]{10,14}|\d{9}[\dXx])(?:[/?#]|$)"))
-    return F.coalesce(trim_doi(doi), isbn)
+    """MUT12: what a link resolves to: its DOI, else the first digits in it that have the shape of an ISBN, else null."""
+    return F.coalesce(trim_doi(first_match(url, r"(10\.\d{4,}/[^\s&?#]+)")), first_match(url, r"(97[89]\d{10}|\d{9}[\dXx])"))
+
+
+def selection_target(text: Column) -> Column:
+    """MUT12: what a selected text resolves to: a DOI anywhere in it, else an ISBN of 13 digits, else a PMID, else the text."""
+    doi = trim_doi(first_match(text, r"(10\.\d{4,}/[^\s\"'<>)\]},;]{3,})"))
+    pmid = first_match(text, r"(?i)(?:pmid:?\s*)(\d{5,})")
+    return F.coalesce(doi, first_match(text, r"((?:978|979)[\d-]{10,})"), F.concat(F.lit("PMID:"), pmid), F.nullif(F.trim(text), F.lit("")))

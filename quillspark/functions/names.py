@@ -66,6 +66,11 @@ def ris_name(c: Column) -> Column:
     return F.when(F.size(p) >= 2, name(p[0], blank_to_null(p[1]), rest)).otherwise(name(literal=_trim(c)))
 
 
+def plain_name(c: Column) -> Column:
+    """A name as services tell it: the last word is the family; one word is literal."""
+    return _last_word_family(_trim(c))
+
+
 def endnote_name(c: Column) -> Column:
     """NAM3: split at the first comma; else the last word is the family."""
     at = F.instr(c, ",")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -16,6 +17,11 @@ def blank_to_null(c: Column) -> Column:
     return F.nullif(F.trim(c), F.lit(""))
 
 
+def once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that many parts of f read: it is bound, so that each row computes it once."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def lookup(table: dict[str, str], key: Column, other: str | None = None) -> Column:
     """Value of a fixed table by key."""
     pairs = [F.lit(x) for kv in table.items() for x in kv]
@@ -175,10 +181,32 @@ def squeeze(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(c, r"[ \t]+", " "), r"\n{3,}", "\n\n"))
 
 
+def any_label(labels: tuple[str, ...]) -> str:
+    """Pattern of a line that holds one of the labels with a value behind it."""
+    any_ = "|".join(rf"\Q{x}\E" for x in labels)
+    return rf"(?im)^((?:(?:{any_})[ \t]*[:\-]|.*\b(?:{any_})\b(?:[ \t]*[:\-]|[ \t]))[ \t]*\S.*)$"
+
+
+def label_patterns(label: str) -> tuple[str, ...]:
+    """Patterns of the value of a label within a line, strongest first: at its head, anywhere, without a sign between."""
+    return (rf"(?i)^\Q{label}\E\s*[:\-]\s*(.+)$", rf"(?i)\b\Q{label}\E\b\s*[:\-]\s*(.+)$", rf"(?i)\b\Q{label}\E\b\s+(.+)$")
+
+
+def value_at(c: Column, line: Column, patterns: Column) -> Column:
+    """The first value that the patterns find in the first line that matches `line`."""
+    found = lambda own: F.transform(patterns, lambda p: blank_to_null(F.trim(F.call_function("regexp_extract", own, p, F.lit(1)))))
+    return once(F.call_function("regexp_extract", c, line, F.lit(1)), lambda own: F.when(own != "", F.get(F.array_compact(found(own)), F.lit(0))))
+
+
 def labelled(c: Column, *labels: str) -> Column:
-    """STR24: the value after the first `label: value` or `label - value` of a line."""
-    names = "|".join(rf"\Q{x}\E" for x in labels)
-    return blank_to_null(F.regexp_extract(c, rf"(?im)^\s*(?:{names})\s*[:\-–]\s*(.+)$", 1))
+    """STR24: the value of a label on the first line that holds one; of several labels on it the first named counts."""
+    return value_at(c, F.lit(any_label(labels)), F.array(*(F.lit(p) for x in labels for p in label_patterns(x))))
+
+
+def term(terms: Column, name: Column, form: str = "long", plural: bool = False) -> Column:
+    """STR27: a locale's term from a map of `name/form` to (value, plural); the long form where the own one is missing."""
+    own = F.coalesce(F.try_element_at(terms, F.concat_ws("/", name, F.lit(form))), F.try_element_at(terms, F.concat_ws("/", name, F.lit("long"))))
+    return F.coalesce(own["plural"], own["value"]) if plural else own["value"]
 
 
 def strip_site(title: Column, site: Column) -> Column:

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from quillspark import schema
 from quillspark.functions import dates, names
 from quillspark.functions.identifiers import trim_doi
-from quillspark.functions.text import blank_to_null, inverted_abstract, lookup
+from quillspark.functions.text import blank_to_null, inverted_abstract, lookup, once
+from quillspark.operators import extract
 
 
 def from_form(df: DataFrame) -> DataFrame:
@@ -87,6 +88,82 @@ def from_openalex(payload: Column) -> Column:
     )
 
 
+def _people(c: Column) -> Column:
+    return F.transform(F.coalesce(c, F.array().cast("array<string>")), names.plain_name)
+
+
+def from_open_library(payload: Column, isbn: Column) -> Column:
+    """PRJ8: a book of Open Library; the payload holds it under `ISBN:` and its number. Null if it is not there."""
+    book = "struct<title:string,authors:array<struct<name:string>>,publish_date:string,publishers:array<struct<name:string>>,publish_places:array<struct<name:string>>,number_of_pages:string,url:string>"
+    plain = F.regexp_replace(F.trim(isbn), r"[-\s]", "")
+    head = lambda c: F.get(c, F.lit(0))["name"]
+    made = lambda b: F.struct(
+        F.lit("book").alias("type"), b["title"].alias("title"), _people(b["authors"]["name"]).alias("author"), F.when(b["publish_date"].isNotNull(), dates.fuzzy_date(b["publish_date"])).alias("issued"),
+        head(b["publishers"]).alias("publisher"), head(b["publish_places"]).alias("publisher_place"), b["number_of_pages"].alias("number_of_pages"), plain.alias("ISBN"), b["url"].alias("URL"),
+    )
+    found = F.try_element_at(F.from_json(payload, f"map<string,{book}>"), F.concat(F.lit("ISBN:"), plain))
+    return once(found, lambda b: F.when(b.isNotNull(), made(b)))
+
+
+def from_google_books(payload: Column, isbn: Column) -> Column:
+    """PRJ8: the first volume of a Google Books answer; null if there is none."""
+    kind = "struct<items:array<struct<volumeInfo:struct<title:string,authors:array<string>,publishedDate:string,publisher:string,pageCount:string,description:string,language:string,infoLink:string>>>>"
+    made = lambda v: F.struct(
+        F.lit("book").alias("type"), v["title"].alias("title"), _people(v["authors"]).alias("author"), F.when(v["publishedDate"].isNotNull(), dates.fuzzy_date(v["publishedDate"])).alias("issued"), v["publisher"].alias("publisher"),
+        v["pageCount"].alias("number_of_pages"), F.regexp_replace(F.trim(isbn), r"[-\s]", "").alias("ISBN"), v["description"].alias("abstract"), v["language"].alias("language"), v["infoLink"].alias("URL"),
+    )
+    return once(F.get(F.from_json(payload, kind)["items"], F.lit(0))["volumeInfo"], lambda v: F.when(v.isNotNull(), made(v)))
+
+
+def from_semantic_scholar(payload: Column, arxiv: Column) -> Column:
+    """PRJ8: a paper of Semantic Scholar by its arXiv number; null without a title."""
+    kind = "struct<title:string,authors:array<struct<name:string>>,year:int,abstract:string,externalIds:struct<DOI:string>,publicationDate:string>"
+    day = lambda p: F.when(p["publicationDate"].isNotNull(), dates.form_date(p["publicationDate"])).when(p["year"].isNotNull(), dates.date(F.array(p["year"])))
+    made = lambda p: F.struct(
+        F.lit("article").alias("type"), p["title"].alias("title"), _people(p["authors"]["name"]).alias("author"), day(p).alias("issued"), p["abstract"].alias("abstract"),
+        F.coalesce(p["externalIds"]["DOI"], F.concat(F.lit("10.48550/arXiv."), arxiv)).alias("DOI"), F.concat(F.lit("https://arxiv.org/abs/"), arxiv).alias("URL"), arxiv.alias("number"),
+    )
+    return once(F.from_json(payload, kind), lambda p: F.when(F.coalesce(p["title"], F.lit("")) != "", made(p)))
+
+
+def from_citoid(payload: Column, url: Column) -> Column:
+    """PRJ8: the first item of a Citoid answer, or the one that it is; null if there is none."""
+    item = "struct<itemType:string,title:string,creators:array<struct<creatorType:string,lastName:string,firstName:string,name:string>>,date:string,publicationTitle:string,websiteTitle:string,volume:string,issue:string,pages:string,publisher:string,DOI:string,ISBN:string,ISSN:string,url:string,abstractNote:string,language:string>"
+    text = F.trim(payload)
+    none = F.array().cast("array<struct<creatorType:string,lastName:string,firstName:string,name:string>>")
+
+    def made(i: Column) -> Column:
+        own = lambda *fs: F.coalesce(*(F.nullif(i[f], F.lit("")) for f in fs))
+        writers = F.filter(F.coalesce(i["creators"], none), lambda c: c["creatorType"] == "author")
+        people = F.transform(writers, lambda c: F.when(F.coalesce(c["lastName"], F.lit("")) != "", names.name(c["lastName"], F.coalesce(c["firstName"], F.lit("")))).otherwise(names.name(literal=F.coalesce(c["name"], F.lit("")))))
+        plain = (("volume", "volume"), ("issue", "issue"), ("pages", "page"), ("publisher", "publisher"), ("DOI", "DOI"), ("ISBN", "ISBN"), ("ISSN", "ISSN"), ("abstractNote", "abstract"), ("language", "language"))
+        return F.struct(
+            lookup(schema.CITOID_TYPES, i["itemType"], "webpage").alias("type"), own("title").alias("title"), people.alias("author"), F.when(own("date").isNotNull(), dates.fuzzy_date(i["date"])).alias("issued"),
+            own("publicationTitle", "websiteTitle").alias("container_title"), *(own(a).alias(b) for a, b in plain), F.coalesce(own("url"), url).alias("URL"),
+        )
+
+    item_ = F.when(text.startswith("["), F.get(F.from_json(text, f"array<{item}>"), F.lit(0))).otherwise(F.from_json(text, item))
+    return once(item_, lambda i: F.when(i.isNotNull(), made(i)))
+
+
+def from_arxiv_page(html: Column, arxiv: Column) -> Column:
+    """PRJ8: a paper by the abstract page of its arXiv number."""
+    told = F.regexp_extract(html, r'(?is)<blockquote[^>]*class="abstract[^"]*"[^>]*>.*?<span class="descriptor">[^<]*</span>\s*(.*?)</blockquote>', 1)
+    about = blank_to_null(F.trim(F.regexp_replace(F.regexp_replace(told, "<[^>]+>", ""), r"\s+", " ")))
+
+    def made(m: Column) -> Column:
+        all_ = lambda name: F.transform(F.filter(m, lambda t: t["name"] == name), lambda t: t["content"])
+        one = lambda name: F.get(all_(name), F.lit(0))
+        people = F.transform(all_("citation_author"), lambda x: F.when(x.contains(","), names.ris_name(x)).otherwise(names.plain_name(x)))
+        day = F.regexp_replace(F.coalesce(one("citation_date"), one("citation_publication_date")), "/", "-")
+        return F.struct(
+            F.lit("article").alias("type"), one("citation_title").alias("title"), people.alias("author"), dates.form_date(day).alias("issued"), about.alias("abstract"),
+            F.coalesce(one("citation_doi"), F.concat(F.lit("10.48550/arXiv."), arxiv)).alias("DOI"), F.concat(F.lit("https://arxiv.org/abs/"), arxiv).alias("URL"), arxiv.alias("number"),
+        )
+
+    return once(extract.metas(html), made)
+
+
 def from_file_name(name: Column) -> Column:
     """PRJ10: a title from a file name."""
     base = F.regexp_replace(F.regexp_replace(F.coalesce(F.try_url_decode(name), name), r"^.*/", ""), r"\.[A-Za-z0-9]{1,5}$", "")

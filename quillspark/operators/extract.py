@@ -71,7 +71,7 @@ def meta_values(metas_: Column, field: str) -> Column:
     out = F.array().cast("array<string>")
     for name in reversed(META[field]):
         own = F.transform(F.filter(metas_, _named(name)), lambda m: m["content"])
-        out = F.when(F.size(own) > 0, own).otherwise(out)
+        out = F.when(F.exists(metas_, _named(name)), own).otherwise(out)
     return out
 
 

@@ -106,6 +106,14 @@ def plain(html: Column) -> Column:
     return unescape_html(html)
 
 
+def both(rendered: Column, rendered_in_text: Column, family: str, html: bool = False, narrative: bool = False) -> Column:
+    """FMT5: entry and citation by a style's own renderer where it gave any, else by family; narrative always by family."""
+    own = rendered if html else plain(rendered)
+    by_family = bibliography(family) if html else plain(bibliography(family))
+    cited = in_text(family, True) if narrative else F.coalesce(F.nullif(rendered_in_text, F.lit("")), in_text(family))
+    return F.struct(F.coalesce(F.nullif(own, F.lit("")), by_family).alias("bib"), cited.alias("intext"))
+
+
 def in_text(family: str, narrative: bool = False) -> Column:
     """FMT4: a citation in the text."""
     if family in ("ieee", "vancouver"):

@@ -81,6 +81,11 @@ CSV_TYPES = {
 }
 CROSSREF_TYPES = {"journal-article": "article-journal", "book-chapter": "chapter", "proceedings-article": "paper-conference", "book": "book", "monograph": "book", "report": "report", "dataset": "dataset", "posted-content": "article", "dissertation": "thesis"}
 OPENALEX_TYPES = {**CROSSREF_TYPES, "article": "article-journal", "review": "article-journal", "paratext": "webpage"}
+CITOID_TYPES = {
+    "journalArticle": "article-journal", "newspaperArticle": "article-newspaper", "magazineArticle": "article-magazine", "book": "book", "bookSection": "chapter", "conferencePaper": "paper-conference",
+    "thesis": "thesis", "report": "report", "blogPost": "post-weblog", "webpage": "webpage", "patent": "patent", "film": "motion-picture", "dataset": "dataset", "computerProgram": "software",
+    "statute": "legislation", "case": "legal-case", "presentation": "speech", "encyclopediaArticle": "entry-encyclopedia", "dictionaryEntry": "entry-dictionary",
+}
 # Record types to target types; the last is for all others.
 TO_BIBTEX = {
     "article-journal": "article", "article-magazine": "article", "article-newspaper": "article", "book": "book", "collection": "book", "chapter": "incollection", "paper-conference": "inproceedings", "thesis": "phdthesis",

@@ -6,6 +6,8 @@ the text without line breaks; both read whole texts. A null or empty text has no
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -244,22 +246,20 @@ def case_name(lines: Column) -> Column:
     return F.coalesce(F.trim(line), F.trim(inside))
 
 
-def _rule(field: str, tags: tuple[str, ...], name: str | None, more: tuple[str, ...] = ()) -> Column:
-    patterns = PATTERNS.get(name, ()) + more
-    strings = lambda xs: F.array(*map(F.lit, xs)).cast("array<string>")
-    return F.struct(F.lit(field).alias("field"), F.lit(any_label(tags) if tags else None).cast("string").alias("line"), strings([p for t in tags for p in label_patterns(t)]).alias("forms"), strings(patterns).alias("patterns"))
+def _rule(field: str, labels: tuple[str, ...], name: str | None, more: tuple[str, ...] = ()) -> dict:
+    line = any_label(labels) if labels else None
+    return {"field": field, "line": line, "forms": [p for x in labels for p in label_patterns(x)], "patterns": [*PATTERNS.get(name, ()), *more]}
 
 
 def _rules() -> Column:
-    """The fixed tables as one map of literals: type to the rules of its fields."""
+    """The fixed tables as one literal: type to the rules of its fields."""
     compact = {("article-journal", "volume"): (_VOLUME,), ("article-journal", "issue"): (_ISSUE,), ("article-journal", "pages"): (_SPAN,)}
-    table = []
+    table = {}
     for kind, own in {**LABELS, "unknown": {}}.items():
-        rules = [_rule(f, tags, name, compact.get((kind, f), ())) for f, (tags, name) in {**SHARED, **own}.items()]
+        table[kind] = [_rule(f, labels, name, compact.get((kind, f), ())) for f, (labels, name) in {**SHARED, **own}.items()]
         if kind in PEOPLE:
-            rules.append(_rule(*PEOPLE[kind], None))
-        table += [F.lit(kind), F.array(*rules)]
-    return F.create_map(*table)
+            table[kind].append(_rule(*PEOPLE[kind], None))
+    return F.from_json(F.lit(json.dumps(table)), "map<string,array<struct<field:string,line:string,forms:array<string>,patterns:array<string>>>>")
 
 
 def _value(rule: Column, lines: Column, text: Column) -> Column:

@@ -135,7 +135,7 @@ def url_only(title: Column, url: Column) -> Column:
 def pdf_info(content: Column) -> Column:
     """SRC15: title, author and date of a PDF's information dictionary, and identifiers in its first 32 KB."""
     raw = F.decode(content, "ISO-8859-1")
-    field = lambda k: blank_to_null(F.regexp_replace(F.regexp_extract(raw, rf"/{k}\s*\(((?:\\.|[^\\)])*)\)", 1), r"\\(.)", "$1"))
+    field = lambda k: blank_to_null(F.regexp_replace(F.regexp_extract(raw, rf"/{k}\s*\(((?:\\.|[^\\)]++)*+)\)", 1), r"\\(.)", "$1"))
     head = F.substring(raw, 1, 32768)
     return F.struct(field("Title").alias("title"), field("Author").alias("author"), dates.pdf_date(field("CreationDate")).alias("issued"), identifiers.identifiers_in(head)["DOI"].alias("DOI"), identifiers.identifiers_in(head)["ISBN"].alias("ISBN"))
 

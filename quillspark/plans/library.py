@@ -34,7 +34,7 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     host = F.when(n % 6 != 1, F.concat(F.lit("Journal of Studies "), n % 17))
     tags = F.when(F.col("quality").isNotNull(), F.array_compact(F.array(F.when(F.col("quality") == 1, "good"), F.when(F.col("toxic") == 1, "toxic"), F.concat(F.lit("t"), n % 5))))
     return d.join(labels, "doc_id", "left").select(
-        F.concat(F.lit("d"), n).alias("id"), n.alias("_seq"), kind.alias("type"), F.substring(F.split("text", "\n")[0], 1, 80).alias("title"), F.when(n % 9 == 0, F.lit(None)).when(n % 8 == 0, F.array(group)).otherwise(people).alias("author"),
+        F.concat(F.lit("d"), n).alias("id"), n.alias("_seq"), kind.alias("type"), F.split("text", "\n")[0].alias("title"), F.when(n % 9 == 0, F.lit(None)).when(n % 8 == 0, F.array(group)).otherwise(people).alias("author"),
         issued.alias("issued"), host.alias("container_title"), F.when(n % 4 != 0, (n % 90 + 1).cast("string")).alias("volume"), F.when(n % 5 != 0, (n % 12 + 1).cast("string")).alias("issue"),
         F.when(n % 7 != 0, F.concat((n % 400 + 1).cast("string"), F.lit("-"), (n % 400 + 12).cast("string"))).alias("page"), F.when(n % 3 != 2, _pick(PUBLISHERS, n)).alias("publisher"),
         F.when(n % 4 != 3, F.concat(F.lit("10."), F.lit(1000) + n % 40, F.lit("/Ab."), n % 701)).alias("DOI"), F.when(n % 6 == 1, F.concat(F.lit("978-0-"), F.lit(10000000) + n % 350)).alias("ISBN"),
@@ -49,7 +49,7 @@ def _sql_pick(values: tuple[str, ...], at: str) -> str:
 
 
 RECORDS_SQL = f"""rec AS (
-  SELECT 'd' || d.doc_id AS id, d.doc_id AS n, d.doc_id AS _seq, {_sql_pick(KINDS, "d.doc_id")} AS type, substr(split_part(text, chr(10), 1), 1, 80) AS title,
+  SELECT 'd' || d.doc_id AS id, d.doc_id AS n, d.doc_id AS _seq, {_sql_pick(KINDS, "d.doc_id")} AS type, split_part(text, chr(10), 1) AS title,
     CASE WHEN d.doc_id % 9 = 0 THEN 0 WHEN d.doc_id % 8 = 0 THEN 1 ELSE greatest(d.doc_id % 8, 1) END AS n_authors, d.doc_id % 9 <> 0 AND d.doc_id % 8 = 0 AS is_group,
     CASE WHEN d.doc_id % 9 = 0 THEN [] WHEN d.doc_id % 8 = 0 THEN ['Group ' || (d.doc_id % 13)] ELSE list_transform(range(1, greatest(d.doc_id % 8, 1) + 1), lambda i: {_sql_pick(FAMILY_NAMES, "d.doc_id + i * 3")}) END AS families,
     CASE WHEN d.doc_id % 9 = 0 OR d.doc_id % 8 = 0 THEN [] ELSE list_transform(range(1, greatest(d.doc_id % 8, 1) + 1), lambda i: {_sql_pick(GIVEN_NAMES, "d.doc_id + i")}) END AS givens,

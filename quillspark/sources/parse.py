@@ -233,7 +233,7 @@ def csv_records(table: DataFrame, seq: Column | None = None) -> DataFrame:
 def delimited(sep: str):
     """SRC6 for contents: the first line has the headers; a quoted field may hold separators, quotes and line ends."""
     quoted = r'"(?:[^"]|"")*+"'
-    row, cell = rf'(?:{quoted}|[^"\n])+', rf'(?:^|{sep})({quoted}|[^"{sep}]*)'
+    row, cell = rf'(?:{quoted}|[^"\n]++)++', rf'(?:^|{sep})({quoted}|[^"{sep}]*)'
 
     def cells(line: Column) -> Column:
         raw = F.regexp_extract_all(line, F.lit(cell), F.lit(1))

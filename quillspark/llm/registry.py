@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import decontamination, interaction_audit, jaccard_join, language_id, license_scan, nearest_neighbours, packing, periodic_runs, secret_scan, substring_dedup, suffix_dedup, token_output
+from quillspark.llm import decontamination, interaction_audit, itq_dedup, jaccard_join, language_id, license_scan, nearest_neighbours, packing, periodic_runs, secret_scan, substring_dedup, suffix_dedup, token_output
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_language_id": language_id.op9_language_id,
     "op8_best_fit_packing": packing.op8_best_fit_packing,
     "op10_token_output": token_output.op10_token_output,
+    "op11_itq_dedup": itq_dedup.op11_itq_dedup,
     "op12_interaction_audit": interaction_audit.op12_interaction_audit,
     "op13_periodic_runs": periodic_runs.op13_periodic_runs,
 }

@@ -31,7 +31,7 @@ from quillspark.operators.components import components
 #: The rotation is fitted on at most SAMPLE vectors in ROUNDS rounds and gives codes of at most BITS bits.
 SAMPLE, ROUNDS, BITS = 20_000, 30, 64
 #: Numbers of blocks to choose from, and what a row of a table costs in comparisons of two codes.
-BLOCKS, ROW_COST = (2, 3, 4, 5, 6, 8, 10, 12, 16), 400
+BLOCKS, ROW_COST = (16, 12, 10, 8, 6, 5, 4, 3, 2), 400
 #: Rows of one side of a tile of a bucket, or of a family; pairs that are compared at once.
 BUCKET, FAMILY, PAIRS = 8192, 4096, 1 << 20
 #: Rows that a task holds before it works on the groups that are complete.
@@ -365,18 +365,21 @@ def fitted(points: DataFrame, least_cosine: float) -> Codes:
     x, group = directions(vectors(sample.column("embedding"))), sample.column("group").to_numpy()
     codes = Codes(x, least_cosine)
     at = codes.coordinates(x)
-    asked = at[:500]
-    growth = max(1.0, points.count() / len(x))
-    costs = []
+    n_asked, n = min(500, len(at)), points.count()
+    lot = np.unique(group, return_inverse=True)[1] << 48  # sample rows have fewer labels than that leaves room for
+    costs: list[tuple[float, int]] = []
     for m in [m for m in BLOCKS if m <= codes.bits and -(-codes.bits // m) <= 32] or [1]:
         codes.split(m)
         keys = codes.keys(at)
-        row, block, mask = codes.flips(asked)
-        looks = keys[row, block] ^ mask
-        held, count = np.unique(np.stack([np.tile(group, m), keys.T.ravel()], axis=1), axis=0, return_counts=True)
-        table = {k: c for k, c in zip(map(tuple, held.tolist()), count.tolist(), strict=True)}
-        pairs = sum(table.get(k, 0) for k in zip(group[row].tolist(), looks.tolist(), strict=True)) + sum(table[k] for k in zip(np.repeat(group[: len(asked)], m).tolist(), keys[: len(asked)].ravel().tolist(), strict=True)) / 2
-        costs.append((ROW_COST * (m + len(row) / len(asked)) + growth * pairs / len(asked), m))
+        row, block, mask = codes.flips(at[:n_asked])
+        rows = ROW_COST * (m + len(row) / n_asked)
+        if costs and rows > min(costs)[0]:
+            break  # fewer blocks take more rows still
+        held = np.sort((keys ^ lot[:, None]).ravel())
+        looks = np.concatenate([(keys[row, block] ^ mask) ^ lot[row], (keys[:n_asked] ^ lot[:n_asked, None]).ravel()])
+        met = np.searchsorted(held, looks, side="right") - np.searchsorted(held, looks)
+        pairs = met[: len(row)].sum() + met[len(row) :].sum() / 2
+        costs.append((rows + n / len(x) * pairs / n_asked, m))
     codes.split(min(costs)[1])
     return codes
 

@@ -144,15 +144,15 @@ def window_scores(raw: np.ndarray, offsets: np.ndarray, net: Network, tables: li
     return total
 
 
-def identify(docs: DataFrame, net: Network | None) -> DataFrame:
-    """Add lang_pred and score to documents; all columns stay (columns of these names are replaced).
+def identify(docs: DataFrame, net: Network | None, language: str = "lang_pred", score: str = "score") -> DataFrame:
+    """Add the columns `language` and `score` to documents; all columns stay (columns of these names are replaced).
 
     A null text, and one without a letter, is `und` with score 0; so is every text without a network. The text
     alone decides.
     """
-    kept = docs.drop("lang_pred", "score")
+    kept = docs.drop(*(c for c in (language, score) if c in docs.columns))
     if net is None:
-        return kept.withColumns({"lang_pred": F.lit("und"), "score": F.lit(0.0)})
+        return kept.withColumns({language: F.lit("und"), score: F.lit(0.0)})
     shared = docs.sparkSession.sparkContext.broadcast(net)
     letters = common.fresh(kept, "letters")
     known = kept.withColumn(letters, F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
@@ -166,9 +166,9 @@ def identify(docs: DataFrame, net: Network | None) -> DataFrame:
             some = batch.column(letters).to_numpy(zero_copy_only=False)
             best = np.where(some, p.argmax(axis=1), len(net.labels))
             columns = [batch.column(c) for c in batch.schema.names if c != letters]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(names[best].tolist(), pa.string()), pa.array(np.where(some, p.max(axis=1), 0.0))], names=[*(c for c in batch.schema.names if c != letters), "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(names[best].tolist(), pa.string()), pa.array(np.where(some, p.max(axis=1), 0.0))], names=[*(c for c in batch.schema.names if c != letters), language, score])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema) + ", lang_pred string, score double"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema) + f", `{language}` string, `{score}` double"
     return known.mapInArrow(predict, schema)
 
 

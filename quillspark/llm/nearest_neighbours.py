@@ -2,11 +2,11 @@
 
 A Gaussian matrix projects the directions of vectors to DIMENSIONS numbers, in which the squared distance of two
 directions is their true squared distance times a chi-square variable; with the norms, that bounds an inner product.
-Vectors fall into bands by norm. A kd-tree over the projections
-deals the vectors of each band into leaves. A query walks the vectors of its own leaf in order of their projected
-distance and verifies each exactly, until the chi-square test says that the next one is closer than the k-th best
-only with small probability. The distance reached bounds its walk through the other leaves, and leaves whose box
-lies beyond the test are not entered.
+Vectors fall into bands by norm. A kd-tree over the projections deals the vectors of each band over tasks, and goes
+on in each task down to boxes of a few vectors. A query opens the boxes of its own task by their distance, takes the
+vectors in order of projected distance and verifies each exactly, until the chi-square test says that the next one is
+closer than the k-th best only with small probability. The score reached bounds its walk through the other tasks, and
+boxes beyond the test are not opened.
 
 Equal vectors are one point with the smallest ids among them, as many as an answer can hold, so that a vector that
 a third of all rows share is neither a hot leaf nor a hot query.
@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspark.llm import common
+from quillspark.llm.kernels import spread
 
 #: Dimensions of the projections; confidence of the stopping test, as the normal quantile of 0.885. With them 0.9 or
 #: more of the true neighbours are found (README has the share that is verified).
@@ -36,6 +37,8 @@ POINT_BYTES, QUERY_BYTES = 1 << 24, 1 << 26
 BAND, BANDS = 0.8, 16
 #: Nearest projections that are verified first; each further step takes twice as many.
 STEP = 64
+#: Points of a box of the tree that a query walks.
+POINTS = 64
 
 
 def chi_square(m: int, z: float) -> float:
@@ -109,35 +112,71 @@ class Space:
         return self.limit * 2 * np.maximum(1 - kth / norms, 0)
 
 
+class Walk:
+    """A kd-tree of the projections in one leaf of Splits: boxes around POINTS points or fewer, whatever their number."""
+
+    def __init__(self, points: np.ndarray) -> None:
+        self.order, cuts, todo = np.arange(len(points)), [0], [(0, len(points))]
+        while todo:
+            a, b = todo.pop()
+            if b - a <= POINTS:
+                cuts.append(b)
+                continue
+            own = points[self.order[a:b]]
+            middle = (b - a) // 2
+            self.order[a:b] = self.order[a:b][np.argpartition(own[:, np.argmax(own.max(axis=0) - own.min(axis=0))], middle)]
+            todo += [(a + middle, b), (a, a + middle)]  # the left part is cut first, so that cuts ascend
+        self.first, self.count = np.array(cuts[:-1]), np.diff(cuts)
+        ordered = points[self.order]
+        self.low, self.high = np.minimum.reduceat(ordered, self.first), np.maximum.reduceat(ordered, self.first)
+
+
 def search_leaf(space: Space, x: np.ndarray, least: np.ndarray, q: np.ndarray, kth: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
     """The k best points of a leaf for each query: query, point and exact score, and for the first of each query the
     number of points verified for it, else 0.
-    kth: a score that k points elsewhere reach (-inf: none known)."""
-    p, pq = space.points(x), space.points(q)
+    kth: a score that k points elsewhere reach (-inf: none known).
+
+    A query opens boxes by their distance. A point of an open box is verified once no closed box is nearer, in order of
+    projected distance, unless the chi-square test at the k-th score so far rules it out; boxes that the test rules out
+    stay closed."""
+    projected, pq = space.points(x), space.points(q)
+    tree = Walk(projected)
+    p, x, least = projected[tree.order], x[tree.order], least[tree.order]
     near, norms, own = (p * p).sum(axis=1), np.linalg.norm(x, axis=1), np.linalg.norm(q, axis=1)
     rows, points, scores, verified = [], [], [], []
     for first in range(0, len(q), 256):
-        part = slice(first, first + 256)
-        far = (pq[part] ** 2).sum(axis=1)[:, None] + near - 2 * pq[part] @ p.T
-        for i, distance in enumerate(far, first):
-            size, least_score = own[i] * norms, kth[i]
-            turn = np.flatnonzero(distance <= space.reach(least_score, size))
-            turn = turn[np.argsort(distance[turn], kind="stable")]
-            at, score, done, step, seen = np.zeros(0, np.int64), np.zeros(0), 0, STEP, 0
-            while done < len(turn):
-                new = turn[done : done + step]
-                new = new[distance[new] <= space.reach(least_score, size[new])]
-                done, step, seen = done + step, 2 * step, seen + len(new)
-                at = np.concatenate([at, new])
-                score = np.concatenate([score, (q[i] * x[new]).sum(axis=1)])  # the same sum wherever a vector stands
-                best = np.lexsort((least[at], -score))[:k]
-                at, score = at[best], score[best]
-                if len(at) == k and score[-1] > least_score:
-                    least_score = score[-1]
-                    rest = turn[done:]
-                    turn = np.concatenate([turn[:done], rest[distance[rest] <= space.reach(least_score, size[rest])]])
+        for i, gaps in enumerate(box_distance(pq[first : first + 256], tree.low, tree.high), first):
+            size, least_score, turn, length = own[i] * norms, kth[i], np.argsort(gaps, kind="stable"), (pq[i] ** 2).sum()
+            top, opened, wide = size.max(), 0, 1
+            wait, distance = np.zeros(0, np.int64), np.zeros(0)
+            at, score, seen = np.zeros(0, np.int64), np.zeros(0), 0
+            while True:
+                boxes = turn[opened : opened + wide]
+                boxes = boxes[gaps[boxes] <= space.reach(least_score, top)]
+                new = spread(tree.first[boxes], tree.count[boxes])
+                wait, distance = np.concatenate([wait, new]), np.concatenate([distance, near[new] + length - 2 * p[new] @ pq[i]])
+                ends = len(boxes) < wide or opened + wide >= len(turn)
+                opened, wide = opened + wide, 2 * wide
+                ready = np.ones(len(wait), bool) if ends else distance <= gaps[turn[opened]]
+                ready &= distance <= space.reach(least_score, size[wait])
+                go = wait[ready][np.argsort(distance[ready], kind="stable")]
+                far = np.sort(distance[ready])
+                wait, distance = wait[~ready], distance[~ready]
+                done, step = 0, STEP
+                while done < len(go):
+                    some = slice(done, done + step)
+                    new = go[some][far[some] <= space.reach(least_score, size[go[some]])]
+                    done, step, seen = done + step, 2 * step, seen + len(new)
+                    at = np.concatenate([at, new])
+                    score = np.concatenate([score, (q[i] * x[new]).sum(axis=1)])  # the same sum wherever a vector stands
+                    best = np.lexsort((least[at], -score))[:k]
+                    at, score = at[best], score[best]
+                    if len(at) == k and score[-1] > least_score:
+                        least_score = score[-1]
+                if ends:
+                    break
             rows.append(np.full(len(at), i))
-            points.append(at)
+            points.append(tree.order[at])
             scores.append(score)
             verified.append(np.where(np.arange(len(at)) == 0, seen, 0))
     none = np.zeros(0, np.int64)
@@ -156,6 +195,7 @@ def neighbours(table: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
     spark = table.sparkSession
     empty = "query_id long, rank int, vec_id long, score double, n_verified long"
     finite = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf")))) & F.exists("embedding", lambda v: v != 0)
+    kind = table.schema["embedding"].dataType.simpleString()  # of float or double
     good = table.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").where(F.col("vec_id").isNotNull() & F.coalesce(finite, F.lit(False)))
     sizes = good.groupBy(F.size("embedding").alias("dim")).agg(F.count(F.lit(1)).alias("n"), F.max(F.aggregate("embedding", F.lit(0.0), lambda a, v: a + v.cast("double") * v)).alias("norm2")).orderBy(F.desc("n"), "dim").first()
     if sizes is None:
@@ -182,7 +222,7 @@ def neighbours(table: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
             leaf = home + (space.bands(x) << depth)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(leaf), pa.array(home)], names=[*b.schema.names, "leaf", "home"])
 
-    placed = common.materialise(points.mapInArrow(assign, "key string, embedding array<float>, least long, ids array<long>, asks boolean, leaf long, home long"))
+    placed = common.materialise(points.mapInArrow(assign, f"key string, embedding {kind}, least long, ids array<long>, asks boolean, leaf long, home long"))
     # A leaf has so many tasks as its vectors need: `share` numbers them. A row per leaf, BANDS * MAX_LEAVES at most.
     sizes_of = dict(placed.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) * 8 * dim / POINT_BYTES)).collect())
     tasks = spark.sparkContext.broadcast(sizes_of)
@@ -225,7 +265,7 @@ def neighbours(table: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
     first = searched(at_home)
     kth = first.groupBy("key").agg(F.when(F.count(F.lit(1)) > k, F.min("score")).alias("kth"))
     travel = placed.where("asks").join(kth, "key", "left").select("key", "embedding", "home", F.coalesce("kth", F.lit(float("-inf"))).alias("kth"))
-    second = searched(travel.mapInArrow(route, "leaf long, share long, key string, embedding array<float>, kth double"))
+    second = searched(travel.mapInArrow(route, f"leaf long, share long, key string, embedding {kind}, kth double"))
     found = first.union(second)
     work = found.groupBy("key").agg(F.sum("verified").alias("n_verified"))
     ranked = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("score"), "vec_id"))

@@ -2,8 +2,9 @@
 
 Matches of a pattern and the text between them come from two built-in functions; running sums of their lengths are
 the places of the matches, in code points. Every candidate value is hashed and counted over the corpus by distinct
-repositories and owners: a value that many owners or many repositories hold is a copied example, any other looks
-live. Generic tokens that no rule names are reported only if they look live.
+repositories and owners: a value that several owners hold, none of them most of its repositories, is a copied example;
+any other looks live, in however many repositories of its owner it lies. Generic tokens that no rule names are
+reported only if they look live.
 """
 
 from __future__ import annotations
@@ -21,10 +22,10 @@ HEX = r"[0-9a-f]{16,}"
 GENERIC = r"[A-Za-z0-9_+/-]{24,}"
 KINDS = ("assign", "access", "hex", "owned")
 LEAST_VALUE = 12
-#: A value that so many owners, or so many repositories, hold is a copied example.
-COPIED_OWNERS, COPIED_REPOSITORIES = 3, 20
+#: A value that so many owners hold is a copied example, unless one of them has more than half of its repositories.
+COPIED_OWNERS = 3
 MATCH = "struct<kind:int,nth:int,gap:int,n:int,value:string>"
-SPAN = "struct<start:int,kind:int,end:int,n_owners:bigint,n_repositories:bigint>"
+SPAN = "struct<start:int,kind:int,end:int,n_owners:bigint,n_repositories:bigint,most_of_one:bigint>"
 
 
 def matches(text: Column, pattern: str, group: int, kind: int) -> Column:
@@ -60,12 +61,12 @@ def joined(spans: Column) -> Column:
 
 
 def ownership(candidates: DataFrame) -> DataFrame:
-    """Distinct repositories and owners of each value_hash. candidates: value_hash, repository, owner. Nulls count as
+    """Distinct repositories and owners of each value_hash, and the most repositories of one owner. candidates: value_hash, repository, owner. Nulls count as
     a repository or owner of their own. Each step aggregates before its shuffle, so that a value in a third of all
     documents reaches a task as one row from each other task."""
     repositories = candidates.groupBy("value_hash", "owner", "repository").agg(F.count(F.lit(1)).alias("n"))
     owners = repositories.groupBy("value_hash", "owner").agg(F.count(F.lit(1)).alias("repositories"))
-    return owners.groupBy("value_hash").agg(F.count(F.lit(1)).alias("n_owners"), F.sum("repositories").alias("n_repositories"))
+    return owners.groupBy("value_hash").agg(F.count(F.lit(1)).alias("n_owners"), F.sum("repositories").alias("n_repositories"), F.max("repositories").alias("most_of_one"))
 
 
 def scan(docs: DataFrame, repository: str = "doc_id", owner: str = "source") -> DataFrame:
@@ -74,16 +75,16 @@ def scan(docs: DataFrame, repository: str = "doc_id", owner: str = "source") ->
     docs: doc_id, text and the columns named; other columns are ignored. A null or empty text has no spans; rows
     that share a doc_id are texts of their own. Returns for each row doc_id, text_hash (xxhash64 of the text), the
     base spans, all spans (base ones and generic tokens that look live), each sorted by start, then kind, with the
-    numbers of owners and repositories that hold its value, and how many of all spans are live-looking or copied.
+    numbers of owners and repositories that hold its value and the most of one owner, and how many of all spans are live-looking or copied.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     found = F.concat(matches(text, ASSIGN, 2, 0), matches(text, ACCESS, 0, 1), matches(text, HEX, 0, 2), matches(text, GENERIC, 0, 3))
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col(repository).cast("string").alias("repository"), F.col(owner).cast("string").alias("owner"), found.alias("matches"))
     found = common.materialise(found.withColumn("row", F.monotonically_increasing_id()))
     spans = common.materialise(candidates(found))
-    live = (F.col("n_owners") < COPIED_OWNERS) & (F.col("n_repositories") < COPIED_REPOSITORIES)
+    live = (F.col("n_owners") < COPIED_OWNERS) | (2 * F.col("most_of_one") > F.col("n_repositories"))
     judged = spans.join(ownership(spans), "value_hash").where((F.col("kind") < 3) | live)
-    span = F.struct("start", "kind", "end", "n_owners", "n_repositories")
+    span = F.struct("start", "kind", "end", "n_owners", "n_repositories", "most_of_one")
     gathered = judged.groupBy("row").agg(F.count_if(live).alias("n_live"), F.count_if(~live).alias("n_copied"), F.array_sort(F.collect_list(span)).alias("all"))
     every = F.coalesce("all", F.array().cast(f"array<{SPAN}>"))
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
@@ -132,7 +133,8 @@ WITH found AS (
 ), apart AS (
   SELECT f.* FROM found f WHERE kind < 3 OR NOT EXISTS (SELECT 1 FROM found b WHERE b.doc_id = f.doc_id AND b.kind < 3 AND b.start < f.stop AND f.start < b.stop)
 ), owned AS (
-  SELECT value, COUNT(DISTINCT COALESCE(d.source, chr(1))) >= {COPIED_OWNERS} OR COUNT(DISTINCT doc_id) >= {COPIED_REPOSITORIES} AS copied FROM apart a JOIN documents d USING (doc_id) GROUP BY value
+  SELECT value, COUNT(*) >= {COPIED_OWNERS} AND 2 * MAX(n) <= SUM(n) AS copied FROM (
+    SELECT value, COALESCE(d.source, chr(1)) AS owner, COUNT(DISTINCT doc_id) AS n FROM apart a JOIN documents d USING (doc_id) GROUP BY ALL) GROUP BY value
 ), spans AS (
   SELECT a.*, copied, ['assign', 'access', 'hex', 'owned'][kind + 1] || ':' || start || ':' || stop AS span FROM apart a JOIN owned USING (value) WHERE kind < 3 OR NOT copied
 ), per AS (

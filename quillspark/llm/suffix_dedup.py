@@ -138,25 +138,19 @@ def sort_directly(padded: np.ndarray, places: np.ndarray, depth: int) -> np.ndar
 
 
 def common_prefixes(padded: np.ndarray, order: np.ndarray, size: int) -> np.ndarray:
-    """Bytes that each suffix shares with the one before it in order, `size` at most."""
+    """Bytes that each suffix shares with the one before it in order, `size` at most: eight bytes a step, the last step
+    ends at the first byte that differs."""
     shared, same = np.zeros(len(order), np.int64), np.arange(1, len(order))
-    for at in range(size):
-        same = same[padded[order[same] + at] == padded[order[same - 1] + at]]
-        if len(same) == 0:
-            break
-        shared[same] = at + 1
-    return shared
-
-
-def shares(padded: np.ndarray, order: np.ndarray, size: int) -> np.ndarray:
-    """Whether each suffix shares `size` bytes with the one before it in order: eight bytes a step."""
-    same = np.arange(1, len(order))
-    for at in [*range(0, size - 7, 8), *([max(0, size - 8)] if size % 8 else [])]:
+    for at in range(0, size, 8):
         word = load8(padded, len(padded) - 8 - at, at)
-        same = same[word[order[same]] == word[order[same - 1]]]
-    found = np.zeros(len(order), bool)
-    found[same] = True
-    return found
+        apart = word[order[same]] ^ word[order[same - 1]]
+        ends = apart != 0
+        lowest = apart[ends]
+        lowest &= ~lowest + np.uint64(1)
+        shared[same[ends]] = at + (np.bitwise_count(lowest - np.uint64(1)) >> 3)
+        same = same[~ends]
+    shared[same] = size
+    return np.minimum(shared, size)
 
 
 def owners(data: np.ndarray, lengths: np.ndarray, least: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -177,7 +171,7 @@ def owners(data: np.ndarray, lengths: np.ndarray, least: np.ndarray, size: int)
     number[spread(first, windows)] = np.arange(ahead[-1])
     order = order[number[order] >= 0]
     padded = np.concatenate([text, np.zeros(size + 16, np.uint8)])
-    group = np.cumsum(~shares(padded, order, size)) - 1
+    group = np.cumsum(common_prefixes(padded, order, size) < size) - 1
     stretch = np.repeat(np.arange(n), windows)
     doc = least[stretch[number[order]]]
     best = np.minimum.reduceat(doc, np.flatnonzero(np.diff(group, prepend=-1))) if len(group) else doc

@@ -2,6 +2,7 @@
 texts, a very long text, repeated rows and ids, a null id, an empty table, and extra columns with clashing names."""
 
 import hashlib
+import os
 import zlib
 
 import numpy as np
@@ -193,7 +194,9 @@ def test_two_stage_suffixes_are_sorted():
         keys = [whole[i : i + 50] for i in order]
         assert sorted(order) == list(range(len(data))) and keys == sorted(keys)
         padded = np.concatenate([data, np.zeros(70, np.uint8)])
-        assert ((suffix_dedup.common_prefixes(padded, order, 50) >= 50) == suffix_dedup.shares(padded, order, 50)).all()
+        text = padded.tobytes()
+        want = [0, *(len(os.path.commonprefix([text[a : a + 50], text[b : b + 50]])) for a, b in zip(order[:-1], order[1:], strict=True))]
+        assert suffix_dedup.common_prefixes(padded, order, 50).tolist() == want
 
 
 def test_anchors_do_not_depend_on_segments():
@@ -297,9 +300,15 @@ def test_secrets_and_ownership(spark):
     assert spans(1) == [(0, 2, 26), (1, 28, 48)] and spans(2) == [(0, 0, 25), (2, 26, 43)] and spans(3) == [] and spans(4) == []
     assert spans(5) == [] and spans(5, "all") == [(3, 0, 25)]
     assert (got[1].n_live, got[10].n_copied) == (2, 1)
-    many = [(i, f"see Qw3rtyQw3rtyQw3rtyQw3rtyQ {'0123456789abcdef' * 2}", "one owner") for i in range(secret_scan.COPIED_REPOSITORIES)]
-    copied = secret_scan.scan(spark.createDataFrame(many, "doc_id long, text string, source string")).collect()
-    assert all(r.n_copied == 1 and r.n_live == 0 and [(s.kind, s.n_owners, s.n_repositories) for s in r["all"]] == [(2, 1, len(many))] for r in copied)
+    token = f"see Qw3rtyQw3rtyQw3rtyQw3rtyQ {'0123456789abcdef' * 2}"
+    for n in (1, 19, 20, 400):  # an owner's own secrets, in however many documents
+        own = secret_scan.scan(spark.createDataFrame([(i, token, "one owner") for i in range(n)], "doc_id long, text string, source string")).collect()
+        assert all(r.n_live == 2 and r.n_copied == 0 and [(s.kind, s.n_owners, s.n_repositories) for s in r["all"]] == [(3, 1, n), (2, 1, n)] for r in own)
+    spread = [(i, token, f"o{i % 4}") for i in range(40)]
+    for more, live in ((0, 0), (5, 0), (100, 2)):  # then most of them are in one owner's documents
+        got = secret_scan.scan(spark.createDataFrame([*spread, *((100 + i, token, "o1") for i in range(more))], "doc_id long, text string, source string")).collect()
+        assert {r.n_live for r in got} == {live}
+    got = {r.doc_id: r for r in secret_scan.scan(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
     red = {r.doc_id: r.text for r in secret_scan.redact(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
     assert red[2] == "[SECRET] [SECRET]" and red[3] == "token: short" and red[4] is None
 
@@ -326,6 +335,26 @@ def test_nearest_neighbours_recall(spark):
     assert [v for v in got[got.query_id == 100].sort_values("rank").vec_id if 100 <= v < 140][:5] == [101, 102, 103, 104, 105]
 
 
+def test_nearest_neighbours_of_double_vectors(spark):
+    x = rng.normal(size=(400, 12))
+    df = pd.DataFrame({"vec_id": range(len(x)), "embedding": list(x)})
+    want = nearest_neighbours.brute_force(df)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    got = nearest_neighbours.neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).toPandas()
+    hit = want.merge(got, on=["query_id", "vec_id"])
+    assert len(got) == len(want) and len(hit) >= 0.9 * len(want) and (hit.score_x == hit.score_y).all()
+
+
+def test_walk_has_small_boxes_at_every_size():
+    for n in (1, 63, 64, 65, 500, 3000):
+        p = rng.normal(size=(n, 6))
+        tree = nearest_neighbours.Walk(p)
+        assert sorted(tree.order.tolist()) == list(range(n)) and tree.count.sum() == n and tree.count.max() <= nearest_neighbours.POINTS
+        for a, k, low, high in zip(tree.first, tree.count, tree.low, tree.high, strict=True):
+            own = p[tree.order[a : a + k]]
+            assert (own.min(axis=0) == low).all() and (own.max(axis=0) == high).all()
+
+
 def clustered(n, dim, centres=100):
     """Vectors around centres, with norms that differ."""
     x = rng.normal(size=(centres, dim))[rng.integers(0, centres, n)] + 0.25 * rng.normal(size=(n, dim))
@@ -460,6 +489,16 @@ def test_components(spark):
     assert all(got[i] == 1 for i in range(1, 5)) and got[12] == 10 and got[140] == 100
 
 
+def brute_redacted(text, spans):
+    """The text with a mark in place of every stretch that spans cover."""
+    out, at = [], 0
+    for start, end in sorted(spans):
+        if start >= at:
+            out += [text[at:start], "[SECRET]"]
+        at = max(at, end)
+    return "".join([*out, text[at:]])
+
+
 def test_pipeline_equals_brute_force(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     bench = spark.read.parquet(f"{sf}/benchmark.parquet").toPandas()
@@ -468,7 +507,33 @@ def test_pipeline_equals_brute_force(spark, sf):
     groups = jaccard_join.brute_force(t, 5, 80)
     t = t[t.doc_id.isin(groups[groups.doc_id == groups.component_id].doc_id)]
     t = t[~t.doc_id.isin(decontamination.brute_force(t, bench).doc_id)]
+    spans = {r.doc_id: [(s.start, s.end) for s in r["all"]] for r in secret_scan.scan(spark.createDataFrame(t)).collect()}
+    want = []
+    for r in t.itertuples():
+        ids = [*tokens_of(brute_redacted(r.text, spans[r.doc_id])), 0]
+        want += [(r.doc_id, p, 2048 * p, len(ids[2048 * p : 2048 * p + 2048]), zlib.crc32(np.array(ids[2048 * p : 2048 * p + 2048], "<u4").tobytes())) for p in range(-(-len(ids) // 2048))]
     got = corpus_pipeline.run(spark, sf).toPandas()
-    assert set(got.doc_id) == set(t.doc_id)
+    assert sorted(zip(got.doc_id, got.piece, got.start, got.length, got.ids_crc32, strict=True)) == sorted(want)
+    got = got.sort_values(["sequence_id", "offset"])
+    by = got.groupby("sequence_id").length
+    assert (got.offset == by.cumsum() - got.length).all() and by.sum().max() <= 2048
+    _, bins = packing.best_fit_plan({int(k): int(v) for k, v in got.length.value_counts().items()}, 2048)
+    assert got.sequence_id.nunique() == bins
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert set(stage(spark, docs, sf).columns) == set(docs.columns), name
+
+
+def test_pipeline_of_odd_tables(spark, sf, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score double, lang_pred string, `a.b` int, batch string, node long"
+    text = prose(90)
+    rows = [(i, t, "en", "s", len(t or ""), -7.0, "zz", i, "x", 1) for i, t in [(1, text), (1, text), (2, text), (None, prose(50)), (None, None), (3, ""), (4, None), (5, "12 !"), (6, prose(3000))]]
+    df = spark.createDataFrame(rows, schema)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, df, sf)
+        assert out.columns == df.columns, name
+        assert {(r.score, r.lang_pred, r["a.b"] == r.doc_id or r.doc_id is None) for r in out.collect()} <= {(-7.0, "zz", True)}, name
+        assert stage(spark, df.where("false"), sf).collect() == [], name
+    for name in ("benchmark", "documents"):
+        (df if name == "documents" else spark.read.parquet(f"{sf}/{name}.parquet")).write.parquet(str(tmp_path / f"{name}.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in got} == {1, 6, None} and sum(r.doc_id == 1 for r in got) == 2

@@ -27,8 +27,9 @@ def _by_id(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents in a language: null texts and texts without a letter are `und` and go."""
     net = language_id.train(docs.select("doc_id", "text", "lang"))
-    ruled = language_id.identify(docs, net)
-    return (ruled if net is None else ruled.where("lang_pred <> 'und'")).select(*docs.columns)
+    language, score = common.fresh(docs, "lang_pred"), common.fresh(docs, "score")
+    ruled = language_id.identify(docs, net, language, score)
+    return (ruled if net is None else ruled.where(F.col(language) != "und")).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -47,7 +47,7 @@ STOP_WORDS = (
 
 
 def upper_first(w: Column) -> Column:
-    return F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1_000_000))
+    return F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, F.lit(2), F.length(w)))
 
 
 def title_case(c: Column) -> Column:

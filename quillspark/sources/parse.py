@@ -35,9 +35,11 @@ def _finish(df: DataFrame, before: list[str], columns: dict[str, Column]) -> Dat
     return df.select(*before, "_seq", *(c.alias(k) for k, c in columns.items()))
 
 
-# BibTeX: a braced value of up to six levels, a quoted one, a number or a macro's name, joined by #.
+# BibTeX: a braced value, a quoted one, a number or a macro's name, joined by #. Braces may lie LEVELS deep within a value;
+# an entry with deeper ones is reported.
+LEVELS = 40
 _BRACED = "[^{}]*+"
-for _ in range(5):
+for _ in range(LEVELS):
     _BRACED = r"(?:[^{}]++|\{" + _BRACED + r"\})*+"
 _VALUE = r"(?:\{" + _BRACED + r"\}|\"(?:[^\"{}]++|\{" + _BRACED + r"\})*+\"|\d+|[A-Za-z][\w-]*)"
 # An entry up to its own delimiter, so that an @ within a value opens none; one that is not closed ends before the next.
@@ -74,7 +76,8 @@ def bibtex(df: DataFrame, content: str = "content") -> DataFrame:
         "volume": f("volume"), "issue": f("number", "issue"), "page": dash_pages(f("pages")), "publisher": strip_braces(f("publisher", "organization", "institution")), "publisher_place": f("address", "location"),
         "DOI": f("doi"), "ISBN": f("isbn"), "ISSN": f("issn"), "URL": F.when(url.rlike(r"^(http|\\url\{|\{http)"), F.regexp_replace(url, r"\\url\{|[{}]", "")), "abstract": f("abstract"), "note": f("note", "annote"),
         "keyword": f("keywords", "keyword"), "edition": f("edition"), "chapter_number": f("chapter"), "collection_title": f("series"), "language": f("language"),
-        "_errors": F.when(F.col("_entry").rlike(r"[})]\s*$"), _none()).otherwise(F.array(F.concat(F.lit("entry is not closed: "), key))),
+        "_errors": F.when(F.col("_entry").rlike(r"^@[A-Za-z]+\s*(?:\{" + _BRACED + r"\}|\((?:[^{}]++|\{" + _BRACED + r"\})*+)\s*$"), _none())
+        .when(F.col("_entry").rlike(r"[})]\s*$"), F.array(F.concat(F.lit("braces do not match or lie too deep: "), key))).otherwise(F.array(F.concat(F.lit("entry is not closed: "), key))),
     }
     return _finish(got, before, columns)
 

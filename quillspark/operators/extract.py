@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import dates, identifiers, names
-from quillspark.functions.text import blank_to_null, lookup, strip_site, unescape_html
+from quillspark.functions.text import blank_to_null, lookup, once, strip_site, unescape_html
 
 # Meta tags of a field, in order.
 META = {
@@ -87,15 +87,55 @@ def visible(html: Column) -> Column:
     return F.trim(F.regexp_replace(unescape_html(F.regexp_replace(c, r"<[^>]+>", " ")), r"\s+", " "))
 
 
+# JSON-LD types that are read, and the types of record that three of them tell.
+JSON_LD_TYPES = ("ScholarlyArticle", "Article", "NewsArticle", "BlogPosting", "WebPage")
+JSON_LD_KINDS = {"ScholarlyArticle": "article-journal", "NewsArticle": "article-newspaper", "BlogPosting": "post-weblog"}
+
+
+def json_value(v: Column, path: str) -> Column:
+    """JSN2: the leaf at a path of a variant as a text: of an array its leaves joined by `; `, of an object its name,
+    headline, title, identifier, address or family and given name; null if there is none or it is empty."""
+
+    def leaf(x: Column) -> Column:
+        part = lambda k: blank_to_null(F.try_variant_get(x, f"$['{k}']", "string"))
+        whole = F.when(part("familyName").isNotNull() & part("givenName").isNotNull(), F.concat_ws(" ", part("givenName"), part("familyName")))
+        plain = F.when(~F.schema_of_variant(x).startswith("OBJECT") & ~F.schema_of_variant(x).startswith("ARRAY"), blank_to_null(F.try_variant_get(x, "$", "string")))
+        return F.coalesce(plain, part("name"), part("headline"), part("title"), part("@id"), part("url"), whole)
+
+    own, many = F.try_variant_get(v, path, "variant"), F.try_variant_get(v, path, "array<variant>")
+    return F.when(many.isNotNull(), F.nullif(F.array_join(F.array_compact(F.transform(many, leaf)), "; "), F.lit(""))).otherwise(leaf(own))
+
+
 def json_ld(html: Column) -> Column:
-    """JSN1: fields of the first JSON-LD block, the head of an array or of `@graph`."""
-    raw = F.trim(F.regexp_extract(html, r"(?is)<script[^>]*application/ld\+json[^>]*>(.*?)</script\s*>", 1))
-    v = F.try_parse_json(raw)
-    get = lambda *paths: F.coalesce(*(F.try_variant_get(v, p, "string") for q in paths for p in (f"${q}", f"$[0]{q}", f"$['@graph'][0]{q}")))
-    return F.struct(
-        get("['@type']").alias("type"), get(".headline", ".name").alias("title"), get(".author.name", ".author[0].name", ".author").alias("author"), get(".datePublished").alias("date"), get(".isPartOf.name", ".publisher.name").alias("container"),
-        get(".publisher.name").alias("publisher"), get(".isbn").alias("isbn"), get(".description").alias("abstract"),
-    )
+    """JSN1: fields of all JSON-LD blocks of a page, in order, as an array.
+
+    Of a block that is an array the first element counts, of a graph its first node; blocks of other types and those
+    that are no JSON are left out. Authors are texts, objects with a name, or objects with a given or family name, one
+    or an array of them.
+    """
+    raw = F.regexp_extract_all(html, F.lit(r"(?is)<script(?=[^>]*\stype\s*=\s*[\"']?application/ld\+json)[^>]*>(.*?)</script\s*>"), F.lit(1))
+
+    def head(text: Column) -> Column:
+        v = F.try_parse_json(F.trim(text))
+        v = F.coalesce(F.try_variant_get(v, "$[0]", "variant"), v)
+        return F.coalesce(F.try_variant_get(v, "$['@graph'][0]", "variant"), v)
+
+    def person(x: Column) -> Column:
+        part = lambda k: blank_to_null(F.try_variant_get(x, f"$.{k}", "string"))
+        text = F.when(F.schema_of_variant(x) == "STRING", F.try_variant_get(x, "$", "string"))
+        whole = F.when(part("givenName").isNotNull() | part("familyName").isNotNull(), names.name(part("familyName"), part("givenName")))
+        return F.when(F.coalesce(text, part("name")).isNotNull(), names.byline_name(F.coalesce(text, part("name")))).otherwise(whole)
+
+    def read(v: Column) -> Column:
+        get = lambda *paths: F.coalesce(*(F.nullif(F.try_variant_get(v, f"$.{p}", "string"), F.lit("")) for p in paths))
+        one = F.try_variant_get(v, "$.author", "variant")
+        people = F.coalesce(F.try_variant_get(v, "$.author", "array<variant>"), F.when(one.isNotNull(), F.array(one)))
+        return F.struct(
+            F.try_variant_get(v, "$['@type']", "string").alias("type"), get("headline", "name").alias("title"), F.array_compact(F.transform(people, person)).alias("author"), get("datePublished").alias("date"),
+            get("publisher.name", "isPartOf.name").alias("container"), F.nullif(F.regexp_extract(get("sameAs"), r"10\.\d{4,}", 0), F.lit("")).alias("DOI"), get("description").alias("abstract"),
+        )
+
+    return F.filter(F.transform(F.transform(raw, head), read), lambda b: b["type"].isin(*JSON_LD_TYPES))
 
 
 def coins(html: Column) -> Column:
@@ -104,26 +144,266 @@ def coins(html: Column) -> Column:
     return F.transform_values(F.str_to_map(F.replace(raw, F.lit("&amp;"), F.lit("&")), F.lit("&"), F.lit("=")), lambda _, v: F.coalesce(F.try_url_decode(v), v))
 
 
-def pages(df: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
-    """EXT1: a record of each page; a field is taken from JSON-LD, then meta tags, then the page's own elements."""
-    rest = [c for c in df.columns if c not in (html,)]
-    d = df.withColumn("_m", metas(F.col(html))).withColumn("_j", json_ld(F.col(html))).withColumn("_t", F.substring(visible(F.col(html)), 1, 5000))
-    one = lambda f: F.get(meta_values(F.col("_m"), f), F.lit(0))
-    byline = F.nullif(F.regexp_extract(F.substring("_t", 1, 2000), r"\b[Bb]y\s+([A-Z][\w.'-]+(?:\s+[A-Z][\w.'-]+){1,3})", 1), F.lit(""))
-    people = meta_values(F.col("_m"), "author")
-    authors = F.when(F.size(people) > 0, people).when(F.col("_j.author").isNotNull() & ~F.col("_j.author").startswith("["), F.array("_j.author")).when(byline.isNotNull(), F.array(byline))
-    found = identifiers.identifiers_in(F.col("_t"))
-    doi = F.coalesce(identifiers.clean_doi(F.nullif(F.regexp_extract(one("DOI"), r"(10\.\d{4,}/\S+)", 1), F.lit(""))), identifiers.doi_in_url(F.col(url))["id"])
-    isbn = F.coalesce(identifiers.isbn_key(one("ISBN")), F.col("_j.isbn"), found["ISBN"])
-    told = lookup(PAGE_TYPES, F.lower(F.coalesce("_j.type", one("type"))))
-    kind = F.coalesce(F.when(told.isin("webpage"), F.lit(None)).otherwise(told), host_type(F.col(url)), F.when(isbn.isNotNull(), "book"), F.when(one("container_title").isNotNull() & doi.isNotNull(), "article-journal"), F.lit("webpage"))
-    title = strip_site(F.coalesce("_j.title", one("title"), element(F.col(html), "h1"), element(F.col(html), "title")), one("container_title"))
-    when = F.coalesce("_j.date", one("issued"), F.nullif(F.regexp_extract(html, r"(?is)<time[^>]*datetime=[\"']([^\"']+)", 1), F.lit("")))
-    return d.select(
-        *rest, kind.alias("type"), title.alias("title"), F.transform(authors, names.byline_name).alias("author"), dates.page_date(when).alias("issued"), F.coalesce("_j.container", one("container_title")).alias("container_title"), one("volume").alias("volume"),
-        one("issue").alias("issue"), F.nullif(F.concat_ws("-", one("page_first"), one("page_last")), F.lit("")).alias("page"), doi.alias("DOI"), isbn.alias("ISBN"), F.coalesce(one("ISSN"), found["ISSN"]).alias("ISSN"), F.coalesce("_j.publisher", one("publisher")).alias("publisher"),
-        F.coalesce("_j.abstract", one("abstract")).alias("abstract"), F.coalesce(one("language"), F.nullif(F.regexp_extract(html, r"(?is)<html[^>]*\slang=[\"']?([A-Za-z-]+)", 1), F.lit(""))).alias("language"), one("PMID").alias("PMID"),
+# Meta tags by the order in which they fill a field. "all" takes every tag of the name; "over" replaces what
+# stands; "site" is left out where it names a general site; "check" wants a plausible name.
+META_RULES = (
+    ("title", ("citation_title",), "name", ""), ("author", ("citation_author",), "name", "all"), ("DOI", ("citation_doi",), "name", ""),
+    ("container_title", ("citation_journal_title", "citation_conference_title"), "name", "over"), ("publisher", ("citation_publisher",), "name", ""), ("issued", ("citation_publication_date", "citation_date"), "name", ""),
+    ("volume", ("citation_volume",), "name", ""), ("issue", ("citation_issue",), "name", ""), ("page_first", ("citation_firstpage",), "name", ""), ("page_last", ("citation_lastpage",), "name", ""),
+    ("ISBN", ("citation_isbn",), "name", ""), ("ISSN", ("citation_issn",), "name", ""), ("PMID", ("citation_pmid",), "name", ""), ("type", ("citation_title",), "name", "journal"),
+    ("title", ("DC.title", "dc.title"), "name", ""), ("author", ("DC.creator", "dc.creator", "DC.Creator"), "name", "all"), ("issued", ("DC.date", "dc.date"), "name", ""), ("publisher", ("DC.publisher", "dc.publisher"), "name", ""),
+    ("abstract", ("DC.description", "dc.description"), "name", ""), ("DOI", ("DC.identifier", "dc.identifier"), "name", "bare"), ("type", ("DC.type", "dc.type"), "name", "told"),
+    ("title", ("og:title",), "property", ""), ("container_title", ("og:site_name",), "property", "site"), ("abstract", ("og:description",), "property", ""),
+    ("issued", ("article:published_time", "article:published"), "property", ""), ("author", ("article:author", "article:author:name"), "property", "check"), ("type", ("og:type",), "property", "article"),
+    ("container_title", ("prism.publicationName",), "name", ""), ("volume", ("prism.volume",), "name", ""), ("issue", ("prism.number", "prism.issueIdentifier"), "name", ""), ("page_first", ("prism.startingPage",), "name", ""),
+    ("page_last", ("prism.endingPage",), "name", ""), ("ISSN", ("prism.issn", "prism.eIssn"), "name", ""), ("DOI", ("prism.doi",), "name", ""), ("issued", ("prism.publicationDate", "prism.coverDate"), "name", ""),
+    ("title", ("eprints.title",), "name", ""), ("author", ("eprints.creators_name",), "name", "all"), ("abstract", ("eprints.abstract",), "name", ""), ("issued", ("eprints.date",), "name", ""), ("publisher", ("eprints.publisher",), "name", ""),
+    ("container_title", ("eprints.publication",), "name", ""), ("type", ("eprints.type",), "name", "told"),
+    ("volume", ("bibo.volume",), "name", ""), ("issue", ("bibo.issue",), "name", ""), ("page", ("bibo.pages", "bibo.pageStart"), "name", ""), ("DOI", ("bibo.doi",), "name", ""),
+    ("title", ("<title>",), "", ""), ("abstract", ("description",), "name", ""), ("author", ("author",), "name", "check"), ("issued", ("date", "pubdate"), "name", ""),
+)
+# Sites whose name is no container; types of Dublin Core and repositories; genres of COinS.
+GENERAL_SITES = r"(?i)^(Google|Google Drive|Google Docs|Facebook|Twitter|X|YouTube|LinkedIn|Reddit|Medium|Wikipedia|GitHub|Instagram|TikTok|Pinterest|Dropbox|OneDrive)$"
+TOLD_TYPES = {
+    "journalarticle": "article-journal", "reviewarticle": "article-journal", "researcharticle": "article-journal", "article": "article-journal", "conferencepaper": "paper-conference", "bookchapter": "chapter", "chapter": "chapter", "thesis": "thesis",
+    "dissertation": "thesis", "report": "report", "technicalreport": "report", "book": "book", "newsarticle": "article-newspaper", "blogpost": "post-weblog", "dataset": "dataset", "patent": "patent", "legislation": "legislation",
+}
+COINS_GENRES = {"article": "article-journal", "book": "book", "bookitem": "chapter", "conference": "paper-conference", "proceeding": "paper-conference", "report": "report"}
+# Hosts whose pages name no DOI of their own; bylines and dates in the head of a text.
+NO_DOI_HOSTS = r"youtube\.com|facebook\.com|twitter\.com|instagram\.com|linkedin\.com|reddit\.com|github\.com|stackoverflow\.com|medium\.com|amazon\.com|ebay\.com"
+BYLINES = (
+    r"\b(?:By|Written by|Author|Authors?:)\s+([A-Z][a-z]+ (?:[A-Z]\.?\s+)?[A-Z][a-z]+(?:\s+and\s+[A-Z][a-z]+ (?:[A-Z]\.?\s+)?[A-Z][a-z]+)?)",
+    r"\b(?:By|Written by)\s+([A-Z][a-z]+ [A-Z][a-z]+(?:\s*(?:,|and)\s*[A-Z][a-z]+ [A-Z][a-z]+)*)",
+)
+TEXT_DATES = (
+    r"(?i)(?:Published|Posted|Updated|Date|Modified)\s*:?\s*(\w+ \d{1,2},?\s+\d{4})", r"(?i)(?:Published|Posted|Updated)\s+(?:on\s+)?(\d{1,2}\s+\w+\s+\d{4})",
+    r"(?i)(?:Published|Posted|Updated)\s+(?:on\s+)?(\w+\s+\d{1,2},?\s+\d{4})", r"(\d{4}-\d{2}-\d{2})T",
+)
+# Elements that name an author, in order: attribute, value, and the class of an element around them.
+AUTHOR_MARKS = (("rel", "author", ""), ("class", "author-name", ""), ("class", "byline__name", ""), ("itemprop", "author", ""), ("class", "post-author", ""), ("class", "article-author", ""), ("tag", "a", "author"), ("class", "author", ""))
+
+
+def meta_tags(html: Column) -> Column:
+    """All meta tags as (name, property, content), in order; names as they are written."""
+    tags = F.regexp_extract_all(html, F.lit(r"(?is)<meta\s[^>]*>"), F.lit(0))
+    return F.transform(tags, lambda t: F.struct(attribute(t, "name").alias("name"), attribute(t, "property").alias("property"), blank_to_null(attribute(t, "content")).alias("content")))
+
+
+def _plausible_name(c: Column) -> Column:
+    """A byline of one to eight words, one of them with a capital, mostly letters and no possessive."""
+    n_words = F.size(F.split(F.trim(c), r"\s+"))
+    return (n_words <= 8) & c.rlike(r"(?:^|\s)[A-Z]") & ~c.rlike(r"(?i)['\u2019]s\s") & (F.length(F.regexp_replace(c, "[^a-zA-Z]", "")) > F.length(c) * 0.6)
+
+
+def first_contents(tags: Column, attr: str) -> Column:
+    """The content of the first tag of each name (in lower case), by the attribute that holds the name."""
+    keys = F.transform(tags, lambda m: F.lower(m[attr]))
+    first = F.filter(F.transform(tags, lambda m, i: F.struct(F.lower(m[attr]).alias("k"), m["content"].alias("v"), i.alias("i"))), lambda x: x["k"].isNotNull() & (F.array_position(keys, x["k"]) == x["i"] + 1))
+    return F.map_from_entries(F.transform(first, lambda x: F.struct(x["k"], x["v"])))
+
+
+def _written(attr: str, name: str) -> Callable[[Column], Column]:
+    return lambda m: (m[attr] == name) & m["content"].isNotNull()
+
+
+def fold_metas(state: dict[str, Column], tags: Column, firsts: dict[str, Column], title: Column, rules: tuple = META_RULES) -> dict[str, Column]:
+    """EXT3: fill the fields of a record (columns by name; author is an array) from meta tags by rules, in their order.
+    type is null until something tells it. firsts: first_contents by attribute. The steps that concern authors are rows
+    of an array, which a fold goes through."""
+    state, people = dict(state), []
+    kept = lambda field: state.get(field, F.lit(None).cast("string"))
+
+    def first(names_: tuple[str, ...], attr: str) -> Column:
+        return F.coalesce(*(title if n == "<title>" else F.try_element_at(firsts[attr], F.lit(n.lower())) for n in names_))
+
+    for field, names_, attr, mode in rules:
+        if mode == "all":
+            own = F.flatten(F.array(*(F.transform(F.filter(tags, _written(attr, n)), lambda m: m["content"]) for n in names_)))
+            people.append(F.struct(F.lit(True).alias("all"), own.alias("names")))
+            continue
+        value = first(names_, attr)
+        if mode == "check":
+            people.append(F.struct(F.lit(False).alias("all"), F.filter(F.array(value), lambda v: F.coalesce(_plausible_name(v), F.lit(False))).alias("names")))
+        elif mode == "journal":
+            state[field] = F.coalesce(kept(field), F.when(value.isNotNull(), "article-journal"))
+        elif mode == "told":
+            state[field] = F.coalesce(lookup(TOLD_TYPES, F.regexp_replace(F.lower(value), r"[\s-]", "")), kept(field))
+        elif mode == "article":
+            state[field] = F.coalesce(kept(field), F.when(value == "article", value))
+        elif mode == "over":
+            state[field] = F.coalesce(value, kept(field))
+        elif mode == "site":
+            state[field] = F.coalesce(kept(field), F.when(~value.rlike(GENERAL_SITES), value))
+        elif mode == "bare":
+            state[field] = F.coalesce(kept(field), F.nullif(F.regexp_extract(value, r"^10\.\d{4,}/.+", 0), F.lit("")))
+        else:
+            state[field] = F.coalesce(kept(field), blank_to_null(identifiers.clean_doi(value)) if field == "DOI" else value)
+    state["page"] = F.coalesce(kept("page"), F.when(state["page_first"].isNotNull(), F.concat_ws("-", state["page_first"], state["page_last"])))
+
+    def step(now: Column, rule: Column) -> Column:
+        more = F.when(rule["all"], F.size(rule["names"]) > F.size(now)).otherwise((F.size(now) == 0) & (F.size(rule["names"]) > 0))
+        return F.when(more, F.transform(rule["names"], names.byline_name)).otherwise(now)
+
+    state["author"] = F.aggregate(F.array(*people), state["author"], step)
+    return state
+
+
+def fold_coins(state: dict[str, Column], fields: Column) -> dict[str, Column]:
+    """URL1: fill what a record lacks from the fields of a COinS span."""
+    state = dict(state)
+    get = lambda *keys: F.coalesce(*(F.nullif(F.try_element_at(fields, F.lit(f"rft.{k}")), F.lit("")) for k in keys))
+    for field, keys in (("title", ("atitle", "btitle", "title")), ("container_title", ("jtitle", "stitle")), ("issued", ("date",)), ("volume", ("volume",)), ("issue", ("issue",)), ("page", ("pages", "spage")), ("ISBN", ("isbn",)), ("ISSN", ("issn",)), ("publisher", ("pub",))):
+        state[field] = F.coalesce(state[field], get(*keys))
+    person = F.when(get("au").isNotNull(), names.byline_name(get("au"))).when(get("aulast").isNotNull(), names.name(get("aulast"), F.coalesce(get("aufirst"), F.lit(""))))
+    state["author"] = once(state["author"], lambda now: F.when((F.size(now) == 0) & person.isNotNull(), F.array(person)).otherwise(now))
+    state["type"] = F.coalesce(state["type"], lookup(COINS_GENRES, get("genre")))
+    return state
+
+
+def typed_by_host(kind: Column, url: Column) -> Column:
+    """EXT7: the type that host and path tell of a page without one (null); news sites also of an article."""
+    host = F.lower(F.try_parse_url(url, F.lit("HOST")))
+    told = (
+        F.when(host.contains("ssrn.com"), "report").when(host.contains("arxiv.org"), "article").when(host.rlike(BOOK_HOSTS), "book").when(host.rlike(JOURNAL_HOSTS), "article-journal")
+        .when(url.rlike(r"/doi/(abs/|full/|pdf/)?10\.\d{4,}"), "article-journal")
     )
+    news = F.coalesce(host.rlike(NEWS_HOSTS), F.lit(False))
+    return once(F.coalesce(kind, told), lambda now: F.when(news & F.coalesce(now == "article", F.lit(True)), "article-newspaper").otherwise(now))
+
+
+def by_site(df: DataFrame, rules: DataFrame, url: str = "url") -> DataFrame:
+    """EXT7: the rule (suffix and its other columns) of the longest suffix of each page's host. rules: one row a suffix,
+    whole labels of a host; a page that none fits has nulls. Hosts are looked up once each, label by label."""
+    host = F.lower(F.try_parse_url(F.col(url), F.lit("HOST")))
+    d = df.withColumn("_host", host)
+    hosts = d.select("_host").where("_host IS NOT NULL").distinct()
+    labels = F.split("_host", r"\.")
+    tails = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    extra = [c for c in rules.columns if c != "suffix"]
+    best = hosts.select("_host", F.explode(tails).alias("suffix")).join(rules, "suffix").groupBy("_host").agg(F.max_by(F.struct("suffix", *extra), F.length("suffix")).alias("_rule"))
+    return d.join(best, "_host", "left").select(*(F.col(f"`{c}`") for c in df.columns), "_rule.*")
+
+
+def typed_by_signals(state: dict[str, Column], firsts: dict[str, Column], text: Column, url: Column) -> dict[str, Column]:
+    """EXT5: the type of a page that has none, from its Open Graph type, ISBN, address and words; the last sign that it
+    bears counts. Text: its first 5000 visible characters. An ISBN that tells it is kept."""
+    meta = lambda attr, name: F.try_element_at(firsts[attr], F.lit(name))
+    low, address, og = F.lower(text), F.lower(url), meta("property", "og:type")
+    named = F.coalesce(meta("name", "book:isbn"), meta("name", "isbn"), meta("name", "citation_isbn"))
+    long = F.nullif(F.regexp_replace(F.regexp_extract(low, r"isbn[\s:-]*(97[89][\s-]?\d[\s-]?\d{4}[\s-]?\d{4}[\s-]?\d)", 1), r"[\s-]", ""), F.lit(""))
+    short = F.when(~F.coalesce(og.isin("book", "books.book", "video.movie", "video.other", "music.song"), F.lit(False)), F.nullif(F.regexp_extract(low, r"isbn[\s:-]*(\d{9}[\dx])", 1), F.lit("")))
+    kind = (
+        F.when(low.rlike(r"\b(hardcover|paperback|kindle|print length|pages)\b") & low.rlike(r"\b(publisher|asin|isbn)\b"), "book").when(address.rlike(r"/patent/|patents\."), "patent").when(address.rlike("/thesis|/dissertation|/etd/"), "thesis")
+        .when(address.rlike("/books?/|/isbn/|/works/") | F.coalesce(named, long, short).isNotNull() | og.isin("book", "books.book"), "book").when(og.isin("video.movie", "video.other"), "motion-picture").when(og == "music.song", "song")
+    )
+    return state | {"type": F.coalesce(state["type"], kind, F.lit("webpage")), "ISBN": F.coalesce(state["ISBN"], F.when(state["type"].isNull(), F.coalesce(named, long, short)))}
+
+
+#: A token of a page: a comment, a block whose text is not shown, a tag, or text.
+TOKEN = r"(?is)<!--.*?-->|<(?:script\b.*?</script|style\b.*?</style|noscript\b.*?</noscript)\s*>|</?[a-z][^>]*>|[^<]+|<"
+# Elements without content, and those that end where the next of their name begins.
+VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr")
+IMPLIED = ("p", "li", "dt", "dd", "tr", "td", "th", "option")
+
+
+def elements(df: DataFrame, key: str, html: str = "html") -> tuple[DataFrame, DataFrame]:
+    """The elements of pages (key, pos, name, tag, end) and their pieces of text (key, pos, text).
+
+    A page is cut into tokens with their places. Within a page the running number of open elements of a name pairs each
+    opening tag with its closing one; an element without one reaches to the end of the page, or if its name implies an
+    end to the next of its name. An element holds what lies between its place and its end.
+    """
+    tokens = df.select(F.col(key).alias("key"), F.posexplode(F.regexp_extract_all(F.col(html), F.lit(TOKEN), F.lit(0))).alias("pos", "tag"))
+    texts = tokens.where(~F.col("tag").startswith("<")).select("key", "pos", unescape_html(F.col("tag")).alias("text"))
+    name = F.lower(F.regexp_extract("tag", r"^</?([A-Za-z][A-Za-z0-9]*)", 1))
+    tags = tokens.where(F.col("tag").rlike(r"^</?[A-Za-z]")).withColumns({"name": name, "closes": F.col("tag").startswith("</")})
+    tags = tags.where(~F.col("name").isin(*VOID, "script", "style", "noscript") & ~F.col("tag").endswith("/>"))
+    by_name = Window.partitionBy("key", "name").orderBy("pos")
+    level = F.sum(F.when(F.col("closes"), -1).otherwise(1)).over(by_name)
+    tags = tags.withColumns({"next": F.lead("pos").over(by_name), "level": level + F.when(F.col("closes"), 1).otherwise(0)})
+    pair = F.lead("pos").over(Window.partitionBy("key", "name", "level").orderBy("pos"))
+    tags = tags.withColumn("pair", pair)
+    end = F.coalesce(F.when(F.col("name").isin(*IMPLIED), F.col("next")).otherwise(F.col("pair")), F.lit(2**31 - 1))
+    return tags.where(~F.col("closes")).select("key", "pos", "name", "tag", end.alias("end")), texts
+
+
+def marked_authors(df: DataFrame, key: str, html: str = "html") -> DataFrame:
+    """EXT4: the author (key, author) that the first fit element marked as one names, by the order of the marks, then of
+    the page: 2 to 100 characters and at most six words, without a year, an address or an @."""
+    tags, texts = elements(df, key, html)
+    classes = F.split(F.coalesce(attribute(F.col("tag"), "class"), F.lit("")), r"\s+")
+    around = tags.where(F.array_contains(classes, "author")).select(F.col("key").alias("k"), F.col("pos").alias("first"), F.col("end").alias("last"))
+    held = tags.where("name = 'a'").join(around, (F.col("key") == F.col("k")) & (F.col("pos") > F.col("first")) & (F.col("pos") < F.col("last")), "left_semi")
+    marked = None
+    for rank, (attr, value, within) in enumerate(AUTHOR_MARKS):
+        own = held if within else tags.where(F.array_contains(classes, value) if attr == "class" else attribute(F.col("tag"), attr) == value)
+        own = own.select("key", F.lit(rank).alias("rank"), "pos", "end")
+        marked = own if marked is None else marked.union(own)
+    words = texts.select(F.col("key").alias("k"), F.col("pos").alias("at"), "text")
+    inside = marked.join(words, (F.col("key") == F.col("k")) & (F.col("at") > F.col("pos")) & (F.col("at") < F.col("end")))
+    whole = inside.groupBy("key", "rank", "pos").agg(F.array_sort(F.collect_list(F.struct("at", "text"))).alias("parts"))
+    text = F.trim(F.regexp_replace(F.regexp_replace(F.array_join(F.transform("parts", lambda p: p["text"]), ""), r"[\p{Cf}\x00-\x08\x0e-\x1f\x7f\u2028\u2029]", ""), r"\s+", " "))
+    fit = whole.withColumn("text", text).where(F.length("text").between(2, 100)).withColumn("text", F.trim(F.regexp_replace("text", r"\s*\([^)]*\)\s*", "")))
+    fit = fit.where((F.length("text") >= 2) & (F.size(F.split("text", r"\s+")) <= 6) & ~F.col("text").rlike(r"\d{4}|https?:|\.com|@"))
+    return fit.groupBy("key").agg(F.min_by("text", F.struct("rank", "pos")).alias("author"))
+
+
+def pages(df: DataFrame, html: str = "html", url: str = "url", accessed: Column | None = None) -> DataFrame:
+    """EXT1: a record of each page; each step fills the fields that those before it left empty: JSON-LD blocks, meta tags
+    by META_RULES, a COinS span, the host, signs of the type, headings, elements marked as authors, a time element, a
+    DOI in the text, bylines and dates in the text. The site's name is cut off the title.
+
+    Columns of df stay, but html and those that the record names. A null page has a record of its address.
+    """
+    taken = {html.lower(), *(c.lower() for c in RECORD)}
+    rest = [c for c in df.columns if c.lower() not in taken]
+    marks = r"(?is)<[a-z][^>]*\s(?:rel|class|itemprop)\s*=\s*[\"']?[^>]*author|byline__name"
+    some = df.where(F.col(html).rlike(marks)).select(F.sha2(html, 256).alias("_page"), F.col(html).alias("_html")).dropDuplicates(["_page"])
+    named = marked_authors(some, "_page", "_html").select(F.col("key").alias("_page"), F.col("author").alias("_marked"))
+    d = df.withColumn("_page", F.when(F.col(html).rlike(marks), F.sha2(html, 256))).join(named, "_page", "left")
+    page, address = F.coalesce(F.col(html), F.lit("")), F.col(url)
+    shown = once(visible(page), lambda t: F.struct(F.substring(t, 1, 5000).alias("head"), F.nullif(F.regexp_extract(t, r"\b(10\.\d{4,}/[^\s<>\"{}|\\^~\[\]`]+)", 1), F.lit("")).alias("doi")))
+    d = d.withColumns({"_m": meta_tags(page), "_j": json_ld(page), "_s": shown, "_c": coins(page)})
+    block = lambda k: F.get(F.filter(F.transform("_j", lambda b: b[k]), lambda x: x.isNotNull()), F.lit(0))
+    told = F.filter(F.transform("_j", lambda b: lookup(JSON_LD_KINDS, b["type"])), lambda x: x.isNotNull())
+    state = {"title": block("title"), "container_title": block("container"), "DOI": block("DOI"), "issued": block("date"), "abstract": block("abstract"), "author": F.flatten(F.filter(F.transform("_j", lambda b: b["author"]), lambda a: a.isNotNull())), "type": F.try_element_at(told, F.lit(-1))}
+    d = d.withColumns({f"_{attr}": first_contents(F.col("_m"), attr) for attr in ("name", "property")})
+    firsts = {attr: F.col(f"_{attr}") for attr in ("name", "property")}
+    d, state = _held(d, fold_metas(state, F.col("_m"), firsts, element(page, "title")))
+    state = fold_coins(state, F.col("_c"))
+    state["type"] = typed_by_host(state["type"], address)
+    d, state = _held(d, state)
+    head = F.col("_s.head")
+    state = typed_by_signals(state, firsts, head, address)
+    by = F.coalesce(*(F.nullif(F.regexp_extract(F.substring(head, 1, 2000), p, 1), F.lit("")) for p in BYLINES))
+    people = F.transform(F.filter(F.split(by, r"\s*(?:,\s*and|,|and)\s*"), lambda n: F.trim(n).rlike(r"\S\s+\S") & (F.length(F.trim(n)) < 40)), names.byline_name)
+    none = F.size(state["author"]) == 0
+    timed = F.coalesce(F.nullif(F.regexp_extract(page, r"(?is)<time\s[^>]*datetime\s*=\s*[\"']([^\"']+)", 1), F.lit("")), F.nullif(F.trim(F.regexp_extract(page, r"(?is)<time\s[^>]*pubdate[^>]*>([^<]*)", 1)), F.lit("")))
+    in_text = F.when(none & F.col("_marked").isNull(), F.coalesce(*(F.nullif(F.regexp_extract(F.substring(head, 1, 3000), p, 1), F.lit("")) for p in TEXT_DATES)))
+    host = F.lower(F.try_parse_url(address, F.lit("HOST")))
+    bare = host.rlike(NO_DOI_HOSTS) | (host.contains("google.") & ~host.contains("books.google") & ~host.contains("scholar.google"))
+    site = F.try_element_at(firsts["property"], F.lit("og:site_name"))
+    d, state = _held(d, state | {
+        "author": F.when(~none, state["author"]).when(F.col("_marked").isNotNull(), F.array(names.byline_name(F.col("_marked")))).otherwise(F.coalesce(people, state["author"])),
+        "issued": F.coalesce(state["issued"], timed, in_text), "DOI": F.coalesce(state["DOI"], F.when(~F.coalesce(bare, F.lit(False)), identifiers.clean_doi(F.col("_s.doi")))),
+        "title": F.trim(strip_site(F.coalesce(state["title"], element(page, "h1")), site)),
+    })
+    title, chain = state["title"], F.regexp_extract(state["title"], r"((?:\s*:\s*[^:]{1,50}){2,})\s*$", 1)
+    language = F.nullif(F.regexp_extract(page, r"(?is)<html\b[^>]*\slang\s*=\s*[\"']?([A-Za-z-]+)", 1), F.lit(""))
+    state |= {
+        "title": F.when(chain.rlike(r"(?i)\.\w{2,}|books|articles|blog"), F.trim(F.substring(title, F.lit(1), F.length(title) - F.length(chain)))).otherwise(title), "issued": dates.page_date(state["issued"]), "language": language,
+        "URL": address, "accessed": F.lit(None).cast("string") if accessed is None else accessed,
+    }
+    return d.select(*(F.col(f"`{c}`") for c in rest), *(state[c].alias(c) for c in RECORD))
+
+
+def _held(df: DataFrame, state: dict[str, Column]) -> tuple[DataFrame, dict[str, Column]]:
+    """The state as columns of the table, so that what reads a field twice computes it once."""
+    return df.withColumns({f"_{k}": v for k, v in state.items()}), {k: F.col(f"_{k}") for k in state}
+
+
+#: Columns of a page's record.
+RECORD = ("type", "title", "author", "issued", "container_title", "volume", "issue", "page", "DOI", "ISBN", "ISSN", "publisher", "abstract", "language", "PMID", "URL", "accessed")
 
 
 def url_only(title: Column, url: Column) -> Column:

@@ -317,11 +317,6 @@ def _(s, d):
     return r.select("id", _joined(F.transform(names.csv_names(names.form_text(F.col("author"))), _name)).alias("people"))
 
 
-@query("jsn_props", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
-def _(s, d):
-    return s.read.parquet(f"{d}/events.parquet").select("event_id", F.try_variant_get(F.try_parse_json("props"), "$.k", "bigint").alias("k"))
-
-
 # Rendering: six families.
 _INITIALS = "array_to_string(list_transform(list_filter(string_split_regex(givens[i], '[\\s.]'), lambda w: w <> ''), lambda w: substr(w, 1, 1) || '.'), ' ')"
 
@@ -432,23 +427,6 @@ def _(s, d):
 
 
 # Pages.
-@query("ext1_pages", "SELECT page_id, replace(trim(regexp_replace(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1', 1), '\\s+', ' ', 'g')), '&amp;', '&') AS title, lower(regexp_extract(html, '(?is)<html[^>]*lang=[\"'']?([A-Za-z-]+)', 1)) AS language FROM pages")
-def _(s, d):
-    return extract.pages(s.read.parquet(f"{d}/pages.parquet")).select("page_id", "title", F.lower("language").alias("language"))
-
-
-@query("ext2_meta_tags", "SELECT page_id, 'Title & ' || page_id AS title, 'Lee/Ann B.///|Roe/Jo///' AS people, '2020-5-' || (page_id % 28 + 1) AS issued, 'Journal ' || (page_id % 9) AS container_title, (page_id % 90) || '-' || (page_id % 90 + 7) AS page, '10.1000/p' || page_id AS DOI, 'article-journal' AS type FROM pages")
-def _(s, d):
-    n = F.col("page_id")
-    meta = lambda k, v: F.concat(F.lit(f'<meta name="{k}" content="'), v, F.lit('">'))
-    tags = F.concat(
-        meta("citation_title", F.concat(F.lit("Title &amp; "), n)), meta("citation_author", F.lit("Lee, Ann B.")), meta("citation_author", F.lit("Jo Roe")), meta("citation_publication_date", F.concat(F.lit("2020-05-"), F.lpad((n % 28 + 1).cast("string"), 2, "0"))), meta("citation_journal_title", F.concat(F.lit("Journal "), n % 9)),
-        meta("citation_firstpage", (n % 90).cast("string")), meta("citation_lastpage", (n % 90 + 7).cast("string")), meta("citation_doi", F.concat(F.lit("doi:10.1000/p"), n)),
-    )
-    r = extract.pages(s.read.parquet(f"{d}/pages.parquet").withColumn("html", F.concat(tags, "html")).withColumn("url", F.lit("https://example.org/a")))
-    return r.select("page_id", "title", _joined(F.transform("author", _name)).alias("people"), _day(F.col("issued")).alias("issued"), "container_title", "page", "DOI", "type")
-
-
 @query("ext7_host_type", """SELECT page_id, CASE WHEN regexp_matches(host, '\\b(nytimes|washingtonpost|theguardian|reuters|apnews|cnn\\.com)\\b') THEN 'article-newspaper' WHEN contains(host, 'ssrn.com') THEN 'report' WHEN contains(host, 'arxiv.org') THEN 'article'
   WHEN regexp_matches(u, '/doi/(abs/|full/|pdf/)?10\\.[0-9]{4,}') THEN 'article-journal' WHEN regexp_matches(u, '/patent/|patents\\.') THEN 'patent' WHEN regexp_matches(u, '/thesis|/dissertation|/etd/') THEN 'thesis' WHEN regexp_matches(u, '/books?/|/isbn/|/works/') THEN 'book' END AS kind
 FROM (SELECT page_id, lower(url) AS u, regexp_extract(lower(url), '^[a-z]+://([^/?#:]+)', 1) AS host FROM pages)""")

@@ -34,9 +34,14 @@ def title_key(c: Column) -> Column:
     return F.regexp_replace(F.lower(c), "[^a-z0-9]", "")
 
 
+def title_words(c: Column) -> Column:
+    """The distinct words of a title, without punctuation."""
+    return F.array_distinct(F.split(F.regexp_replace(F.lower(c), r"[^\w\s]", ""), r"\s+"))
+
+
 def title_similarity(a: Column, b: Column) -> Column:
     """STR12: shared words over the larger set of words."""
-    words = lambda c: F.array_distinct(F.split(F.regexp_replace(F.lower(c), r"[^\w\s]", ""), r"\s+"))
+    words = title_words
     return F.size(F.array_intersect(words(a), words(b))) / F.greatest(F.size(words(a)), F.size(words(b)))
 
 

@@ -1 +1,116 @@
-"""Queries of operators that build structures: indexes, stored tables, pages, ranks."""
+"""Queries of operators that build structures: joins of word sets, indexes, stored tables, deep pages, numbers."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
+
+from quillspark.functions import dates
+from quillspark.operators import paging, similar, stored, substring_index
+from quillspark.plans.library import records
+from quillspark.plans.registry import query
+from quillspark.tables import materialise, shared_dir
+
+_WORDS = "list_sort(list_distinct(string_split_regex(regexp_replace(lower(title), '[^A-Za-z0-9_\\s]', '', 'g'), '\\s+')))"
+_NAMES = "array_to_string(list_transform(range(1, len(families) + 1), lambda i: CASE WHEN is_group THEN families[i] ELSE families[i] || ', ' || givens[i] END), '; ')"
+
+
+def _scratch(s: SparkSession) -> str:
+    return f"{shared_dir(s)}/library-{uuid.uuid4().hex}"
+
+
+@query(
+    "str12_best_titles",
+    f""", w AS (SELECT id, {_WORDS} AS words FROM rec WHERE title IS NOT NULL), sets AS (SELECT row_number() OVER (ORDER BY words) AS s, words FROM (SELECT DISTINCT words FROM w)),
+  pairs AS (SELECT a.s AS s, b.s AS t, len(list_intersect(a.words, b.words)) / greatest(len(a.words), len(b.words)) AS similarity FROM sets a, sets b WHERE 100 * len(list_intersect(a.words, b.words)) >= 60 * greatest(len(a.words), len(b.words)))
+SELECT id, match, round(similarity, 9) AS similarity FROM (
+  SELECT x.id, y.id AS match, similarity, row_number() OVER (PARTITION BY x.id ORDER BY similarity DESC, y.id) AS r
+  FROM (SELECT id, s FROM w JOIN sets USING (words)) x JOIN pairs USING (s) JOIN (SELECT id, s AS t FROM w JOIN sets USING (words)) y USING (t) WHERE x.id <> y.id) WHERE r = 1""",
+)
+def _(s, d):
+    r = records(s, d).select("id", "title")
+    return similar.best_titles(r, r).select("id", "match", F.round("similarity", 9).alias("similarity"))
+
+
+_KEY = "COALESCE(year, 0)"
+
+
+@query("srt2_deep_pages", f"SELECT id, (row_number() OVER (ORDER BY {_KEY} DESC, n) - 1) // 50 AS page, (row_number() OVER (ORDER BY {_KEY} DESC, n) - 1) % 50 AS place FROM rec")
+def _(s, d):
+    r = records(s, d).select("id", F.coalesce(dates.year_of(F.col("issued")), F.lit(0)).alias("year"), "_seq")
+    rows = paging.numbered(r, F.col("year").desc(), F.col("_seq"))
+    return rows.select("id", F.floor(F.col("row") / 50).cast("long").alias("page"), (F.col("row") % 50).cast("long").alias("place"))
+
+
+@query(
+    "srt2_page_after",
+    """, held AS (SELECT *, date_added AS added FROM rec), last AS (SELECT added AS a, n AS m FROM held ORDER BY added DESC, n LIMIT 1 OFFSET 99)
+SELECT id, added, n AS seq FROM held, last WHERE added < a OR (added = a AND n > m) ORDER BY added DESC, n LIMIT 50""",
+)
+def _(s, d):
+    r = records(s, d).select("id", F.col("_dateAdded").alias("added"), F.col("_seq").alias("seq"))
+    hundredth = paging.numbered(r, F.col("added").desc(), F.col("seq")).where("row = 99").first()
+    if hundredth is None:
+        return r.where("false")
+    return paging.page_after(r, {"added": hundredth["added"], "seq": hundredth["seq"]}, "added")
+
+
+@query(
+    "srt7_cited_numbers",
+    f""", b AS (SELECT n, row_number() OVER (ORDER BY {_NAMES} NULLS FIRST, year NULLS FIRST, n) AS number FROM rec),
+  c AS (SELECT DISTINCT l_orderkey AS cluster, number AS k FROM lineitem JOIN b ON n = l_partkey), i AS (SELECT *, k - row_number() OVER (PARTITION BY cluster ORDER BY k) AS island FROM c),
+  g AS (SELECT cluster, min(k) AS a, max(k) AS z FROM i GROUP BY cluster, island)
+SELECT cluster, string_agg(CASE WHEN z - a >= 2 THEN a || '-' || z WHEN z > a THEN a || ', ' || z ELSE CAST(a AS VARCHAR) END, ', ' ORDER BY a) AS cited FROM g GROUP BY cluster""",
+)
+def _(s, d):
+    r = _named(records(s, d))
+    numbers = paging.citation_numbers(r, "names", "year", "_seq", key="_seq")
+    cited = s.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_orderkey").alias("cluster"), F.col("l_partkey").alias("_seq")).join(numbers, "_seq")
+    return paging.collapsed(cited)
+
+
+def _named(r):
+    shown = F.transform("author", lambda n: F.coalesce(n["literal"], F.concat_ws(", ", n["family"], n["given"])))
+    return r.select("id", "_seq", "title", F.array_join(F.coalesce(shown, F.array().cast("array<string>")), "; ").alias("names"), dates.year_of(F.col("issued")).alias("year"))
+
+
+@query(
+    "srt7_year_suffixes",
+    f"""SELECT id, CASE WHEN year IS NULL OR c < 2 THEN NULL WHEN k < 26 THEN chr(97 + k) WHEN k < 702 THEN chr(97 + (k - 26) // 26) || chr(97 + (k - 26) % 26) ELSE chr(97 + (k - 702) // 676) || chr(97 + (k - 702) // 26 % 26) || chr(97 + (k - 702) % 26) END AS year_suffix
+FROM (SELECT id, year, CAST(row_number() OVER (PARTITION BY {_NAMES}, year ORDER BY n) - 1 AS INT) AS k, COUNT(*) OVER (PARTITION BY {_NAMES}, year) AS c FROM rec)""",
+)
+def _(s, d):
+    return paging.year_suffixes(_named(records(s, d)), "_seq")
+
+
+_FIELDS = ["title", "keyword", "DOI"]
+
+
+@query("flt2_indexed_search", "SELECT id, needle FROM rec, (SELECT unnest(['tion', 'src1', '10.1007/ab', 'en', 'no such text']) AS needle) WHERE contains(lower(COALESCE(title, '')), needle) OR contains(lower(COALESCE(keyword, '')), needle) OR contains(lower(COALESCE(DOI, '')), needle)")
+def _(s, d):
+    path = _scratch(s)
+    r = materialise(records(s, d).select("id", *_FIELDS))
+    substring_index.build(r, "id", _FIELDS, path)
+    out = None
+    for needle in ("tion", "SRC1", "10.1007/ab", "en", "no such text"):
+        found = substring_index.search(r, "id", _FIELDS, path, needle).select("id", F.lit(needle.lower()).alias("needle"))
+        out = found if out is None else out.union(found)
+    return out
+
+
+@query(
+    "snk9_stored",
+    """SELECT id, CASE WHEN n % 50 = 0 THEN 'new title ' || n ELSE title END AS title, CASE WHEN n % 25 = 0 THEN NOT starred ELSE starred END AS starred FROM rec WHERE n % 40 <> 1
+UNION ALL SELECT 'x' || n, 'added', FALSE FROM rec WHERE n % 100 = 7""",
+)
+def _(s, d):
+    r = materialise(records(s, d).select("id", F.col("_seq").alias("n"), "title", F.col("_starred").alias("starred")))
+    library = stored.Stored(s, _scratch(s), parts=16)
+    library.upsert(r)
+    changed = r.where("n % 50 = 0").withColumn("title", F.concat(F.lit("new title "), "n"))
+    library.upsert(changed.unionByName(r.where("n % 100 = 7").select(F.concat(F.lit("x"), "n").alias("id"), "n", F.lit("added").alias("title"), F.lit(False).alias("starred"))))
+    library.delete(r.where("n % 40 = 1"))
+    library.update(r.where("n % 25 = 0"), starred=~F.col("starred"))
+    return library.read().select("id", "title", "starred")

@@ -421,7 +421,17 @@ def _(s, d):
     return C.classify(told).select("doc_id", "source_type", "confidence")
 
 
-@query("ext11_classify_documents")
+def _classify_sql() -> str:
+    places = {k: i for i, k in enumerate(C.kinds())}
+    quoted = lambda p: p.replace("'", "''")
+    each = ", ".join("{'place': " + f"{i}, 'type': '{k}', 'score': " + " + ".join(f"CASE WHEN regexp_matches(t, '{quoted(p)}') THEN {w} ELSE 0 END" for t, w, p in C.RULES if t == k) + "}" for k, i in places.items())
+    return f"""WITH scored AS (SELECT doc_id, unnest([{each}]) AS s FROM (SELECT doc_id, COALESCE(text, '') AS t FROM documents)),
+  ranked AS (SELECT doc_id, s.type AS type, s.score AS score, row_number() OVER (PARTITION BY doc_id ORDER BY s.score DESC, s.place) AS r, SUM(s.score) OVER (PARTITION BY doc_id) AS total FROM scored WHERE s.score > 0)
+SELECT d.doc_id, COALESCE(max(type) FILTER (r = 1), 'unknown') AS source_type, round(COALESCE(max(score) FILTER (r = 1) / max(total), 0), 6) AS confidence, COALESCE(string_agg(type || ':' || score, ',' ORDER BY r) FILTER (r <= 5), '') AS ranked
+FROM documents d LEFT JOIN ranked USING (doc_id) GROUP BY d.doc_id"""
+
+
+@query("ext11_classify_documents", _classify_sql())
 def _(s, d):
     return C.classify(_docs(s, d).select("doc_id", "text")).select("doc_id", "source_type", "confidence", "ranked")
 

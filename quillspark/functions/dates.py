@@ -137,12 +137,11 @@ def check_date(c: Column, this_year: int) -> Column:
 
 
 def text_date(d: Column, form: str = "text") -> Column:
-    """DT9: a date as CSL shows it by default: literal, or day month year; numeric: parts joined by slashes."""
+    """DT9: a date by default: literal, or month, day and year; numeric: year, month and day joined by hyphens."""
     p = parts_of(d)
     y, m, day = (F.get(p, F.lit(i)) for i in range(3))
     if form == "numeric":
-        shown = F.concat_ws("/", F.lpad(m.cast("string"), 2, "0"), F.lpad(day.cast("string"), 2, "0"), y.cast("string"))
+        shown = F.concat_ws("-", y.cast("string"), F.lpad(m.cast("string"), 2, "0"), F.lpad(day.cast("string"), 2, "0"))
     else:
-        names = F.array(*(F.lit(x.capitalize()) for x in MONTHS))
-        shown = F.concat_ws(" ", F.get(names, m - 1), F.when(day.isNotNull(), F.concat(day.cast("string"), F.lit(","))), y.cast("string"))
+        shown = F.concat_ws(" ", F.get(F.array(*(F.lit(x.capitalize()) for x in MONTHS)), m - 1), day.cast("string"), y.cast("string"))
     return F.coalesce(d["literal"], F.when(y.isNotNull(), shown))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import dates, identifiers, names
@@ -412,12 +412,41 @@ def url_only(title: Column, url: Column) -> Column:
     return F.struct(F.when(found["type"] == "DOI", "article-journal").otherwise("webpage").alias("type"), title.alias("title"), url.alias("URL"), F.when(found["type"] == "DOI", found["id"]).alias("DOI"))
 
 
+def xmp(content: Column) -> Column:
+    """SRC15: the XMP packet within the first 200,000 bytes of a file, as fields; null where a file has none."""
+    text = F.decode(F.substring(content, 1, 200_000), "ISO-8859-1")  # a place in it is a place in the bytes
+    first, last = F.instr(text, "<x:xmpmeta"), F.instr(text, "</x:xmpmeta>")
+    packet = F.when((first > 0) & (last > first), F.decode(F.substring(content, first, last - first), "UTF-8"))
+
+    def fields(own: Column) -> Column:
+        every = lambda tag: F.filter(F.transform(F.regexp_extract_all(own, F.lit(rf"(?i)<{tag}(?:\s[^>]*)?>([^<]+)</{tag}>"), F.lit(1)), lambda x: F.trim(x)), lambda x: x != "")
+        one = lambda *tags: unescape_html(F.coalesce(*(F.get(every(t), F.lit(0)) for t in tags)))
+        creators = F.when(F.size(every("dc:creator")) > 0, every("dc:creator")).otherwise(every("rdf:li"))
+        return F.struct(
+            one("dc:title", "rdf:li").alias("title"), unescape_html(F.nullif(F.array_join(creators, "; "), F.lit(""))).alias("author"), one("dc:description").alias("subject"), one("prism:doi", "pdfx:doi").alias("DOI"), one("prism:publicationName").alias("container_title"), one("prism:volume").alias("volume"),
+            one("prism:number", "prism:issueIdentifier").alias("issue"), F.nullif(F.concat_ws("-", one("prism:startingPage"), F.when(one("prism:startingPage").isNotNull(), one("prism:endingPage"))), F.lit("")).alias("page"), one("prism:isbn").alias("ISBN"), one("prism:publicationDate", "prism:coverDate", "dc:date").alias("date"),
+        )
+
+    return once(packet, lambda own: F.when(own.isNotNull(), fields(own)))
+
+
 def pdf_info(content: Column) -> Column:
-    """SRC15: title, author and date of a PDF's information dictionary, and identifiers in its first 32 KB."""
-    raw = F.decode(content, "ISO-8859-1")
+    """SRC15: a PDF's information dictionary, what its XMP packet adds, and identifiers in its first 32 KB, which count
+    before those of the packet."""
+    raw, more = F.decode(content, "ISO-8859-1"), xmp(content)
     field = lambda k: blank_to_null(F.regexp_replace(F.regexp_extract(raw, rf"/{k}\s*\(((?:\\.|[^\\)]++)*+)\)", 1), r"\\(.)", "$1"))
-    head = F.substring(raw, 1, 32768)
-    return F.struct(field("Title").alias("title"), field("Author").alias("author"), dates.pdf_date(field("CreationDate")).alias("issued"), identifiers.identifiers_in(head)["DOI"].alias("DOI"), identifiers.identifiers_in(head)["ISBN"].alias("ISBN"))
+    found = identifiers.identifiers_in(F.substring(raw, 1, 32768))
+    created = field("CreationDate")
+    issued = F.when(created.isNotNull(), dates.pdf_date(created)).when(more["date"].isNotNull(), dates.page_date(more["date"]))
+    return F.struct(
+        F.coalesce(field("Title"), more["title"]).alias("title"), F.coalesce(field("Author"), more["author"]).alias("author"), issued.alias("issued"), F.coalesce(found["DOI"], more["DOI"]).alias("DOI"), F.coalesce(found["ISBN"], more["ISBN"]).alias("ISBN"),
+        F.coalesce(field("Subject"), more["subject"]).alias("abstract"), more["container_title"].alias("container_title"), more["volume"].alias("volume"), more["issue"].alias("issue"), more["page"].alias("page"),
+    )
+
+
+def pdf_files(spark: SparkSession, path: str) -> DataFrame:
+    """path and info (pdf_info) of the files of a folder."""
+    return spark.read.format("binaryFile").load(path).select("path", pdf_info(F.col("content")).alias("info"))
 
 
 def text_header(text: Column) -> Column:

@@ -173,7 +173,7 @@ def _(s, d):
     return _table(s, d, "orders").select("o_orderkey", day("MMMM d, yyyy").alias("long"), day("d MMM yyyy").alias("short"), day("yyyy-MM-dd").alias("iso"))
 
 
-@query("dt9_shown_dates", "SELECT o_orderkey, strftime(o_orderdate, '%m/%d/%Y') AS numeric, strftime(o_orderdate, '%B ') || day(o_orderdate) || ', ' || year(o_orderdate) AS long FROM orders")
+@query("dt9_shown_dates", "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS numeric, strftime(o_orderdate, '%B ') || day(o_orderdate) || ' ' || year(o_orderdate) AS long FROM orders")
 def _(s, d):
     made = dates.form_date(F.date_format("o_orderdate", "yyyy-MM-dd"))
     return _table(s, d, "orders").select("o_orderkey", dates.text_date(made, "numeric").alias("numeric"), dates.text_date(made).alias("long"))

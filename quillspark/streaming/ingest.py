@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -10,6 +12,7 @@ from quillspark.functions.identifiers import doi_key, isbn_key
 from quillspark.functions.text import title_key
 from quillspark.operators.dedupe import import_new
 from quillspark.sources.parse import parse_any
+from quillspark.tables import drop_table, materialise
 
 
 def contents(spark: SparkSession, path: str, per_batch: int = 1000) -> DataFrame:
@@ -31,13 +34,22 @@ def distinct_records(stream: DataFrame, delay: str = "1 hour") -> DataFrame:
 
 
 def into_library(stream: DataFrame, library: str, checkpoint: str) -> StreamingQuery:
-    """Append arriving records that the library table does not hold."""
+    """Append arriving records that the library table does not hold. The table is partitioned by _batch; a batch that is
+    tried again is held against the rows of the others and overwrites its own partition, so that none comes twice. Sessions that read the table before refresh it."""
 
-    def add(batch: DataFrame, _: int) -> None:
+    def add(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        if spark.catalog.tableExists(library):
-            import_new(batch, spark.table(library)).write.mode("append").saveAsTable(library)
-        else:
-            batch.write.saveAsTable(library)
+        rows = batch.withColumn("_batch", F.lit(number).cast("long"))
+        if not spark.catalog.tableExists(library):
+            rows.write.partitionBy("_batch").saveAsTable(library)
+            return
+        held = spark.table(library)
+        columns = [c for c in held.columns if c != "_batch"]
+        new = materialise(import_new(batch, held.where(F.col("_batch") != number).drop("_batch")).select(*columns))
+        view = f"_batch_{uuid.uuid4().hex}"
+        new.createOrReplaceTempView(view)
+        spark.sql(f"INSERT OVERWRITE TABLE {library} PARTITION (_batch = {number}) SELECT {', '.join(f'`{c}`' for c in columns)} FROM {view}")
+        spark.catalog.dropTempView(view)
+        drop_table(new)
 
     return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

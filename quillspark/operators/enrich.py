@@ -173,6 +173,19 @@ def from_file_name(name: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(base, "[_-]+", " "), r"\s+", " "))
 
 
+def from_local_file(url: Column, title: Column) -> Column:
+    """PRJ10: a record of a local file from its address and the title of its tab: the tab's own title, else one from the
+    file name; a DOI in the file name."""
+    path = F.coalesce(F.try_parse_url(url, F.lit("PATH")), url)
+    file = F.regexp_extract(F.coalesce(F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), path), "([^/]*)$", 1)
+    plain = F.nullif(F.regexp_replace(file, r"\.\w{1,5}$", ""), F.lit(""))
+    shown = F.when((title != "") & (title != file) & ~title.startswith("file:"), F.trim(F.regexp_replace(title, r"(?i)\.pdf$", "")))
+    return F.struct(
+        F.lit("document").alias("type"), F.coalesce(shown, F.trim(F.regexp_replace(F.regexp_replace(plain, "[-_]+", " "), r"\s+", " "))).alias("title"), url.alias("URL"),
+        F.nullif(F.regexp_extract(file, r"(10\.\d{4,}\S+)", 1), F.lit("")).alias("DOI"), F.lower(url).endswith(".pdf").alias("is_pdf"),
+    )
+
+
 def first_success(payloads: DataFrame, key: str, priority: str, value: str) -> DataFrame:
     """Fallback chain: of the payloads of a key the one of least priority that is not null."""
     return payloads.where(F.col(value).isNotNull()).groupBy(key).agg(F.min_by(value, priority).alias(value))

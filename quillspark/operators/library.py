@@ -139,9 +139,11 @@ def effective_style(projects: DataFrame, style: str = "apa") -> DataFrame:
     return projects.withColumn("style", F.coalesce(F.nullif("default_style", F.lit("")), F.lit(style)))
 
 
-def resolve_styles(ids: Column, styles: DataFrame, row: DataFrame) -> DataFrame:
-    """JN7: rows of the styles of a list of ids in its order; unknown ids go."""
-    return row.select(F.posexplode(ids).alias("pos", "id")).join(styles, "id").orderBy("pos")
+def resolve_styles(ids: Column, styles: DataFrame, rows: DataFrame, *keys: str) -> DataFrame:
+    """JN7: the styles of a list of ids with their place in it; unknown ids go. One list a row, told apart by keys; the
+    styles of a single list come in its order."""
+    met = rows.select(*keys, F.posexplode(ids).alias("pos", "id")).join(styles, "id")
+    return met if keys else met.orderBy("pos")
 
 
 def with_overrides(files: DataFrame, registry: DataFrame, overrides: DataFrame) -> DataFrame:
@@ -218,6 +220,14 @@ def create_tags(tags: DataFrame, df: DataFrame) -> DataFrame:
     return tags.unionByName(used.select(F.concat(F.lit("tag-"), "name").alias("id"), "name", F.lit(GREY).alias("color")))
 
 
+def add_tags(tags: DataFrame, new: DataFrame) -> DataFrame:
+    """VAL4: tags by name; a name that exists as it is written is refused, so is an empty one, and of new ones with one
+    name all but that of the smallest id."""
+    named = new.withColumn("name", F.trim("name")).where("name <> ''")
+    first = named.groupBy("name").agg(F.min(F.struct("id", *(c for c in named.columns if c not in ("id", "name")))).alias("_t")).select("name", "_t.*")
+    return tags.unionByName(first.join(tags.select("name"), "name", "left_anti"), allowMissingColumns=True)
+
+
 def delete_tag(tags: DataFrame, name: str) -> DataFrame:
     """MUT7: a tag row goes; records keep the name."""
     return tags.where(F.col("name") != name)

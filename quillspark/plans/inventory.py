@@ -204,7 +204,7 @@ def _(s, d):
     o = _table(s, d, "orders")
     styles = o.where("o_orderpriority < '4'").groupBy(F.col("o_orderpriority").alias("id")).agg(F.min("o_orderstatus").alias("name"))
     wanted = o.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.array_sort(F.collect_set("o_orderpriority")).alias("ids"))
-    return wanted.select("c_custkey", F.posexplode("ids").alias("pos", "id")).join(styles, "id").select("c_custkey", "id", "name")
+    return L.resolve_styles(F.col("ids"), styles, wanted, "c_custkey").select("c_custkey", "id", "name")
 
 
 @query("jn8_with_overrides", "SELECT p.id, CASE WHEN p_size % 3 = 0 THEN 'over' || p_size ELSE p_name END AS name, CASE WHEN p_size % 3 = 0 THEN 'mine' ELSE COALESCE(p_brand, 'Other') END AS \"group\" FROM (SELECT CAST(p_partkey AS VARCHAR) AS id, * FROM part) p")
@@ -329,6 +329,25 @@ def _(s, d):
     return enrich.fill_missing(r, found, ["volume", "DOI"]).select("id", "volume", "DOI")
 
 
+@query(
+    "prj10_local_files",
+    r"""SELECT page_id, CASE WHEN page_id % 2 = 0 THEN trim(regexp_replace(regexp_replace(regexp_replace(f, '\.\w{1,5}$', ''), '[-_]+', ' ', 'g'), '\s+', ' ', 'g')) ELSE 'Tab ' || page_id END AS title, u AS URL, '10.1234.pdf' AS DOI, TRUE AS is_pdf
+FROM (SELECT page_id, u, regexp_extract(u, '([^/]*)$', 1) AS f FROM (SELECT page_id, regexp_replace(url, '[?#].*$', '') || '_of-' || page_id || '.10.1234.pdf' AS u FROM pages))""",
+)
+def _(s, d):
+    p = _table(s, d, "pages").select("page_id", F.concat(F.regexp_replace("url", "[?#].*$", ""), F.lit("_of-"), "page_id", F.lit(".10.1234.pdf")).alias("u"))
+    r = p.select("page_id", enrich.from_local_file(F.col("u"), F.when(F.col("page_id") % 2 == 1, F.concat(F.lit("Tab "), "page_id", F.lit(".PDF")))).alias("r"))
+    return r.select("page_id", "r.title", "r.URL", "r.DOI", "r.is_pdf")
+
+
+@query("val4_new_tags", "SELECT n_name AS name, 'n' || n_nationkey AS id FROM nation UNION ALL SELECT r_name, 'r' || r_regionkey FROM region WHERE r_name NOT IN (SELECT n_name FROM nation)")
+def _(s, d):
+    tags = _table(s, d, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("id"), F.col("n_name").alias("name"))
+    regions = _table(s, d, "region").select(F.concat(F.lit("r"), "r_regionkey").alias("id"), F.concat(F.lit(" "), "r_name", F.lit(" ")).alias("name"))
+    again = tags.withColumn("id", F.concat(F.lit("again-"), "id")).unionByName(regions.withColumn("id", F.concat(F.lit("s"), "id")))
+    return L.add_tags(tags, regions.unionByName(again)).select("name", "id")
+
+
 @query("prj10_first_success", "SELECT o_custkey AS id, arg_min(o_orderstatus, o_orderkey) FILTER (o_totalprice > 100000) AS status FROM orders GROUP BY 1 HAVING COUNT(*) FILTER (o_totalprice > 100000) > 0")
 def _(s, d):
     o = _table(s, d, "orders").select(F.col("o_custkey").alias("id"), "o_orderkey", F.when(F.col("o_totalprice") > 100000, F.col("o_orderstatus")).alias("status"))

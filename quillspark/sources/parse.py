@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from quillspark import schema
 from quillspark.functions import dates, identifiers, names
 from quillspark.functions.text import blank_to_null, clean_latex, dash_pages, lookup, strip_braces
+from quillspark.tables import materialise
 
 CUT = {"ris": r"(?m)^(?=TY  -)", "medline": r"(?m)^(?=PMID-)"}
 #: Record boundaries at which a scan may cut a large file.
@@ -310,6 +311,8 @@ def parse_any(df: DataFrame, content: str = "content", fmt: Column | None = None
     """Contents of mixed formats: each goes to its own parser; the results are one table (SRC22). A null content, and one
     of a format that no parser takes, is a row with an error."""
     told = df.withColumn("_format", F.when(F.col(content).isNotNull(), sniff(F.col(content)) if fmt is None else F.coalesce(fmt, sniff(F.col(content)))))
+    if not df.isStreaming:
+        told = materialise(told)  # so that files are read and sniffed once, not once a parser
     parts = [conform(p(told.where(F.col("_format") == k), content)) for k, p in PARSERS.items()]
     lost = told.where(F.col("_format").isNull() | ~F.col("_format").isin(*PARSERS)).drop(content)
     parts.append(conform(lost.withColumn("_errors", F.array(F.concat(F.lit("no parser for "), F.coalesce("_format", F.lit("a missing content")))))))

@@ -154,22 +154,23 @@ def identify(docs: DataFrame, net: Network | None, language: str = "lang_pred",
     if net is None:
         return kept.withColumns({language: F.lit("und"), score: F.lit(0.0)})
     shared = docs.sparkSession.sparkContext.broadcast(net)
-    letters = common.fresh(kept, "letters")
-    known = kept.withColumn(letters, F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+    # mapInArrow looks columns up by name, dots and all: they go in under plain names.
+    names_in = [f"c{i}" for i in range(len(kept.columns))]
+    text = names_in[kept.columns.index("text")]
+    known = kept.toDF(*names_in).withColumn("letters", F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)))
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = shared.value
         tables, names = net.paired(), np.array([*net.labels, "und"])
-        for batch in (piece for whole in batches for piece in slices(whole, "text")):
-            logs = window_scores(*text_bytes(batch.column("text")), net, tables)
+        for batch in (piece for whole in batches for piece in slices(whole, text)):
+            logs = window_scores(*text_bytes(batch.column(text)), net, tables)
             p = softmax(logs)
-            some = batch.column(letters).to_numpy(zero_copy_only=False)
+            some = batch.column("letters").to_numpy(zero_copy_only=False)
             best = np.where(some, p.argmax(axis=1), len(net.labels))
-            columns = [batch.column(c) for c in batch.schema.names if c != letters]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(names[best].tolist(), pa.string()), pa.array(np.where(some, p.max(axis=1), 0.0))], names=[*(c for c in batch.schema.names if c != letters), language, score])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names_in), pa.array(names[best].tolist(), pa.string()), pa.array(np.where(some, p.max(axis=1), 0.0))], names=[*names_in, "language", "score"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema) + f", `{language}` string, `{score}` double"
-    return known.mapInArrow(predict, schema)
+    schema = ", ".join(f"{c} {f.dataType.simpleString()}" for c, f in zip(names_in, kept.schema, strict=True)) + ", language string, score double"
+    return known.mapInArrow(predict, schema).toDF(*kept.columns, language, score)
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quillspark.functions.text import blank_to_null
+from quillspark.functions.text import blank_to_null, once
 
 # Patterns of identifiers.
 DOI = r"\b(10\.\d{4,}/[^\s<>\"{}|\\^~\[\]`]+)"
@@ -74,31 +74,37 @@ def _found(kind: str, id_: Column, doi: Column | None = None) -> Column:
 
 def identify(c: Column) -> Column:
     """STR7: (type, id, doi) of the first identifier in the order DOI, arXiv, PMID, PMC, ISBN; null if none."""
-    s = F.trim(c)
-    doi = trim_doi(F.coalesce(first_match(s, DOI_LABELLED), first_match(s, DOI)))
-    arxiv, pmid, pmc = (F.coalesce(first_match(s, a), first_match(s, b)) for a, b in ((ARXIV, ARXIV_URL), (PMID, PMID_URL), (PMC, PMC_URL)))
-    plain = F.regexp_replace(s, r"[\s-]", "")
-    isbn = F.coalesce(first_match(plain, r"^(97[89]\d{10})$"), first_match(plain, r"^(\d{9}[\dXx])$"), isbn_key(first_match(s, ISBN_ANY)))
-    return (
-        F.when(doi.isNotNull() & doi.rlike(ARXIV_DOI), _found("arXiv", F.regexp_extract(doi, ARXIV_DOI, 1), doi))
-        .when(doi.isNotNull(), _found("DOI", doi))
-        .when(arxiv.isNotNull(), _found("arXiv", arxiv, F.concat(F.lit("10.48550/arXiv."), arxiv)))
-        .when(pmid.isNotNull(), _found("PMID", pmid))
-        .when(pmc.isNotNull(), _found("PMC", pmc))
-        .when(isbn.isNotNull(), _found("ISBN", isbn))
-    )
+
+    def numbers(s: Column) -> Column:
+        doi = trim_doi(F.coalesce(first_match(s, DOI_LABELLED), first_match(s, DOI)))
+        arxiv, pmid, pmc = (F.coalesce(first_match(s, a), first_match(s, b)) for a, b in ((ARXIV, ARXIV_URL), (PMID, PMID_URL), (PMC, PMC_URL)))
+        plain = F.regexp_replace(s, r"[\s-]", "")
+        isbn = F.coalesce(first_match(plain, r"^(97[89]\d{10})$"), first_match(plain, r"^(\d{9}[\dXx])$"), isbn_key(first_match(s, ISBN_ANY)))
+        return F.struct(doi.alias("doi"), arxiv.alias("arxiv"), pmid.alias("pmid"), pmc.alias("pmc"), isbn.alias("isbn"))
+
+    def first(x: Column) -> Column:
+        return (
+            F.when(x["doi"].isNotNull() & x["doi"].rlike(ARXIV_DOI), _found("arXiv", F.regexp_extract(x["doi"], ARXIV_DOI, 1), x["doi"]))
+            .when(x["doi"].isNotNull(), _found("DOI", x["doi"]))
+            .when(x["arxiv"].isNotNull(), _found("arXiv", x["arxiv"], F.concat(F.lit("10.48550/arXiv."), x["arxiv"])))
+            .when(x["pmid"].isNotNull(), _found("PMID", x["pmid"]))
+            .when(x["pmc"].isNotNull(), _found("PMC", x["pmc"]))
+            .when(x["isbn"].isNotNull(), _found("ISBN", x["isbn"]))
+        )
+
+    return once(F.trim(c), lambda s: once(numbers(s), first))
 
 
 def doi_in_url(url: Column) -> Column:
     """STR8, EXT17: (type, id) of the DOI, or PMC number, that a publisher's URL holds."""
-    found = F.lit(None).cast("string")
-    for pattern, before, encoded in reversed(URL_DOI):
-        got = first_match(url, pattern)
-        got = F.try_url_decode(got) if encoded else got
-        found = F.coalesce(trim_doi(F.concat(F.lit(before), got)), found)
-    pmc = first_match(url, PMC_URL)
+
+    def numbers(u: Column) -> Column:
+        each = [F.try_url_decode(first_match(u, p)) if encoded else first_match(u, p) for p, _, encoded in URL_DOI]
+        dois = [trim_doi(F.concat(F.lit(before), got)) for (_, before, _), got in zip(URL_DOI, each, strict=True)]
+        return F.struct(F.coalesce(*dois).alias("doi"), first_match(u, PMC_URL).alias("pmc"))
+
     kind = lambda t, v: F.struct(F.lit(t).alias("type"), v.alias("id"))
-    return F.when(found.isNotNull(), kind("DOI", found)).when(pmc.isNotNull(), kind("PMC", pmc))
+    return once(url, lambda u: once(numbers(u), lambda x: F.when(x["doi"].isNotNull(), kind("DOI", x["doi"])).when(x["pmc"].isNotNull(), kind("PMC", x["pmc"]))))
 
 
 def identifiers_in(c: Column, header_only: bool = False) -> Column:

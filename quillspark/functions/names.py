@@ -80,7 +80,7 @@ def endnote_name(c: Column) -> Column:
 def medline_name(c: Column) -> Column:
     """NAM4: first word family, the letters of the rest dotted initials."""
     w = _words(c)
-    letters = F.filter(F.split(F.array_join(F.slice(w, 2, 100), ""), ""), lambda x: x != "")
+    letters = F.filter(F.split(F.array_join(F.slice(w, F.lit(2), F.size(w)), ""), ""), lambda x: x != "")
     dotted = F.array_join(F.transform(letters, lambda x: F.concat(x, F.lit("."))), " ")
     return F.when(F.size(w) <= 1, name(literal=_trim(c))).otherwise(name(w[0], dotted))
 

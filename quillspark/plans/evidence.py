@@ -10,7 +10,7 @@ from quillspark.functions import dates, identifiers, names, text
 from quillspark.operators import enrich, extract, fields
 from quillspark.plans.inventory import _DATE, _PERSONS, _table
 from quillspark.plans.library import records
-from quillspark.plans.registry import _day, _joined, _name, query
+from quillspark.plans.registry import _bib_sql, _day, _joined, _name, query
 from quillspark.render import conditions, families
 
 _FORM_PEOPLE = "CASE WHEN is_group THEN families[1] WHEN n_authors > 0 THEN array_to_string(list_transform(range(1, len(givens) + 1), lambda i: families[i] || ', ' || givens[i]), '; ') END"
@@ -226,12 +226,18 @@ def _(s, d):
     return _table(s, d, "part").select("p_partkey", text.term(terms, name, "short").alias("one"), text.term(terms, name, "short", True).alias("many"))
 
 
-@query("fmt5_both", "SELECT id, CASE WHEN n % 3 = 0 THEN '[1] ' ELSE 'own ' END AS head, CASE WHEN n % 2 = 0 THEN '(' || n || ')' ELSE '[1]' END AS intext, '[1]' AS narrative FROM rec")
+def _both_sql() -> str:
+    head, _, tail = _bib_sql("ieee").rpartition(" SELECT id, ")
+    plain = "replace(replace(replace(replace(regexp_replace(entry, '<[^>]*>', '', 'g'), '&quot;', '\"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')"
+    return f"{head}, e AS (SELECT id, {tail}) SELECT id, CASE WHEN n % 3 <> 0 THEN 'own ' || n ELSE {plain} END AS bib, CASE WHEN n % 2 = 0 THEN '(' || n || ')' ELSE '[1]' END AS intext, '[1]' AS narrative FROM e JOIN rec USING (id)"
+
+
+@query("fmt5_both", _both_sql())
 def _(s, d):
     own = F.when(F.col("_seq") % 3 != 0, F.concat(F.lit("<i>own</i> "), "_seq"))
     cited = F.when(F.col("_seq") % 2 == 0, F.concat(F.lit("("), "_seq", F.lit(")")))
     made, told = families.both(own, cited, "ieee"), families.both(own, cited, "ieee", narrative=True)
-    return records(s, d).select("id", F.substring(made["bib"], 1, 4).alias("head"), made["intext"].alias("intext"), told["intext"].alias("narrative"))
+    return records(s, d).select("id", made["bib"].alias("bib"), made["intext"].alias("intext"), told["intext"].alias("narrative"))
 
 
 @query("fmt8_style_info", "SELECT p_partkey, p_name AS title, 'http://styles.example/' || p_partkey AS id, CASE WHEN p_size % 2 = 0 THEN 'note' ELSE 'in-text' END AS class, p_size % 3 = 0 AS has_bibliography, CASE WHEN p_size % 3 = 0 THEN 'author:1|/title-key:0' ELSE '' END AS keys FROM part")
@@ -245,7 +251,9 @@ def _(s, d):
     return _table(s, d, "part").select("p_partkey", info["title"].alias("title"), info["id"].alias("id"), info["class"].alias("class"), info["has_bibliography"].alias("has_bibliography"), _joined(keys).alias("keys"))
 
 
-@query("map1_types", "SELECT p_partkey, (['article-newspaper', 'thesis', 'webpage'])[CAST(p_size % 3 AS INT) + 1] AS type FROM part")
+@query("map1_types", "SELECT id, t AS ris, CASE t WHEN 'article-newspaper' THEN 'article-journal' ELSE t END AS bibtex, (['JournalArticle', 'Book', 'BookSection', 'Report', 'InternetSite', 'ArticleInAPeriodical'])[CAST(n % 6 AS INT) + 1] AS word, CASE t WHEN 'chapter' THEN 'webpage' ELSE t END AS citoid, CASE WHEN t IN ('book', 'chapter', 'thesis', 'webpage') THEN t ELSE 'document' END AS csv FROM (SELECT id, n, type AS t FROM rec)")
 def _(s, d):
-    told = F.get(F.array(F.lit("newspaperArticle"), F.lit("thesis"), F.lit("letter")), F.col("p_size") % 3)
-    return _table(s, d, "part").select("p_partkey", text.lookup(schema.CITOID_TYPES, told, "webpage").alias("type"))
+    kind = F.col("type")
+    there = lambda out, back: text.lookup(back, text.lookup(out, kind))
+    camel = F.regexp_replace(kind, "^article-(.*)$", "$1Article")
+    return records(s, d).select("id", there(schema.TO_RIS, schema.RIS_TYPES).alias("ris"), there(schema.TO_BIBTEX, schema.BIBTEX_TYPES).alias("bibtex"), text.lookup(schema.TO_WORD, kind).alias("word"), text.lookup(schema.CITOID_TYPES, camel, "webpage").alias("citoid"), text.lookup(schema.CSV_TYPES, kind, "document").alias("csv"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from quillspark import schema
@@ -23,13 +25,17 @@ def _table(s, d, name):
 # SQL of a person as the registry shows one: family/given/particle/suffix/literal.
 _PEOPLE = "array_to_string(list_transform(range(1, len(givens) + 1), lambda i: families[i] || '/' || {given} || '///'), '|')"
 _PERSONS = "CASE WHEN is_group THEN '////' || families[1] WHEN n_authors > 0 THEN " + _PEOPLE.format(given="givens[i]") + " END"
+# The same where a reader takes a group's last word for its family name.
+_PERSONS_READ = _PERSONS.replace("'////' || families[1]", "string_split(families[1], ' ')[2] || '/' || string_split(families[1], ' ')[1] || '///'")
 _DATE = "CASE WHEN year IS NOT NULL THEN year || COALESCE('-' || month, '') || COALESCE('-' || day, '') END"
 
 
 # Texts.
-@query("str1_clean_latex", "SELECT doc_id, replace(replace(text, '--', '–'), '~', ' ') AS cleaned FROM documents")
+@query("str1_clean_latex", "SELECT doc_id, replace(replace(text, '--', '–'), '~', ' ') AS braced, replace(replace(text, '--', '–'), '~', ' ') AS bare FROM documents")
 def _(s, d):
-    return _table(s, d, "documents").select("doc_id", text.clean_latex(F.col("text")).alias("cleaned"))
+    coded = lambda pairs: reduce(lambda x, kv: F.replace(x, F.lit(kv[1]), F.lit(kv[0])), pairs, F.col("text"))
+    braced, bare = ([kv for kv in text.LATEX if kv[0][0] == "\\" and kv[1] not in ("", "–", "—") and (kv[0][-1] == "}") == b] for b in (True, False))
+    return _table(s, d, "documents").select("doc_id", text.clean_latex(coded(braced)).alias("braced"), text.clean_latex(coded(bare)).alias("bare"))
 
 
 @query("str2_strip_braces", "SELECT doc_id, trim(regexp_replace(text, '[{}]', '', 'g')) AS stripped FROM documents")
@@ -44,18 +50,20 @@ def _(s, d):
     return records(s, d).select("id", identifiers.normalise_doi(told).alias("doi"), identifiers.normalise_doi(F.col("title")).alias("none"))
 
 
-@query("str5_is_isbn", "SELECT id, COALESCE(regexp_full_match(replace(ISBN, '-', ''), '97[89]\\d{10}|\\d{9}[\\dXx]'), FALSE) AS shaped FROM rec")
+@query("str5_is_isbn", "SELECT id, COALESCE(regexp_full_match(replace(ISBN, '-', ''), '97[89]\\d{10}|\\d{9}[\\dXx]'), FALSE) AS shaped, ISBN IS NOT NULL AND n % 2 = 1 AS whole FROM rec")
 def _(s, d):
-    return records(s, d).select("id", F.coalesce(identifiers.is_isbn(F.col("ISBN")), F.lit(False)).alias("shaped"))
+    whole = F.concat("ISBN", F.when(F.col("_seq") % 2 == 1, (F.col("_seq") % 10).cast("string")).otherwise("-X"))
+    return records(s, d).select("id", *(F.coalesce(identifiers.is_isbn(c), F.lit(False)).alias(k) for k, c in (("shaped", F.col("ISBN")), ("whole", whole))))
 
 
 @query(
     "str10_route",
-    "SELECT id, CASE WHEN DOI IS NOT NULL THEN 'doi' ELSE 'title' END AS by_doi, CASE WHEN URL IS NOT NULL THEN 'url' ELSE 'title' END AS by_url, 'title' AS by_name FROM rec",
+    "SELECT id, CASE WHEN DOI IS NOT NULL THEN 'doi' ELSE 'title' END AS by_doi, CASE WHEN URL IS NOT NULL THEN 'url' ELSE 'title' END AS by_url, CASE WHEN ISBN IS NOT NULL THEN 'isbn' WHEN n % 3 = 0 THEN 'pmid' WHEN n % 3 = 1 THEN 'arxiv' ELSE 'title' END AS by_number FROM rec",
 )
 def _(s, d):
-    route = identifiers.route
-    return records(s, d).select("id", route(F.col("DOI")).alias("by_doi"), route(F.col("URL")).alias("by_url"), route(F.col("container_title")).alias("by_name"))
+    route, n = identifiers.route, F.col("_seq")
+    number = F.coalesce(F.concat(F.lit("ISBN: "), "ISBN", n % 10), F.when(n % 3 == 0, F.concat(F.lit("PMID "), F.lit(100000) + n)).when(n % 3 == 1, F.concat(F.lit("arXiv:2301."), F.lit(10000) + n % 9000)).otherwise(F.col("container_title")))
+    return records(s, d).select("id", route(F.col("DOI")).alias("by_doi"), route(F.col("URL")).alias("by_url"), route(number).alias("by_number"))
 
 
 @query(
@@ -94,16 +102,23 @@ def _(s, d):
     return _table(s, d, "documents").select("doc_id", text.squeeze(F.col("text")).alias("squeezed"))
 
 
-@query("str25_strip_site", "SELECT page_id, url AS title FROM pages")
+_PAGE_TITLE = "regexp_extract(html, '<title>([^<]*)</title>', 1)"
+
+
+@query("str25_strip_site", f"SELECT page_id, CASE WHEN page_id % 5 = 0 THEN t || ' | not ' || h || ' at all' ELSE regexp_replace(t, '\\s+$', '') END AS title FROM (SELECT page_id, {_PAGE_TITLE} AS t, regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1) AS h FROM pages)")
 def _(s, d):
-    host = F.try_parse_url(F.col("url"), F.lit("HOST"))
-    return _table(s, d, "pages").select("page_id", text.strip_site(F.concat("url", F.lit(" | "), host), host).alias("title"))
+    host, title = F.try_parse_url(F.col("url"), F.lit("HOST")), F.regexp_extract("html", r"<title>([^<]*)</title>", 1)
+    mark = F.get(F.array(*map(F.lit, (" | ", " - ", " — ", ": "))), (F.col("page_id") % 4).cast("int"))
+    told = F.when(F.col("page_id") % 5 == 0, F.concat(title, F.lit(" | not "), host, F.lit(" at all"))).otherwise(F.concat(title, mark, host, F.lit(" ")))
+    return _table(s, d, "pages").select("page_id", text.strip_site(told, host).alias("title"))
 
 
-@query("str28_file_names", "SELECT id, DOI AS doi FROM rec")
+@query("str28_file_names", "SELECT id, CASE WHEN n % 3 = 0 THEN DOI END AS doi, CASE WHEN n % 3 = 1 THEN '2301.' || (10000 + n % 9000) END AS arxiv FROM rec")
 def _(s, d):
-    file = F.concat(F.replace("DOI", F.lit("/"), F.lit("_")), F.lit(".pdf"))
-    return records(s, d).select("id", identifiers.from_file_name(file)["doi"].alias("doi"))
+    n = F.col("_seq")
+    file = F.when(n % 3 == 0, F.concat(F.replace("DOI", F.lit("/"), F.lit("_")), F.lit(".pdf"))).when(n % 3 == 1, F.concat(F.lit("2301."), F.lit(10000) + n % 9000, F.lit("v2.pdf"))).otherwise(F.concat("title", F.lit(".pdf")))
+    found = identifiers.from_file_name(file)
+    return records(s, d).select("id", found["doi"].alias("doi"), found["arxiv"].alias("arxiv"))
 
 
 @query("num1_numbers", "SELECT id, volume || 'th' AS ordinal, contains(COALESCE(page, ''), '-') AS pages, COALESCE(CAST(volume AS INT) > 1, FALSE) AS volumes FROM rec")
@@ -140,10 +155,14 @@ def _(s, d):
     return records(s, d).where("author IS NOT NULL").select("id", _joined(F.transform(lines, lambda x: _name(names.byline_name(x)))).alias("people"))
 
 
-@query("nam7_form_names", f"SELECT id, {_PEOPLE.format(given='givens[i]')} AS people FROM rec WHERE n_authors > 0 AND NOT is_group")
+@query("nam7_form_names", f"SELECT id, {_PERSONS_READ} AS people FROM rec")
+def _(s, d):
+    return records(s, d).select("id", _joined(F.transform(names.form_names(names.form_text(F.col("author"))), _name)).alias("people"))
+
+
+@query("nam5_csv_names", f"SELECT id, {_PERSONS_READ} AS people FROM rec")
 def _(s, d):
-    r = records(s, d).where("author IS NOT NULL AND author[0].literal IS NULL")
-    return r.select("id", _joined(F.transform(names.form_names(names.form_text(F.col("author"))), _name)).alias("people"))
+    return records(s, d).select("id", _joined(F.transform(names.csv_names(names.form_text(F.col("author"))), _name)).alias("people"))
 
 
 _ORDER_DAY = "year(o_orderdate) || '-' || month(o_orderdate) || '-' || day(o_orderdate)"
@@ -308,9 +327,9 @@ def _(s, d):
     return L.lookup_record(records(s, d), "d42").select("id", "title")
 
 
-@query("prj1_from_form", f"SELECT id, {_PERSONS} AS people, {_DATE} AS issued, DOI, CASE WHEN DOI IS NOT NULL THEN 'https://doi.org/' || DOI ELSE URL END AS URL, container_title FROM rec WHERE NOT is_group")
+@query("prj1_from_form", f"SELECT id, {_PERSONS_READ} AS people, {_DATE} AS issued, DOI, CASE WHEN DOI IS NOT NULL THEN 'https://doi.org/' || DOI ELSE URL END AS URL, container_title FROM rec")
 def _(s, d):
-    r = records(s, d).where("author IS NULL OR author[0].literal IS NULL")
+    r = records(s, d)
     form = r.select("id", "type", "title", names.form_text(F.col("author")).alias("authors"), dates.form_text(F.col("issued")).alias("date"), "publisher", F.col("container_title").alias("container"), "volume", "issue", F.col("page").alias("pages"), F.coalesce("DOI", "URL", F.lit("")).alias("doi_or_url"))
     made = enrich.from_form(form)
     return made.select("id", F.nullif(_joined(F.transform("author", _name)), F.lit("")).alias("people"), F.nullif(_day(F.col("issued")), F.lit("")).alias("issued"), "DOI", "URL", "container_title")
@@ -366,10 +385,11 @@ def _(s, d):
     return r.select("id", F.round(classify.completeness(F.col("type"), fields), 6).alias("complete"))
 
 
-@query("ext16_url_only", "SELECT page_id, 'webpage' AS type, url AS title, url AS URL FROM pages")
+@query("ext16_url_only", f"SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'article-journal' ELSE 'webpage' END AS type, {_PAGE_TITLE} AS title, CASE WHEN page_id % 3 = 0 THEN 'https://journal.example/10.1234/p.' || page_id || '?from=' ELSE '' END || url AS URL, CASE WHEN page_id % 3 = 0 THEN '10.1234/p.' || page_id END AS doi FROM pages")
 def _(s, d):
-    known = extract.url_only(F.col("url"), F.col("url"))
-    return _table(s, d, "pages").select("page_id", known["type"].alias("type"), known["title"].alias("title"), known["URL"].alias("URL"))
+    url = F.concat(F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("https://journal.example/10.1234/p."), "page_id", F.lit("?from="))).otherwise(""), "url")
+    known = extract.url_only(F.regexp_extract("html", r"<title>([^<]*)</title>", 1), url)
+    return _table(s, d, "pages").select("page_id", known["type"].alias("type"), known["title"].alias("title"), known["URL"].alias("URL"), known["DOI"].alias("doi"))
 
 
 @query("fmt2_plain", "SELECT page_id, replace(replace(replace(replace(regexp_replace(html, '<[^>]*>', '', 'g'), '&quot;', '\"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS plain FROM pages")
@@ -397,16 +417,16 @@ def _flat_ids(df):
 _OWN = "SELECT id AS own, {title} AS title, {people} AS people, volume, issue, DOI, publisher FROM rec WHERE trim(title) <> ''"
 
 
-@query("src6_csv_round_trip", _OWN.format(title="trim(title)", people=_PERSONS.replace("'////' || families[1]", "string_split(families[1], ' ')[2] || '/' || string_split(families[1], ' ')[1] || '///'")))
+@query("src6_csv_round_trip", _OWN.format(title="trim(title)", people=_PERSONS_READ))
 def _(s, d):
     r = parse.conform(records(s, d))
     content = F.concat(F.lit(",".join(write.CSV_COLUMNS) + "\n"), write.csv_row())
     return _flat_ids(parse.parse_any(r.select(F.col("id").alias("own"), content.alias("content")), fmt=F.lit("csv")))
 
 
-@query("src4_endnote", f"SELECT id AS own, trim(title) AS title, {_PERSONS.replace(chr(39) + '////' + chr(39) + ' || families[1]', 'string_split(families[1], ' + chr(39) + ' ' + chr(39) + ')[2] || ' + chr(39) + '/' + chr(39) + ' || string_split(families[1], ' + chr(39) + ' ' + chr(39) + ')[1] || ' + chr(39) + '///' + chr(39))} AS people, volume, issue, DOI, publisher FROM rec WHERE trim(title) <> ''")
+@query("src4_endnote", f"SELECT id AS own, trim(title) AS title, {_PERSONS_READ} AS people, volume, issue, DOI, publisher FROM rec WHERE trim(title) <> ''")
 def _(s, d):
-    r = records(s, d).where("trim(title) <> ''")
+    r = records(s, d)  # the reader leaves out records without a title
     tag = lambda k, v: F.coalesce(F.concat(F.lit(f"<{k}>"), text.escape_xml(v), F.lit(f"</{k}>")), F.lit(""))
     people = F.coalesce(F.array_join(F.transform("author", lambda a: tag("author", names.display(a))), ""), F.lit(""))
     body = F.concat(people, tag("title", F.col("title")), tag("volume", F.col("volume")), tag("number", F.col("issue")), tag("electronic-resource-num", F.col("DOI")), tag("publisher", F.col("publisher")))
@@ -425,11 +445,11 @@ def _(s, d):
     return got.select("own", "title", "volume", "issue", "page", F.nullif("DOI", F.lit("")).alias("DOI"), F.nullif(_day(F.col("issued")), F.lit("")).alias("issued"))
 
 
-@query("src22_mixed_formats", "SELECT id AS own, trim(title) AS title, volume FROM rec WHERE trim(title) <> '' AND NOT contains(title, '~') AND NOT contains(title, '--')")
+@query("src22_mixed_formats", "SELECT id AS own, CASE WHEN n % 4 = 0 THEN trim(replace(replace(title, '--', '–'), '~', ' ')) ELSE NULLIF(trim(title), '') END AS title, volume FROM rec WHERE n % 4 <> 3 OR trim(title) <> ''")
 def _(s, d):
-    r = parse.conform(records(s, d)).where("trim(title) <> '' AND title NOT LIKE '%~%' AND title NOT LIKE '%--%'")
+    r = parse.conform(records(s, d))
     head = F.lit("\t".join(write.CSV_COLUMNS) + "\n")
-    by = F.col("_seq") % 4 if "_seq" in r.columns else F.lit(0)
+    by = F.regexp_extract("id", r"\d+", 0).cast("long") % 4
     content = F.when(by == 0, write.bibtex()).when(by == 1, F.concat(write.ris(), F.lit("\n"))).when(by == 2, write.csl_json(r)).otherwise(F.concat(head, write.csv_row("\t")))
     contents = materialise(r.select(F.col("id").alias("own"), content.alias("content")))
     return parse.parse_any(contents).select("own", F.trim("title").alias("title"), "volume")
@@ -441,21 +461,55 @@ def _(s, d):
     return _table(s, d, "part").select("p_partkey", parse.format_of_file(F.concat("p_name", ending)).alias("format"))
 
 
-@query("snk5_yaml", "SELECT id, '  - id: \"' || id || '\"' AS head, contains(title, '\"') AS quoted FROM rec")
+def _lines_sql(shown: str, pairs: list[tuple[str, str]], escape: str) -> str:
+    """Lines `shown` (with {k} and {v}) for the pairs of a key and an expression that is not null, one after the other."""
+    return " || ".join(f"COALESCE({shown.format(k=k, v=escape.format(c=c))}, '')" for k, c in pairs)
+
+
+_YAML = "replace(replace({c}, chr(92), chr(92) || chr(92)), chr(34), chr(92) || chr(34))"
+_YAML_LINE = "'    {k}: \"' || {v} || '\"' || chr(10)"
+_YAML_PEOPLE = "CASE WHEN n_authors > 0 THEN '    author:' || chr(10) || CASE WHEN is_group THEN '      - literal: \"' || families[1] || '\"' || chr(10) ELSE array_to_string(list_transform(range(1, len(givens) + 1), lambda i: '      - {family: \"' || families[i] || '\", given: \"' || givens[i] || '\"}' || chr(10)), '') END ELSE '' END"
+_REST = [("volume", "volume"), ("issue", "issue"), ("page", "page"), ("DOI", "DOI"), ("URL", "URL"), ("publisher", "publisher"), ("ISBN", "ISBN")]
+
+
+@query(
+    "snk5_yaml",
+    "SELECT id, '  - id: \"' || id || '\"' || chr(10) || " + _lines_sql(_YAML_LINE, [("type", "type"), ("title", "title")], _YAML) + f" || {_YAML_PEOPLE} || " + _lines_sql(_YAML_LINE, [("issued", f"({_DATE})"), ("container-title", "container_title"), *_REST], _YAML) + " AS entry FROM rec",
+)
 def _(s, d):
-    entry = parse.conform(records(s, d)).select("id", write.yaml_item().alias("entry"), F.col("title").contains('"').alias("quoted"))
-    return entry.select("id", F.split("entry", "\n")[0].alias("head"), "quoted")
+    return parse.conform(records(s, d)).select("id", write.yaml_item().alias("entry"))
+
 
+_XML = "replace(replace(replace(replace({c}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(34), '&quot;')"
+_WORD_LINE = "'    <b:{k}>' || {v} || '</b:{k}>' || chr(10)"
+_WORD_PERSON = "'          <b:Person>' || chr(10) || {} || '          </b:Person>' || chr(10)"
+_WORD_NAME = "'            <b:{0}>' || {1} || '</b:{0}>' || chr(10)"
+_WORD_EACH = "array_to_string(list_transform(range(1, len(givens) + 1), lambda i: " + _WORD_PERSON.format(_WORD_NAME.format("Last", "families[i]") + " || " + _WORD_NAME.format("First", "givens[i]")) + "), '')"
+_WORD_PEOPLE = (
+    "CASE WHEN n_authors > 0 THEN '    <b:Author>' || chr(10) || '      <b:Author>' || chr(10) || '        <b:NameList>' || chr(10) || CASE WHEN is_group THEN "
+    + _WORD_PERSON.format(_WORD_NAME.format("Last", "families[1]")) + f" ELSE {_WORD_EACH} END || '        </b:NameList>' || chr(10) || '      </b:Author>' || chr(10) || '    </b:Author>' || chr(10) ELSE '' END"
+)
+_WORD_KIND = "(['JournalArticle', 'Book', 'BookSection', 'Report', 'InternetSite', 'ArticleInAPeriodical'])[CAST(n % 6 AS INT) + 1]"
+_WORD_REST = [("Year", "CAST(year AS VARCHAR)"), ("Month", "CAST(month AS VARCHAR)"), ("Day", "CAST(day AS VARCHAR)"), ("JournalName", "container_title"), ("Volume", "volume"), ("Pages", "page"), ("Publisher", "publisher"), ("DOI", "DOI"), ("URL", "URL"), ("StandardNumber", "ISBN")]
 
-@query("snk4_word", f"SELECT id, (['JournalArticle', 'Book', 'BookSection', 'Report', 'InternetSite', 'ArticleInAPeriodical'])[CAST(n % 6 AS INT) + 1] AS kind, CAST(year AS VARCHAR) AS year FROM rec")
+
+@query(
+    "snk4_word",
+    "SELECT id, '  <b:Source>' || chr(10) || " + _lines_sql(_WORD_LINE, [("Tag", "id"), ("SourceType", _WORD_KIND), ("Title", "title")], _XML) + f" || {_WORD_PEOPLE} || " + _lines_sql(_WORD_LINE, _WORD_REST, _XML) + " || '  </b:Source>' AS entry FROM rec",
+)
 def _(s, d):
-    entry = parse.conform(records(s, d)).select("id", write.word_source().alias("e"))
-    tag = lambda k: F.nullif(F.regexp_extract("e", rf"<b:{k}>([^<]*)</b:{k}>", 1), F.lit(""))
-    return entry.select("id", tag("SourceType").alias("kind"), tag("Year").alias("year"))
+    return parse.conform(records(s, d)).select("id", write.word_source().alias("entry"))
+
+
+# When a record of the library fills a field; it fills no other.
+_FILLED = {
+    "id": "TRUE", "type": "TRUE", "title": "title IS NOT NULL", "author": "n_authors > 0", "issued": "year IS NOT NULL", **{k: f"{k} IS NOT NULL" for k in ("container_title", "volume", "issue", "page", "publisher", "DOI", "ISBN", "URL", "language")},
+    "keyword": "TRUE", "_projectIds": "project IS NOT NULL", "_tags": "tags IS NOT NULL", "_starred": "TRUE", "_dateAdded": "TRUE", "_notes": "notes IS NOT NULL",
+}
 
 
-@query("src1c_schema", "SELECT id, type, title, CAST(NULL AS VARCHAR) AS archive FROM rec")
+@query("src1c_schema", "SELECT id, type, title, concat_ws('|', " + ", ".join(f"CASE WHEN {_FILLED[f]} THEN '{f}' END" for f in schema.FIELDS if f in _FILLED) + f") AS filled, {len(schema.FIELDS)} AS n_fields FROM rec")
 def _(s, d):
     full = parse.conform(records(s, d))
-    assert [c for c in full.columns if c in schema.FIELDS] == list(schema.FIELDS)
-    return full.select("id", "type", "title", "archive")
+    own = [c for c in full.columns if c in schema.FIELDS]
+    return full.select("id", "type", "title", F.concat_ws("|", *(F.when(F.col(c).isNotNull(), F.lit(c)) for c in own)).alias("filled"), F.lit(len(own)).cast("int").alias("n_fields"))

@@ -243,33 +243,50 @@ def _(s, d):
     return _docs(s, d).select("doc_id", text.title_key(F.col("text")).alias("key"))
 
 
-@query("str3_clean_doi", "SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(x, '[?#].*$', ''), '[.,;:)\\]}>]+$', ''), '/+$', '')) AS doi FROM (SELECT doc_id, '10.' || (1000 + doc_id) || '/ab' || (['', '.', ').', '?x=1', '#f', '//', '/.;'])[CAST(doc_id % 7 AS INT) + 1] AS x FROM documents)")
+@query("str3_clean_doi", r"""SELECT id, DOI AS printed, DOI AS linked, DOI AS slashed, trim(regexp_replace(regexp_replace(regexp_replace(DOI || '/' || title, '[?#].*$', ''), '[.,;:)\]}>]+$', ''), '/+$', '')) AS titled FROM rec""")
 def _(s, d):
-    ends = F.array(*map(F.lit, ("", ".", ").", "?x=1", "#f", "//", "/.;")))
-    return _docs(s, d).select("doc_id", identifiers.clean_doi(F.concat(F.lit("10."), F.lit(1000) + F.col("doc_id"), F.lit("/ab"), F.get(ends, (F.col("doc_id") % 7).cast("int")))).alias("doi"))
+    r, clean = records(s, d), identifiers.clean_doi
+    own = lambda *ends: clean(F.concat("DOI", *ends))
+    return r.select(
+        "id", own(F.regexp_extract("title", r"[.,;:)\]}>]*$", 0)).alias("printed"), own(F.lit("?lang="), "language", F.lit("#"), "keyword").alias("linked"), own(F.lit("//")).alias("slashed"), own(F.lit("/"), F.col("title")).alias("titled")
+    )
+
+
+def _isbn13() -> Column:
+    """ISBN of a record with a digit more, so that it has 13."""
+    return F.concat("ISBN", (F.col("_seq") % 10).cast("string"))
+
 
+_IDENTIFIED = "CASE WHEN DOI IS NOT NULL THEN {} WHEN n % 3 = 0 THEN {} WHEN n % 5 = 0 THEN {} WHEN n % 7 = 0 THEN {} WHEN ISBN IS NOT NULL THEN {} END"
+_DEPOSITED = "CASE WHEN n % 13 = 0 THEN {} ELSE {} END"
 
-@query("str7_identify", "SELECT doc_id, (['DOI', 'arXiv', 'PMID', 'PMC', 'ISBN', 'arXiv', NULL])[CAST(doc_id % 7 AS INT) + 1] AS kind, (['10.1234/a' || doc_id, '2301.' || (10000 + doc_id % 1000), CAST(1000000 + doc_id AS VARCHAR), CAST(1000000 + doc_id AS VARCHAR), '978' || (1000000000 + doc_id), '2303.' || (10000 + doc_id % 1000), NULL])[CAST(doc_id % 7 AS INT) + 1] AS id FROM documents")
+
+@query("str7_identify", f"""SELECT id, {_IDENTIFIED.format(_DEPOSITED.format("'arXiv'", "'DOI'"), "'arXiv'", "'PMID'", "'PMC'", "'ISBN'")} AS kind,
+  {_IDENTIFIED.format(_DEPOSITED.format("'2303.' || (10000 + n % 9000)", "DOI"), "'2301.' || (10000 + n % 9000)", "CAST(1000000 + n AS VARCHAR)", "CAST(2000000 + n AS VARCHAR)", "replace(ISBN, '-', '') || (n % 10)")} AS found,
+  {_IDENTIFIED.format(_DEPOSITED.format("'10.48550/arXiv.2303.' || (10000 + n % 9000)", "NULL"), "'10.48550/arXiv.2301.' || (10000 + n % 9000)", "NULL", "NULL", "NULL")} AS doi FROM rec""")
 def _(s, d):
-    n = F.col("doc_id")
-    forms = F.array(
-        F.concat(F.lit("https://doi.org/10.1234/a"), n, F.lit(".")), F.concat(F.lit("arXiv: 2301."), F.lit(10000) + n % 1000), F.concat(F.lit("PMID: "), F.lit(1000000) + n), F.concat(F.lit("see PMC"), F.lit(1000000) + n), F.concat(F.lit("978-"), F.lit(1000000000) + n),
-        F.concat(F.lit("doi:10.48550/arXiv.2303."), F.lit(10000) + n % 1000), F.concat(F.lit("nothing "), n % 10),
+    r, n = records(s, d), F.col("_seq")
+    number = F.lit(10000) + n % 9000
+    deposited = F.when(n % 13 == 0, F.concat(F.lit("doi:10.48550/arXiv.2303."), number)).otherwise(F.concat(F.lit("https://doi.org/"), "DOI"))
+    told = F.concat_ws(
+        "; ", "title", F.when(F.col("DOI").isNotNull(), F.concat(deposited, F.lit("."))), F.when(n % 3 == 0, F.concat(F.lit("arXiv: 2301."), number)), F.when(n % 5 == 0, F.concat(F.lit("PMID: "), F.lit(1000000) + n)),
+        F.when(n % 7 == 0, F.concat(F.lit("see PMC"), F.lit(2000000) + n)), F.concat(F.lit("ISBN "), _isbn13()),
     )
-    found = identifiers.identify(F.get(forms, (n % 7).cast("int")))
-    return _docs(s, d).select("doc_id", found["type"].alias("kind"), found["id"].alias("id"))
+    found = identifiers.identify(told)
+    return r.select("id", found["type"].alias("kind"), found["id"].alias("found"), found["doi"].alias("doi"))
 
 
-@query("str8_doi_in_url", "SELECT doc_id, (['DOI', 'DOI', 'DOI', 'DOI', 'PMC', NULL])[CAST(doc_id % 6 AS INT) + 1] AS kind, (['10.1000/x' || doc_id, '10.1038/s' || doc_id, '10.1002/a(b)' || doc_id, '10.48550/arXiv.2301.' || (10000 + doc_id % 1000), 'PMC' || doc_id, NULL])[CAST(doc_id % 6 AS INT) + 1] AS id FROM documents")
+@query("str8_doi_in_url", "SELECT id, CASE WHEN DOI IS NOT NULL THEN 'DOI' WHEN n % 8 = 3 THEN 'PMC' END AS kind, CASE WHEN DOI IS NULL THEN CASE WHEN n % 8 = 3 THEN 'PMC' || n END WHEN n % 5 = 3 THEN '10.1038/s' || n WHEN n % 5 = 4 THEN '10.48550/arXiv.2301.' || (10000 + n % 9000) ELSE DOI END AS found FROM rec")
 def _(s, d):
-    n = F.col("doc_id")
-    forms = F.array(
-        F.concat(F.lit("https://x.org/10.1000/x"), n, F.lit("?a=1")), F.concat(F.lit("https://www.nature.com/articles/s"), n, F.lit(".pdf")), F.concat(F.lit("https://onlinelibrary.wiley.com/doi/pdf/10.1002%2Fa%28b%29"), n), F.concat(F.lit("https://arxiv.org/pdf/2301."), F.lit(10000) + n % 1000),
-        F.concat(F.lit("https://ncbi.nlm.nih.gov/pmc/articles/PMC"), n, F.lit("/pdf/")), F.concat(F.lit("https://example.org/"), n),
+    n, own = F.col("_seq"), F.col("DOI")
+    url = (
+        F.when(own.isNull(), F.when(n % 8 == 3, F.concat(F.lit("https://ncbi.nlm.nih.gov/pmc/articles/PMC"), n, F.lit("/pdf/"))).otherwise(F.concat(F.lit("https://example.org/"), "language")))
+        .when(n % 5 == 0, F.concat(F.lit("https://doi.org/"), own, F.lit("?lang="), "language")).when(n % 5 == 1, F.concat(F.lit("https://onlinelibrary.wiley.com/doi/pdf/"), own, F.lit("#page=1")))
+        .when(n % 5 == 2, F.concat(F.lit("https://www.sciencedirect.com/science?lang="), "language", F.lit("&doi="), own)).when(n % 5 == 3, F.concat(F.lit("https://www.nature.com/articles/s"), n, F.lit(".pdf")))
+        .otherwise(F.concat(F.lit("https://arxiv.org/pdf/2301."), F.lit(10000) + n % 9000))
     )
-    forms = F.transform(forms, lambda u: F.replace(u, F.lit("10.1002%2F"), F.lit("10.1002/")))
-    found = identifiers.doi_in_url(F.get(forms, (n % 6).cast("int")))
-    return _docs(s, d).select("doc_id", found["type"].alias("kind"), F.try_url_decode(found["id"]).alias("id"))
+    r = records(s, d).select("id", identifiers.doi_in_url(url).alias("f"))
+    return r.select("id", F.col("f.type").alias("kind"), F.col("f.id").alias("found"))
 
 
 @query("str13_title_case", "SELECT p_partkey, array_to_string(list_transform(list_filter(string_split_regex(p_name || ' and THE ' || p_type, '\\s+'), lambda w: w <> ''), lambda w, i: CASE WHEN i > 1 AND lower(w) IN ('a','an','and','as','at','but','by','for','from','in','nor','of','on','or','the','to','up','with') THEN lower(w) ELSE upper(substr(w, 1, 1)) || substr(w, 2) END), ' ') AS title FROM part")
@@ -288,10 +305,19 @@ def _(s, d):
     return s.read.parquet(f"{d}/part.parquet").select("p_size").distinct().select("p_size", text.roman(F.col("p_size")).alias("roman"))
 
 
-@query("str26_style_family", "SELECT DISTINCT s, CASE WHEN contains(s, 'apa') THEN 'apa' WHEN contains(s, 'mla') THEN 'mla' WHEN contains(s, 'chicago') THEN 'chicago' WHEN contains(s, 'harvard') THEN 'harvard' WHEN contains(s, 'ieee') THEN 'ieee' WHEN contains(s, 'nature') OR contains(s, 'acm') THEN 'vancouver' ELSE 'apa' END AS family FROM (SELECT (['apa-6th', 'mla-8', 'chicago-note', 'elsevier-harvard', 'ieee', 'nature', 'acm-sig', 'unknown'])[CAST(doc_id % 8 AS INT) + 1] AS s FROM documents)")
+_STYLE_PARTS = ("plain", *(p for _, parts in text.FAMILIES for p in parts))
+
+
+def _family_sql() -> str:
+    each = " ".join(f"WHEN {' OR '.join(f'contains(t, {p!r})' for p in parts)} THEN '{family}'" for family, parts in text.FAMILIES)
+    return f"SELECT p_partkey, CASE {each} ELSE 'apa' END AS family FROM (SELECT p_partkey, replace(lower(p_name), ' ', '-' || {list(_STYLE_PARTS)}[CAST(p_partkey % {len(_STYLE_PARTS)} AS INT) + 1] || '-') AS t FROM part)"
+
+
+@query("str26_style_family", _family_sql())
 def _(s, d):
-    ids = F.array(*map(F.lit, ("apa-6th", "mla-8", "chicago-note", "elsevier-harvard", "ieee", "nature", "acm-sig", "unknown")))
-    return _docs(s, d).select(F.get(ids, (F.col("doc_id") % 8).cast("int")).alias("s")).distinct().select("s", text.style_family(F.col("s")).alias("family"))
+    part = F.get(F.array(*map(F.lit, _STYLE_PARTS)), (F.col("p_partkey") % len(_STYLE_PARTS)).cast("int"))
+    style = F.replace(F.initcap("p_name"), F.lit(" "), F.concat(F.lit("-"), part, F.lit("-")))
+    return s.read.parquet(f"{d}/part.parquet").select("p_partkey", text.style_family(style).alias("family"))
 
 
 @query("str12_title_similarity", "SELECT a.doc_id, round(len(list_intersect(a.w, b.w)) / greatest(len(a.w), len(b.w)), 6) AS similarity FROM (SELECT doc_id, list_distinct(string_split_regex(regexp_replace(lower(text), '[^\\w\\s]', '', 'g'), '\\s+')) AS w FROM documents) a, LATERAL (SELECT list_distinct(string_split_regex(regexp_replace(lower(split_part(text, chr(10), 1)), '[^\\w\\s]', '', 'g'), '\\s+')) AS w FROM documents d WHERE d.doc_id = a.doc_id) b")
@@ -305,16 +331,13 @@ def _(s, d):
     return records(s, d).select("id", _day(dates.slash_date(slashed)).alias("parts"))
 
 
-@query("dt8_check_date", "SELECT doc_id, ([NULL, 'no_date', 'invalid_month', 'invalid_day', 'future_year', 'year_not_positive', 'invalid_year', NULL])[CAST(doc_id % 8 AS INT) + 1] AS code FROM documents")
-def _(s, d):
-    forms = F.array(*map(F.lit, ("2020-05-06", "n.d.", "2020-13", "2020-02-32", "2999", "-5".replace("-5", "0"), "soon", "")))
-    return _docs(s, d).select("doc_id", dates.check_date(F.get(forms, (F.col("doc_id") % 8).cast("int")), 2026).alias("code"))
-
-
-@query("nam5_csv_names", "SELECT id, array_to_string(list_transform(range(1, len(givens) + 1), lambda i: families[i] || '/' || givens[i] || '///'), '|') AS people FROM rec WHERE len(givens) > 0")
+@query("dt8_check_date", "SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 7 = 6 THEN CASE WHEN l_returnflag = 'R' THEN 'no_date' ELSE 'invalid_year' END WHEN year(l_shipdate) > 1996 THEN 'future_year' WHEN month(l_shipdate) + l_linenumber > 12 THEN 'invalid_month' WHEN day(l_shipdate) + l_quantity::INT > 31 THEN 'invalid_day' END AS code, CASE WHEN year(l_shipdate) - 1995 < 1 THEN 'year_not_positive' END AS counted FROM lineitem")
 def _(s, d):
-    r = records(s, d).where("author IS NOT NULL AND author[0].literal IS NULL")
-    return r.select("id", _joined(F.transform(names.csv_names(names.form_text(F.col("author"))), _name)).alias("people"))
+    day = F.col("l_shipdate")
+    whole = F.concat_ws("-", F.year(day), F.month(day) + F.col("l_linenumber"), F.dayofmonth(day) + F.col("l_quantity").cast("int"))
+    told = F.when(F.col("l_linenumber") % 7 == 6, F.when(F.col("l_returnflag") == "R", "N.D.").otherwise(F.date_format(day, "MMMM yyyy"))).otherwise(whole)
+    counted = F.greatest(F.year(day) - 1995, F.lit(0)).cast("string")
+    return s.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", "l_linenumber", dates.check_date(told, 1991).alias("code"), dates.check_date(counted, 1991).alias("counted"))
 
 
 # Rendering: six families.
@@ -410,28 +433,28 @@ def _(s, d):
     return records(s, d).select("id", _joined(validate.missing()).alias("missing"))
 
 
-def _evidence(n: Column) -> Column:
-    forms = ("Journal of Tests vol. 3 no. 4 pp. 5-9", "a thesis for the PhD", "In: Proceedings of the workshop", "ISBN 978-0-12-345678-9 Sage Press", "https://x.org accessed today", "patent number: US12345", "plain words", "The film, running time 90 minutes, in court")
-    return F.get(F.array(*map(F.lit, forms)), (n % 8).cast("int"))
+def _classify_sql(table: str, key: str, told: str) -> str:
+    places = {k: i for i, k in enumerate(C.kinds())}
+    quoted = lambda p: p.replace("'", "''")
+    each = ", ".join("{'place': " + f"{i}, 'type': '{k}', 'score': " + " + ".join(f"CASE WHEN regexp_matches(t, '{quoted(p)}') THEN {w} ELSE 0 END" for t, w, p in C.RULES if t == k) + "}" for k, i in places.items())
+    return f"""scored AS (SELECT {key}, unnest([{each}]) AS s FROM (SELECT {key}, {told} AS t FROM {table})),
+  ranked AS (SELECT {key}, s.type AS kind, s.score AS score, row_number() OVER (PARTITION BY {key} ORDER BY s.score DESC, s.place) AS r, SUM(s.score) OVER (PARTITION BY {key}) AS total FROM scored WHERE s.score > 0)
+SELECT d.{key}, COALESCE(max(kind) FILTER (r = 1), 'unknown') AS source_type, round(COALESCE(max(score) FILTER (r = 1) / max(total), 0), 6) AS confidence, COALESCE(string_agg(kind || ':' || score, ',' ORDER BY r) FILTER (r <= 5), '') AS ranked
+FROM {table} d LEFT JOIN ranked USING ({key}) GROUP BY d.{key}"""
 
 
-@query("ext11_classify", "SELECT doc_id, (['article-journal', 'thesis', 'paper-conference', 'book', 'webpage', 'patent', 'unknown', 'motion-picture'])[CAST(doc_id % 8 AS INT) + 1] AS source_type, ([1.0, 1.0, 0.652174, 1.0, 1.0, 1.0, 0.0, 0.6875])[CAST(doc_id % 8 AS INT) + 1] AS confidence FROM documents")
-def _(s, d):
-    told = _docs(s, d).select("doc_id", _evidence(F.col("doc_id")).alias("text"))
-    return C.classify(told).select("doc_id", "source_type", "confidence")
+_TOLD_SQL = "concat_ws(', ', title, CASE type WHEN 'thesis' THEN 'a thesis for the PhD' WHEN 'webpage' THEN 'accessed ' || date_added END, container_title, 'vol. ' || volume, 'no. ' || issue, 'pp. ' || page, publisher, 'ISBN ' || ISBN || (n % 10), 'doi ' || DOI, URL, notes)"
 
 
-def _classify_sql() -> str:
-    places = {k: i for i, k in enumerate(C.kinds())}
-    quoted = lambda p: p.replace("'", "''")
-    each = ", ".join("{'place': " + f"{i}, 'type': '{k}', 'score': " + " + ".join(f"CASE WHEN regexp_matches(t, '{quoted(p)}') THEN {w} ELSE 0 END" for t, w, p in C.RULES if t == k) + "}" for k, i in places.items())
-    return f"""WITH scored AS (SELECT doc_id, unnest([{each}]) AS s FROM (SELECT doc_id, COALESCE(text, '') AS t FROM documents)),
-  ranked AS (SELECT doc_id, s.type AS type, s.score AS score, row_number() OVER (PARTITION BY doc_id ORDER BY s.score DESC, s.place) AS r, SUM(s.score) OVER (PARTITION BY doc_id) AS total FROM scored WHERE s.score > 0)
-SELECT d.doc_id, COALESCE(max(type) FILTER (r = 1), 'unknown') AS source_type, round(COALESCE(max(score) FILTER (r = 1) / max(total), 0), 6) AS confidence, COALESCE(string_agg(type || ':' || score, ',' ORDER BY r) FILTER (r <= 5), '') AS ranked
-FROM documents d LEFT JOIN ranked USING (doc_id) GROUP BY d.doc_id"""
+@query("ext11_classify", ", " + _classify_sql("rec", "id", _TOLD_SQL))
+def _(s, d):
+    kind = F.when(F.col("type") == "thesis", "a thesis for the PhD").when(F.col("type") == "webpage", F.concat(F.lit("accessed "), "_dateAdded"))
+    tell = lambda label, c: F.concat(F.lit(label), c)
+    told = F.concat_ws(", ", "title", kind, "container_title", tell("vol. ", "volume"), tell("no. ", "issue"), tell("pp. ", "page"), "publisher", tell("ISBN ", _isbn13()), tell("doi ", "DOI"), "URL", "_notes")
+    return C.classify(records(s, d).select("id", told.alias("text"))).select("id", "source_type", "confidence", "ranked")
 
 
-@query("ext11_classify_documents", _classify_sql())
+@query("ext11_classify_documents", "WITH " + _classify_sql("documents", "doc_id", "COALESCE(text, '')"))
 def _(s, d):
     return C.classify(_docs(s, d).select("doc_id", "text")).select("doc_id", "source_type", "confidence", "ranked")
 
@@ -499,18 +522,39 @@ def _(s, d):
     return _flat(parse.csl_json(r.select(write.csl_json(r).alias("content"))))
 
 
-@query("src11_sniff", "SELECT doc_id, (['bibtex', 'ris', 'csljson', 'endnote', 'medline', 'tsv', 'csv', 'text'])[CAST(doc_id % 8 AS INT) + 1] AS format FROM documents")
+_OF_LINE = "CASE WHEN regexp_matches(t, '^@') THEN 'bibtex' WHEN regexp_matches(t, '^[A-Z]{2}  -') THEN 'ris' WHEN regexp_matches(t, '^[\\[{]') THEN 'csljson' WHEN regexp_matches(t, '^<(\\?xml|xml|records)') THEN 'endnote' WHEN regexp_matches(t, '^PMID-') THEN 'medline' WHEN len(string_split(line, chr(9))) >= 3 THEN 'tsv' WHEN len(string_split(line, ',')) >= 3 THEN 'csv' ELSE 'text' END"
+
+
+@query("src11_sniff", f"SELECT id, CASE WHEN k < 7 THEN (['bibtex', 'ris', 'csljson', 'endnote', 'medline', 'tsv', 'csv'])[k + 1] ELSE told END AS format FROM (SELECT 'd' || doc_id AS id, CAST(doc_id % 8 AS INT) AS k, {_OF_LINE} AS told FROM (SELECT doc_id, t, split_part(t, chr(10), 1) AS line FROM (SELECT doc_id, regexp_replace(COALESCE(text, ''), '^\\s+', '') AS t FROM documents)))")
 def _(s, d):
-    heads = F.array(*map(F.lit, ("@article{x,", "TY  - JOUR\nER  - ", '[{"id":1}]', '<?xml version="1.0"?>', "PMID- 1", "a\tb\tc\nd", "a,b,c\nd", "plain")))
-    return _docs(s, d).select("doc_id", parse.sniff(F.get(heads, (F.col("doc_id") % 8).cast("int"))).alias("format"))
+    r, own = _written(s, d), _docs(s, d).select(F.concat(F.lit("d"), "doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("own"), "doc_id")
+    head = lambda sep: F.lit(sep.join(write.CSV_COLUMNS) + "\n")
+    forms = (write.bibtex(), F.concat(F.lit("\n"), write.ris()), write.csl_json(r), F.concat(F.lit(write.WORD_HEAD + "\n"), write.word_source()), F.concat(F.lit("PMID- 7\nTI  - "), F.col("title")), F.concat(head("\t"), write.csv_row("\t")), F.concat(head(","), write.csv_row()))
+    k = F.regexp_extract("id", r"\d+", 0).cast("long") % 8
+    content = F.lit(None).cast("string")
+    for i, form in enumerate(forms):
+        content = F.when(k == i, form).otherwise(content)
+    written = r.select("id", content.alias("content"))
+    return own.join(written, "id", "left").select("id", parse.sniff(F.when(F.col("doc_id") % 8 == 7, F.col("own")).otherwise(F.col("content"))).alias("format"))
+
+
+_TOLD_IDS = "concat_ws(chr(10), text, 'See https://doi.org/' || DOI || '. Also ' || DOI || ', again.', CASE WHEN n % 5 = 0 THEN 'wrapped 10.2000/w-' || chr(10) || ' x' || n || ';' END, 'ISBN ' || substr(replace(ISBN, '-', ''), 1, 4) || '-1000-' || lpad(CAST(n % 10000 AS VARCHAR), 4, '0') || '-' || (n % 10))"
 
 
-@query("src10_identifiers", "SELECT doc_id, kind, value FROM (SELECT doc_id, unnest(['DOI', 'DOI', 'ISBN']) AS kind, unnest(['10.1000/a' || doc_id, '10.2000/b' || doc_id, '9780' || (100000000 + doc_id)]) AS value FROM documents)")
+@query("src10_identifiers", rf"""SELECT id, unnest(['DOI', 'ISBN']) AS kind, unnest([dois, isbns]) AS found FROM (SELECT id,
+  array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(regexp_replace(t, '(10\.\d{{4,}}/[^\s]*[-/._])\s*\n\s*', '\1', 'g'), '\b(10\.\d{{4,}}/[^\s<>"{{}}|\\^~\[\]`]+)', 1), lambda x: regexp_replace(x, '[.,;:)\]}}>]+$', '')))), '|') AS dois,
+  array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(t, '(?i)(?:ISBN[\s:-]*(?:13)?[\s:-]*)?(97[89][\s-]?\d[\s-]?\d{{4}}[\s-]?\d{{4}}[\s-]?\d)', 1), lambda x: regexp_replace(x, '[\s-]', '', 'g')))), '|') AS isbns
+FROM (SELECT id, {_TOLD_IDS} AS t FROM rec JOIN documents ON n = doc_id))""")
 def _(s, d):
     n = F.col("doc_id")
-    t = F.concat(F.lit("see 10.1000/a"), n, F.lit(", https://doi.org/10.2000/b"), n, F.lit(". ISBN 9780"), F.lit(100000000) + n, F.lit(" and 10.1000/a"), n, F.lit(" again"))
-    got = parse.identifiers_text(_docs(s, d).select("doc_id", t.alias("content")))
-    return got.select("doc_id", F.when(F.col("DOI").isNotNull(), "DOI").otherwise("ISBN").alias("kind"), F.col("title").alias("value"))
+    r = records(s, d).join(_docs(s, d).select("doc_id", "text"), F.col("_seq") == n)
+    isbn = F.concat(F.lit("ISBN "), F.substring(F.replace("ISBN", F.lit("-")), 1, 4), F.lit("-1000-"), F.lpad((n % 10000).cast("string"), 4, "0"), F.lit("-"), n % 10)
+    told = F.concat_ws("\n", "text", F.concat(F.lit("See https://doi.org/"), "DOI", F.lit(". Also "), "DOI", F.lit(", again.")), F.when(n % 5 == 0, F.concat(F.lit("wrapped 10.2000/w-\n x"), n, F.lit(";"))), isbn)
+    told = r.select("id", told.alias("content"))
+    got = parse.identifiers_text(told.withColumnRenamed("id", "own")).select("own", F.when(F.col("DOI").isNotNull(), "DOI").otherwise("ISBN").alias("kind"), "title")
+    per = got.groupBy("own").pivot("kind", ["DOI", "ISBN"]).agg(F.array_join(F.array_sort(F.collect_list("title")), "|"))
+    both = told.select("id").join(per, F.col("id") == F.col("own"), "left")
+    return both.select("id", F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.coalesce(k, F.lit("")).alias("found")) for k in ("DOI", "ISBN")))).alias("x")).select("id", "x.kind", "x.found")
 
 
 @query("prj4_better_of", "SELECT id, CASE WHEN n % 2 = 0 THEN title || ' more' ELSE title END AS title, 'New ' || n AS container_title, COALESCE(publisher, 'New Press') AS publisher FROM rec")
@@ -520,10 +564,12 @@ def _(s, d):
     return enrich.better_of(r, new).select("id", "title", "container_title", "publisher")
 
 
-@query("prj9_inverted_abstract", "SELECT doc_id, array_to_string(string_split(x, ' '), ' ') AS abstract FROM (SELECT doc_id, 'alpha beta ' || doc_id || ' gamma beta' AS x FROM documents)")
+@query("prj9_inverted_abstract", "SELECT doc_id, text AS abstract FROM documents WHERE text IS NOT NULL")
 def _(s, d):
-    index = F.create_map(F.lit("beta"), F.array(F.lit(1), F.lit(4)), F.lit("alpha"), F.array(F.lit(0)), F.lit("gamma"), F.array(F.lit(3)), F.col("doc_id").cast("string"), F.array(F.lit(2)))
-    return _docs(s, d).select("doc_id", text.inverted_abstract(index).alias("abstract"))
+    places = _docs(s, d).select("doc_id", F.posexplode(F.split("text", " ")).alias("at", "word"))
+    words = places.groupBy("doc_id", "word").agg(F.collect_list("at").alias("places"))
+    index = words.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "places"))).alias("index"))
+    return index.select("doc_id", text.inverted_abstract(F.col("index")).alias("abstract"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -84,7 +84,7 @@ def from_openalex(payload: Column) -> Column:
         people = F.transform(m["authorships"], lambda a: names.byline_name(a["author"]["display_name"]))
         return F.struct(
             lookup(schema.OPENALEX_TYPES, m["type"], "article").alias("type"), m["title"].alias("title"), people.alias("author"), dates.page_date(F.coalesce(m["publication_date"], m["publication_year"].cast("string"))).alias("issued"), m["primary_location"]["source"]["display_name"].alias("container_title"),
-            m["biblio"]["volume"].alias("volume"), m["biblio"]["issue"].alias("issue"), F.concat_ws("-", m["biblio"]["first_page"], m["biblio"]["last_page"]).alias("page"), m["primary_location"]["source"]["host_organization_name"].alias("publisher"),
+            m["biblio"]["volume"].alias("volume"), m["biblio"]["issue"].alias("issue"), F.when(m["biblio"]["first_page"] != "", F.concat_ws("-", m["biblio"]["first_page"], F.nullif(m["biblio"]["last_page"], F.lit("")))).alias("page"), m["primary_location"]["source"]["host_organization_name"].alias("publisher"),
             F.replace(m["doi"], F.lit("https://doi.org/"), F.lit("")).alias("DOI"), m["primary_location"]["landing_page_url"].alias("URL"), F.when(m["abstract_inverted_index"].isNotNull(), inverted_abstract(m["abstract_inverted_index"])).alias("abstract"),
         )
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillspark import schema
 from quillspark.functions import dates, identifiers, names, text
 from quillspark.operators import enrich, extract, fields
-from quillspark.plans.inventory import _DATE, _PERSONS, _table
+from quillspark.plans.inventory import _DATE, _PERSONS, _PERSONS_READ, _table
 from quillspark.plans.library import records
 from quillspark.plans.registry import _bib_sql, _day, _joined, _name, query
 from quillspark.render import conditions, families
@@ -86,9 +86,9 @@ def _(s, d):
     return _table(s, d, "pages").select("page_id", fields.page_value(html, "Site owner").alias("beside"), fields.page_value(html, "Record no").alias("within"))
 
 
-@query("ext10_linked_article", f"SELECT id, container_title AS journal, volume, issue, page AS pages, {_FORM_DATE} AS date, publisher, array_to_string({_SPOKEN}, '|') AS authors FROM rec WHERE NOT is_group")
+@query("ext10_linked_article", f"SELECT id, container_title AS journal, volume, issue, page AS pages, {_FORM_DATE} AS date, publisher, CASE WHEN is_group THEN families[1] ELSE array_to_string({_SPOKEN}, '|') END AS authors FROM rec")
 def _(s, d):
-    r = records(s, d).where("author IS NULL OR author[0].literal IS NULL")
+    r = records(s, d)
     tag = lambda k, v: F.coalesce(F.concat(F.lit(f'<meta name="{k}" content="'), text.escape_xml(v), F.lit('">')), F.lit(""))
     page = F.split("page", "-")
     html = F.concat(F.array_join(F.transform(F.coalesce(_spoken(), F.array().cast("array<string>")), lambda x: tag("citation_author", x)), ""), tag("citation_journal_title", F.col("container_title")), tag("citation_volume", F.col("volume")), tag("citation_issue", F.col("issue")), tag("citation_firstpage", F.get(page, F.lit(0))), tag("citation_lastpage", F.get(page, F.lit(1))), tag("citation_publication_date", dates.form_text(F.col("issued"))), tag("citation_publisher", F.col("publisher")))
@@ -96,14 +96,20 @@ def _(s, d):
     return a.select("id", "journal", "volume", "issue", "pages", "date", "publisher", _joined(F.col("authors")).alias("authors"))
 
 
-@query("ext9_pdf_record", f"SELECT id, NULLIF(trim(title), '') IS NOT NULL AS titled, {_FORM_PEOPLE.replace('families[1] WHEN', chr(39) + chr(39) + ' WHEN')} AS people, {_DATE} AS issued, COALESCE(DOI, '10.5555/f' || n) AS DOI FROM rec WHERE NOT is_group AND n_authors > 0 AND NULLIF(trim(title), '') IS NOT NULL")
+_PDF_PEOPLE = _FORM_PEOPLE.replace("THEN families[1]", "THEN string_split(families[1], ' ')[2] || ', ' || string_split(families[1], ' ')[1]")
+
+
+@query("ext9_pdf_record", f"SELECT id, COALESCE(NULLIF(trim(title), ''), 'Untitled ' || n) AS title, COALESCE({_PDF_PEOPLE}, '') AS people, {_DATE} AS issued, CASE WHEN n % 5 = 0 THEN '10.7777/u' || n ELSE COALESCE(DOI, '10.5555/f' || n) END AS DOI, 'article-journal' AS record_type FROM rec")
 def _(s, d):
-    r = records(s, d).where("author IS NOT NULL AND author[0].literal IS NULL AND trim(title) <> ''").drop("URL", "ISBN")
-    r = r.select("id", "_seq", F.col("title").alias("told"), F.col("issued").alias("day"), F.col("DOI").alias("own_doi"), F.col("author").alias("people"), F.lit("no word of note").alias("text"), F.lit("https://example.org/a.pdf").alias("url"), F.concat(F.lit("10.5555_f"), "_seq", F.lit(".pdf")).alias("file"))
-    r = r.withColumn("file", F.when(F.col("own_doi").isNull(), F.col("file")).otherwise(F.lit("scan.pdf")))
-    info = F.struct(F.col("told").alias("title"), names.form_text(F.col("people")).alias("author"), F.col("day").alias("issued"), F.col("own_doi").alias("DOI"), F.lit(None).cast("string").alias("ISBN"))
+    texts = _table(s, d, "documents").select(F.col("doc_id").alias("_seq"), "text")
+    r = records(s, d).drop("URL", "ISBN").join(texts, "_seq")
+    url = F.concat(F.lit("https://example.org/"), F.when(F.col("_seq") % 5 == 0, F.concat(F.lit("10.7777/u"), "_seq", F.lit("?file="))).otherwise(""), F.lit("a.pdf"))
+    file = F.when(F.col("DOI").isNull(), F.concat(F.lit("10.5555_f"), "_seq", F.lit(".pdf"))).otherwise(F.lit("scan.pdf"))
+    told = F.coalesce(F.nullif(F.trim("title"), F.lit("")), F.concat(F.lit("Untitled "), "_seq"))
+    r = r.select("id", told.alias("told"), F.col("issued").alias("day"), F.col("DOI").alias("own_doi"), F.coalesce(names.form_text(F.col("author")), F.lit("")).alias("people"), "text", url.alias("url"), file.alias("file"))
+    info = F.struct(F.col("told").alias("title"), F.col("people").alias("author"), F.col("day").alias("issued"), F.col("own_doi").alias("DOI"), F.lit(None).cast("string").alias("ISBN"))
     out = fields.pdf_record(r, info)
-    return out.select("id", F.col("title").isNotNull().alias("titled"), names.form_text(F.col("author")).alias("people"), F.nullif(_day(F.col("issued")), F.lit("")).alias("issued"), "DOI")
+    return out.select("id", "title", names.form_text(F.col("author")).alias("people"), F.nullif(_day(F.col("issued")), F.lit("")).alias("issued"), "DOI", "record_type")
 
 
 @query("dt10_front_dates", "SELECT o_orderkey, year(o_orderdate) || '-' || month(o_orderdate) || '-' || day(o_orderdate) AS found, o_orderdate < DATE '1995-01-01' AS early FROM orders")
@@ -123,21 +129,17 @@ def _(s, d):
 
 
 # Payloads of resolvers.
-_BOOK = f"SELECT id, title, array_to_string(list_transform(range(1, len(givens) + 1), lambda i: families[i] || '/' || givens[i] || '///'), '|') AS people, CAST(year AS VARCHAR) AS issued, publisher FROM rec WHERE NOT is_group AND n_authors > 0"  # noqa: F541
-
-
-def _written(s, d):
-    return records(s, d).where("author IS NOT NULL AND author[0].literal IS NULL")
+_BOOK = f"SELECT id, title, {_PERSONS_READ} AS people, CAST(year AS VARCHAR) AS issued, publisher FROM rec"
 
 
 def _shown(r, made, *more):
     b = r.select("id", made.alias("b")).select("id", "b.*")
-    return b.select("id", "title", _joined(F.transform("author", _name)).alias("people"), F.nullif(_day(F.col("issued")), F.lit("")).alias("issued"), *more)
+    return b.select("id", "title", F.nullif(_joined(F.transform("author", _name)), F.lit("")).alias("people"), F.nullif(_day(F.col("issued")), F.lit("")).alias("issued"), *more)
 
 
 @query("prj8_open_library", _BOOK)
 def _(s, d):
-    r = _written(s, d)
+    r = records(s, d)
     named = lambda c: F.array(F.struct(c.alias("name")))
     book = F.struct("title", F.transform(_spoken(), lambda x: F.struct(x.alias("name"))).alias("authors"), dates.year_of(F.col("issued")).cast("string").alias("publish_date"), named(F.col("publisher")).alias("publishers"))
     payload = F.to_json(F.create_map(F.concat(F.lit("ISBN:"), "_seq"), book))
@@ -146,49 +148,49 @@ def _(s, d):
 
 @query("prj8_google_books", _BOOK)
 def _(s, d):
-    r = _written(s, d)
+    r = records(s, d)
     volume = F.struct("title", _spoken().alias("authors"), dates.year_of(F.col("issued")).cast("string").alias("publishedDate"), "publisher")
     payload = _json(items=F.array(F.struct(volume.alias("volumeInfo"))))
     return _shown(r, enrich.from_google_books(payload, F.lit("1")), "publisher")
 
 
-@query("prj8_semantic_scholar", f"SELECT id, title, {_PERSONS} AS people, {_DATE} AS issued, COALESCE(DOI, '10.48550/arXiv.' || n) AS DOI FROM rec WHERE NOT is_group AND n_authors > 0 AND title <> ''")
+@query("prj8_semantic_scholar", f"SELECT id, NULLIF(title, '') AS title, {_PERSONS_READ} AS people, {_DATE} AS issued, COALESCE(DOI, '10.48550/arXiv.' || n) AS DOI FROM rec")
 def _(s, d):
-    r = _written(s, d).where("title <> ''")
-    payload = _json(title=F.col("title"), authors=F.transform(_spoken(), lambda x: F.struct(x.alias("name"))), publicationDate=dates.form_text(F.col("issued")), externalIds=F.struct(F.col("DOI")))
+    r = records(s, d)
+    payload = _json(title=F.nullif("title", F.lit("")), authors=F.transform(_spoken(), lambda x: F.struct(x.alias("name"))), publicationDate=dates.form_text(F.col("issued")), externalIds=F.struct(F.col("DOI")))
     return _shown(r, enrich.from_semantic_scholar(payload, F.col("_seq").cast("string")), "DOI")
 
 
-@query("prj8_citoid", "SELECT id, NULLIF(title, '') AS title, " + _PERSONS + " AS people, CAST(year AS VARCHAR) AS issued, container_title, volume, page, COALESCE(URL, 'https://asked.example') AS URL, CASE type WHEN 'article-journal' THEN type ELSE 'webpage' END AS type FROM rec WHERE n_authors > 0")
+@query("prj8_citoid", "SELECT id, NULLIF(title, '') AS title, " + _PERSONS + " AS people, CAST(year AS VARCHAR) AS issued, container_title, volume, page, COALESCE(URL, 'https://asked.example') AS URL, CASE type WHEN 'article-journal' THEN type ELSE 'webpage' END AS type FROM rec")
 def _(s, d):
-    r = records(s, d).where("author IS NOT NULL")
+    r = records(s, d)
     people = F.transform("author", lambda a: F.struct(F.lit("author").alias("creatorType"), a["family"].alias("lastName"), a["given"].alias("firstName"), a["literal"].alias("name")))
     item = _json(itemType=F.when(F.col("type") == "article-journal", "journalArticle").otherwise("podcast"), title=F.col("title"), creators=people, date=dates.year_of(F.col("issued")).cast("string"), publicationTitle=F.col("container_title"), volume=F.col("volume"), pages=F.col("page"), url=F.col("URL"))
     payload = F.when(F.col("_seq") % 2 == 0, item).otherwise(F.concat(F.lit("["), item, F.lit("]")))
     return _shown(r, enrich.from_citoid(payload, F.lit("https://asked.example")), "container_title", "volume", "page", "URL", "type")
 
 
-@query("prj8_arxiv_page", f"SELECT id, NULLIF(trim(title), '') AS title, {_PERSONS} AS people, {_DATE} AS issued, COALESCE(DOI, '10.48550/arXiv.' || n) AS DOI FROM rec WHERE NOT is_group AND n_authors > 0")
+@query("prj8_arxiv_page", f"SELECT id, NULLIF(trim(title), '') AS title, {_PERSONS_READ} AS people, {_DATE} AS issued, COALESCE(DOI, '10.48550/arXiv.' || n) AS DOI FROM rec")
 def _(s, d):
-    r = _written(s, d)
+    r = records(s, d)
     tag = lambda k, v: F.coalesce(F.concat(F.lit(f'<meta name="{k}" content="'), text.escape_xml(v), F.lit('">')), F.lit(""))
     day = F.replace(dates.form_text(F.col("issued")), F.lit("-"), F.lit("/"))
-    people = F.array_join(F.transform("author", lambda a: tag("citation_author", names.display(a))), "")
+    people = F.coalesce(F.array_join(F.transform("author", lambda a: tag("citation_author", names.display(a))), ""), F.lit(""))
     html = F.concat(tag("citation_title", F.col("title")), people, tag("citation_date", day), tag("citation_doi", F.col("DOI")))
     return _shown(r, enrich.from_arxiv_page(html, F.col("_seq").cast("string")), "DOI")
 
 
-@query("prj8_crossref", f"SELECT id, title, {_PERSONS} AS people, {_DATE} AS issued, container_title, volume, page, publisher FROM rec WHERE n_authors > 0")
+@query("prj8_crossref", f"SELECT id, title, {_PERSONS} AS people, {_DATE} AS issued, container_title, volume, page, publisher FROM rec")
 def _(s, d):
-    r = records(s, d).where("author IS NOT NULL")
+    r = records(s, d)
     people = F.transform("author", lambda a: F.struct(a["family"].alias("family"), a["given"].alias("given"), a["literal"].alias("name")))
     message = F.struct(F.lit("book").alias("type"), F.array("title").alias("title"), people.alias("author"), F.struct(F.col("issued")["date_parts"].alias("date-parts")).alias("issued"), F.array("container_title").alias("container-title"), "volume", "page", "publisher")
     return _shown(r, enrich.from_crossref(_json(message=message)), "container_title", "volume", "page", "publisher")
 
 
-@query("prj8_openalex", f"SELECT id, title, {_PERSONS} AS people, CAST(year AS VARCHAR) AS issued, container_title, volume, page, DOI FROM rec WHERE NOT is_group AND n_authors > 0 AND page IS NOT NULL")
+@query("prj8_openalex", f"SELECT id, title, {_PERSONS_READ} AS people, CAST(year AS VARCHAR) AS issued, container_title, volume, page, DOI FROM rec")
 def _(s, d):
-    r = _written(s, d).where("page IS NOT NULL")
+    r = records(s, d)
     pages = F.split("page", "-")
     biblio = F.struct("volume", "issue", pages[0].alias("first_page"), pages[1].alias("last_page"))
     people = F.transform(_spoken(), lambda x: F.struct(F.struct(x.alias("display_name")).alias("author")))

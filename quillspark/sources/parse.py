@@ -309,11 +309,13 @@ def conform(df: DataFrame) -> DataFrame:
 
 def parse_any(df: DataFrame, content: str = "content", fmt: Column | None = None) -> DataFrame:
     """Contents of mixed formats: each goes to its own parser; the results are one table (SRC22). A null content, and one
-    of a format that no parser takes, is a row with an error."""
+    of a format that no parser takes, is a row with an error. Only the parsers of the formats at hand are planned."""
     told = df.withColumn("_format", F.when(F.col(content).isNotNull(), sniff(F.col(content)) if fmt is None else F.coalesce(fmt, sniff(F.col(content)))))
+    at_hand = list(PARSERS)
     if not df.isStreaming:
         told = materialise(told)  # so that files are read and sniffed once, not once a parser
-    parts = [conform(p(told.where(F.col("_format") == k), content)) for k, p in PARSERS.items()]
+        at_hand = [r[0] for r in told.select("_format").where(F.col("_format").isin(*PARSERS)).distinct().collect()] or ["text"]  # names of parsers only
+    parts = [conform(PARSERS[k](told.where(F.col("_format") == k), content)) for k in PARSERS if k in at_hand]
     lost = told.where(F.col("_format").isNull() | ~F.col("_format").isin(*PARSERS)).drop(content)
     parts.append(conform(lost.withColumn("_errors", F.array(F.concat(F.lit("no parser for "), F.coalesce("_format", F.lit("a missing content")))))))
     out = parts[0]

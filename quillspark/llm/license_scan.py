@@ -2,7 +2,9 @@
 
 A template is aligned with a text by the words that are unique in both: the longest run of them that is in the same
 order in both anchors the alignment, and the gaps between anchors are aligned in the same way, equal words at both
-ends of a gap first. The share of the template's words that are aligned is its coverage.
+ends of a gap first. The share of the template's words that are aligned is its coverage. A stretch that equals the
+template is aligned alone; of a long template's windows those are left out whose words, in any order, are fewer than the
+best alignment has.
 
 A text that covers a template by `coverage` holds at least one of any floor((1 - coverage) * n) + 1 of its n words;
 the rarest such words, by their use in the templates, make a test that only passes texts worth aligning.
@@ -10,6 +12,7 @@ the rarest such words, by their use in the templates, make a test that only pass
 
 from __future__ import annotations
 
+import hashlib
 import re
 from bisect import bisect_left
 from collections import Counter
@@ -77,6 +80,8 @@ TELLING = re.compile(
 )
 #: Templates of more words are texts, not notices.
 LONG = 60
+#: Texts of a task whose results are kept for their copies; when there are more, they are aligned anew.
+REMEMBERED = 50_000
 FULL_TEXTS = Path(__file__).parent / "licenses"
 
 
@@ -97,12 +102,13 @@ def license_of(name: str) -> str:
     return name.rsplit(" ", 1)[0]
 
 
-def best_of_place(found: list[tuple[str, float, int, int, int]]) -> list[tuple[str, float, int, int, int]]:
-    """Without the notices whose place overlaps one that more words, or the same number at a larger coverage, agree with.
-    The first list of notices stays next to other notices of its license."""
+def best_of_place(found: list[tuple[str, float, int, int, int]], exact_places: dict[str, list[tuple[int, int]]]) -> list[tuple[str, float, int, int, int]]:
+    """Without the notices whose place overlaps one that more words, or the same number at a larger coverage, agree with,
+    or another stretch that equals that one. The first list of notices stays next to other notices of its license."""
     out: list[tuple[str, float, int, int, int]] = []
     for x in sorted(found, key=lambda x: (-x[2], -x[1])):
-        if all((x[0] in TEMPLATES and license_of(x[0]) == license_of(y[0])) or x[4] < y[3] or y[4] < x[3] for y in out):
+        taken = [(a, b) for y in out if not (x[0] in TEMPLATES and license_of(x[0]) == license_of(y[0])) for a, b in ((y[3], y[4] + 1), *exact_places[y[0]])]
+        if all(x[4] < a or b <= x[3] for a, b in taken):
             out.append(x)
     return [x for x in found if x in out]
 
@@ -194,20 +200,31 @@ def telling(templates: dict[str, list[str]], coverage: float) -> dict[str, set[s
     return out
 
 
+def exact(words: list[str], template: list[str]) -> list[tuple[int, int]]:
+    """The stretches that equal a template word by word."""
+    n = len(template)
+    return [(p, p + n) for p in range(len(words) - n + 1) if words[p] == template[0] and words[p + n - 1] == template[-1] and words[p : p + n] == template]
+
+
 def find(text: str, templates: dict[str, list[str]], rare: dict[str, set[str]], coverage: float) -> list[tuple[str, float, int, int, int]]:
     """Name, coverage, matched words and first and last word of every notice of a text, in order of the templates."""
     words, out = tokens(text), []
+    places: dict[str, list[tuple[int, int]]] = {}
     count = Counter(words)
     have = count.keys()
     for name, t in templates.items():
         if have.isdisjoint(rare[name]):
             continue
-        must, own = tells(t), set(t)
-        if not must <= have or sum(min(k, count[w]) for w, k in Counter(t).items()) < coverage * len(t) - 1e-9:
+        must, own, need = tells(t), set(t), Counter(t)
+        shared = lambda k: sum(min(n, k[w]) for w, n in need.items())  # noqa: B023, E731 - words that an alignment has at most
+        if not must <= have or shared(count) < coverage * len(t) - 1e-9:
             continue
-        best = None
-        for a, b in regions(words, t, rare[name]):
-            for c, d in tightened(words, a, b, t):
+        best, places[name] = None, exact(words, t)
+        whole = places[name][0] if places[name] else None
+        for a, b in [whole] if whole else regions(words, t, rare[name]):
+            for c, d in [whole] if whole else tightened(words, a, b, t):
+                if len(t) > LONG and not whole and shared(Counter(words[c:d])) < (best[1] if best else coverage * len(t) - 1e-9):
+                    continue
                 pairs = align(words[c:d], t)
                 found = (len(pairs) / len(t), len(pairs), c + pairs[0][0], c + pairs[-1][0]) if pairs else None
                 if not found or found[0] < coverage or not must <= {t[j] for _, j in pairs}:
@@ -222,7 +239,7 @@ def find(text: str, templates: dict[str, list[str]], rare: dict[str, set[str]],
                 break
         if best:
             out.append((name, *best))
-    return best_of_place(out)
+    return best_of_place(out, places)
 
 
 def tightened(words: list[str], a: int, b: int, template: list[str]) -> list[tuple[int, int]]:
@@ -255,8 +272,18 @@ def licenses(docs: DataFrame, templates: dict[str, str] | None = None, coverage:
         return docs.sparkSession.createDataFrame([], RESULT)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[bytes, list] = {}  # copies of a text within a task are aligned once
+
+        def once(text: str) -> list:
+            key = hashlib.sha256(text.encode()).digest()
+            if key not in seen:
+                if len(seen) >= REMEMBERED:
+                    seen.clear()
+                seen[key] = find(text, known, rare, coverage)
+            return seen[key]
+
         for batch in batches:
-            rows = [(d, *found) for d, t in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True) for found in find(t.as_py(), known, rare, coverage)]
+            rows = [(d, *found) for d, t in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True) for found in once(t.as_py())]
             if rows:
                 kinds = [pa.int64(), pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "license", "coverage", "n_matched", "first_word", "last_word"])
@@ -265,12 +292,12 @@ def licenses(docs: DataFrame, templates: dict[str, str] | None = None, coverage:
     return passed.mapInArrow(scan, RESULT)
 
 
-def brute_force(docs: pd.DataFrame, coverage: float = COVERAGE) -> pd.DataFrame:
+def brute_force(docs: pd.DataFrame, coverage: float = COVERAGE, templates: dict[str, str] | None = None) -> pd.DataFrame:
     """Coverage by longest common subsequence over all windows, an upper bound that the alignment should reach."""
     rows = []
     for d, text in zip(docs.doc_id, docs.text, strict=True):
         words = tokens(text or "")
-        for name, t in {k: tokens(v) for k, v in TEMPLATES.items()}.items():
+        for name, t in {k: tokens(v) for k, v in (templates or TEMPLATES).items()}.items():
             have, best, span = set(t), 0, len(t) + len(t) // 4
             hits = [p for p, w in enumerate(words) if w in have]
             for p in hits:

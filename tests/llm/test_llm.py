@@ -269,6 +269,34 @@ def test_licenses(spark):
     assert sorted_rows(got, ["doc_id", "license"]) == sorted_rows(want, ["doc_id", "license"])
 
 
+def test_notices_against_brute_force():
+    texts = pd.DataFrame({"doc_id": range(len(license_scan.NOTICES)), "text": [f"In short, {v} So much for that." for v in license_scan.NOTICES.values()]})
+    hits = 0
+    for i, (name, v) in enumerate(license_scan.NOTICES.items()):
+        t = {name: license_scan.tokens(v)}
+        rare, must = license_scan.telling(t, 0.8), license_scan.tells(t[name])
+        near = texts[[len(set(license_scan.tokens(x)) & set(t[name])) >= 0.8 * len(set(t[name])) - 1 for x in texts.text]]
+        want = {r.doc_id: r.coverage for r in license_scan.brute_force(near, 0.8, {name: v}).itertuples()}
+        span = len(t[name]) + len(t[name]) // 4  # the brute force looks no further
+        got = {d: found[0][1] for d, x in zip(texts.doc_id, texts.text, strict=True) if (found := license_scan.find(x, t, rare, 0.8)) and found[0][4] - found[0][3] < span}
+        assert got.items() <= {d: c for d, c in want.items() if must <= set(license_scan.tokens(texts.text[d]))}.items() and got[i] == 1, name
+        hits += len(got)
+    assert hits >= len(texts)
+
+
+def test_exact_notices_and_copies_of_a_text(spark):
+    notice = license_scan.TEMPLATES["MIT notice"]
+    gpl = (license_scan.FULL_TEXTS / "GPL-3.0.txt").read_text()
+    near = " ".join(w for i, w in enumerate(gpl.split()) if i % 40)
+    rows = [(1, f"Here. {notice} And again: {notice}"), (2, gpl), (3, gpl), (4, f"New words first. {gpl}"), (5, near), (6, None), (7, "")]
+    got = {(r.doc_id, r.license): r for r in license_scan.licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert (got[1, "MIT notice"].first_word, got[1, "MIT notice"].last_word) == (1, 5) and (1, "MIT license") not in got
+    n = len(license_scan.tokens(gpl))
+    assert all(got[d, "GPL-3.0 text"].coverage == 1 and got[d, "GPL-3.0 text"].n_matched == n for d in (2, 3, 4))
+    assert got[4, "GPL-3.0 text"].first_word == got[2, "GPL-3.0 text"].first_word + 3
+    assert got[5, "GPL-3.0 text"].coverage > 0.97 and not {d for d, _ in got} & {6, 7}
+
+
 def test_licenses_are_told_apart(spark):
     notes = {
         "CC-BY-4.0 notice": "Licensed under CC BY 4.0.", "CC-BY-SA-4.0 notice": "(Licensed under CC BY-SA 4.0)", "CC-BY-NC-4.0 notice": "licensed under cc by-nc 4.0", "CC-BY-SA-3.0 name": "Creative Commons Attribution-ShareAlike 3.0",

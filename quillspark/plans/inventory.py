@@ -513,3 +513,63 @@ def _(s, d):
     full = parse.conform(records(s, d))
     own = [c for c in full.columns if c in schema.FIELDS]
     return full.select("id", "type", "title", F.concat_ws("|", *(F.when(F.col(c).isNotNull(), F.lit(c)) for c in own)).alias("filled"), F.lit(len(own)).cast("int").alias("n_fields"))
+
+
+# Identifiers, headers and codes within longer texts.
+_ISBN_SHOWN = "substr(replace(ISBN, '-', ''), 1, 4) || '-1000-' || lpad(CAST(n % 10000 AS VARCHAR), 4, '0') || '-' || (n % 10)"
+_FOUND = [("doi", "DOI"), ("isbn", f"replace({_ISBN_SHOWN}, '-', '')"), ("pmid", "CASE WHEN n % 3 = 0 THEN CAST(1000000 + n AS VARCHAR) END"), ("arxiv", "CASE WHEN n % 5 = 0 THEN '2301.' || (10000 + n % 9000) || 'v1' END"), ("issn", "CASE WHEN n % 7 = 0 THEN '1234-' || lpad(CAST(n % 1000 AS VARCHAR), 3, '0') || 'X' END")]
+
+
+@query("str9_identifiers_in", "SELECT id, " + ", ".join(f"{c} AS {k}, CASE WHEN n % 2 = 0 THEN {c} END AS {k}_in_head" for k, c in _FOUND) + " FROM rec")
+def _(s, d):
+    n = F.col("_seq")
+    tell = lambda label, c: F.concat(F.lit(label), c)
+    isbn = F.concat(F.substring(F.replace("ISBN", F.lit("-")), 1, 4), F.lit("-1000-"), F.lpad((n % 10000).cast("string"), 4, "0"), F.lit("-"), n % 10)
+    told = F.concat_ws(
+        "\n", tell("https://doi.org/", F.col("DOI")), tell("ISBN ", isbn), F.when(n % 3 == 0, tell("PMID: ", F.lit(1000000) + n)), F.when(n % 5 == 0, F.concat(F.lit("arXiv:2301."), F.lit(10000) + n % 9000, F.lit("v1"))),
+        F.when(n % 7 == 0, F.concat(F.lit("ISSN 1234-"), F.lpad((n % 1000).cast("string"), 3, "0"), F.lit("X"))),
+    )
+    r = records(s, d).withColumn("told", told).join(_table(s, d, "documents").select(F.col("doc_id").alias("_seq"), F.regexp_replace(F.coalesce("text", F.lit("")), r"\d", "").alias("text")), "_seq")
+    whole = F.when(n % 2 == 0, F.concat("told", F.lit("\n"), "text")).otherwise(F.concat("text", F.repeat(F.lit(" word"), 600), F.lit("\n"), "told"))
+    r = r.select("id", identifiers.identifiers_in(whole).alias("all"), identifiers.identifiers_in(whole, header_only=True).alias("head"))
+    return r.select("id", *(F.col(f"{of}.{field}").alias(k.lower() + end) for field, k in (("DOI", "doi"), ("ISBN", "isbn"), ("PMID", "pmid"), ("arXiv", "arxiv"), ("ISSN", "issn")) for of, end in (("all", ""), ("head", "_in_head"))))
+
+
+@query("str22_pdf_strings", "SELECT doc_id, text AS literal, text AS wide, p AS narrow FROM (SELECT doc_id, text, regexp_replace(text, '[^ -~]', '', 'g') AS p FROM documents)")
+def _(s, d):
+    plain = F.regexp_replace("text", "[^ -~]", "")
+    escaped = F.concat(F.lit("("), F.regexp_replace("text", r"([()\\])", r"\\$1"), F.lit(")"))
+    wide = F.concat(F.lit("<FEFF"), F.hex(F.encode("text", "UTF-16BE")), F.lit(">"))
+    narrow = F.concat(F.lit("<"), F.lower(F.hex(F.encode(plain, "ISO-8859-1"))), F.lit("\n>"))
+    return _table(s, d, "documents").select("doc_id", *(text.pdf_string(c).alias(k) for k, c in (("literal", escaped), ("wide", wide), ("narrow", narrow))))
+
+
+@query("ext18_text_header", "SELECT id, DOI AS doi, list_filter(list_transform(string_split(substr(concat_ws(chr(10), 'doi: ' || DOI, 'References of the whole work', text), 1, 3000), chr(10)), lambda x: trim(x)), lambda x: length(x) BETWEEN 15 AND 220 AND NOT regexp_matches(x, '(?i)^(abstract|introduction|references|contents|https?:|doi|vol\\b|\\d)'))[1] AS title FROM rec JOIN documents ON n = doc_id")
+def _(s, d):
+    r = records(s, d).join(_table(s, d, "documents").select(F.col("doc_id").alias("_seq"), "text"), "_seq")
+    head = extract.text_header(F.concat_ws("\n", F.concat(F.lit("doi: "), "DOI"), F.lit("References of the whole work"), "text"))
+    return r.select("id", head["doi"].alias("doi"), head["title"].alias("title"))
+
+
+def _codes_sql(table: dict[str, str]) -> str:
+    """The type that a table gives for each row's code; every eleventh row has one that no table knows."""
+    each = " ".join(f"WHEN {i} THEN '{kind}'" for i, kind in enumerate(table.values()))
+    return f"SELECT p_partkey, p_name AS title, CASE WHEN p_partkey % 11 = 10 THEN 'document' ELSE CASE p_partkey % {len(table)} {each} END END AS type FROM part"
+
+
+def _code(table: dict[str, str]):
+    return F.when(F.col("p_partkey") % 11 == 10, "none of them").otherwise(F.get(F.array(*map(F.lit, table)), (F.col("p_partkey") % len(table)).cast("int")))
+
+
+@query("src2b_ris_types", _codes_sql(schema.RIS_TYPES))
+def _(s, d):
+    entry = F.concat(F.lit("TY  - "), _code(schema.RIS_TYPES), F.lit("\nTI  - "), "p_name", F.lit("\nER  - \n"))
+    return parse.ris(_table(s, d, "part").select("p_partkey", entry.alias("content"))).select("p_partkey", "title", "type")
+
+
+@query("src4a_endnote_types", _codes_sql(schema.ENDNOTE_TYPES))
+def _(s, d):
+    code = _code(schema.ENDNOTE_TYPES)
+    kind = F.when(code.rlike(r"^\d"), F.concat(F.lit("<ref-type>"), code, F.lit("</ref-type>"))).otherwise(F.concat(F.lit('<ref-type name="'), F.initcap(code), F.lit('">99</ref-type>')))
+    entry = F.concat(F.lit("<xml><records><record>"), kind, F.lit("<titles><title>"), text.escape_xml(F.col("p_name")), F.lit("</title></titles></record></records></xml>"))
+    return parse.endnote(_table(s, d, "part").select("p_partkey", entry.alias("content"))).select("p_partkey", "title", "type")

@@ -25,7 +25,7 @@ def con(sf):
     return con
 
 
-@pytest.mark.parametrize("name", ["flt2_search", "srt1_author_asc", "agg5_fields_filled", "jn1_find_duplicates", "jn3_duplicate_links", "mut6_leave_project", "fmt1_apa", "fmt6_template", "val1_warnings", "snk2_ris", "src1_bibtex_round_trip", "src6_csv_round_trip", "src22_mixed_formats", "agg4_groups", "mut9_keep_one", "prj7_edited", "ext11_classify"])
+@pytest.mark.parametrize("name", ["flt2_search", "srt1_author_asc", "agg5_fields_filled", "jn1_find_duplicates", "jn3_duplicate_links", "mut6_leave_project", "fmt1_apa", "fmt6_template", "val1_warnings", "snk2_ris", "src1_bibtex_round_trip", "src6_csv_round_trip", "src22_mixed_formats", "agg4_groups", "mut9_keep_one", "prj7_edited", "ext11_classify", "str7_identify", "src10_identifiers", "src11_sniff", "prj9_inverted_abstract", "snk4_word", "snk5_yaml", "src4a_endnote_types"])
 def test_same_as_sql(spark, sf, con, name):
     assert same(registry.QUERIES[name](spark, sf).toPandas(), con.sql(registry.ORACLE_SQL[name]).df())
 

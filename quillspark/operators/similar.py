@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +12,8 @@ from quillspark.tables import materialise
 
 #: A title is accepted from this share of common words on, in per cent.
 LEAST = 60
+#: Longs of a set's sketch.
+SKETCH = 4
 
 
 def _needed(size: Column, percent: int) -> Column:
@@ -23,26 +27,41 @@ def similar_titles(new: DataFrame, held: DataFrame, percent: int = LEAST) -> Dat
 
     Sets that share so much share one of their rarest words: of n words all but as many as must be shared, less one.
     Words are counted over both sides; each set stands under its rarest ones only, and meets sets there whose size can
-    do. The pairs that meet are compared word by word.
+    do and of which the words from this one on can. Sets that meet so are no rows yet: each carries a sketch of its
+    words, and pairs whose sketches differ more than sets that fit can are dropped within the join. What is left is
+    compared word by word.
     """
-    new, held = materialise(new), materialise(held)
+    new, held = (materialise(df.withColumn("_no", F.monotonically_increasing_id())) for df in (new, held))
     count = new.select(F.explode("words").alias("word")).union(held.select(F.explode("words"))).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
-    def rarest(sets: DataFrame, names: tuple[str, str]) -> DataFrame:
-        each = sets.select("set", F.size("words").alias("size"), F.explode("words").alias("word")).join(count, "word")
-        ranked = each.groupBy("set", "size").agg(F.array_sort(F.collect_list(F.struct("n", "word"))).alias("ranked"))  # the words of one title
-        few = F.slice("ranked", F.lit(1), (F.col("size") - _needed(F.col("size"), percent) + 1).cast("int"))
-        return ranked.select(F.col("set").alias(names[0]), F.col("size").alias(names[1]), F.explode(F.transform(few, lambda x: x["word"])).alias("word"))
+    def rarest(sets: DataFrame, side: str) -> DataFrame:
+        each = sets.select("_no", F.explode("words").alias("word")).join(count, "word")
+        ranked = each.groupBy("_no").agg(F.array_sort(F.collect_list(F.struct("n", "word"))).alias("ranked"))  # the words of one title
+        size = F.size("ranked")
+        few = F.slice("ranked", F.lit(1), (size - _needed(size, percent) + 1).cast("int"))
+        held_by = ranked.select("_no", size.alias("size"), _sketch(F.transform("ranked", lambda x: x["word"])).alias("sketch"), few.alias("few"))
+        one = held_by.select("_no", "size", "sketch", F.posexplode("few").alias("at", "x"))
+        return one.select(F.col("x")["word"].alias("word"), *(F.col(c).alias(f"{side}_{c.lstrip('_')}") for c in ("_no", "size", "at")), *(F.col("sketch")[i].alias(f"{side}_bits{i}") for i in range(SKETCH)))
 
-    left, right = rarest(new, ("new_set", "new_size")), rarest(held, ("held_set", "held_size"))
-    fits = F.least("new_size", "held_size") >= _needed(F.greatest("new_size", "held_size"), percent)
-    met = left.join(right, "word").where(fits).select("new_set", "held_set").distinct()
-    both = met.join(new.select(F.col("set").alias("new_set"), F.col("words").alias("a")), "new_set").join(held.select(F.col("set").alias("held_set"), F.col("words").alias("b")), "held_set")
+    left, right = rarest(new, "new"), rarest(held, "held")
+    need = _needed(F.greatest("new_size", "held_size"), percent)
+    differ = reduce(lambda a, b: a + b, (F.bit_count(F.col(f"new_bits{i}").bitwiseXOR(F.col(f"held_bits{i}"))) for i in range(SKETCH)))
+    fits = (F.least(F.col("new_size") - F.col("new_at"), F.col("held_size") - F.col("held_at")) >= need) & (differ <= F.col("new_size") + F.col("held_size") - 2 * need)
+    met = left.join(right, (left["word"] == right["word"]) & fits).select("new_no", "held_no").distinct()
+    both = met.join(new.select(F.col("_no").alias("new_no"), F.col("set").alias("new_set"), F.col("words").alias("a")), "new_no").join(held.select(F.col("_no").alias("held_no"), F.col("set").alias("held_set"), F.col("words").alias("b")), "held_no")
     common = F.size(F.array_intersect("a", "b"))
     larger = F.greatest(F.size("a"), F.size("b"))
     return both.where(100 * common >= percent * larger).select("new_set", "held_set", (common / larger).alias("similarity"))
 
 
+def _sketch(words: Column) -> Column:
+    """An array of SKETCH longs: each word sets or clears one of their bits. Words of one set alone change one bit each at
+    most, so that two sketches differ in no more bits than their sets in words."""
+    place = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(64 * SKETCH)).cast("int"))
+    bits = lambda i: F.aggregate(F.filter(place, lambda p: F.floor(p / 64) == i), F.lit(0).cast("long"), lambda a, p: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), p % 64)))
+    return F.array(*(bits(i) for i in range(SKETCH)))
+
+
 def best_titles(new: DataFrame, held: DataFrame, key: str = "id", title: str = "title", percent: int = LEAST) -> DataFrame:
     """For each new record the held one of another key whose title is most similar, of equal ones the smallest key:
     (key, match, similarity). Records without one, and those without a title, are left out.

@@ -139,3 +139,15 @@ def test_numbers_collapse_and_years_get_letters(spark):
     got = {r.id: r.year_suffix for r in paging.year_suffixes(spark.createDataFrame(rows, "id string, names string, year int"), "id").collect()}
     assert [got[f"i{k:04d}"] for k in (0, 25, 26, 701, 702, 729)] == ["a", "z", "aa", "zz", "aaa", "abb"]
     assert (got["j"], got["k"], got["l"], got["m"]) == (None, None, "a", "b")
+
+
+def test_titles_that_cannot_do_leave_the_join_as_no_rows(spark):
+    rows = [(f"s{i}", ["shared", *(f"w{i}x{j}" for j in range(i % 9 + 8))]) for i in range(300)] + [("t1", [f"t{j}" for j in range(10)]), ("t2", [f"t{j}" for j in range(4, 14)]), ("t3", [f"t{j}" for j in range(5, 15)])]
+    df = spark.createDataFrame(rows, "set string, words array<string>")
+    got = similar.similar_titles(df, df)
+    assert {(r.new_set, r.held_set, round(r.similarity, 9)) for r in got.collect() if r.new_set < r.held_set} == {("t1", "t2", 0.6), ("t2", "t3", 0.9)}
+    joins = [x for x in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in x]
+    assert any("bit_count" in x for x in joins)
+    a, b = F.array(*(F.lit(f"w{i}") for i in range(40))), F.array(*(F.lit(f"w{i}") for i in range(30, 70)))
+    bits = spark.range(1).select(similar._sketch(a).alias("a"), similar._sketch(b).alias("b")).first()
+    assert 0 < sum(((x ^ y) & (2**64 - 1)).bit_count() for x, y in zip(bits.a, bits.b)) <= 60

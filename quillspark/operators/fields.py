@@ -7,6 +7,7 @@ the text without line breaks; both read whole texts. A null or empty text has no
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -307,12 +308,13 @@ def page_value(html: Column, *labels: str) -> Column:
     return F.coalesce(own, labelled(page_text(html), *labels))
 
 
-def page_fields(df: DataFrame, html: str = "html", url: str = "url", kind: str = "source_type") -> DataFrame:
-    """EXT14: the fields of a page: meta tags first, then its text."""
+def page_fields(df: DataFrame, html: str = "html", url: str = "url", kind: str = "source_type", heading: Callable[[Column], Column] = extract.unescape_html) -> DataFrame:
+    """EXT14: the fields of a page: meta tags first, then its text. heading: what is shown of the mark-up within the
+    heading or the title element that names the page."""
     tags = {"title": "title", "author": "author", "publicationDate": "issued", "journalTitle": "container_title", "volume": "volume", "issue": "issue", "doi": "DOI", "issn": "ISSN", "isbn": "ISBN", "publisher": "publisher", "abstract": "abstract"}
     d = df.withColumn("_metas", extract.metas(F.col(html))).withColumn("_page", page_text(F.col(html)))
     values = {k: F.array_join(extract.meta_values(F.col("_metas"), f), "; ") if f == "author" else F.get(extract.meta_values(F.col("_metas"), f), F.lit(0)) for k, f in tags.items()}
-    values["title"] = F.coalesce(values["title"], extract.element(F.col(html), "h1"), extract.element(F.col(html), "title"))
+    values["title"] = F.coalesce(values["title"], extract.element(F.col(html), "h1", heading), extract.element(F.col(html), "title", heading))
     given = F.create_map(*(x for k, v in {**values, "url": F.col(url)}.items() for x in (F.lit(k), v)))
     return source_fields(d, "_page", kind, given).drop("_metas", "_page")
 

@@ -72,3 +72,14 @@ def test_join_parts_drops_a_doubled_sign(spark):
 def test_inverted_abstract(spark):
     made = spark.range(1).select(text.inverted_abstract(F.create_map(F.lit("b"), F.array(F.lit(1), F.lit(3)), F.lit("a"), F.array(F.lit(0), F.lit(2)))).alias("x")).first()
     assert made.x == "a b a b"
+
+
+def test_places_of_words_need_no_shuffle(spark):
+    df = spark.createDataFrame([("b a  b c a",), ("",), ("x",), (None,)], "t string")
+    out = df.select("t", text.places_of_words(F.split("t", " ")).alias("m"))
+    got = [(r.t, r.m) for r in out.collect()]
+    assert got == [("b a  b c a", {"a": [1, 5], "": [2], "b": [0, 3], "c": [4]}), ("", {"": [0]}), ("x", {"x": [0]}), (None, None)]
+    assert [r[0] for r in out.select(text.inverted_abstract(F.col("m"))).collect()] == ["b a  b c a", "", "x", None]
+    from quillspark.plans import registry
+
+    assert "Exchange" not in registry.QUERIES["prj9_inverted_abstract"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()

@@ -83,3 +83,12 @@ def test_places_of_words_need_no_shuffle(spark):
     from quillspark.plans import registry
 
     assert "Exchange" not in registry.QUERIES["prj9_inverted_abstract"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_page_dates_are_parsed_once(spark):
+    rows = ["March 5, 2024", "Mar 5, 2024", "5 March 2024", "5 Mar 2024", "March 2024", "mar 2024", "3/5/2024", "Tuesday, March 5, 2024 10:30", "2024-03", "2024", "May 1, 2020", "Smarch 5, 2024", "31 June 2024", "", None]
+    made = dates.page_date(F.col("c"))
+    df = spark.createDataFrame([(r,) for r in rows], "c string").select(made.alias("d"))
+    got = [None if r.d is None else (r.d.date_parts[0] if r.d.date_parts else r.d.literal) for r in df.collect()]
+    assert got == [[2024, 3, 5]] * 4 + [[2024, 3, 1]] * 2 + [[2024, 3, 5]] * 2 + [[2024, 3], [2024], [2020, 5, 1], "Smarch 5, 2024", "31 June 2024", "", None]
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("gettimestamp") == len(dates.FORMATS)

@@ -92,3 +92,10 @@ def test_page_dates_are_parsed_once(spark):
     got = [None if r.d is None else (r.d.date_parts[0] if r.d.date_parts else r.d.literal) for r in df.collect()]
     assert got == [[2024, 3, 5]] * 4 + [[2024, 3, 1]] * 2 + [[2024, 3, 5]] * 2 + [[2024, 3], [2024], [2020, 5, 1], "Smarch 5, 2024", "31 June 2024", "", None]
     assert df._jdf.queryExecution().optimizedPlan().toString().count("gettimestamp") == len(dates.FORMATS)
+
+
+def test_fuzzy_dates_look_for_each_part_once(spark):
+    df = spark.createDataFrame([("received on 5 March 2024",), ("May 1999",), ("42 June 1850",), ("2001, 7",), ("no year 12",), ("",), (None,)], "c string").select(dates.fuzzy_date(F.col("c")).alias("d"))
+    got = [None if r.d is None else (r.d.date_parts[0] if r.d.date_parts else r.d.literal) for r in df.collect()]
+    assert got == [[2024, 3, 5], [1999, 5], [1850, 6], [2001], "no year 12", "", None]
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract") <= 6

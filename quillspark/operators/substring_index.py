@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 GRAM, FOLDERS = 3, 64
 #: Grams of a query whose postings are read: the rarest ones.
 READ = 4
+#: Letters of indexed texts a task sorts the postings of, at most about; tables of fewer are dealt over the usual tasks.
+LETTERS = 2_000_000
 
 
 def grams(c: Column) -> Column:
@@ -23,10 +25,14 @@ def _folder(gram: Column) -> Column:
 def build(df: DataFrame, key: str, fields: list[str], path: str) -> None:
     """Write the index of the fields of a table: `postings` (gram, key), sorted by gram within each folder, and `counts`
     (gram, n). A row stands once under a gram, whichever of its fields holds it. A gram that most rows hold is dealt over
-    the tasks of its folder by the key, so that no task has more than its share."""
+    the tasks of its folder by the key, so that no task has more than its share; their number grows with the texts."""
     every = F.array_distinct(F.flatten(F.array(*(F.coalesce(grams(F.col(f)), F.array().cast("array<string>")) for f in fields))))
     rows = df.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.explode(every).alias("gram")).withColumn("folder", _folder(F.col("gram")))
-    dealt = rows.repartition("folder", F.pmod(F.xxhash64("key"), F.lit(8))).sortWithinPartitions("folder", "gram", "key")
+    letters = df.agg(F.sum(sum((F.coalesce(F.length(f), F.lit(0)).cast("long") for f in fields), F.lit(0).cast("long")))).first()[0] or 0
+    parts = letters // LETTERS
+    deals = ("folder", F.pmod(F.xxhash64("key"), F.lit(max(8, parts * 4 // FOLDERS))))
+    usual = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = (rows.repartition(parts, *deals) if parts > usual else rows.repartition(*deals)).sortWithinPartitions("folder", "gram", "key")
     dealt.write.partitionBy("folder").parquet(f"{path}/postings")
     counts = df.sparkSession.read.parquet(f"{path}/postings").groupBy("folder", "gram").agg(F.count(F.lit(1)).alias("n"))
     counts.repartition("folder").sortWithinPartitions("folder", "gram").write.partitionBy("folder").parquet(f"{path}/counts")

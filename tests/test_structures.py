@@ -151,3 +151,13 @@ def test_titles_that_cannot_do_leave_the_join_as_no_rows(spark):
     a, b = F.array(*(F.lit(f"w{i}") for i in range(40))), F.array(*(F.lit(f"w{i}") for i in range(30, 70)))
     bits = spark.range(1).select(similar._sketch(a).alias("a"), similar._sketch(b).alias("b")).first()
     assert 0 < sum(((x ^ y) & (2**64 - 1)).bit_count() for x, y in zip(bits.a, bits.b)) <= 60
+
+
+def test_index_is_dealt_over_more_tasks_for_longer_texts(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(substring_index, "LETTERS", 300)
+    df = spark.range(100).select(F.col("id").cast("string").alias("id"), F.concat(F.lit("the same words "), "id").alias("title"))
+    path = str(tmp_path / "i")
+    substring_index.build(df, "id", ["title"], path)
+    tasks = {f.rsplit("part-", 1)[1].split("-")[0] for f in spark.read.parquet(f"{path}/postings").inputFiles()}
+    assert len(tasks) > 4  # the session's number
+    assert sorted(r.id for r in substring_index.search(df, "id", ["title"], path, "WORDS 1").collect()) == sorted(str(i) for i in range(100) if str(i).startswith("1"))

@@ -23,6 +23,8 @@ WIDTHS = (2, 3, 4)
 FILTERS = 16
 #: The network is fitted on at most this many labelled documents, those of least hash, and on two windows of each.
 TRAIN_DOCS = 5000
+#: Windows that a task scores together: a row of responses of each takes WINDOW * FILTERS floats.
+BLOCK = 128
 
 
 @dataclass
@@ -124,8 +126,8 @@ def window_scores(raw: np.ndarray, offsets: np.ndarray, net: Network, tables: li
     start = spread(np.zeros(n, np.int64), count) * WINDOW
     own = np.minimum(length[row] - start, WINDOW)
     total = np.zeros((n, len(net.labels)))
-    for i in range(0, len(row), 2048):
-        a, b = i, min(i + 2048, len(row))
+    for a in range(0, len(row), BLOCK):
+        b = min(a + BLOCK, len(row))
         x = np.zeros((b - a, WINDOW), np.uint8)
         lens = np.maximum(own[a:b], 0)
         x.reshape(-1)[spread(np.arange(b - a) * WINDOW, lens)] = raw[spread(offsets[row[a:b]] + start[a:b], lens)]

@@ -503,6 +503,24 @@ def test_language_id_on_held_out_documents(spark):
     assert {r.lang_pred for r in language_id.identify(df, None).collect()} == {"und"}
 
 
+def test_language_scores_take_little_memory():
+    import tracemalloc
+
+    tables = {w: rng.normal(0, 0.3, (w, 256, language_id.FILTERS)).astype(np.float32) for w in language_id.WIDTHS}
+    n = language_id.FILTERS * len(tables)
+    net = language_id.Network(["a", "b", "c"], tables, np.zeros(n, np.float32), rng.normal(0, 0.1, (n, 3)).astype(np.float32), np.zeros(3, np.float32))
+    raw, offsets = rng.integers(0, 256, 1 << 20).astype(np.uint8), np.array([0, 100, 100, 1000, 300_000, 1 << 20])
+    paired = net.paired()
+    tracemalloc.start()
+    got = language_id.window_scores(raw, offsets, net, paired)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 16 << 20
+    for a, b, score in zip(offsets[:-1], offsets[1:], got, strict=True):
+        alone = language_id.window_scores(raw[a:b], np.array([0, b - a]), net, paired)[0]
+        assert np.allclose(score, alone, rtol=1e-5, atol=1e-8)
+
+
 def test_language_id_of_odd_tables(spark):
     df = spark.createDataFrame([(i, "the cat" if i % 2 else "der hund", "en" if i % 2 else "de", i) for i in range(40)], "doc_id long, text string, lang string, letters int")
     assert language_id.train(df.where("false")) is None

@@ -87,3 +87,22 @@ def test_patterns_that_are_not_tried_do_not_match(spark):
     low, digit = F.lower("t"), F.col("t").rlike("[0-9]")
     missed = [F.count_if(F.col("t").rlike(p) & ~classify.may_match(n, low, digit)) for (_, _, p), n in zip(classify.RULES, classify.NEEDS, strict=True)]
     assert not any(df.select(*(c.alias(f"c{i}") for i, c in enumerate(missed))).first())
+
+
+def test_words_decide_which_patterns_are_tried(spark):
+    words = ["Journal of", "fact", "ACT", "act_2", "act", "\u212aact", "\u0130N:", "In:", "Master's", "masters", "Revised Edition", "no. 5", "GSE12", "WWW.a.b", "https://x", "Eds.", "editing", "geometry", "GEO", "v. x", "May 5, 2020", "version v2", "report nothing", "aired on", "éact", "posted by"]
+    texts = [*(f"{a}{s}{b}" for a in words for b in words for s in (" ", "/", "")), "x" * 5000 + " thesis", "", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+    low = classify.lowered(F.col("text"))
+    assert df.where(~F.sort_array(classify.words_of(low)).eqNullSafe(F.sort_array(classify.words_of(low, 0)))).count() == 0
+    told = F.coalesce("text", F.lit(""))
+    hits = F.array(*(F.when(told.rlike(p.replace(r"\b", classify.BORDER)), F.struct(F.lit(k).alias("k"), F.lit(w).alias("w"))) for k, w, p in classify.RULES))
+    got = {r.i: r for r in classify.classify(df.withColumn("hits", hits)).collect()}
+    for r in got.values():
+        sums = {k: sum(h.w for h in r.hits if h and h.k == k) for k in classify.kinds()}
+        best = sorted((k for k in sums if sums[k]), key=lambda k: -sums[k])
+        assert r.ranked == ",".join(f"{k}:{sums[k]}" for k in best[:5]) and r.source_type == (best[0] if best else "unknown"), r.text
+    # Parts of other words let no pattern be tried.
+    idle = spark.createDataFrame([("The fact of practice: geometry, posture, bill-boards no, editing visits.",)], "t string").select(F.lower("t").alias("low"))
+    tried = [classify.may_match(n, F.col("low"), F.lit(False)) for n in classify.NEEDS]
+    assert [i for i, x in enumerate(idle.select(*(c.alias(f"c{i}") for i, c in enumerate(tried))).first()) if x] == [21]  # bill

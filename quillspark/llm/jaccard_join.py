@@ -1,7 +1,9 @@
 """Operator 7: n-gram Jaccard join with count vectors in an R-tree.
 
-1. A count-min sketch over the shingles of all documents tells which occur in one document only. A document links
-   to another only if enough of its shingles occur elsewhere; all others are done with.
+1. A document links to another only if enough of its shingles occur elsewhere. A slice of the space of hashes, twice as
+   large as the share that may differ, is dealt out by hash and counted: documents of which too many shingles of the
+   slice occur once are done with, whatever the size of the input. A count-min sketch over the shingles of the others
+   tells which occur in one document only, and drops most of what the slice let through.
 2. Equal sets become one node. A node meets others at its prefix: the rarest shingles, one more than it can do
    without. Two linked nodes share one of their prefixes.
 3. Where nodes meet, a shingle's nodes are points of an R-tree: tokens hashed into groups, the counts per group
@@ -38,6 +40,12 @@ BLOCK, FAMILY, FAMILY_SHINGLES = 8192, 4096, 1 << 21
 LEAF, FAN = 32, 16
 #: Vector rows that a task holds before it works on the groups they make up.
 HOLD = 8192
+#: Shingles of the slice that a task sends at once, and that meet in one part.
+SEND, PART = 1 << 21, 1 << 19
+#: Bits of the table of sets that may have a link: at most 2**28, 32 MB.
+MAX_BITS = 28
+SLICE = U64(0xA24BAED4963EE407)
+OWNER = np.dtype([("key", "<u4"), ("left", "<u4")])
 
 
 def shingle_sets(raw: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -56,6 +64,149 @@ def shingle_sets(raw: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.nd
     return np.concatenate([np.zeros(0, np.uint64), *parts]), np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int64)
 
 
+def set_keys(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """32 bits for each set; equal sets have one key, and sets that share one by chance are told apart nowhere."""
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes)])
+    return (mix((total[first[1:]] - total[first[:-1]]) ^ np.diff(first).astype(np.uint64)) >> U64(32)).astype(np.uint32)
+
+
+class Linkable:
+    """Keys of the sets that may have a link, one bit for each range of keys."""
+
+    def __init__(self, chunks: dict[int, bytes], bits: int) -> None:
+        self.bits = bits
+        self.table = np.frombuffer(b"".join(chunks[i] for i in sorted(chunks)), np.uint8)
+
+    def holds(self, keys: np.ndarray) -> np.ndarray:
+        at = keys >> np.uint32(32 - self.bits)
+        return (self.table[at >> np.uint32(3)] >> (np.uint8(7) - (at & np.uint32(7)).astype(np.uint8))) & 1 == 1
+
+
+def linkable(docs: DataFrame, size: int, percent: int, n_rows: int, n_bytes: int) -> Linkable:
+    """Sets of which as many shingles occur elsewhere as a link needs, as far as a slice of the hashes tells.
+
+    Of n shingles a link leaves n * (100 - percent) / 100 alone at most, so a set with more lone ones in the slice has
+    none. A task sends each shingle of the slice to its part once: with the key of its set, or as known if it met it in
+    two sets itself. A part answers with the keys of the sets whose shingle another task has too. Parts compare 32 bits
+    of a hash and sets have 32 bits: what is equal by chance lets a set through, and never drops one.
+    """
+    share = min(100, 2 * (100 - percent))
+    last = (share << 64) // 100 - 1
+    span = (last >> 32) + 1
+    n_parts = max(1, n_bytes * share // 600 // PART)
+    owner_bits = max(0, (n_parts // 8).bit_length() - 1)
+    bits = min(max(10, owner_bits + 3, (16 * n_rows).bit_length()), MAX_BITS)
+    n_owners = 1 << owner_bits
+    sent = pa.schema([("part", pa.int32()), ("tokens", pa.binary()), ("keys", pa.binary()), ("known", pa.binary()), ("owner", pa.int32()), ("owners", pa.binary())])
+    answered = pa.schema([("owner", pa.int32()), ("hits", pa.binary()), ("owners", pa.binary())])
+    table = lambda schema, rows: pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+    owner_edges = np.arange(n_owners + 1, dtype=np.uint64) << U64(32 - owner_bits)
+
+    def send(marks: list[np.ndarray], rows: list[np.ndarray], keys: np.ndarray, needed: np.ndarray) -> Iterator[pa.RecordBatch]:
+        m, row = np.concatenate(marks), np.concatenate(rows)
+        order = np.argsort(m)
+        m, row = m[order], row[order]
+        lead = np.ones(len(m), bool)
+        lead[1:] = m[1:] != m[:-1]
+        alone = lead.copy()
+        alone[:-1] &= lead[1:]
+        left = np.maximum(needed - np.bincount(row[~alone], minlength=len(keys)), 0)
+        known = m[lead & ~alone]
+        m, key = m[alone], keys[row[alone]]
+        part = lambda x: np.searchsorted((x >> U64(32)) * U64(n_parts) // U64(span), np.arange(n_parts + 1, dtype=np.uint64))
+        a, b = part(m), part(known)
+        m, known = m.astype("<u4"), known.astype("<u4")
+        used = np.flatnonzero((np.diff(a) > 0) | (np.diff(b) > 0)).tolist()
+        out = [(i, m[a[i] : a[i + 1]].tobytes(), key[a[i] : a[i + 1]].tobytes(), known[b[i] : b[i + 1]].tobytes(), None, None) for i in used]
+        order = np.lexsort((left, keys))
+        own = np.empty(len(keys), OWNER)
+        own["key"], own["left"] = keys[order], np.minimum(left[order], 0xFFFFFFFF)
+        own = own[np.concatenate([[True], own["key"][1:] != own["key"][:-1]])]
+        c = np.searchsorted(own["key"].astype(np.uint64), owner_edges)
+        out += [(i, None, None, None, i, own[c[i] : c[i + 1]].tobytes()) for i in np.flatnonzero(np.diff(c)).tolist()]
+        yield table(sent, out)
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks, rows, keys, needed, n, n_sets = [], [], [], [], 0, 0
+        for batch in (piece for whole in batches for piece in slices(whole, "text")):
+            h, first = shingle_sets(*text_bytes(batch.column("text")), size)
+            first = np.concatenate([first[:1], first[1:][np.diff(first) > 0]])
+            if len(first) == 1:
+                continue
+            m = mix(h ^ SLICE)
+            inside = np.flatnonzero(m <= U64(last))
+            own = np.searchsorted(first, inside, side="right") - 1
+            n_set = np.diff(first)
+            marks.append(m[inside])
+            rows.append(own + n_sets)
+            keys.append(set_keys(h, first))
+            needed.append(np.bincount(own, minlength=len(n_set)) - (n_set - -(-percent * n_set // 100)))
+            n, n_sets = n + len(inside), n_sets + len(n_set)
+            if n >= SEND:
+                yield from send(marks, rows, np.concatenate(keys), np.concatenate(needed))
+                marks, rows, keys, needed, n, n_sets = [], [], [], [], 0, 0
+        if keys:
+            yield from send(marks, rows, np.concatenate(keys), np.concatenate(needed))
+
+    def meet(tokens: list[bytes], keys: list[bytes], known: list[bytes]) -> Iterator[pa.RecordBatch]:
+        lone, key = np.frombuffer(b"".join(tokens), "<u4"), np.frombuffer(b"".join(keys), "<u4")
+        t = np.concatenate([lone, np.frombuffer(b"".join(known), "<u4")])
+        order = np.argsort(t)
+        same = np.diff(t[order]) == 0
+        many = np.zeros(len(t), bool)
+        many[1:] |= same
+        many[:-1] |= same
+        at = order[many]
+        hits = np.sort(key[at[at < len(lone)]])
+        c = np.searchsorted(hits.astype(np.uint64), owner_edges)
+        used = np.flatnonzero(np.diff(c)).tolist()
+        if used:
+            yield table(answered, [(i, hits[c[i] : c[i + 1]].tobytes(), None) for i in used])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, ([], [], [])
+        for batch in batches:
+            for part, tokens, keys, known, owner, owners in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                if owners is not None:
+                    yield table(answered, [(owner, None, owners)])
+                    continue
+                if part != at:
+                    if at is not None:
+                        yield from meet(*held)
+                    at, held = part, ([], [], [])
+                for x, y in zip(held, (tokens, keys, known), strict=True):
+                    x.append(y)
+        if at is not None:
+            yield from meet(*held)
+
+    def chunk(owner: int, hits: list[bytes], owners: list[bytes]) -> pa.RecordBatch:
+        own, hit = np.frombuffer(b"".join(owners), OWNER), np.sort(np.frombuffer(b"".join(hits), "<u4"))
+        n = np.searchsorted(hit, own["key"], side="right") - np.searchsorted(hit, own["key"])
+        live = own["key"][n >= own["left"]]
+        found = np.zeros(1 << (bits - owner_bits), bool)
+        found[(live >> np.uint32(32 - bits)).astype(np.int64) - (owner << (bits - owner_bits))] = True
+        return pa.RecordBatch.from_pydict({"owner": pa.array([owner], pa.int32()), "bits": [np.packbits(found).tobytes()]})
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, ([], [])
+        for batch in batches:
+            for owner, hits, owners in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                if owner != at:
+                    if at is not None:
+                        yield chunk(at, *held)
+                    at, held = owner, ([], [])
+                held[0].append(hits or b"")
+                held[1].append(owners or b"")
+        if at is not None:
+            yield chunk(at, *held)
+
+    parts = docs.select("text").mapInArrow(partial, "part int, tokens binary, keys binary, known binary, owner int, owners binary")
+    met = parts.repartition("part").sortWithinPartitions("part").mapInArrow(merge, "owner int, hits binary, owners binary")
+    chunks = met.repartition("owner").sortWithinPartitions("owner").mapInArrow(decide, "owner int, bits binary")
+    empty = bytes((1 << (bits - owner_bits)) // 8)
+    return Linkable(dict.fromkeys(range(n_owners), empty) | {r["owner"]: bytes(r["bits"]) for r in chunks.toLocalIterator(prefetchPartitions=True)}, bits)
+
+
 def frequency_classes(nodes: DataFrame) -> np.ndarray:
     """Nodes per hash class of their shingles: 2**18 counts, to tell frequent shingles from rare ones."""
 
@@ -238,22 +389,31 @@ def join(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    _, n_bytes = common.text_volume(docs)
-    bits = min(max(10, (n_bytes // 3).bit_length()), MAX_COUNTERS.bit_length() - 1)
-    shared = spark.sparkContext.broadcast(Estimate(sketch(docs, lambda raw, offsets: shingle_sets(raw, offsets, size)[0], bits), bits))
+    may_link = spark.sparkContext.broadcast(linkable(docs, size, percent, *common.text_volume(docs)))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (piece for whole in batches for piece in slices(whole, "text")):
             h, first = shingle_sets(*text_bytes(batch.column("text")), size)
-            elsewhere = np.concatenate([[0], np.cumsum(shared.value.repeated(h))])
             n = np.diff(first)
-            live = (n > 0) & (100 * (elsewhere[first[1:]] - elsewhere[first[:-1]]) >= percent * n)
+            live = (n > 0) & may_link.value.holds(set_keys(h, first))
             sets = [h[first[i] : first[i + 1]].tobytes() if x else None for i, x in enumerate(live.tolist())]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(sets, pa.binary())], names=["doc_id", "n", "shingles"])
 
     all_sets = docs.mapInArrow(read, "doc_id long, n long, shingles binary").withColumn("set", F.when(F.col("shingles").isNotNull(), F.sha2("shingles", 256)))
     all_sets = common.materialise(all_sets)
-    collapsed = all_sets.where("set IS NOT NULL").groupBy("set").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("shingles").alias("shingles"))
+    held = all_sets.where("set IS NOT NULL")
+    n_held = held.agg(F.sum("n")).first()[0] or 0
+    bits = min(max(10, (2 * n_held).bit_length()), MAX_COUNTERS.bit_length() - 1)
+    shared = spark.sparkContext.broadcast(Estimate(sketch(held.select(F.col("shingles").alias("text")), lambda raw, offsets: raw.view("<u8"), bits), bits))
+
+    def enough(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (piece for whole in batches for piece in slices(whole, "shingles")):
+            raw, offsets = text_bytes(batch.column("shingles"))
+            elsewhere, first = np.concatenate([[0], np.cumsum(shared.value.repeated(raw.view("<u8")))]), offsets // 8
+            yield batch.filter(pa.array(100 * (elsewhere[first[1:]] - elsewhere[first[:-1]]) >= percent * np.diff(first)))
+
+    held = held.select("doc_id", "n", "shingles", "set").mapInArrow(enough, "doc_id long, n long, shingles binary, set string")
+    collapsed = held.groupBy("set").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("shingles").alias("shingles"))
     nodes = common.materialise(collapsed.withColumn("node", F.monotonically_increasing_id()))
     classes = spark.sparkContext.broadcast(frequency_classes(nodes))
 
@@ -285,7 +445,7 @@ def join(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
     least = roots.groupBy("root").agg(F.min("least").alias("component"))
     found = roots.join(least, "root").select("set", "component")
     columns = "doc_id", F.col("n").alias("n_shingles")
-    live = all_sets.where("set IS NOT NULL").join(found, "set").select(*columns, F.coalesce("component", "doc_id").alias("component_id"))
+    live = all_sets.where("set IS NOT NULL").join(found, "set", "left").select(*columns, F.coalesce("component", "doc_id").alias("component_id"))
     return live.union(all_sets.where("set IS NULL").select(*columns, F.col("doc_id").alias("component_id")))
 
 

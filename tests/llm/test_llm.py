@@ -112,6 +112,45 @@ def test_pairs_of_blocks_lose_no_link(spark, monkeypatch, block, family):
     check(jaccard_join.join(spark.createDataFrame(df)), jaccard_join.brute_force(df))
 
 
+def mixed_copies(n):
+    """Texts of their own, each with a passage that many hold, pairs of near copies, and exact copies."""
+    own, passage = np.random.default_rng(9), " ".join(f"p{i}" for i in range(6))
+    rows = []
+    for i in range(n):
+        w = [f"{WORDS[k]}{own.integers(0, 40)}" for k in own.integers(0, len(WORDS), own.integers(3, 160))]
+        rows.append(" ".join(w) + (f" {passage}" if len(w) > 60 else ""))
+        if i % 10 == 0:
+            w[len(w) // 2] = "changed"
+            rows.append(" ".join(w))
+        if i % 25 == 0:
+            rows.append(rows[-1])
+    return pd.DataFrame({"doc_id": range(len(rows)), "text": rows})
+
+
+def test_a_full_sketch_keeps_no_texts_of_their_own(spark, monkeypatch):
+    kept = []
+
+    def counted(df, inner=jaccard_join.common.materialise):
+        out = inner(df)
+        if "shingles" in out.columns:
+            kept.append(out.where("shingles IS NOT NULL").count())
+        return out
+
+    monkeypatch.setattr(jaccard_join.common, "materialise", counted)
+    monkeypatch.setattr(jaccard_join, "MAX_COUNTERS", 1 << 10)  # far fewer than the shingles: the sketch deems all of them repeated
+    df = mixed_copies(800)
+    check(jaccard_join.join(spark.createDataFrame(df)), jaccard_join.brute_force(df))
+    assert 160 <= kept[0] < len(df) // 2
+
+
+@pytest.mark.parametrize(("send", "part", "percent"), [(300, 200, 85), (5000, 100, 80), (1 << 21, 3000, 60), (700, 500, 30)])
+def test_parts_of_the_slice_lose_no_link(spark, monkeypatch, send, part, percent):
+    monkeypatch.setattr(jaccard_join, "SEND", send)
+    monkeypatch.setattr(jaccard_join, "PART", part)
+    df = mixed_copies(300)
+    check(jaccard_join.join(spark.createDataFrame(df).repartition(3), 3, percent), jaccard_join.brute_force(df, 3, percent))
+
+
 def parts(n, a, b):
     root = list(range(n))
     for x, y in zip(a, b, strict=True):

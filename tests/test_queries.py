@@ -42,6 +42,12 @@ def test_records_without_a_title(spark, sf, tmp_path, name):
     assert same(registry.QUERIES[name](spark, str(tmp_path)).toPandas(), own.sql(registry.ORACLE_SQL[name]).df())
 
 
+def test_records_do_not_shuffle_texts(spark, sf):
+    plan = registry.records(spark, sf).hint("merge")._jdf.queryExecution().optimizedPlan().toString()
+    join = plan.index("Join LeftOuter")
+    assert "split(text#" in plan[join:] and "split(" not in plan[:join]
+
+
 def union_find(rows):
     """Smallest _seq of the records that share keys, directly or through others; rows of id, _seq and keys."""
     parent, holder = {r[1]: r[1] for r in rows}, {}

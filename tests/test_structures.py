@@ -153,6 +153,20 @@ def test_titles_that_cannot_do_leave_the_join_as_no_rows(spark):
     assert 0 < sum(((x ^ y) & (2**64 - 1)).bit_count() for x, y in zip(bits.a, bits.b)) <= 60
 
 
+def test_pairs_of_titles_carry_numbers_and_meet_once(spark):
+    rows = [(f"s{i:03d}", sorted({f"w{(i // 5) * 7 + (j if j % 6 else j + i % 5)}" for j in range(12)})) for i in range(100)]
+    df = spark.createDataFrame(rows, "set string, words array<string>")
+    fit = {(a, b): len({*x} & {*y}) / max(len(x), len(y)) for a, x in rows for b, y in rows if 10 * len({*x} & {*y}) >= 6 * max(len(x), len(y))}
+    for held in (df, df.select("*")):  # one table, and two
+        sets, others, pairs = similar.numbered_pairs(df, held)
+        query = pairs._jdf.queryExecution()
+        assert "words" not in query.executedPlan().toString()
+        assert any("Join Inner" in x and "(new_no#" in x and "< held_no#" in x for x in query.optimizedPlan().toString().splitlines()) == (held is df)
+        mine, theirs = ({r._no: r.set for r in x.collect()} for x in (sets, others))
+        got = [((mine[r.new_no], theirs[r.held_no]), r.similarity) for r in pairs.collect()]
+        assert len(got) == len(fit) > 300 and dict(got) == fit
+
+
 def test_index_is_dealt_over_more_tasks_for_longer_texts(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(substring_index, "LETTERS", 300)
     df = spark.range(100).select(F.col("id").cast("string").alias("id"), F.concat(F.lit("the same words "), "id").alias("title"))
